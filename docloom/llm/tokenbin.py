@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ from docloom.llm.common import blocks, n_parts, new_path
 BLOCK = 4096
 SEGMENT_IDS = 1 << 18
 PERCENTILE = 0.95
+#: Shuffle partitions' worth of text that one encoder and its word cache serve.
+SHARE = 4
 _HEAD, _HEAD_SIZE = "<4sIII", 16
 _BLOCK, _BLOCK_SIZE = "<IIBI", 13
 
@@ -121,6 +124,61 @@ def read_block(data: bytes, block: int) -> np.ndarray:
     return unpack_block(memoryview(data)[at + int(a) : at + int(b)])
 
 
+class Words(dict):
+    """uint32 ids of words with their leading space, found on first use.
+
+    The pre-tokenizer keeps a run of letters with the space before it as one piece
+    and a run of plain punctuation after it as another, so those go straight to the
+    library's BPE model; any other word goes through the whole tokenizer.
+    """
+
+    def __init__(self, whole, model, most: int):
+        super().__init__()
+        self.whole, self.model, self.most, self.parts = whole, model.tokenize, most, {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        #: byte-level alphabet: printable bytes stand for themselves, others follow 255
+        self.letters = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.space = self.letters[32]
+        self.line_end = whole("\n")
+
+    def _ids(self, piece: str) -> bytes:
+        raw = piece if piece.isascii() else piece.encode().decode("latin1").translate(self.letters)
+        return array("I", [t.id for t in self.model(raw.replace(" ", self.space))]).tobytes()
+
+    def _word(self, space: str, word: str) -> bytes:
+        stem = word.rstrip(_PUNCTUATION)
+        if not stem.isalpha():
+            return self.whole(space + word)
+        if len(stem) == len(word):
+            return self._ids(space + word)
+        known = self if space else self.parts
+        ids, tail = known.get(stem), word[len(stem) :]
+        if ids is None:
+            ids = known[stem] = self._ids(space + stem)
+        if tail not in self.parts:
+            self.parts[tail] = self._ids(tail)
+        return ids + self.parts[tail]
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+            self.parts.clear()
+        lines = word.split("\n")
+        if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+            # a line end between two non-spaces is a piece of its own
+            rest = [self.line_end]
+            for x in lines[1:]:
+                ids = self.parts.get(x)
+                if ids is None:
+                    ids = self.parts[x] = self._word("", x)
+                rest += [ids, self.line_end]
+            self[word] = ids = self[lines[0]] + b"".join(rest[:-1])
+            return ids
+        ids = self[word] = self._word(" ", word)
+        return ids
+
+
 class Encoder:
     """Byte-level BPE through the tokenizers library, each word encoded once.
 
@@ -129,7 +187,7 @@ class Encoder:
     added token's string in them are encoded whole.
     """
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 1_200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -137,66 +195,28 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.most, self.cache = words, {}
-        self.tab = self._whole("\t")
+        self.words = Words(self._whole, self.tok.model, words)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > self.most:
-            self.cache.clear()
-        plain, tab = [], np.frombuffer(self.tab, "<u4")
-        for w in words:
-            if w and not (w[0].isspace() or w[-1].isspace() or "\t" in w):
-                plain.append(w)
-            else:
-                self.cache[w] = self._whole(" " + w)
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tok.encode_batch_fast([" " + "\t ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(ids == tab[0]) if len(tab) == 1 else []
-            if len(cut) != len(part) - 1:
-                self.cache.update((w, self._whole(" " + w)) for w in part)
-                continue
-            raw, ends = ids.tobytes(), [*(cut * 4).tolist(), 4 * len(ids)]
-            begin = 0
-            for w, end in zip(part, ends, strict=True):
-                self.cache[w] = raw[begin:end]
-                begin = end + 4
-
-    def encode(self, texts_: list[str]) -> list[bytes]:
-        """uint32 little-endian ids of each text."""
-        split: list[list[str] | None] = []
-        need: set[str] = set()
-        for t in texts_:
-            if not t or any(a in t for a in self.added):
-                split.append(None)
-                continue
-            words = re.split(r" (?=\S)", t) if _ODD.search(t) else t.split(" ")
-            split.append(words)
-            need.update(words[1:])
-        known = self.cache
-        if len(missing := need - known.keys()):
-            if len(known) + len(missing) > self.most:
-                known.clear()
-                missing = need
-            self._learn(missing)
-        out = []
-        for t, words in zip(texts_, split, strict=True):
-            if words is None:
-                out.append(self._whole(t) if t else b"")
-            else:
-                out.append((self._whole(words[0]) if words[0] else b"") + b"".join(map(known.__getitem__, words[1:])))
-        return out
+    def encode(self, text: str) -> bytes:
+        """uint32 little-endian ids of a text."""
+        if any(a in text for a in self.added):
+            return self._whole(text)
+        words = re.split(r" (?=\S)", text) if _ODD.search(text) else text.split(" ")
+        first = self._whole(words[0]) if words[0] else b""
+        return first + b"".join(map(self.words.__getitem__, words[1:]))
 
 
 _ODD = re.compile(r" \s")
+_PUNCTUATION = ".,!?;:%*#$&()-/"
 
 
 def ordered(docs: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
-    """Texts range-partitioned and sorted by ``order``; partition i is before i + 1."""
-    return docs.repartitionByRange(partitions or n_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    """Texts range-partitioned by the first of ``order`` and sorted by all of it;
+    partition i is before i + 1."""
+    return docs.repartitionByRange(partitions or max(1, n_parts(docs.sparkSession) // SHARE), order[0]).sortWithinPartitions(*order)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order: list[Column] | None = None) -> None:
@@ -220,7 +240,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, or
             return pa.RecordBatch.from_pydict(row, schema=_SCHEMA)
 
         for part, ts in blocks(batches):
-            for d, r in zip(part.column(0).to_pylist(), enc.encode(ts), strict=True):
+            for d, r in zip(part.column(0).to_pylist(), map(enc.encode, ts), strict=True):
                 n = len(r) // 4 + 1
                 if ids_ and held + n > SEGMENT_IDS:
                     yield flush()
