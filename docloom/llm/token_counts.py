@@ -60,10 +60,10 @@ class PieceCounter:
         self.known, self.most = {"": 1}, most  # the empty rest is a last lone space: one mark
 
     def counts(self, words: list[str]) -> list[int]:
-        new = list({*words} - self.known.keys())
+        new = list({*words}.difference(self.known))
         if len(self.known) + len(new) > self.most:
             self.known = {"": 1}
-            new = list({*words} - self.known.keys())
+            new = list({*words}.difference(self.known))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             self.known.update(zip(part, map(len, self.model.encode(part, num_threads=1)), strict=True))
@@ -115,7 +115,7 @@ def _make_blocks(buckets: int, vocabulary_bytes: int):
             vocab, ids, null, sizes, pairs = state
             for d, t, n in zip(part.column(0).to_pylist(), ts, size, strict=True):
                 words = pre_tokens(t)
-                for w in {*words} - vocab.keys():
+                for w in {*words}.difference(vocab):
                     vocab[w] = len(vocab)
                 pairs.append(np.unique(np.fromiter(map(vocab.__getitem__, words), np.int64, len(words)), return_counts=True))
                 ids.append(d or 0), null.append(d is None), sizes.append(n)
