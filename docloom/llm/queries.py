@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, html_extract, mixing, pii, pq_dedup, rlz_dedup, token_counts, tokenbin, toxicity
+from docloom.llm import decontam, html_extract, minhash, mixing, pii, pq_dedup, rlz_dedup, token_counts, tokenbin, toxicity
 
 #: Where the public tokenizer files lie; None: what ``public_tokenizers`` says.
 TOKENIZERS: str | None = None
@@ -85,6 +85,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "block", "place", "slot", "release", "deadline")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_source_mix": op8_source_mix,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_html_text": op10_html_text,
 }
 
