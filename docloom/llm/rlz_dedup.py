@@ -40,9 +40,13 @@ ANCHOR = 6
 REFERENCE_BYTES = 12 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xD6E8FEB86659FD93
-_FIELDS = [("anchor", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int32()), ("many", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32()), ("windows", pa.binary())]
-_DDL = "anchor long, doc_id long, digest long, start int, many int, ref_doc long, ref_start int, windows binary"
-_MATCH_DDL = "doc_id long, digest long, start int, many int, ref_doc long, ref_start int"
+_ROW = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+_MATCH_DDL = "doc_id long, digest int, start int, many int, ref_doc long, ref_start int"
+_MATCH = pa.schema([("doc_id", pa.int64()), ("digest", pa.int32()), ("start", pa.int32()), ("many", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
+#: Arrays of an index row: entries (one per anchor and place), their windows, and
+#: matches found inside the block.
+_ENTRY = ("<u8", "<i8", "u1", "<i4", "<i4", "<i4")
+_KNOWN = ("<i8", "u1", "<i4", "<i4", "<i4", "<i8", "u1", "<i4")
 
 
 def words(text: str) -> list[bytes]:
@@ -88,11 +92,11 @@ def windows_of(h: np.ndarray, ends: np.ndarray, window: int, anchor: int) -> tup
     return start, full[start], least[start], start + offset[start]
 
 
-def _rows(ids, null, digests, hashes, window: int, anchor: int) -> pa.RecordBatch:
-    """Index rows of one reference block.
+def _rows(ids, null, digests, hashes, window: int, anchor: int, buckets: int) -> pa.RecordBatch:
+    """Index rows of one reference block, one per bucket of anchors.
 
-    A row holds the windows of one anchor (``windows``: 32 bits each); rows without
-    ``windows`` are runs of ``many`` windows that repeat earlier ones of the block.
+    An entry is a run of windows with one anchor, 32 bits a window; runs that only
+    repeat earlier windows of the block go along as finished matches.
     """
     order = sorted(range(len(ids)), key=lambda i: (not null[i], ids[i], digests[i]))
     ids, digests, null = (np.array([x[i] for i in order]) for x in (ids, digests, null))
@@ -106,55 +110,61 @@ def _rows(ids, null, digests, hashes, window: int, anchor: int) -> pa.RecordBatc
     ref = at[back]
     own = ref == np.arange(len(start))
     if not len(start):
-        return pa.RecordBatch.from_pydict({n: [] for n, _ in _FIELDS}, schema=pa.schema(_FIELDS))
+        return pa.RecordBatch.from_pydict({"bucket": [], "data": []}, schema=_ROW)
     # runs of consecutive windows that share an anchor's place
     cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1])]))
     many = np.diff(np.concatenate([cut, [len(start)]]))
     sent = np.add.reduceat(own, cut) > 0
-    a, n = cut[sent], many[sent]
-    raw = (full >> np.uint64(32)).astype("<u4")
     keep = np.repeat(sent, many)
-    buffer = raw[keep].tobytes()
-    offsets = np.concatenate([[0], np.cumsum(n * 4)]).astype(np.int32)
-    packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(buffer)])
+    a, n = cut[sent], many[sent]
+    value = (full[keep] >> np.uint64(32)).astype("<u4")
+    end = np.cumsum(n)
+    bucket = (least[a] % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    present, at = np.unique(bucket[order], return_index=True)
+    out: list[tuple[int, bytes]] = []
+    for k, own_rows in zip(present.tolist(), np.split(order, at[1:]), strict=True):
+        i, d = a[own_rows], doc[a[own_rows]]
+        m = n[own_rows]
+        windows = value[np.repeat(end[own_rows] - np.cumsum(m), m) + np.arange(m.sum())]
+        out.append((k, _packed([least[i], np.diff(ids[d], prepend=0), null[d], digests[d], start[i] - first_of[d], m], _ENTRY, windows)))
     # windows in runs that are not sent: matches inside the block
     rest = np.flatnonzero(~keep)
     if len(rest):
-        shift = start[ref[rest]] - start[rest]
-        new = np.concatenate([[True], (np.diff(rest) != 1) | (np.diff(shift) != 0) | (doc[rest][1:] != doc[rest][:-1]) | (np.diff(start[rest]) != 1) | (doc[ref[rest]][1:] != doc[ref[rest]][:-1])])
+        q = ref[rest]
+        shift = start[q] - start[rest]
+        new = np.concatenate([[True], (np.diff(rest) != 1) | (np.diff(shift) != 0) | (np.diff(start[rest]) != 1) | (np.diff(doc[rest]) != 0) | (np.diff(doc[q]) != 0)])
         b = rest[new]
         m = np.diff(np.concatenate([np.flatnonzero(new), [len(rest)]]))
-    else:
-        b, m = np.empty(0, np.int64), np.empty(0, np.int64)
-    both = np.concatenate([a, b])
-    d = doc[both]
-    r = ref[b]
-    blank = np.zeros(len(a), np.int64)
-    ref_doc = np.concatenate([blank, ids[doc[r]]])
-    no_ref = np.concatenate([np.ones(len(a), bool), null[doc[r]]])
-    nothing = pa.nulls(len(b), pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(least[both].view(np.int64)),
-            pa.array(ids[d], pa.int64(), mask=null[d]),
-            pa.array(digests[d], pa.int64()),
-            pa.array((start[both] - first_of[d]).astype(np.int32)),
-            pa.array(np.concatenate([n, m]).astype(np.int32)),
-            pa.array(ref_doc, pa.int64(), mask=no_ref),
-            pa.array(np.concatenate([blank, start[r] - first_of[doc[r]]]).astype(np.int32)),
-            pa.concat_arrays([packed, nothing]),
-        ],
-        schema=pa.schema(_FIELDS),
-    )
-
-
-def _index(window: int, anchor: int, reference_bytes: int):
+        r = ref[b]
+        d, e = doc[b], doc[r]
+        out.append((int(digests[0]) % buckets, b"known" + _packed([ids[d], null[d], digests[d], start[b] - first_of[d], m, ids[e], null[e], start[r] - first_of[e]], _KNOWN)))
+    return pa.RecordBatch.from_pydict({"bucket": [k for k, _ in out], "data": [x for _, x in out]}, schema=_ROW)
+
+
+def _packed(columns: list[np.ndarray], kinds: tuple[str, ...], tail: np.ndarray | None = None) -> bytes:
+    """Columns of equal length, compressed, then an array that is not."""
+    raw = b"".join(c.astype(k).tobytes() for c, k in zip(columns, kinds, strict=True))
+    z = pa.compress(raw, codec="zstd", asbytes=True)
+    return np.array([len(columns[0]), len(raw), len(z)], "<u8").tobytes() + z + (b"" if tail is None else tail.tobytes())
+
+
+def _unpacked(data: bytes, kinds: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    n, size, z = np.frombuffer(data, "<u8", 3).tolist()
+    raw, at, out = pa.decompress(data[24 : 24 + z], size, codec="zstd", asbytes=True), 0, []
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out, np.frombuffer(data, "<u4", offset=24 + z)
+
+
+def _index(window: int, anchor: int, reference_bytes: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, state = 0, ([], [], [], [])
         for part, ts in blocks(batches):
             size = sum(map(len, ts))
             if held and held + size > reference_bytes:
-                yield _rows(*state, window, anchor)
+                yield _rows(*state, window, anchor, buckets)
                 held, state = 0, ([], [], [], [])
             w = [words(t) for t in ts]
             flat = np.empty(sum(map(len, w)), object)
@@ -165,72 +175,65 @@ def _index(window: int, anchor: int, reference_bytes: int):
                 ids.append(d or 0), null.append(d is None), digests.append(g), hashes.append(x)
             held += size
         if state[0]:
-            yield _rows(*state, window, anchor)
+            yield _rows(*state, window, anchor, buckets)
 
     return run
 
 
-def _match(rows: pa.Table) -> pa.Table:
-    """Matches among index rows sorted by anchor, then place."""
-    known = rows.filter(pa.compute.is_null(rows.column("windows")))
-    rows = rows.filter(pa.compute.is_valid(rows.column("windows"))).combine_chunks()
-    found = known.drop_columns(["anchor", "windows"])
-    if not rows.num_rows:
-        return found
-    many = rows.column("many").to_numpy()
-    value = np.frombuffer(b"".join(x.as_py() for x in rows.column("windows")), "<u4").astype(np.uint64)
-    row = np.repeat(np.arange(len(many)), many)
-    step = np.arange(len(value)) - np.repeat(np.cumsum(many) - many, many)
-    key = _mixed(rows.column("anchor").to_numpy().view(np.uint64))[row] ^ (value * np.uint64(_BASE))
-    _, at, back = np.unique(key, return_index=True, return_inverse=True)
-    ref = at[back]
-    hit = np.flatnonzero(ref != np.arange(len(value)))
-    if not len(hit):
-        return found
-    start = rows.column("start").to_numpy()[row] + step
-    r, q = row[hit], row[ref[hit]]
-    shift = start[ref[hit]] - start[hit]
-    new = np.concatenate([[True], (r[1:] != r[:-1]) | (np.diff(hit) != 1) | (q[1:] != q[:-1]) | (np.diff(shift) != 0)])
-    a = hit[new]
-    out = pa.table(
-        {
-            "doc_id": rows.column("doc_id").take(pa.array(row[a])),
-            "digest": rows.column("digest").take(pa.array(row[a])),
-            "start": pa.array(start[a].astype(np.int32)),
-            "many": pa.array(np.diff(np.concatenate([np.flatnonzero(new), [len(hit)]])).astype(np.int32)),
-            "ref_doc": rows.column("doc_id").take(pa.array(row[ref[a]])),
-            "ref_start": pa.array(start[ref[a]].astype(np.int32)),
-        }
-    )
-    return pa.concat_tables([found, out])
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches, anchor by anchor; the last anchor of a batch waits for the next."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
+def _match(table: pa.Table) -> pa.Table:
+    """Matches among the index rows of one bucket, and those the blocks had found."""
+    entries: list[list[np.ndarray]] = []
+    tails: list[np.ndarray] = []
+    done: list[list[np.ndarray]] = []
+    for x in table.column("data"):
+        data = x.as_py()
+        if data[:5] == b"known":
+            done.append(_unpacked(data[5:], _KNOWN)[0])
             continue
-        anchor = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(anchor, anchor[-1]))
-        if cut:
-            yield from _match(pa.Table.from_batches([*held, batch.slice(0, cut)])).to_batches()
-            held = [batch.slice(cut)]
-        elif held and held[-1].column(0)[0].as_py() != anchor[0]:
-            yield from _match(pa.Table.from_batches(held)).to_batches()
-            held = [batch]
-        else:
-            held.append(batch)
-    if held:
-        yield from _match(pa.Table.from_batches(held)).to_batches()
+        cols, tail = _unpacked(data, _ENTRY)
+        cols[1] = np.cumsum(cols[1])
+        entries.append(cols)
+        tails.append(tail)
+    found = []
+    if done:
+        ids, null, digest, start, many, ref, no_ref, ref_start = (np.concatenate(c) for c in zip(*done, strict=True))
+        found.append(pa.table([pa.array(ids, mask=null.astype(bool)), digest, start, many, pa.array(ref, mask=no_ref.astype(bool)), ref_start], schema=_MATCH))
+    if entries:
+        anchor, ids, null, digest, start, many = (np.concatenate(c) for c in zip(*entries, strict=True))
+        tail = np.concatenate(tails)
+        begin = np.cumsum(many) - many
+        # earlier places first: the first of equal windows is then the earliest
+        order = np.lexsort((start, digest, ids, null == 0))
+        anchor, ids, null, digest, start, many, begin = (x[order] for x in (anchor, ids, null, digest, start, many, begin))
+        row = np.repeat(np.arange(len(many)), many)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        key = _mixed(anchor)[row] ^ (tail[begin[row] + step].astype(np.uint64) * np.uint64(_BASE))
+        _, at, back = np.unique(key, return_index=True, return_inverse=True)
+        ref = at[back]
+        hit = np.flatnonzero(ref != np.arange(len(key)))
+        if len(hit):
+            place = start[row] + step
+            r, q = row[hit], row[ref[hit]]
+            shift = place[ref[hit]] - place[hit]
+            new = np.concatenate([[True], (np.diff(r) != 0) | (np.diff(hit) != 1) | (np.diff(q) != 0) | (np.diff(shift) != 0)])
+            a = hit[new]
+            d, e = row[a], row[ref[a]]
+            n = np.diff(np.concatenate([np.flatnonzero(new), [len(hit)]]))
+            found.append(pa.table([pa.array(ids[d], mask=null[d].astype(bool)), digest[d], place[a].astype(np.int32), n.astype(np.int32), pa.array(ids[e], mask=null[e].astype(bool)), place[ref[a]].astype(np.int32)], schema=_MATCH))
+    return pa.concat_tables(found) if found else _MATCH.empty_table()
 
 
 def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, reference_bytes: int = REFERENCE_BYTES) -> DataFrame:
     """(doc_id, digest, start, many, ref_doc, ref_start): ``many`` consecutive windows
     of a document from word ``start`` on, that occur from ``ref_start`` of ``ref_doc``."""
-    index = texts(docs).withColumn("digest", F.xxhash64("text")).mapInArrow(_index(window, anchor, reference_bytes), _DDL)
-    order = ["anchor", F.col("doc_id").asc_nulls_first(), "digest", "start"]
-    return index.repartition(n_parts(docs.sparkSession), "anchor").sortWithinPartitions(*order).mapInArrow(_merge, _MATCH_DDL)
+    parts = n_parts(docs.sparkSession)
+    index = _digested(docs).mapInArrow(_index(window, anchor, reference_bytes, parts), "bucket int, data binary")
+    return index.groupBy("bucket").applyInArrow(_match, _MATCH_DDL)
+
+
+def _digested(docs: DataFrame) -> DataFrame:
+    """Texts with 32 bits of digest, to tell rows of one id apart."""
+    return texts(docs).withColumn("digest", F.hash("text"))
 
 
 def factors(found: list[dict], window: int = WINDOW) -> list[tuple[int, int, int | None, int]]:
@@ -254,7 +257,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, reference
     found = matches(docs, window, anchor, reference_bytes).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "many", "ref_doc", "ref_start")).alias("found"))
     found = found.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "found")
     one = Window.partitionBy("doc_id", "digest")
-    rows = texts(docs).withColumn("digest", F.xxhash64("text"))
+    rows = _digested(docs)
     rows = rows.withColumn("copy", F.row_number().over(one.orderBy("digest"))).withColumn("copies", F.count("*").over(one))
     rows = rows.join(found, rows["doc_id"].eqNullSafe(found["_d"]) & (rows["digest"] == found["_g"]), "left")
 
