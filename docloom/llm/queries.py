@@ -108,4 +108,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS2 = "list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+ORACLES: dict[str, str] = {
+    "op2_decontamination": f"""
+with b as (select item_id, {_WORDS2.format("text")} as w from benchmark where item_id is not null),
+d as (select doc_id, {_WORDS2.format("text")} as w from documents),
+p as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as g
+      from b, lateral (select unnest(generate_series(1, greatest(1, len(w) - 9))) as i) where len(w) > 0),
+g as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as g from d, (select distinct n from p) l,
+      lateral (select unnest(generate_series(1, greatest(0, len(w) - n + 1))) as i)),
+h as (select doc_id, item_id, i, p.n from g join p on p.n = g.n and p.g = g.g),
+c as (select doc_id, count(distinct j) as n_hit from h, lateral (select unnest(generate_series(i, i + n - 1)) as j) group by doc_id),
+s as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') as ids from h group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (doc_id) left join s using (doc_id)""",
+    "op5_embedding_dedup": """
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+l as (select a.vec_id as a, b.vec_id as b from v a, v b where a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+r as (select vec_id as n, vec_id as m from v union select r.n, l.b from r join l on l.a = r.m),
+c as (select n, min(m) as component_id from r group by n), k as (select a, count(*) as n_links from l group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from v join c on c.n = vec_id left join k on k.a = vec_id""",
+    "op7_substring_dedup": """
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, i, array_to_string(w[i : i + 19], ' ') as g from d, lateral (select unnest(generate_series(1, len(w) - 19)) as i)),
+f as (select doc_id, i, row_number() over (partition by g order by doc_id, i) as n from g),
+c as (select distinct doc_id, i + k as j from f, range(20) r(k) where n > 1),
+u as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as j from d),
+k as (select doc_id, count(c.j) as n_removed, string_agg(case when c.j is null then x end, ' ' order by j) as kept from u left join c using (doc_id, j) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)""",
+    "op8_source_mix": f"""
+with recursive sz as (select source, count(*) as n from documents group by source), un as (select source, cast(floor(sqrt(n) * 1000) as bigint) as unit from sz),
+tn as (select source, greatest(1, unit * {mixing.SLOTS} // (select cast(sum(unit) as bigint) from un)) as turns from un),
+o as (select list(source order by source) as names, list(cast(turns as bigint) order by source) as a, cast(sum(turns) as bigint) as h from tn),
+t(slot, had, pick) as (select cast(-1 as bigint), list_transform(a, lambda x: cast(0 as bigint)), cast(0 as bigint) from o
+  union all select s.slot + 1, list_transform(s.had, lambda c, i: c + cast(i = s.p as bigint)), s.p from (
+    select t.slot, t.had, list_min(list_filter(list_transform(a, lambda x, i: case when t.had[i] < x and t.had[i] * h // x <= t.slot + 1 then ((t.had[i] + 1) * h + x - 1) // x * 100000 + i end), lambda y: y is not null)) % 100000 as p
+    from t, o where t.slot + 1 < h) s),
+cy as (select o.names[pick] as source, o.a[pick] as turns, h, slot, row_number() over (partition by pick order by slot) - 1 as turn from t, o where slot >= 0),
+rk as (select doc_id, source, row_number() over (partition by source order by doc_id, md5(coalesce(text, ''))) - 1 as r from documents),
+bl as (select doc_id, source, r // {mixing.BLOCK_ROWS} as block, r % {mixing.BLOCK_ROWS} as place from rk)
+select doc_id, bl.source, block, place, block // turns * h + slot as slot, block * h // turns as release, ((block + 1) * h + turns - 1) // turns as deadline
+from bl join (select distinct source as s2, turns as t2 from cy) x on x.s2 = bl.source join cy on cy.source = bl.source and cy.turn = block % t2""",
+}
