@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.sources.scratch import kept
+
 
 def grant_rows(grants: DataFrame) -> DataFrame:
     """(document_id, principal_type, principal_id, role) of nested grants.
@@ -21,26 +20,18 @@ def grant_rows(grants: DataFrame) -> DataFrame:
     return g.select("document_id", "role", F.explode(each).alias("p")).where("p.principal_id is not null").select("document_id", "p.principal_type", "p.principal_id", "role")
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")
-    path = f"{base.rstrip('/')}/docloom-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def expand_groups(edges: DataFrame) -> DataFrame:
     """(ancestor, member): transitive closure of (parent, child), cycles allowed.
 
     Each round joins the newest pairs with the edges and keeps what is new, in a
     written table; it ends when nothing is new."""
     e = edges.select("parent", "child").distinct()
-    every = _kept(e.select(F.col("parent").alias("ancestor"), F.col("child").alias("member")), "groups")
+    every = kept(e.select(F.col("parent").alias("ancestor"), F.col("child").alias("member")), "groups")
     new = every
     while not new.isEmpty():
         step = new.join(e, new["member"] == e["parent"]).select("ancestor", F.col("child").alias("member")).distinct()
-        new = _kept(step.join(every, ["ancestor", "member"], "left_anti"), "groups")
-        every = _kept(every.unionByName(new), "groups")
+        new = kept(step.join(every, ["ancestor", "member"], "left_anti"), "groups")
+        every = kept(every.unionByName(new), "groups")
     return every
 
 

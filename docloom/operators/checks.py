@@ -25,4 +25,4 @@ def bad_vectors(rows: DataFrame, column: str, dim: int) -> DataFrame:
 
 def nulls(rows: DataFrame, columns: list[str]) -> DataFrame:
     """How many nulls each required column holds."""
-    return rows.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in columns])
+    return rows.agg(*[F.coalesce(F.sum(F.col(c).isNull().cast("long")), F.lit(0)).alias(c) for c in columns])
