@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 BATCH = 16
 
@@ -20,10 +21,30 @@ def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], text
             out = [v for i in range(0, len(ts), BATCH) for v in model(ts[i : i + BATCH])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float32()))], names=[*batch.schema.names, "embedding"])
 
-    from pyspark.sql.types import ArrayType, FloatType
-
     keep = rows.drop("embedding")
-    return keep.mapInArrow(run, keep.schema.add("embedding", ArrayType(FloatType())))
+    return keep.mapInArrow(run, StructType([*keep.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
+
+
+def fill_gaps(rows: DataFrame, model: Callable[[list[str]], list[dict[str, str]]], columns: list[str], text: str = "text") -> DataFrame:
+    """``rows`` with null ``columns`` filled by what ``model`` derives from the text.
+
+    Only rows with a gap are sent, ``BATCH`` at a time; given values always win."""
+    gap = F.lit(False)
+    for c in columns:
+        gap |= F.col(c).isNull()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            said = [d for i in range(0, len(ts), BATCH) for d in model(ts[i : i + BATCH])]
+            out = []
+            for name, col in zip(batch.schema.names, batch.columns, strict=True):
+                if name in columns:
+                    col = pa.array([v if v is not None else d.get(name) for v, d in zip(col.to_pylist(), said, strict=True)], pa.string())
+                out.append(col)
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
+
+    return rows.where(~gap).unionByName(rows.where(gap).mapInArrow(run, rows.schema))
 
 
 def hashed_vector(text: Column, dim: int = 64) -> Column:

@@ -138,6 +138,17 @@ def fenced_json(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "^\\s*```[a-z]*\\s*", ""), "\\s*```\\s*$", ""))
 
 
+def doc_spec(text: Column, schema: str) -> Column:
+    """The JSON between ``<doc_spec>`` marks, parsed; null if absent or malformed."""
+    body = F.regexp_extract(text, "(?s)<doc_spec>(.*?)</doc_spec>", 1)
+    return F.when(body != "", F.from_json(fenced_json(body), schema, {"mode": "PERMISSIVE"}))
+
+
+def filter_department(analysis: Column, question: Column, user: Column) -> Column:
+    """Department of a filter: analysis, then the question's words, then the user's."""
+    return F.coalesce(analysis, department(question), user)
+
+
 def last_folder(path: Column) -> Column:
     """Last folder of the part of a path after the colon."""
     tail = F.when(path.contains(":"), F.substring_index(path, ":", -1)).otherwise(path)

@@ -192,6 +192,45 @@ def sheet_chunks(sheets: DataFrame, most: int = MOST) -> DataFrame:
     return sheets.select("document_id", "name", F.posexplode(groups).alias("part", "r"), head.alias("h")).select("document_id", "name", F.col("part").cast("long").alias("part"), F.concat_ws("\n", F.col("h"), F.concat_ws("\n", "r")).alias("content"))
 
 
+def sheet_parts(sheets: DataFrame, most: int = MOST, slack: int = 20) -> DataFrame:
+    """Row groups with ``(part n)`` after the sheet's name and a rule under the header.
+
+    Groups may go over ``most`` by ``slack`` words; a first row that repeats the headers is
+    no data."""
+    same = F.try_element_at("rows", F.lit(1)) == F.col("headers")
+    data = F.when(F.coalesce(same, F.lit(False)), F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).otherwise(F.col("rows"))
+    parts = sheet_chunks(sheets.withColumn("rows", data), most + slack)
+    rule = F.regexp_replace(F.regexp_replace(F.substring_index("content", "\n", 1), "[^|]+", " --- "), "^ --- | --- $", "")
+    many = F.count("*").over(Window.partitionBy("document_id", "name")) > 1
+    name = F.when(many, F.concat("name", F.lit(" (part "), (F.col("part") + 1).cast("string"), F.lit(")"))).otherwise(F.col("name"))
+    body = F.concat(F.substring_index("content", "\n", 1), F.lit("\n"), rule, F.lit("\n"), F.expr("substring(content, instr(content, '\n') + 1)"))
+    return parts.select("document_id", name.alias("heading"), "part", body.alias("content"))
+
+
+def merge_small_sections(sections: DataFrame, target: int = TARGET, most: int = MOST) -> DataFrame:
+    """Sections as chunks; a leaf under half the target joins the next one of its level.
+
+    ``sections``: (document_id, sections array<struct<heading, level, content>>), flat and
+    in document order.  A section is a leaf if the next one is not deeper.  The joined text
+    keeps within ``most`` words and goes by the first heading.
+    """
+    one = "struct<heading:string,level:int,content:string>"
+    kind = f"struct<out:array<{one}>,held:{one}>"
+    start = F.struct(F.array().cast(f"array<{one}>").alias("out"), F.lit(None).cast(one).alias("held")).cast(kind)
+
+    def step(a: Column, s: Column) -> Column:
+        held = a["held"]
+        text = F.concat(held["content"], F.lit("\n\n"), F.coalesce(s["heading"], F.lit("")), F.lit("\n"), s["content"])
+        small = held.isNotNull() & (word_count(held["content"]) < target // 2) & (held["level"] == s["level"]) & (word_count(text) <= most)
+        joined = F.struct(a["out"].alias("out"), F.struct(held["heading"].alias("heading"), held["level"].alias("level"), text.alias("content")).alias("held"))
+        done = F.when(held.isNotNull(), F.concat(a["out"], F.array(held))).otherwise(a["out"])
+        return F.when(small, joined.cast(kind)).otherwise(F.struct(done.alias("out"), s.cast(one).alias("held")).cast(kind))
+
+    finish = lambda a: F.when(a["held"].isNotNull(), F.concat(a["out"], F.array(a["held"]))).otherwise(a["out"])
+    out = sections.select("document_id", F.posexplode(F.aggregate("sections", start, step, finish)).alias("sequence_number", "s"))
+    return out.where("s.content <> ''").select("document_id", F.col("sequence_number").cast("long"), F.col("s.heading").alias("heading"), F.col("s.content").alias("content"))
+
+
 def sheet_profile(sheets: DataFrame, show: int = 20) -> DataFrame:
     """Non-empty rows, column names and the first rows of each sheet."""
     full = F.filter("rows", lambda r: F.exists(r, lambda c: c.isNotNull() & (c != "")))

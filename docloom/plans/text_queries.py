@@ -330,3 +330,31 @@ def topic_segments(t):
 @query("window_summaries", f"select doc_id, split_part(text, '.', 1) as lead from {{documents}}")
 def window_summaries(t):
     return t("documents").select("doc_id", metrics.lead_sentence(F.col("text")).alias("lead"))
+
+
+@query("sheet_parts")
+def sheet_parts(t):
+    """Row groups of sheets in the numbered form."""
+    return chunking.sheet_parts(_sheets(t), 20)
+
+
+@query("merged_sections")
+def merged_sections(t):
+    """Lines of every document as sections; small ones join the next of their level."""
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.concat(F.lit("h"), i.cast("string")).alias("heading"), (1 + i % 3).cast("int").alias("level"), x.alias("content")))
+    return chunking.merge_small_sections(t("documents").select(F.col("doc_id").alias("document_id"), line.alias("sections"))).select("document_id", "sequence_number", "heading", F.md5("content").alias("digest"))
+
+
+@query("doc_specs", "select event_id, case when event_id % 3 = 0 then try_cast(json_extract_string(props, '$.k') as bigint) end as k from {events}")
+def doc_specs(t):
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Here: <doc_spec>"), "props", F.lit("</doc_spec> done"))).otherwise(F.col("props"))
+    return t("events").select("event_id", text.doc_spec(said, "k bigint")["k"].alias("k"))
+
+
+@query(
+    "filter_departments",
+    f"with {TITLES} select doc_id, coalesce(case when doc_id % 5 = 0 then 'general' end, {DEPT.format('q')}, case when doc_id % 2 = 0 then 'sales' end) as department from titles",
+)
+def filter_departments(t):
+    own = F.when(F.col("doc_id") % 5 == 0, "general")
+    return _titles(t).select("doc_id", text.filter_department(own, F.col("q"), F.when(F.col("doc_id") % 2 == 0, "sales")).alias("department"))
