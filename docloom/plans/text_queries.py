@@ -186,9 +186,13 @@ def default_vectors(t):
 
 PARTS = "parts as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as p, text from {documents})"
 COUNT = "len(list_filter(regexp_split_to_array({0}, '[ \\t\\n\\r]+'), lambda y: y <> ''))"
-PACK = f"""packed as (select doc_id, list_reduce(p, lambda a, x: case when len(a.held) > 0 and a.n + {COUNT.format('x[1]')} > 600
-      then {{{{'out': list_append(a.out, array_to_string(a.held, chr(10) || chr(10))), 'held': x, 'n': {COUNT.format('x[1]')}}}}}
-      else {{{{'out': a.out, 'held': list_concat(a.held, x), 'n': a.n + {COUNT.format('x[1]')}}}}} end, {{{{'out': cast([] as varchar[]), 'held': cast([] as varchar[]), 'n': cast(0 as bigint)}}}}) as s from parts)"""
+KEPT = f"a.held[list_min(list_filter(generate_series(1, len(a.held) + 1), lambda j: coalesce(list_sum(list_transform(a.held[j:], lambda z: {COUNT.format('z')})), 0) <= 60)):]"
+PACKED = f"""packed as (select doc_id, list_reduce(p, lambda a, x: case when len(a.held) > 0 and a.n + {COUNT.format('x')} > 600
+    then struct_pack(out := list_append(a.out, array_to_string(a.held, chr(10) || chr(10))), held := list_append({KEPT}, x), n := cast(coalesce(list_sum(list_transform({KEPT}, lambda u: {COUNT.format('u')})), 0) + {COUNT.format('x')} as bigint))
+    else struct_pack(out := a.out, held := list_append(a.held, x), n := cast(a.n + {COUNT.format('x')} as bigint)) end,
+    struct_pack(out := cast([] as varchar[]), held := cast([] as varchar[]), n := cast(0 as bigint))) as s from parts),
+  chunked as (select doc_id, case when len(s.held) > 0 then list_append(s.out, array_to_string(s.held, chr(10) || chr(10))) else s.out end as c from packed),
+  flat as (select doc_id, unnest(c) as content, generate_subscripts(c, 1) - 1 as k from chunked)"""
 
 
 def _documents(t, summary: bool = False):
@@ -201,7 +205,11 @@ def paragraphs(t):
     return t("documents").select("doc_id", chunking.paragraphs(F.col("text")).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.concat_ws("#", "p")).alias("digest"))
 
 
-@query("chunked_documents")
+@query(
+    "chunked_documents",
+    f"""with {PARTS}, {PACKED} select doc_id as document_id, k as sequence_number, 'text' as chunk_type, {COUNT.format('content')} as token_count, md5(content) as digest from flat
+      union all select doc_id, -1, 'summary', 3, md5('Summary of ' || doc_id) from {{documents}} where doc_id % 4 = 0""",
+)
 def chunked_documents(t):
     """Packed chunks of every document, a summary chunk first where there is one."""
     out = chunking.chunk_documents(_documents(t, True))
@@ -341,7 +349,7 @@ def sheet_parts(t):
 @query("merged_sections")
 def merged_sections(t):
     """Lines of every document as sections; small ones join the next of their level."""
-    line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.concat(F.lit("h"), i.cast("string")).alias("heading"), (1 + i % 3).cast("int").alias("level"), x.alias("content")))
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.concat(F.lit("h"), i.cast("string")).alias("heading"), (1 + F.floor(i / 3) % 2).cast("int").alias("level"), x.alias("content")))
     return chunking.merge_small_sections(t("documents").select(F.col("doc_id").alias("document_id"), line.alias("sections"))).select("document_id", "sequence_number", "heading", F.md5("content").alias("digest"))
 
 
