@@ -41,7 +41,7 @@ BLOCK = 4096
 SEGMENT_IDS = 1 << 18
 PERCENTILE = 0.95
 #: Shuffle partitions' worth of text that one encoder and its word cache serve.
-SHARE = 4
+SHARE = 2
 _HEAD, _HEAD_SIZE = "<4sIII", 16
 _BLOCK, _BLOCK_SIZE = "<IIBI", 13
 
@@ -187,7 +187,7 @@ class Encoder:
     added token's string in them are encoded whole.
     """
 
-    def __init__(self, path: str, words: int = 1_200_000):
+    def __init__(self, path: str, words: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
