@@ -254,12 +254,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, reference
 
     ``kept`` is the words that stay, joined by one space.
     """
-    found = matches(docs, window, anchor, reference_bytes).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "many", "ref_doc", "ref_start")).alias("found"))
-    found = found.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "found")
-    one = Window.partitionBy("doc_id", "digest")
-    rows = _digested(docs)
+    # one key for counting copies and for joining, so that texts are shuffled once
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key")
+    found = matches(docs, window, anchor, reference_bytes).select(key, "digest", F.struct("start", "many", "ref_doc", "ref_start").alias("m"))
+    found = found.groupBy("key", "digest").agg(F.collect_list("m").alias("found"))
+    one = Window.partitionBy("key", "digest")
+    rows = _digested(docs).select(key, "*")
     rows = rows.withColumn("copy", F.row_number().over(one.orderBy("digest"))).withColumn("copies", F.count("*").over(one))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["_d"]) & (rows["digest"] == found["_g"]), "left")
+    rows = rows.join(found, ["key", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ts in blocks(batches):
