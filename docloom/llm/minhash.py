@@ -8,12 +8,13 @@ the only thing that is broadcast, of that size at any input.
 
 Documents with the same words are one class from the start, under their smallest id.
 For the rest, ``BANDS * ROWS`` samples per document, each a shingle drawn in proportion
-to weight, consistent between documents; ``ROWS`` of them make a bucket key.  In each bucket every member is compared with
-the smallest one; after that only members that are still in different classes are
-compared with one another, so a bucket of copies costs one comparison each, and no
-pair that could join two classes is left out.  A pair whose samples agree too rarely for
+to weight, consistent between documents; ``ROWS`` of them make a bucket key.  In each
+bucket every member is compared with a few leaders, those that most others resemble;
+after that only members that are still in different classes are compared with one
+another, so a bucket of copies costs a few comparisons each, and no pair that could join
+two classes is left out.  A pair whose samples agree too rarely for
 the threshold is dropped, all others are verified by the weighted Jaccard similarity of
-the whole texts.  Classes are the connected components of verified links.
+the whole texts; in large buckets chunks of members are compared in one matrix product.  Classes are the connected components of verified links.
 
 At similarity 0.8 a pair meets in some bucket with probability 0.995, at 0.85 with 0.9994.
 
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import blocks, texts, written
@@ -46,6 +47,13 @@ DF_BITS = 18
 #: Of all samples, those that must agree before texts are compared; at the threshold
 #: fewer agree once in about a million pairs.
 AGREE = 0.5
+#: The same for the first comparisons, with leaders; fewer agree at the threshold once in
+#: a hundred pairs, and those are looked at later if they are still in different classes.
+SURE = 0.65
+#: Buckets of so many members have up to ``LEADS`` leaders, found among ``LOOK`` members.
+LARGE, LEADS, LOOK = 16, 6, 64
+#: Members of a large bucket that one group compares with as many others.
+CHUNK = 160
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -216,12 +224,106 @@ def verified(pairs: DataFrame, bodies: DataFrame, idf: np.ndarray, threshold: fl
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _agreeing(pairs: DataFrame, sample: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose samples agree often enough to be looked at."""
+def _agreement():
+    return F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
+
+
+def _agreeing(pairs: DataFrame, sample: DataFrame, share: float) -> DataFrame:
+    """Pairs with at least this share of their samples in common."""
     one, two = (sample.select(F.col("node").alias(f"node_{x}"), F.col("sample").alias(f"s_{x}")) for x in "ab")
-    same = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
     rows = pairs.join(two, pairs["b"] == two["node_b"]).join(one, pairs["a"] == one["node_a"])
-    return rows.where(same >= AGREE * threshold / THRESHOLD * BANDS * ROWS).select("a", "b")
+    return rows.where(_agreement() >= share * BANDS * ROWS).select("a", "b")
+
+
+def hubs(member: DataFrame, sample: DataFrame) -> DataFrame:
+    """(band, at, lead): members of large buckets that most others resemble.
+
+    They are picked greedily among the ``LOOK`` members with the smallest hash, until
+    these are covered or there are ``LEADS``.  The choice decides how many comparisons
+    are saved, not which links are found.
+    """
+
+    def pick(key: tuple, table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        s = table.column("sample").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        near = (s[:, None, :] == s[None, :, :]).mean(2) >= SURE
+        left, lead = np.ones(len(node), bool), []
+        while left.any() and len(lead) < LEADS:
+            best = int((near & left).sum(1).argmax())
+            lead.append(best)
+            left &= ~near[best]
+            left[best] = False
+        n = len(lead)
+        return pa.table({"band": pa.array([key[0].as_py()] * n, pa.int32()), "at": pa.array([key[1].as_py()] * n, pa.int64()), "lead": pa.array(node[lead])})
+
+    order = Window.partitionBy("band", "at").orderBy(F.xxhash64("node"), "node")
+    few = member.select("band", "at", "node", F.row_number().over(order).alias("k")).where(F.col("k") <= LOOK)
+    few = few.join(sample.withColumnRenamed("node", "sn"), F.col("node") == F.col("sn")).select("band", "at", "node", "sample")
+    return few.groupBy("band", "at").applyInArrow(pick, "band int, at long, lead long")
+
+
+def between_classes(known: DataFrame, body: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b): links that join different classes inside large buckets.
+
+    ``known``: (band, at, n, node, class).  A bucket is cut into chunks of about ``CHUNK``
+    members and every two chunks are one group; in it the weighted Jaccard similarities of
+    all pairs are one product of document-by-shingle matrices, and of the links found only
+    those are given out that join classes not yet joined in the group.
+    """
+    shared = known.sparkSession.sparkContext.broadcast(idf)
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    rows = known.withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    rows = rows.join(body.withColumnRenamed("node", "bn"), F.col("node") == F.col("bn"))
+    rows = rows.select("band", "at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "class", (F.col("own") > F.col("other")).alias("right"), "text")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        cells = shared.value
+        node, cls, right = (table.column(c).to_numpy() for c in ("node", "class", "right"))
+        feature, weight, owner = [], [], []
+        for d, (h, n) in enumerate(shingles([words(t) for t in table.column("text").to_pylist()])):
+            # the k-th occurrence of a shingle is a feature of its own
+            again = np.repeat(h, n)
+            k = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+            feature.append(_mixed(again + k.astype(np.uint64) * np.uint64(_BASE)))
+            weight.append(cells[_cell(again)].astype(float))
+            owner.append(np.full(len(again), d))
+        total = np.array([w.sum() for w in weight])
+        weight, owner = np.concatenate(weight), np.concatenate(owner)
+        _, first, place, many = np.unique(np.concatenate(feature), return_index=True, return_inverse=True, return_counts=True)
+        often = np.flatnonzero(many > 1)
+        column = np.full(len(many), -1)
+        column[often] = np.arange(len(often))
+        at, cost = column[place], weight[first[often]]
+        del place, column, weight, feature
+        order = np.argsort(at, kind="stable")
+        common = np.zeros((len(node), len(node)))
+        for a in range(0, len(often), 1024):
+            own = order[np.searchsorted(at[order], a) : np.searchsorted(at[order], a + 1024)]
+            block = np.zeros((len(node), min(1024, len(often) - a)))
+            block[owner[own], at[own] - a] = 1.0
+            common += (block * cost[a : a + 1024]) @ block.T
+        every = total[:, None] + total[None, :] - common
+        near = (common >= threshold * every - 1e-9) & (every > 0) & (cls[:, None] != cls[None, :])
+        if key[2].as_py() != key[3].as_py():
+            near &= right[:, None] != right[None, :]
+        up = {c: c for c in cls.tolist()}
+
+        def top(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        a, b = [], []
+        for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+            p, q = top(int(cls[x])), top(int(cls[y]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                a.append(min(node[x], node[y]))
+                b.append(max(node[x], node[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("band", "at", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -233,23 +335,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     made = made.join(own, (made["key"] == own["own_key"]) & (made["doc_id"] == own["node"]), "left_semi").select(F.col("doc_id").alias("node"), "bands", "sample").dropDuplicates(["node"])
     made = written(made, "sketches")
     member = made.select("node", F.posexplode("bands").alias("band", "at"))
-    lead = member.groupBy("band", "at").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("lb"), F.col("at").alias("la"), "first")
-    member = written(member.join(lead, (F.col("band") == F.col("lb")) & (F.col("at") == F.col("la"))).select("band", "at", "node", "first"), "buckets")
+    size = member.groupBy("band", "at").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    member = written(member.join(size, ["band", "at"]), "buckets")
     nodes = member.select(F.col("node").alias("own")).distinct()
     body = texts(docs)
     body = written(body.join(nodes, body["doc_id"] == nodes["own"], "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), "bodies")
     sample = made.select("node", "sample")
 
-    tested = member.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(verified(_agreeing(tested, sample, threshold), body, idf, threshold), "verified")
+    lead = member.where(F.col("n") < LARGE).select("band", "at", F.col("first").alias("lead")).distinct().unionByName(hubs(member.where(F.col("n") >= LARGE), sample))
+    star = member.join(lead, ["band", "at"]).where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    tested = written(_agreeing(star, sample, SURE * threshold / THRESHOLD), "tested")
+    links = written(verified(tested, body, idf, threshold), "verified")
     part = components(links).select(F.col("node").alias("pn"), "component")
-    known = member.join(part, F.col("node") == F.col("pn"), "left").select("band", "at", "node", F.coalesce("component", "node").alias("class"))
-    mixed = known.groupBy("band", "at").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select(F.col("band").alias("mb"), F.col("at").alias("ma"))
-    known = written(known.join(mixed, (F.col("band") == F.col("mb")) & (F.col("at") == F.col("ma"))).select("band", "at", "node", "class"), "mixed")
-    x = known.select("band", "at", F.col("node").alias("a"), F.col("class").alias("ca"))
-    y = known.select("band", "at", F.col("node").alias("b"), F.col("class").alias("cb"))
+    known = member.join(part, F.col("node") == F.col("pn"), "left").select("band", "at", "n", "node", F.coalesce("component", "node").alias("class"))
+    mixed = known.groupBy("band", "at").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band", "at")
+    known = written(known.join(mixed, ["band", "at"]), "mixed")
+    x = known.where(F.col("n") < LARGE).select("band", "at", F.col("node").alias("a"), F.col("class").alias("ca"))
+    y = known.where(F.col("n") < LARGE).select("band", "at", F.col("node").alias("b"), F.col("class").alias("cb"))
     rest = x.join(y, ["band", "at"]).where("a < b and ca <> cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(verified(_agreeing(rest, sample, threshold), body, idf, threshold), "verified")
+    more = verified(_agreeing(rest, sample, AGREE * threshold / THRESHOLD), body, idf, threshold)
+    more = written(more.unionByName(between_classes(known.where(F.col("n") >= LARGE), body, idf, threshold)), "verified")
     classes = components(links.unionByName(more)).select(F.col("node").alias("cn"), "component")
 
     whole = exact.join(classes, F.col("node") == F.col("cn"), "left").select(F.col("key").alias("ek"), F.coalesce("component", "node").alias("class"))
