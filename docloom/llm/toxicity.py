@@ -251,8 +251,9 @@ def _map_texts(rows: DataFrame, maker: Callable, schema: str, names: list[str],
     return rows.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, held_out, score) of every document."""
+def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, held_out, score) of every document; ``id_col`` is given out as doc_id,
+    labels are always found by ``doc_id``."""
     train = written(training_rows(docs, labels, train_rows), "toxic-train")
     lexicon, pos, neg = learn_lexicon(train)
     model = char_model(trigram_counts(docs), [w for w, _ in lexicon if w.isascii()])
@@ -279,4 +280,4 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
 
         return of
 
-    return _map_texts(texts(docs), scores, "doc_id long, held_out boolean, score double", ["doc_id", "held_out", "score"], [0])
+    return _map_texts(texts(docs, id_col), scores, "doc_id long, held_out boolean, score double", ["doc_id", "held_out", "score"], [0])
