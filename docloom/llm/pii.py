@@ -39,14 +39,14 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-# Looser forms: (kind, text that must be in the document, pattern).
+# Looser forms: (kind, text that must be in the case-folded document, pattern).
 LOOSE = (
     ("email", ("[at]", "(at)", "{at}"), re.compile(r"[A-Za-z0-9._%+-]+ ?[\[({]at[\])}] ?[A-Za-z0-9-]+(?: ?(?:[\[({]dot[\])}]|\.) ?[A-Za-z0-9-]+)+")),
     ("ip", (":",), re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
     ("card", ("3",), re.compile(r"(?<![\w.-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![\w-])")),
     ("phone", ("-", ".", ")"), re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![\w-])")),
     ("ssn", ("-",), re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("name", ("name", "Mr.", "Mrs.", "Ms.", "Dr."), re.compile(r"(?:(?<=[Nn]ame is )|(?<=[Nn]ame: )|(?<=\bMr\. )|(?<=\bMrs\. )|(?<=\bMs\. )|(?<=\bDr\. ))[A-Z][a-z]+(?: [A-Z][a-z]+){0,2}")),
+    ("name", ("name", "mr.", "mrs.", "ms.", "dr."), re.compile(r"(?:(?<=[Nn]ame is )|(?<=[Nn]ame: )|(?<=\bMr\. )|(?<=\bMrs\. )|(?<=\bMs\. )|(?<=\bDr\. ))[A-Z][a-z]+(?: [A-Z][a-z]+){0,2}")),
     ("secret", ("token", "secret", "key", "passw"), re.compile(r"(?i:(?:token|secret|api[_-]?key|passw(?:or)?d)\s*[=:]\s*[\"']?)([A-Za-z0-9_/+-]{16,})")),
 )
 
@@ -140,8 +140,9 @@ def candidates(docs: DataFrame) -> DataFrame:
             for t in ts:
                 found = base_spans(t)
                 rows = [{"kind": k, "start": s, "end": e, "base": True} for k, s, e in found]
+                low = t.casefold()
                 for kind, cues, pattern in LOOSE:
-                    if any(c in t for c in cues):
+                    if any(c in low for c in cues):
                         k = KINDS.index(kind)
                         for m in pattern.finditer(t):
                             s, e = m.span(m.lastindex or 0)
