@@ -13,7 +13,7 @@ reference document grow into a factor; where the alignment changes, the windows
 straddle the boundary were matched on their own and join the next factor.  Factors
 are at least ``WINDOW`` words long, and what they cover is removed.
 
-Windows are compared by a 64-bit anchor hash and a 32-bit hash of all their words.
+Windows are compared by a 64-bit hash of all their words; the anchor only deals them out.
 
 Edge cases: null texts and texts shorter than a window lose nothing; among rows with
 one ``doc_id`` (null sorts first) order is by text digest, and of identical rows one
@@ -45,7 +45,7 @@ _MATCH_DDL = "doc_id long, digest int, start int, many int, ref_doc long, ref_st
 _MATCH = pa.schema([("doc_id", pa.int64()), ("digest", pa.int32()), ("start", pa.int32()), ("many", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
 #: Arrays of an index row: entries (one per anchor and place), their windows, and
 #: matches found inside the block.
-_ENTRY = ("<u8", "<i8", "u1", "<i4", "<i4", "<i4")
+_ENTRY = ("<i8", "u1", "<i4", "<i4", "<i4")
 _KNOWN = ("<i8", "u1", "<i4", "<i4", "<i4", "<i8", "u1", "<i4")
 
 
@@ -95,7 +95,7 @@ def windows_of(h: np.ndarray, ends: np.ndarray, window: int, anchor: int) -> tup
 def _rows(ids, null, digests, hashes, window: int, anchor: int, buckets: int) -> pa.RecordBatch:
     """Index rows of one reference block, one per bucket of anchors.
 
-    An entry is a run of windows with one anchor, 32 bits a window; runs that only
+    An entry is a run of windows with one anchor, 64 bits a window; runs that only
     repeat earlier windows of the block go along as finished matches.
     """
     order = sorted(range(len(ids)), key=lambda i: (not null[i], ids[i], digests[i]))
@@ -117,7 +117,7 @@ def _rows(ids, null, digests, hashes, window: int, anchor: int, buckets: int) ->
     sent = np.add.reduceat(own, cut) > 0
     keep = np.repeat(sent, many)
     a, n = cut[sent], many[sent]
-    value = (full[keep] >> np.uint64(32)).astype("<u4")
+    value = full[keep]
     end = np.cumsum(n)
     bucket = (least[a] % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
@@ -127,7 +127,7 @@ def _rows(ids, null, digests, hashes, window: int, anchor: int, buckets: int) ->
         i, d = a[own_rows], doc[a[own_rows]]
         m = n[own_rows]
         windows = value[np.repeat(end[own_rows] - np.cumsum(m), m) + np.arange(m.sum())]
-        out.append((k, _packed([least[i], np.diff(ids[d], prepend=0), null[d], digests[d], start[i] - first_of[d], m], _ENTRY, windows)))
+        out.append((k, _packed([np.diff(ids[d], prepend=0), null[d], digests[d], start[i] - first_of[d], m], _ENTRY, windows)))
     # windows in runs that are not sent: matches inside the block
     rest = np.flatnonzero(~keep)
     if len(rest):
@@ -155,7 +155,7 @@ def _unpacked(data: bytes, kinds: tuple[str, ...]) -> tuple[list[np.ndarray], np
     for k in kinds:
         out.append(np.frombuffer(raw, k, n, at))
         at += n * np.dtype(k).itemsize
-    return out, np.frombuffer(data, "<u4", offset=24 + z)
+    return out, np.frombuffer(data, "<u8", offset=24 + z)
 
 
 def _index(window: int, anchor: int, reference_bytes: int, buckets: int):
@@ -191,7 +191,7 @@ def _match(table: pa.Table) -> pa.Table:
             done.append(_unpacked(data[5:], _KNOWN)[0])
             continue
         cols, tail = _unpacked(data, _ENTRY)
-        cols[1] = np.cumsum(cols[1])
+        cols[0] = np.cumsum(cols[0])
         entries.append(cols)
         tails.append(tail)
     found = []
@@ -199,15 +199,15 @@ def _match(table: pa.Table) -> pa.Table:
         ids, null, digest, start, many, ref, no_ref, ref_start = (np.concatenate(c) for c in zip(*done, strict=True))
         found.append(pa.table([pa.array(ids, mask=null.astype(bool)), digest, start, many, pa.array(ref, mask=no_ref.astype(bool)), ref_start], schema=_MATCH))
     if entries:
-        anchor, ids, null, digest, start, many = (np.concatenate(c) for c in zip(*entries, strict=True))
+        ids, null, digest, start, many = (np.concatenate(c) for c in zip(*entries, strict=True))
         tail = np.concatenate(tails)
         begin = np.cumsum(many) - many
         # earlier places first: the first of equal windows is then the earliest
         order = np.lexsort((start, digest, ids, null == 0))
-        anchor, ids, null, digest, start, many, begin = (x[order] for x in (anchor, ids, null, digest, start, many, begin))
+        ids, null, digest, start, many, begin = (x[order] for x in (ids, null, digest, start, many, begin))
         row = np.repeat(np.arange(len(many)), many)
         step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        key = _mixed(anchor)[row] ^ (tail[begin[row] + step].astype(np.uint64) * np.uint64(_BASE))
+        key = tail[begin[row] + step]
         _, at, back = np.unique(key, return_index=True, return_inverse=True)
         ref = at[back]
         hit = np.flatnonzero(ref != np.arange(len(key)))
