@@ -4,8 +4,10 @@ Coarse centroids and, on the residuals, one codebook per subspace are fitted on
 most ``FIT_ROWS`` vectors (those with the smallest hash); every vector is indexed.  A
 vector lies in its nearest list with its residual codes, and searches its ``PROBES``
 nearest lists.  In a list the squared distance to each member is summed from a table
-of (subspace, code) terms; members within the bound plus ``SLACK`` for the codes'
-error are re-ranked by exact cosine in double precision.
+of (subspace, code) terms.  A member is at most its own code's error further from a
+query by its code than by itself, so members within ``(sqrt(bound) + error) ** 2`` are
+re-ranked by exact cosine in double precision, and no link inside a searched list is
+lost; links between lists that are not searched are.
 
 Lists are cut into chunks of ``CHUNK`` members and ``CHUNK`` queries, and a task takes
 one chunk of each, so a list with a third of all vectors is many tasks and no task's
@@ -35,8 +37,8 @@ SUBSPACES = 8
 CODES = 64
 PROBES = 6
 CHUNK = 1024
-#: Added to the squared-distance bound for what the codes lose.
-SLACK = 0.25
+#: Added to the squared-distance bound for single precision of the tables.
+ROUNDING = 1e-3
 #: Members that a coarse list should have, and the most lists there are.
 LIST_ROWS = 512
 MOST_LISTS = 4096
@@ -91,6 +93,11 @@ class Quantiser:
             out.append((2 * part @ book.T - (book * book).sum(1)).argmax(1).astype(np.uint8))
         return np.stack(out, 1)
 
+    def errors(self, residual: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distance of each residual to what its codes stand for."""
+        parts = [residual[:, a:b] - book[codes[:, j]] for j, (book, a, b) in enumerate(zip(self.books, self.cuts[:-1], self.cuts[1:], strict=True))]
+        return np.sqrt(sum((p * p).sum(1) for p in parts))
+
     def distances(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Squared distances of residual queries to coded residuals, from tables."""
         total = np.zeros((len(queries), len(codes)), np.float32)
@@ -131,7 +138,8 @@ def links(rows: DataFrame, threshold: float = 0.9, probes: int = PROBES, fit_row
                 continue
             x = batch.column(1).flatten().to_numpy().reshape(n, dim)
             near = q.nearest(x, probes)
-            own = q.encode(x - q.coarse[near[:, 0]])
+            residual = x - q.coarse[near[:, 0]]
+            own = q.encode(residual)
             rep = np.repeat(np.arange(n), near.shape[1])
             at = pa.array(np.concatenate([np.arange(n), rep]))
             yield pa.RecordBatch.from_arrays(
@@ -140,12 +148,13 @@ def links(rows: DataFrame, threshold: float = 0.9, probes: int = PROBES, fit_row
                     pa.array(np.r_[np.ones(n, bool), np.zeros(len(rep), bool)]),
                     batch.column(0).take(at),
                     pa.array([*(c.tobytes() for c in own), *([None] * len(rep))], pa.binary()),
+                    pa.array(np.r_[q.errors(residual, own), np.zeros(len(rep))]),
                     batch.column(1).take(at),
                 ],
-                names=["list", "member", "vec_id", "codes", "v"],
+                names=["list", "member", "vec_id", "codes", "error", "v"],
             )
 
-    placed = rows.where(F.size("v") == dim).mapInArrow(assign, "list int, member boolean, vec_id long, codes binary, v array<double>")
+    placed = rows.where(F.size("v") == dim).mapInArrow(assign, "list int, member boolean, vec_id long, codes binary, error double, v array<double>")
     # chunks of lists: each member chunk meets each query chunk of its list
     size = written(placed.groupBy("list", "member").agg(F.count("*").alias("n")), "lists")
     n = size.groupBy("list").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("member") == m, F.col("n")).otherwise(0)) / CHUNK)).cast("int").alias(x) for m, x in ((True, "mc"), (False, "qc"))])
@@ -165,10 +174,12 @@ def links(rows: DataFrame, threshold: float = 0.9, probes: int = PROBES, fit_row
         if len(mi) and len(qi):
             codes = np.frombuffer(b"".join(c.as_py() for c in table.column("codes").filter(pa.array(member))), np.uint8).reshape(len(mi), -1)
             centre = qz.coarse[key[0].as_py()]
-            for k in range(0, len(qi), 256):
-                part = qi[k : k + 256]
-                near = qz.distances(x[part] - centre, codes) <= bound + SLACK
-                r, c = np.nonzero(near)
+            most = (np.sqrt(max(bound, 0.0)) + table.column("error").to_numpy()[mi]) ** 2 + ROUNDING
+            for k in range(0, len(qi), 64):
+                part = qi[k : k + 64]
+                near = qz.distances(x[part] - centre, codes) <= most
+                # one product is cheaper than gathering what the codes let through
+                r, c = np.nonzero(near & (x[part] @ x[mi].T >= threshold - 1e-9))
                 cosine = np.einsum("ij,ij->i", x[part[r]], x[mi[c]])
                 ok = (cosine >= threshold) & (ids[part[r]] != ids[mi[c]])
                 a.append(ids[part[r[ok]]])
@@ -176,7 +187,7 @@ def links(rows: DataFrame, threshold: float = 0.9, probes: int = PROBES, fit_row
         a, b = np.concatenate(a), np.concatenate(b)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    found = placed.select("list", "m", "q", "member", "vec_id", "codes", "v").groupBy("list", "m", "q").applyInArrow(compare, "a long, b long")
+    found = placed.select("list", "m", "q", "member", "vec_id", "codes", "error", "v").groupBy("list", "m", "q").applyInArrow(compare, "a long, b long")
     return found.repartition(parts, "a", "b").distinct()
 
 
