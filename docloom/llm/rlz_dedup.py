@@ -13,12 +13,19 @@ reference document grow into a factor; where the alignment changes, the windows
 straddle the boundary were matched on their own and join the next factor.  Factors
 are at least ``WINDOW`` words long, and what they cover is removed.
 
-Windows are compared by a 64-bit hash of all their words; the anchor only deals them out.
+Windows are compared by a 64-bit hash of all their words, inside their bucket.  There is
+a bucket for every ``BUCKET_BYTES`` of text, so that no group grows with the input.  A run
+of words in more than ``HOT`` of all places (a line of a third of the documents) would
+bring all windows around it to one bucket; the windows under such an anchor are dealt out
+by their own hash.  A pass over all texts finds them: what has that share of all places
+has it in some block, so blocks name candidates with their counts.  There are at most
+``1 / HOT`` of them, which bounds the broadcast.
 
 Edge cases: null texts and texts shorter than a window lose nothing; among rows with
 one ``doc_id`` (null sorts first) order is by text digest, and of identical rows one
 counts as the first; overlapping repeats inside a document count (a later start is a
-repeat); extra columns are ignored; an empty table gives an empty result.
+repeat); a very long text is a block of its own; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import blocks, n_parts, texts
+from docloom.llm.common import blocks, freeing, n_parts, texts
 
 WINDOW = 20
 ANCHOR = 6
@@ -41,8 +48,13 @@ REFERENCE_BYTES = 12 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xD6E8FEB86659FD93
 _ROW = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
-_MATCH_DDL = "doc_id long, digest int, start int, many int, ref_doc long, ref_start int"
-_MATCH = pa.schema([("doc_id", pa.int64()), ("digest", pa.int32()), ("start", pa.int32()), ("many", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
+#: Bytes of text whose windows a bucket holds, and share of all places that is hot.
+BUCKET_BYTES = 16 << 20
+HOT = 2e-5
+#: Bits of the counting table that finds hot runs in a block.
+CELL_BITS = 20
+_MATCH_DDL = "id long, none boolean, digest int, start int, many int, ref_doc long, ref_start int"
+_MATCH = pa.schema([("id", pa.int64()), ("none", pa.bool_()), ("digest", pa.int32()), ("start", pa.int32()), ("many", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
 #: Arrays of an index row: entries (one per anchor and place), their windows, and
 #: matches found inside the block.
 _ENTRY = ("<i8", "u1", "<i4", "<i4", "<i4")
@@ -92,11 +104,53 @@ def windows_of(h: np.ndarray, ends: np.ndarray, window: int, anchor: int) -> tup
     return start, full[start], least[start], start + offset[start]
 
 
-def _rows(ids, null, digests, hashes, window: int, anchor: int, buckets: int) -> pa.RecordBatch:
-    """Index rows of one reference block, one per bucket of anchors.
+def _hashes(ts: list[str]) -> list[np.ndarray]:
+    """Word hashes of each text."""
+    w = [words(t) for t in ts]
+    flat = np.empty(sum(map(len, w)), object)
+    flat[:] = [x for d in w for x in d]
+    h = pd.util.hash_array(flat, categorize=False) if len(flat) else np.empty(0, np.uint64)
+    return np.split(h, np.cumsum([len(d) for d in w])[:-1])
 
-    An entry is a run of windows with one anchor, 64 bits a window; runs that only
-    repeat earlier windows of the block go along as finished matches.
+
+def hot_runs(docs: DataFrame, anchor: int = ANCHOR, hot: float = HOT, reference_bytes: int = REFERENCE_BYTES) -> tuple[np.ndarray, int]:
+    """(sorted hashes of runs of ``anchor`` words in at least twice ``hot`` of all places,
+    and maybe some with half of that; bytes of all texts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(size, parts):
+            h = np.concatenate(parts)
+            gram = _grams(h, anchor) if len(h) >= anchor else np.empty(0, np.uint64)
+            cell = (gram >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+            least = max(2.0, hot * len(gram))
+            own, many = np.unique(gram[np.bincount(cell, minlength=1 << CELL_BITS)[cell] >= least], return_counts=True)
+            own, many = own[many >= least], many[many >= least]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[own.view(np.int64), 0]), pa.array(np.r_[many, len(gram)], pa.int64()), pa.array([0] * len(own) + [size], pa.int64()), pa.array([True] * len(own) + [False])], names=["gram", "n", "bytes", "own"]
+            )
+
+        held, parts = 0, []
+        for _, ts in blocks(batches):
+            parts += _hashes(ts)
+            held += sum(map(len, ts))
+            if held >= reference_bytes:
+                yield close(held, parts)
+                held, parts = 0, []
+        if parts:
+            yield close(held, parts)
+
+    made = texts(docs).mapInArrow(freeing(run), "gram long, n long, bytes long, own boolean").groupBy("own", "gram").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    total = Window.partitionBy(F.lit(0))
+    rows = made.withColumn("places", F.max(F.when(~F.col("own"), F.col("n"))).over(total)).where(~F.col("own") | (F.col("n") >= hot * F.col("places"))).collect()
+    whole = [r.bytes for r in rows if not r.own]
+    return np.sort(np.array([r.gram for r in rows if r.own], np.int64).view(np.uint64)), whole[0] if whole else 0
+
+
+def _rows(ids, null, digests, hashes, window: int, anchor: int, buckets: int, hot: np.ndarray = np.empty(0, np.uint64)) -> pa.RecordBatch:
+    """Index rows of one reference block, one per bucket.
+
+    An entry is a run of windows with one anchor and bucket, 64 bits a window; runs that
+    only repeat earlier windows of the block go along as finished matches.
     """
     order = sorted(range(len(ids)), key=lambda i: (not null[i], ids[i], digests[i]))
     ids, digests, null = (np.array([x[i] for i in order]) for x in (ids, digests, null))
@@ -111,15 +165,19 @@ def _rows(ids, null, digests, hashes, window: int, anchor: int, buckets: int) ->
     own = ref == np.arange(len(start))
     if not len(start):
         return pa.RecordBatch.from_pydict({"bucket": [], "data": []}, schema=_ROW)
+    to = (least % np.uint64(buckets)).astype(np.int32)
+    if len(hot):
+        own_hash = hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least
+        to[own_hash] = (full[own_hash] % np.uint64(buckets)).astype(np.int32)
     # runs of consecutive windows that share an anchor's place
-    cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1])]))
+    cut = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1])]))
     many = np.diff(np.concatenate([cut, [len(start)]]))
     sent = np.add.reduceat(own, cut) > 0
     keep = np.repeat(sent, many)
     a, n = cut[sent], many[sent]
     value = full[keep]
     end = np.cumsum(n)
-    bucket = (least[a] % np.uint64(buckets)).astype(np.int32)
+    bucket = to[a]
     order = np.argsort(bucket, kind="stable")
     present, at = np.unique(bucket[order], return_index=True)
     out: list[tuple[int, bytes]] = []
@@ -158,26 +216,24 @@ def _unpacked(data: bytes, kinds: tuple[str, ...]) -> tuple[list[np.ndarray], np
     return out, np.frombuffer(data, "<u8", offset=24 + z)
 
 
-def _index(window: int, anchor: int, reference_bytes: int, buckets: int):
+def _index(window: int, anchor: int, reference_bytes: int, buckets: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, state = 0, ([], [], [], [])
         for part, ts in blocks(batches):
             size = sum(map(len, ts))
             if held and held + size > reference_bytes:
-                yield _rows(*state, window, anchor, buckets)
+                yield _rows(*state, window, anchor, buckets, hot.value)
                 held, state = 0, ([], [], [], [])
-            w = [words(t) for t in ts]
-            flat = np.empty(sum(map(len, w)), object)
-            flat[:] = [x for d in w for x in d]
-            h = pd.util.hash_array(flat, categorize=False) if len(flat) else np.empty(0, np.uint64)
             ids, null, digests, hashes = state
-            for d, g, x in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), np.split(h, np.cumsum([len(d) for d in w])[:-1]), strict=True):
-                ids.append(d or 0), null.append(d is None), digests.append(g), hashes.append(x)
+            ids += part.column(0).to_pylist()
+            null += part.column(2).to_pylist()
+            digests += part.column(3).to_pylist()
+            hashes += _hashes(ts)
             held += size
         if state[0]:
-            yield _rows(*state, window, anchor, buckets)
+            yield _rows(*state, window, anchor, buckets, hot.value)
 
-    return run
+    return freeing(run)
 
 
 def _match(table: pa.Table) -> pa.Table:
@@ -197,7 +253,7 @@ def _match(table: pa.Table) -> pa.Table:
     found = []
     if done:
         ids, null, digest, start, many, ref, no_ref, ref_start = (np.concatenate(c) for c in zip(*done, strict=True))
-        found.append(pa.table([pa.array(ids, mask=null.astype(bool)), digest, start, many, pa.array(ref, mask=no_ref.astype(bool)), ref_start], schema=_MATCH))
+        found.append(pa.table([ids, null.astype(bool), digest, start, many, pa.array(ref, mask=no_ref.astype(bool)), ref_start], schema=_MATCH))
     if entries:
         ids, null, digest, start, many = (np.concatenate(c) for c in zip(*entries, strict=True))
         tail = np.concatenate(tails)
@@ -219,21 +275,24 @@ def _match(table: pa.Table) -> pa.Table:
             a = hit[new]
             d, e = row[a], row[ref[a]]
             n = np.diff(np.concatenate([np.flatnonzero(new), [len(hit)]]))
-            found.append(pa.table([pa.array(ids[d], mask=null[d].astype(bool)), digest[d], place[a].astype(np.int32), n.astype(np.int32), pa.array(ids[e], mask=null[e].astype(bool)), place[ref[a]].astype(np.int32)], schema=_MATCH))
+            found.append(pa.table([ids[d], null[d].astype(bool), digest[d], place[a].astype(np.int32), n.astype(np.int32), pa.array(ids[e], mask=null[e].astype(bool)), place[ref[a]].astype(np.int32)], schema=_MATCH))
     return pa.concat_tables(found) if found else _MATCH.empty_table()
 
 
-def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, reference_bytes: int = REFERENCE_BYTES) -> DataFrame:
-    """(doc_id, digest, start, many, ref_doc, ref_start): ``many`` consecutive windows
+def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, reference_bytes: int = REFERENCE_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: float = HOT) -> DataFrame:
+    """(id, none, digest, start, many, ref_doc, ref_start): ``many`` consecutive windows
     of a document from word ``start`` on, that occur from ``ref_start`` of ``ref_doc``."""
-    parts = n_parts(docs.sparkSession)
-    index = _digested(docs).mapInArrow(_index(window, anchor, reference_bytes, parts), "bucket int, data binary")
-    return index.groupBy("bucket").applyInArrow(_match, _MATCH_DDL)
+    spark = docs.sparkSession
+    often, size = hot_runs(docs, anchor, hot, reference_bytes)
+    buckets = max(n_parts(spark), -(-size // bucket_bytes))
+    index = _digested(docs).mapInArrow(_index(window, anchor, reference_bytes, buckets, spark.sparkContext.broadcast(often)), "bucket int, data binary")
+    return index.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_match, _MATCH_DDL)
 
 
 def _digested(docs: DataFrame) -> DataFrame:
-    """Texts with 32 bits of digest, to tell rows of one id apart."""
-    return texts(docs).withColumn("digest", F.hash("text"))
+    """(id, text, none, digest): rows without an id go by a hash of their text; 32 bits of
+    digest tell rows of one id apart."""
+    return texts(docs).select(F.coalesce("doc_id", F.xxhash64("text")).alias("id"), "text", F.col("doc_id").isNull().alias("none"), F.hash("text").alias("digest"))
 
 
 def factors(found: list[dict], window: int = WINDOW) -> list[tuple[int, int, int | None, int]]:
@@ -249,19 +308,19 @@ def factors(found: list[dict], window: int = WINDOW) -> list[tuple[int, int, int
     return [tuple(x) for x in out]
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, reference_bytes: int = REFERENCE_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, reference_bytes: int = REFERENCE_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: float = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, factors): documents without repeats.
 
     ``kept`` is the words that stay, joined by one space.
     """
     # one key for counting copies and for joining, so that texts are shuffled once
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key")
-    found = matches(docs, window, anchor, reference_bytes).select(key, "digest", F.struct("start", "many", "ref_doc", "ref_start").alias("m"))
-    found = found.groupBy("key", "digest").agg(F.collect_list("m").alias("found"))
-    one = Window.partitionBy("key", "digest")
-    rows = _digested(docs).select(key, "*")
+    key = ["id", "none", "digest"]
+    found = matches(docs, window, anchor, reference_bytes, bucket_bytes, hot).select(*key, F.struct("start", "many", "ref_doc", "ref_start").alias("m"))
+    found = found.groupBy(*key).agg(F.collect_list("m").alias("found"))
+    one = Window.partitionBy(*key)
+    rows = _digested(docs)
     rows = rows.withColumn("copy", F.row_number().over(one.orderBy("digest"))).withColumn("copies", F.count("*").over(one))
-    rows = rows.join(found, ["key", "digest"], "left")
+    rows = rows.join(found, key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ts in blocks(batches):
@@ -289,7 +348,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, reference
                 parsed.append([{"start": s, "end": e, "ref_doc": d, "ref_start": r} for s, e, d, r in spans])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(many, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(parsed, _FACTORS)], names=["doc_id", "n_words", "n_removed", "kept", "factors"])
 
-    return rows.select("doc_id", "text", "copy", "copies", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start:int,end:int,ref_doc:long,ref_start:int>>")
+    doc = F.when(~F.col("none"), F.col("id")).alias("doc_id")
+    return rows.select(doc, "text", "copy", "copies", "found").mapInArrow(freeing(run), "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start:int,end:int,ref_doc:long,ref_start:int>>")
 
 
 _FACTORS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
