@@ -1,25 +1,25 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
 
-A source of weight ``a / h`` (``a`` turns in a cycle of ``h`` slots) gives its block
-``j`` the window from release ``floor(j h / a)`` to deadline ``ceil((j + 1) h / a)``.
-Earliest-deadline-first over released blocks fills every slot and meets every
-deadline, so after any number of slots each source has had within one block of its
-share.  The schedule repeats after ``h`` slots; one cycle is folded from the weight
-table (one small row) and every block finds its slot by arithmetic and a broadcast
-join with that cycle: ``(j div a) h + slot of (j mod a)``.
-
-Blocks are ``block_rows`` consecutive documents of a source by ``doc_id``.  Their
-numbers come from counts per (source, id range), so no source is gathered in one task
-however large it is.  No document is dropped: when a source runs out its turns pass,
-and the others go on in the same order.
-
-The size table and the cycle are written once; both are small.
-Bounds: ``MAX_SOURCES`` sources (checked), ``SLOTS + MAX_SOURCES`` slots a cycle.
+A source with ``unit`` of ``total`` weight units gives its block ``j`` the window from
+release ``floor(j total / unit)`` to deadline ``ceil((j + 1) total / unit)``, in whole
+numbers and without rounding the weights.  Earliest-deadline-first over released blocks
+fills every slot and meets every deadline, so after any number of slots each source has
+had within one block of its share until a source runs out.  From then on the others keep
+their windows; slots for which nothing is released are skipped.  No document is dropped.
+
+Blocks are consecutive documents of a source by ``doc_id``: ``BLOCK_ROWS`` of them, and
+at least one of ``SLOTS`` parts of the table, so the schedule has at most ``SLOTS`` plus
+the number of sources slots at any size.  It is folded from the weight table (one row)
+and joined to the blocks.  Block numbers come from counts per (source, id range), so no
+source is gathered in one task however large it is.
+
+The size table and the schedule are written once; both are small.  The fold takes time
+in proportion to slots times sources, in one task; there is no limit on either.
 
 Edge cases: a null source is a source of its own; a null ``doc_id`` comes first in its
 source; rows with the same id are ordered by the digest of their text; sources with no
-given weight, or one that rounds to nothing, get one turn a cycle; an empty table gives
-an empty result; extra columns pass through ``mixed`` and are no inputs.
+given weight, or one under 1, have weight 1; an empty table gives an empty result; very
+long texts are only digested; extra columns pass through ``mixed`` and are no inputs.
 """
 
 from __future__ import annotations
@@ -27,29 +27,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import written
+from docloom.llm.common import n_parts, written
 
-SLOTS = 4096
-MAX_SOURCES = 4096
+#: Most blocks that the table is cut into, but for what sources leave unfilled.
+SLOTS = 1 << 16
 BLOCK_ROWS = 16
 #: Documents of one source that are ranked together.
 RANK_ROWS = 8192
 
-_CYCLE = """
-aggregate(
-  sequence(0L, h - 1),
-  named_struct('had', transform(s, x -> 0L), 'picks', cast(array() as array<bigint>)),
-  (st, t) -> transform(
-    array(array_min(filter(
-      transform(s, (x, i) -> named_struct(
-        'deadline', ((st.had[i] + 1) * h + x.turns - 1) div x.turns,
-        'i', i,
-        'released', st.had[i] < x.turns and (st.had[i] * h) div x.turns <= t)),
-      y -> y.released)).i),
-    p -> named_struct(
+# One step picks, at the first time for which something is released, the released block
+# of the earliest deadline; 256 steps are folded at a time, as picks are appended by copy.
+_STEP = """
+transform(
+  array(greatest(st.t, array_min(transform(filter(transform(s, (x, i) -> struct(x, st.had[i] as had)), z -> z.had < z.x.blocks), z -> (z.had * total) div z.x.unit)))),
+  t -> transform(
+    array(array_min(transform(
+      filter(transform(s, (x, i) -> struct(x, st.had[i] as had, i as i)), z -> z.had < z.x.blocks and (z.had * total) div z.x.unit <= t),
+      z -> struct(((z.had + 1) * total + z.x.unit - 1) div z.x.unit as deadline, z.i as i))).i),
+    p -> if(p is null, st, named_struct(
       'had', transform(st.had, (c, i) -> if(i = p, c + 1, c)),
-      'picks', concat(st.picks, array(cast(p as bigint)))))[0],
-  st -> st.picks)
+      't', t + 1,
+      'picks', concat(st.picks, array(struct(cast(p as int) as source, st.had[p] as block, t as slot)))))))[0][0]
+"""
+_NONE = "cast(array() as array<struct<source:int,block:bigint,slot:bigint>>)"
+_SCHEDULE = f"""
+aggregate(
+  sequence(1L, (steps + 255) div 256),
+  named_struct('had', transform(s, x -> 0L), 't', 0L, 'parts', cast(array() as array<array<struct<source:int,block:bigint,slot:bigint>>>)),
+  (w, k) -> transform(
+    array(aggregate(sequence(1, 256), named_struct('had', w.had, 't', w.t, 'picks', {_NONE}), (st, q) -> {_STEP})),
+    st -> named_struct('had', st.had, 't', st.t, 'parts', concat(w.parts, array(st.picks))))[0],
+  w -> flatten(w.parts))
 """
 
 
@@ -58,25 +66,18 @@ def size_weights(sizes: DataFrame) -> DataFrame:
     return sizes.select("source", F.floor(F.sqrt("n") * 1000).alias("unit"))
 
 
-def turns(weights: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(source, turns): integer turns a cycle from the relative weights ``unit``."""
-    total = weights.groupBy().agg(F.sum("unit").alias("total"))
-    share = F.expr(f"cast(unit * {slots}L div total as bigint)")
-    return weights.crossJoin(F.broadcast(total)).select("source", F.greatest(F.lit(1).cast("long"), share).alias("turns"))
-
-
-def cycle(per_source: DataFrame) -> DataFrame:
-    """(source, turns, h, turn, slot): one cycle of the schedule."""
-    one = per_source.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.coalesce(F.col("source"), F.lit("")).alias("name"), F.col("source").isNull().alias("none"), "turns"))).alias("s"), F.sum("turns").alias("h"))
-    one = one.where("h is not null").where(F.when(F.size("s") > MAX_SOURCES, F.raise_error(F.lit("too many sources"))).otherwise(F.lit(True)))
-    picked = one.select("s", "h", F.posexplode(F.expr(_CYCLE)).alias("slot", "pick"))
-    own = Window.partitionBy("pick").orderBy("slot")
-    return picked.select(
-        F.expr("if(s[cast(pick as int)].none, null, s[cast(pick as int)].name)").alias("source"),
-        F.expr("s[cast(pick as int)].turns").alias("turns"),
-        "h",
-        (F.row_number().over(own) - 1).cast("long").alias("turn"),
-        F.col("slot").cast("long").alias("slot"),
+def schedule(sources: DataFrame) -> DataFrame:
+    """(source, block, slot, release, deadline) of every block of (source, unit, blocks)."""
+    row = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name"), "unit", "blocks")
+    one = sources.groupBy().agg(F.sort_array(F.collect_list(row)).alias("s"), F.sum("unit").alias("total"), F.sum("blocks").alias("steps")).where("steps > 0")
+    picked = one.select("s", "total", F.explode(F.expr(_SCHEDULE)).alias("p"))
+    own = "s[p.source]"
+    return picked.selectExpr(
+        f"if({own}.none, null, {own}.name) as source",
+        "p.block as block",
+        "p.slot as slot",
+        f"(p.block * total) div {own}.unit as release",
+        f"((p.block + 1) * total + {own}.unit - 1) div {own}.unit as deadline",
     )
 
 
@@ -108,42 +109,35 @@ def ranked(docs: DataFrame, tie: str = "text") -> tuple[DataFrame, DataFrame]:
 
 def _mixed(docs: DataFrame, weights: DataFrame | None, block_rows: int, slots: int) -> DataFrame:
     rows, sizes = ranked(docs)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    block_rows = max(block_rows, -(-total // slots))
     if weights is not None:
         given = weights.select(F.col("source").alias("_mx_s"), F.col("unit").cast("long"))
-        units = sizes.join(F.broadcast(given), sizes["source"].eqNullSafe(given["_mx_s"]), "left").select("source", F.coalesce("unit", F.lit(0)).alias("unit"))
+        units = sizes.join(F.broadcast(given), sizes["source"].eqNullSafe(given["_mx_s"]), "left").select("source", "unit", "n")
     else:
-        units = size_weights(sizes)
-    plan = written(cycle(turns(units, slots)), "cycle").select(F.col("source").alias("_mx_s"), F.col("turns").alias("_mx_turns"), F.col("h").alias("_mx_h"), F.col("turn").alias("_mx_turn"), F.col("slot").alias("_mx_slot"))
-    each = plan.select("_mx_s", F.col("_mx_turns").alias("_mx_n")).distinct()
+        units = sizes.join(size_weights(sizes).select(F.col("source").alias("_mx_s"), "unit"), F.col("source").eqNullSafe(F.col("_mx_s"))).select("source", "unit", "n")
+    units = units.select("source", F.greatest(F.lit(1).cast("long"), F.coalesce("unit", F.lit(1))).alias("unit"), F.expr(f"(n + {block_rows - 1}) div {block_rows}L").alias("blocks"))
+    plan = written(schedule(units), "schedule").select(F.col("source").alias("_mx_s"), F.col("block").alias("_mx_b"), F.col("slot").alias("_mx_at"), F.col("release").alias("_mx_release"), F.col("deadline").alias("_mx_deadline"))
     rows = rows.withColumn("_mx_block", F.expr(f"_mx_rank div {block_rows}L")).withColumn("_mx_place", F.expr(f"_mx_rank % {block_rows}L"))
-    rows = rows.join(F.broadcast(each), rows["source"].eqNullSafe(each["_mx_s"])).drop("_mx_s")
-    rows = rows.withColumn("_mx_mod", F.expr("_mx_block % _mx_n"))
-    rows = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["_mx_s"]) & (rows["_mx_mod"] == plan["_mx_turn"]))
-    return rows.withColumn("_mx_at", F.expr("(_mx_block div _mx_turns) * _mx_h + _mx_slot"))
+    return rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["_mx_s"]) & (rows["_mx_block"] == plan["_mx_b"]))
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS, slots: int = SLOTS) -> DataFrame:
     """``docs`` with ``block``, ``place``, ``slot``, ``release`` and ``deadline``, which
     replace columns of those names.
 
-    ``weights`` has (source, unit); by default they follow ``size_weights``.  Order
-    by (slot, place) to read the mixture.
+    ``weights`` has (source, unit), one row a source; by default they follow
+    ``size_weights``.  Order by (slot, place) to read the mixture.
     """
-    added = {
-        "block": F.col("_mx_block"),
-        "place": F.col("_mx_place"),
-        "slot": F.col("_mx_at"),
-        "release": F.expr("(_mx_block * _mx_h) div _mx_turns"),
-        "deadline": F.expr("((_mx_block + 1) * _mx_h + _mx_turns - 1) div _mx_turns"),
-    }
+    added = {"block": "_mx_block", "place": "_mx_place", "slot": "_mx_at", "release": "_mx_release", "deadline": "_mx_deadline"}
     own = [c for c in docs.columns if c.lower() not in added]
-    return _mixed(docs, weights, block_rows, slots).select(*own, *[c.alias(n) for n, c in added.items()])
+    return _mixed(docs, weights, block_rows, slots).select(*own, *[F.col(c).alias(n) for n, c in added.items()])
 
 
 def in_order(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS, slots: int = SLOTS) -> DataFrame:
     """The rows of ``docs`` sorted by their place in the mixture: written as files,
     these hold it in the order of their names."""
     order = [F.col("_mx_at"), F.col("_mx_place")]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = n_parts(docs.sparkSession)
     out = _mixed(docs, weights, block_rows, slots)
     return out.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*docs.columns)

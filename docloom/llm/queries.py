@@ -138,16 +138,15 @@ u as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as j from d),
 k as (select doc_id, count(c.j) as n_removed, string_agg(case when c.j is null then x end, ' ' order by j) as kept from u left join c using (doc_id, j) group by doc_id)
 select d.doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)""",
     "op8_source_mix": f"""
-with recursive sz as (select source, count(*) as n from documents group by source), un as (select source, cast(floor(sqrt(n) * 1000) as bigint) as unit from sz),
-tn as (select source, greatest(1, unit * {mixing.SLOTS} // (select cast(sum(unit) as bigint) from un)) as turns from un),
-o as (select list(source order by source) as names, list(cast(turns as bigint) order by source) as a, cast(sum(turns) as bigint) as h from tn),
-t(slot, had, pick) as (select cast(-1 as bigint), list_transform(a, lambda x: cast(0 as bigint)), cast(0 as bigint) from o
-  union all select s.slot + 1, list_transform(s.had, lambda c, i: c + cast(i = s.p as bigint)), s.p from (
-    select t.slot, t.had, list_min(list_filter(list_transform(a, lambda x, i: case when t.had[i] < x and t.had[i] * h // x <= t.slot + 1 then ((t.had[i] + 1) * h + x - 1) // x * 100000 + i end), lambda y: y is not null)) % 100000 as p
-    from t, o where t.slot + 1 < h) s),
-cy as (select o.names[pick] as source, o.a[pick] as turns, h, slot, row_number() over (partition by pick order by slot) - 1 as turn from t, o where slot >= 0),
-rk as (select doc_id, source, row_number() over (partition by source order by doc_id, md5(coalesce(text, ''))) - 1 as r from documents),
-bl as (select doc_id, source, r // {mixing.BLOCK_ROWS} as block, r % {mixing.BLOCK_ROWS} as place from rk)
-select doc_id, bl.source, block, place, block // turns * h + slot as slot, block * h // turns as release, ((block + 1) * h + turns - 1) // turns as deadline
-from bl join (select distinct source as s2, turns as t2 from cy) x on x.s2 = bl.source join cy on cy.source = bl.source and cy.turn = block % t2""",
+with recursive sz as (select source, count(*) as n from documents group by source),
+br as (select greatest({mixing.BLOCK_ROWS}, (cast(sum(n) as bigint) + {mixing.SLOTS - 1}) // {mixing.SLOTS}) as rows from sz),
+un as (select source, greatest(1, cast(floor(sqrt(n) * 1000) as bigint)) as unit, (n + rows - 1) // rows as blocks from sz, br),
+o as (select list(source order by source) as names, list(unit order by source) as u, list(blocks order by source) as b, cast(sum(unit) as bigint) as total, cast(sum(blocks) as bigint) as steps from un),
+t(step, had, pick, pos, block) as (select cast(0 as bigint), list_transform(u, lambda x: cast(0 as bigint)), cast(0 as bigint), cast(-1 as bigint), cast(0 as bigint) from o
+  union all select y.step + 1, list_transform(y.had, lambda c, i: c + cast(i = y.p as bigint)), y.p, y.now, y.had[y.p] from (
+    select w.step, w.had, w.now, list_min(list_filter(list_transform(u, lambda x, i: case when w.had[i] < b[i] and w.had[i] * total // x <= w.now then ((w.had[i] + 1) * total + x - 1) // x * 100000 + i end), lambda z: z is not null)) % 100000 as p
+    from (select t.step, t.had, greatest(t.pos + 1, list_min(list_filter(list_transform(u, lambda x, i: case when t.had[i] < b[i] then t.had[i] * total // x end), lambda z: z is not null))) as now from t, o where t.step < steps) w, o) y),
+pl as (select names[pick] as source, block, pos as slot, block * total // u[pick] as release, ((block + 1) * total + u[pick] - 1) // u[pick] as deadline from t, o where step > 0),
+rk as (select doc_id, source, row_number() over (partition by source order by doc_id, md5(coalesce(text, ''))) - 1 as r from documents)
+select doc_id, rk.source, pl.block, r % rows as place, slot, release, deadline from rk, br, pl where pl.source = rk.source and pl.block = r // rows""",
 }
