@@ -2,7 +2,7 @@
 
 Candidate spans are what the base patterns match, and looser forms of the same and
 of a few other kinds.  Labelers vote on each candidate: 1 personal, 0 not, 2 no
-opinion (``LABELERS``: pattern, checksum, gazetteer, context words, word borders).
+opinion (``LABELERS``: strict pattern, checksum, gazetteer, context words, word borders).
 The counts of vote patterns over the whole corpus are a small table; expectation-
 maximisation on it estimates each labeler's reliability per kind and the posterior
 of each pattern, and a logistic model trained on those posteriors (votes and the
@@ -14,7 +14,8 @@ The votes and shapes are discrete, so what reaches the driver is one count per
 (kind, votes, shape): at most ``len(KINDS) * 3 ** 5 * 8`` rows at any corpus size.
 
 Edge cases: null texts are empty and have no spans; null and repeated ``doc_id`` keep
-their own rows; extra columns are ignored; an empty table gives an empty result.
+their own rows; very long texts, also of one token, take time in proportion to their
+length; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,27 +28,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import blocks, texts, written
+from docloom.llm.common import blocks, freeing, texts, written
 
 KINDS = ("email", "ip", "card", "phone", "name", "ssn", "secret")
 BASE = 4
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "border")
 
-# Base patterns of the contract.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+# Base patterns of the contract.  Runs are taken whole and only from their
+# start on, which finds the same matches and makes no second try inside a run.
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 # Looser forms: (kind, text that must be in the case-folded document, pattern).
 LOOSE = (
-    ("email", ("[at]", "(at)", "{at}"), re.compile(r"[A-Za-z0-9._%+-]+ ?[\[({]at[\])}] ?[A-Za-z0-9-]+(?: ?(?:[\[({]dot[\])}]|\.) ?[A-Za-z0-9-]+)+")),
+    ("email", ("[at]", "(at)", "{at}"), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({]at[\])}] ?[A-Za-z0-9-]+(?: ?(?:[\[({]dot[\])}]|\.) ?[A-Za-z0-9-]+)+")),
     ("ip", (":",), re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
     ("card", ("3",), re.compile(r"(?<![\w.-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![\w-])")),
     ("phone", ("-", ".", ")"), re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![\w-])")),
     ("ssn", ("-",), re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("name", ("name", "mr.", "mrs.", "ms.", "dr."), re.compile(r"(?:(?<=[Nn]ame is )|(?<=[Nn]ame: )|(?<=\bMr\. )|(?<=\bMrs\. )|(?<=\bMs\. )|(?<=\bDr\. ))[A-Z][a-z]+(?: [A-Z][a-z]+){0,2}")),
+    ("name", ("name", "mr.", "mrs.", "ms.", "dr.", "prof.", "i am ", "i'm ", "sincerely", "regards", "signed"), re.compile(r"(?:(?<=[Nn]ame is )|(?<=[Nn]ame: )|(?<=NAME: )|(?<=\bMr\. )|(?<=\bMrs\. )|(?<=\bMs\. )|(?<=\bDr\. )|(?<=\bProf\. )|(?<=\bI am )|(?<=\bI'm )|(?<=[Ss]incerely, )|(?<=[Rr]egards, )|(?<=[Ss]igned, ))[A-Z][a-z]+(?: [A-Z][a-z]+){0,2}")),
+    ("name", (), re.compile(r"\b(?:@FIRST@) [A-Z][a-z]+\b")),
     ("secret", ("token", "secret", "key", "passw"), re.compile(r"(?i:(?:token|secret|api[_-]?key|passw(?:or)?d)\s*[=:]\s*[\"']?)([A-Za-z0-9_/+-]{16,})")),
+    ("secret", ("akia", "asia", "gh", "eyj"), re.compile(r"(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|gh[pousr]_[A-Za-z0-9]{36,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]+)")),
+    ("secret", (), re.compile(r"(?<!\w)(?=[a-f]*[0-9])(?:[0-9a-f]{40}|[0-9a-f]{64})(?!\w)")),
 )
 
 # Gazetteers and cue words.
@@ -56,12 +62,13 @@ FIRST_NAMES = frozenset(
     "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah "
     "Charles Karen Maria Anna Peter Paul Laura Julia Hans Klaus Pierre Marie Jean Carlos Ana Juan Luis Sofia Emma Lukas Felix".split()
 )
+LOOSE = tuple((k, c, re.compile(p.pattern.replace("@FIRST@", "|".join(sorted(FIRST_NAMES))))) for k, c, p in LOOSE)
 CUES = {
     "email": "mail contact write address reach",
     "ip": "ip address host server login",
     "card": "card visa master credit payment amex",
     "phone": "phone tel call mobile fax contact number",
-    "name": "name mr mrs ms dr",
+    "name": "name mr mrs ms dr prof sincerely regards signed",
     "ssn": "ssn social security",
     "secret": "token secret key password passwd",
 }
@@ -78,14 +85,33 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Matches of the email pattern, found from each @ outward."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append((start, m.end()))
+            last = m.end()
+        at = text.find("@", max(at + 1, last))
+    return out
+
+
+def _byte(part: str) -> bool:
+    """Whether digits are a number of 255 at most, however many there are."""
+    part = part.lstrip("0")
+    return len(part) < 4 and int(part or 0) < 256
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of the base patterns, leftmost and non-overlapping."""
-    out = []
-    if "@" in text:
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out = [(0, a, b) for a, b in emails(text)]
     if _DIGIT.search(text):
-        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(int(p) < 256 for p in m[0].split("."))]
-        for m in _LONG.finditer(text):
+        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(map(_byte, m[0].split(".")))]
+        for m in CARD.finditer(text):
             d = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(d) <= 19 and luhn(d):
                 out.append((2, m.start(), m.end()))
@@ -94,7 +120,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-_DIGIT, _NOT_DIGIT, _LONG = re.compile("[0-9]"), re.compile("[^0-9]"), CARD
+_DIGIT, _NOT_DIGIT = re.compile("[0-9]"), re.compile("[^0-9]")
+#: Strict forms that the pattern labeler holds looser spans against.
+_STRICT = {
+    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]* ?[\[({]at[\])}] ?[A-Za-z0-9-]+(?: ?(?:[\[({]dot[\])}]|\.) ?[A-Za-z0-9-]+)* ?(?:[\[({]dot[\])}]|\.) ?[A-Za-z]{2,}"),
+    "ip": re.compile(r"(?!(?:0{1,4}:){7})[0-9A-Fa-f:]+"),
+    "card": re.compile(r"3[47][0-9]{2}([ -]?)[0-9]{6}\1[0-9]{5}"),
+    "phone": re.compile(r"(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}([.-]))[2-9][0-9]{2}(?:\1|-)[0-9]{4}"),
+    "ssn": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
+    "name": re.compile(r"[A-Z][a-z]{1,14}(?: [A-Z][a-z]{1,19}){1,2}"),
+    "secret": re.compile(r"[0-9a-fA-F]{32,}|(?:AKIA|ASIA|gh[pousr]_|eyJ).+|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).{20,}"),
+}
 
 
 def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[list[int], int]:
@@ -107,7 +143,7 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[list[
         tail = re.split(r"[^A-Za-z]+", span.rstrip("."))[-1].lower()
         known = 1 if tail in TLDS else 0
     elif kind == "ip":
-        check = 1 if ":" in span or all(str(int(p)) == p for p in span.split(".")) else 0
+        check = 1 if ":" in span or all(p == (p.lstrip("0") or "0") for p in span.split(".")) else 0
         known = 0 if span.startswith(("0.", "255.")) else 2
     elif kind == "card":
         check = int(luhn(digits))
@@ -128,7 +164,7 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[list[
     context = 1 if any(w.startswith(c) for w in before for c in cues) else 0 if any(w in AGAINST.split() for w in before[-2:]) else 2
     glued = (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
     shape = (len(span) > 12) + 2 * (2 * len(digits) > len(span)) + 4 * any(c in " -" for c in span)
-    return [1 if base else 2, check, known, context, 0 if glued else 1], int(shape)
+    return [1 if base else int(bool(_STRICT[kind].fullmatch(span))), check, known, context, 0 if glued else 1], int(shape)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -142,11 +178,11 @@ def candidates(docs: DataFrame) -> DataFrame:
                 rows = [{"kind": k, "start": s, "end": e, "base": True} for k, s, e in found]
                 low = t.casefold()
                 for kind, cues, pattern in LOOSE:
-                    if any(c in low for c in cues):
+                    if not cues or any(c in low for c in cues):
                         k = KINDS.index(kind)
                         for m in pattern.finditer(t):
                             s, e = m.span(m.lastindex or 0)
-                            if not any(s < b and a < e for _, a, b in found):
+                            if not any(s < b and a < e for _, a, b in found) and not any(r["kind"] == k and s < r["end"] and r["start"] < e for r in rows):
                                 rows.append({"kind": k, "start": s, "end": e, "base": False})
                 for r in rows:
                     v, r["shape"] = votes(KINDS[r["kind"]], t, r["start"], r["end"], r["base"])
@@ -154,7 +190,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 out.append(rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, _SPANS)], names=["doc_id", "spans"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, spans array<struct<kind:int,start:long,end:long,base:boolean,shape:int,votes:string>>")
+    return texts(docs).mapInArrow(freeing(run), "doc_id long, spans array<struct<kind:int,start:long,end:long,base:boolean,shape:int,votes:string>>")
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("shape", pa.int32()), ("votes", pa.string())]))

@@ -35,6 +35,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{pii.KINDS[k]}") for k in range(pii.BASE)],
         F.sha2(said(base), 256).alias("base_sha256"),
         said(F.col("spans")).alias("spans"),
+        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(pii.BASE, len(pii.KINDS))],
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
