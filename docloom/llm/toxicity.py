@@ -12,15 +12,17 @@ Three models, all trained here.
 
 Words written with digits or signs for letters, spaced out letter by letter, or with
 letters repeated become lattices: every character offers the letters it may stand for,
-every run its letter once or twice.  Viterbi decoding finds the most probable letters
-under channel and character model, and the decoded words are scored with the plain ones.
+every run its letter once or twice, and between spaced letters a word may end.  Viterbi
+decoding finds the most probable letters under channel and character model, whatever the
+length, and the decoded words are scored with the plain ones.
 
 Training uses at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash of
 their id; corpus counts and scores cover all documents.  Only the text is an input.
 
 Edge cases: null texts are empty; empty texts get the score of no findings; rows without
 a label, null labels and repeated labels are fine (each label row counts); with no labels
-of one class every score is the smoothed share of toxic rows; null ids are never held out.
+of one class every score is the smoothed share of toxic rows; null ids are never held out;
+very long texts and tokens are taken whole, in time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import blocks, texts, written
+from docloom.llm.common import blocks, freeing, texts, written
 
 #: Most labelled rows that models are fitted on.
 TRAIN_ROWS = 20_000
@@ -48,11 +50,16 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou",
 }
-_SIGN = re.compile(r"(?:[A-Za-z]+[0-9@$!|+*]+|[0-9@$!|+]+[A-Za-z])[A-Za-z0-9@$!|+*]*")
-_ENDS = re.compile(r"[@$!|+*]+$")
+# A token is tried from its start only, and runs are not given back, so time is linear.
+_SIGN = re.compile(r"(?<![A-Za-z0-9@$!|+])(?:[A-Za-z]++[0-9@$!|+*]++|[0-9@$!|+]++[A-Za-z])[A-Za-z0-9@$!|+*]*+")
+_ENDS = re.compile(r"[@$!|+*]++\Z")
 _SPACED = re.compile(r"(?<![A-Za-z0-9@$])[A-Za-z0-9@$](?:([ ._-])[A-Za-z0-9@$!|*])(?:\1[A-Za-z0-9@$!|*])+(?![A-Za-z0-9@$])")
-_RUN = re.compile(r"([A-Za-z])\1\1", re.I)
-_LONGEST = 24
+_RUN = re.compile(r"([A-Za-z])\1\1+", re.I)
+_NOT_WORD = re.compile(r"[\W_]")
+#: Words of so many letters are looked for anywhere in spaced letters.
+_WHOLE = 5
+#: Decoded tokens of up to so many characters are remembered.
+_SHORT = 64
 #: Lower-cases A-Z and turns ASCII that is no letter or digit into a space.
 _TABLE = bytes(c if chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: 0: no letter, 1-26: a-z, 27: a byte of another letter
@@ -98,63 +105,80 @@ def char_model(corpus: np.ndarray, lexicon: list[str]) -> np.ndarray:
     return np.log(0.5 * parts[0] + 0.5 * parts[1])
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """Most probable letters behind ``token`` (Viterbi over its lattice).
+def lattice(token: str, spaced: bool = False) -> list[list[tuple[tuple[int, ...], float]]]:
+    """Per run of equal characters what it may stand for: (letters, cost).
 
-    A character offers itself or the letters it stands for; a run of equal ones
-    offers its letter once, or twice.  The state is the last two letters.
-    """
+    A letter stands for itself, another sign for the letters of ``LEET``; a run for its
+    letter once or twice; with ``spaced``, 0 after a run's letters ends a word."""
     runs: list[list] = []
     for ch in token.lower():
         if runs and runs[-1][0] == ch and ch != "*":
             runs[-1][1] += 1
         else:
             runs.append([ch, 1])
-    best = {(0, 0): (0.0, "")}
-    for ch, times in runs:
-        if ch.isascii() and ch.isalpha():
-            offers = [(ch, 0.0)]
-        else:
-            offers = [(x, -1.0) for x in LEET.get(ch, "")]
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, said) in best.items():
-            for letter, cost in offers:
-                c = ord(letter) - 96
-                s = score + cost + model[a, b, c]
-                steps = [((b, c), s - (3.0 if times == 2 else 0.0), said + letter)]
-                if times > 1:
-                    steps.append(((c, c), s + model[b, c, c] - (0.7 if times > 2 else 0.0), said + 2 * letter))
-                for state, v, t in steps:
-                    if state not in new or v > new[state][0]:
-                        new[state] = (v, t)
-        best = new or best
-    return max((v + model[a, b, 0], t) for (a, b), (v, t) in best.items())[1]
-
-
-def suspects(text: str) -> list[str]:
-    """Tokens of ``text`` that look written to hide a word."""
+    out = []
+    for k, (ch, times) in enumerate(runs):
+        offers = [(ch, 0.0)] if ch.isascii() and ch.isalpha() else [(x, -1.0) for x in LEET.get(ch, "")]
+        step = []
+        for letter, cost in offers:
+            c = ord(letter) - 96
+            step.append(((c,), cost - (3.0 if times == 2 else 0.0)))
+            if times > 1:
+                step.append(((c, c), cost - (0.7 if times > 2 else 0.0)))
+        if spaced and k < len(runs) - 1:
+            step += [((*said, 0), cost) for said, cost in step]
+        if step:
+            out.append(step)
+    return out
+
+
+def decode(token: str, model: np.ndarray, spaced: bool = False) -> str:
+    """Most probable letters behind ``token`` (Viterbi over its lattice); words of a
+    spaced one are parted by spaces.  The state is the last two characters."""
+    best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    back: list[dict[tuple[int, int], tuple[tuple[int, int], tuple[int, ...]]]] = []
+    for step in lattice(token, spaced):
+        new: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], tuple[int, ...]]] = {}
+        for state, score in best.items():
+            for said, cost in step:
+                (a, b), v = state, score + cost
+                for c in said:
+                    v += model[a, b, c]
+                    a, b = b, c
+                if (a, b) not in new or v > new[a, b]:
+                    new[a, b], came[a, b] = v, (state, said)
+        best = new
+        back.append(came)
+    state = max(best, key=lambda s: best[s] + model[s[0], s[1], 0])
+    out: list[int] = []
+    for came in reversed(back):
+        state, said = came[state]
+        out += reversed(said)
+    return "".join(chr(c + 96) if c else " " for c in reversed(out))
+
+
+def suspects(text: str) -> list[tuple[str, bool]]:
+    """Tokens of ``text`` that look written to hide a word, and whether they were spaced."""
     out = []
     for m in _SIGN.finditer(text):
         t = _ENDS.sub("", m[0])
-        if 3 <= len(t) <= _LONGEST and not t.isalpha() and sum(c.isalpha() for c in t) * 3 >= len(t):
-            out.append(t)
+        if len(t) >= 3 and not t.isalpha() and sum(c.isalpha() for c in t) * 3 >= len(t):
+            out.append((t, False))
     for m in _SPACED.finditer(text):
-        t = m[0][::2]
-        if 3 <= len(t) <= _LONGEST:
-            out.append(t)
+        out.append((m[0][::2], True))
     done = 0
     for m in _RUN.finditer(text):
         if m.start() < done:
             continue
-        a, b = m.start(), m.end()
-        while a > 0 and text[a - 1].isalnum() and m.start() - a < _LONGEST:
+        a = m.start()
+        while a > done and text[a - 1].isalnum():
             a -= 1
-        while b < len(text) and text[b].isalnum() and b - m.start() < 3 * _LONGEST:
-            b += 1
-        done = b
-        t = text[a:b]
+        end = _NOT_WORD.search(text, m.end())
+        done = end.start() if end else len(text)
+        t = text[a:done]
         if t.isascii():
-            out.append(t)
+            out.append((t, False))
     return out
 
 
@@ -167,20 +191,26 @@ class Findings:
 
     def __post_init__(self):
         self.lexicon = frozenset(self.weight)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[tuple[str, bool], list[bytes]] = {}
 
     def of(self, text: str) -> list[float]:
         w = words(text)
-        hits = [(x, w.count(x)) for x in self.lexicon.intersection(w)]
+        plain = self.lexicon.intersection(w)
+        hits = [(x, w.count(x)) for x in plain]
         hidden = []
-        for t in suspects(text):
-            r = self.known.get(t)
-            if r is None:
-                if len(self.known) > 200_000:
-                    self.known.clear()
-                r = self.known[t] = decode(t, self.model).encode()
-            if r in self.lexicon and r not in {x for x, _ in hits}:
-                hidden.append(r)
+        for t, spaced in suspects(text):
+            found = self.known.get((t, spaced))
+            if found is None:
+                said = decode(t, self.model, spaced).encode()
+                found = [x for x in said.split(b" ") if x in self.lexicon]
+                if spaced:  # where one word ends and the next begins may be anyone's guess
+                    said = said.replace(b" ", b"")
+                    found += [x for x in self.lexicon if len(x) >= _WHOLE and x in said and x not in found]
+                if len(t) <= _SHORT:
+                    if len(self.known) > 100_000:
+                        self.known.clear()
+                    self.known[t, spaced] = found
+            hidden += [x for x in found if x not in plain]
         total = sum(self.weight[x] * n for x, n in hits) + sum(self.weight[x] for x in hidden)
         many = sum(n for _, n in hits) + len(hidden)
         top = max([self.weight[x] for x, _ in hits] + [self.weight[x] for x in hidden], default=0.0)
@@ -248,7 +278,7 @@ def _map_texts(rows: DataFrame, maker: Callable, schema: str, names: list[str],
         for part, ts in blocks(batches):
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *of(part, ts)], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freeing(run), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> DataFrame:
