@@ -10,20 +10,69 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Phrases and cue words of the rules, in the order in which they apply.
-SMALLTALK = ["hi", "hello", "hey", "thanks", "thank you", "good morning", "good afternoon", "good evening", "bye", "goodbye", "ok", "okay", "how are you"]
-GENERATIVE = ["create", "generate", "draft", "write a", "make a", "prepare a", "build a", "produce"]
-PROCEDURAL = ["how to", "how do", "steps to", "process for", "procedure", "guide to", "instructions"]
-ANALYTICAL = ["compare", "difference", "versus", " vs ", "analyze", "trend", "why ", "evaluate"]
+SMALLTALK = [
+    "hi", "hello", "hey", "howdy", "hola", "greetings", "yo", "sup", "good morning", "good afternoon", "good evening", "good day",
+    "how are you", "hows it going", "how do you do", "whats up", "thanks", "thank you", "thank you so much", "thx", "ty", "cheers",
+    "bye", "goodbye", "see you", "take care", "later", "cya", "have a good day", "have a nice day", "ok", "okay", "alright", "sure",
+    "got it", "understood", "cool", "nice", "great", "awesome", "who are you", "what are you", "what can you do", "what do you do", "help",
+]
+GENERATIVE = ["create", "generate", "make", "build"]
+PROCEDURAL = ["how to", "steps", "process", "procedure"]
+ANALYTICAL = ["compare", "analyze", "trend", "summary"]
+#: Words that name a department in a question.
 DEPARTMENTS = {
-    "hr": ["hr", "pto", "leave", "benefits", "payroll", "hiring", "onboarding", "vacation"],
-    "finance": ["finance", "budget", "expense", "invoice", "revenue", "accounting", "cost"],
-    "sales": ["sales", "pipeline", "quota", "deal", "crm", "lead"],
-    "marketing": ["marketing", "campaign", "brand", "seo", "social media"],
+    "hr": ["hr", "leave", "policy", "onboarding", "benefit", "salary"],
+    "finance": ["budget", "revenue", "financial", "expense", "forecast"],
+    "sales": ["pipeline", "deal", "quota", "client", "prospect"],
+    "marketing": ["campaign", "brand", "content", "social", "launch"],
 }
-DOC_TYPES = {"pptx": ["presentation", "slides", "pptx", "deck"], "xlsx": ["spreadsheet", "excel", "xlsx", "workbook"], "docx": ["document", "report", "docx", "word doc"]}
-CONTENT_TYPES = {"policy": ["policy", "policies"], "report": ["report"], "guide": ["guide", "manual", "how-to"], "contract": ["contract", "agreement"]}
-COMPLEX = ["compare", "analyze", "difference", "relationship", "impact", "why"]
+#: Names of departments for filters, as patterns between word borders.
+FILTER_DEPARTMENTS = {
+    "hr": ["hr", "human\\s+resources?", "people\\s+ops?"],
+    "finance": ["finance", "financial", "accounting", "budget"],
+    "sales": ["sales", "revenue", "pipeline", "deals?"],
+    "marketing": ["marketing", "campaign", "brand"],
+}
+PATH_DEPARTMENTS = {
+    "hr": ["hr", "human resources", "people", "talent"],
+    "finance": ["finance", "accounting", "budget", "fiscal"],
+    "sales": ["sales", "revenue", "deals", "pipeline"],
+    "marketing": ["marketing", "brand", "campaign", "comms"],
+}
+#: Cue words that are counted per department.
+SCORED_DEPARTMENTS = {
+    "hr": [
+        "pto", "leave", "vacation", "holiday", "parental", "sick", "benefits", "onboarding", "offboarding", "payroll", "salary",
+        "compensation", "performance review", "fmla", "ada", "policy", "job description", "headcount", "hire", "termination",
+    ],
+    "finance": [
+        "budget", "revenue", "p&l", "profit", "loss", "ebitda", "cash flow", "invoice", "expense", "reimbursement", "vendor", "procurement",
+        "forecast", "quarter", "fiscal", "audit", "tax", "balance sheet", "accounts", "capex", "opex", "kpi", "variance",
+    ],
+    "sales": [
+        "pipeline", "deal", "opportunity", "quota", "crm", "salesforce", "close", "prospect", "account", "contract", "negotiation", "arr",
+        "mrr", "churn", "win rate", "lead", "territory", "commission",
+    ],
+    "marketing": [
+        "campaign", "content", "brand", "social", "email", "seo", "ads", "attribution", "roi", "conversion", "funnel", "engagement",
+        "impressions", "ctr", "cpl", "event", "webinar", "press release",
+    ],
+}
+DOC_TYPES = {"pptx": ["pptx", "presentation", "slide"], "xlsx": ["xlsx", "spreadsheet"], "docx": ["docx", "document", "report"]}
+CONTENT_TYPES = {
+    "policy": ["policy", "procedure", "guideline"],
+    "report": ["report"],
+    "presentation": ["presentation", "deck", "slides"],
+    "spreadsheet": ["spreadsheet"],
+    "memo": ["memo"],
+    "announcement": ["announcement"],
+}
+COMPLEX = ["compare", "contrast", "analyze", "analysis", "across", "trend", "throughout", "synthesize", "generate", "create", "draft", "write", "build"]
+HOW_TO = ["how to", "how do i", "steps to", "guide", "tutorial", "procedure"]
+COMPARE = ["compare", "difference", "vs", "versus", "pros and cons", "trade-off"]
 STRATEGY = {"analytical": "hyde_cosine", "procedural": "mmr"}
+#: The router's strategies by kind of question.
+ROUTED = {"analytical": "hyde_cosine", "generative": "hyde_cosine", "procedural": "mmr"}
 KNOWN_DEPARTMENTS = ["hr", "finance", "sales", "marketing", "general"]
 
 
@@ -65,15 +114,24 @@ def department(text: Column) -> Column:
 
 
 def department_by_score(text: Column) -> Column:
-    """Department with the most of its words in the text, at least two; ties to the first."""
+    """Department with the most of its cue words anywhere in the text, at least two;
+    ties to the first."""
     low = F.lower(text)
-    score = {d: sum((has_word(low, [w]).cast("int") for w in words), F.lit(0)) for d, words in DEPARTMENTS.items()}
+    score = {d: sum((low.contains(w).cast("int") for w in words), F.lit(0)) for d, words in SCORED_DEPARTMENTS.items()}
     most = F.greatest(*score.values())
     return first_of({d: (most >= 2) & (s == most) for d, s in score.items()})
 
 
-def department_from_path(path: Column) -> Column:
-    return first_of({d: has_word(F.lower(path), [d]) for d in DEPARTMENTS})
+def named_department(text: Column) -> Column:
+    """First department whose name stands in the text, else null."""
+    return first_of({d: has_word(F.lower(text), w) for d, w in FILTER_DEPARTMENTS.items()})
+
+
+def department_from_path(path: Column, inside_words: bool = False) -> Column:
+    """First department with one of its words in a path; words stand between borders, so
+    that "hr" is no part of another word, unless ``inside_words``."""
+    test = has_any if inside_words else has_word
+    return first_of({d: test(F.lower(path), w) for d, w in PATH_DEPARTMENTS.items()})
 
 
 def normal_department(name: Column) -> Column:
@@ -85,11 +143,13 @@ def strategy(kind: Column) -> Column:
     return first_of({s: kind == k for k, s in STRATEGY.items()}, F.lit("cosine"))
 
 
-def routed_strategy(text: Column, given: Column) -> Column:
-    """Strategy override by cue words, only where none or cosine is set."""
-    low = F.lower(text)
+def routed_strategy(text: Column, given: Column, kind: Column | None = None) -> Column:
+    """The router's strategy: none for smalltalk; where none or cosine is given, by kind
+    (by default the rules' own), how-to words override it and words of comparison both."""
+    low, kind = F.lower(text), query_type(text) if kind is None else kind
     free = given.isNull() | (given == "cosine")
-    return F.when(free & has_any(low, ["how to", "how do", "steps"]), "mmr").when(free & has_any(low, ["compare", "versus", "difference"]), "hyde_cosine").otherwise(F.coalesce(given, F.lit("cosine")))
+    own = F.when(has_any(low, COMPARE), "hyde_cosine").when(has_any(low, HOW_TO), "mmr").otherwise(first_of({s: kind == k for k, s in ROUTED.items() if s == "mmr"}, F.when(kind.isin("analytical", "generative"), "hyde_cosine").otherwise("cosine")))
+    return F.when(kind == "smalltalk", "none").when(free, own).otherwise(given)
 
 
 def document_type(text: Column) -> Column:
@@ -113,9 +173,9 @@ def file_extension(name: Column) -> Column:
 
 def scrub(text: Column) -> Column:
     """E-mail addresses, social security numbers and phone numbers become tags."""
-    out = F.regexp_replace(text, "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[EMAIL]")
-    out = F.regexp_replace(out, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[SSN]")
-    return F.regexp_replace(out, "\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}", "[PHONE]")
+    out = F.regexp_replace(text, "\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b", "[EMAIL]")
+    out = F.regexp_replace(out, "\\b[0-9]{3}[-.\\s]?[0-9]{2}[-.\\s]?[0-9]{4}\\b", "[SSN]")
+    return F.regexp_replace(out, "\\b(\\+1[-.\\s]?)?\\(?[0-9]{3}\\)?[-.\\s]?[0-9]{3}[-.\\s]?[0-9]{4}\\b", "[PHONE]")
 
 
 def token_count(text: Column) -> Column:
@@ -145,8 +205,8 @@ def doc_spec(text: Column, schema: str) -> Column:
 
 
 def filter_department(analysis: Column, question: Column, user: Column) -> Column:
-    """Department of a filter: analysis, then the question's words, then the user's."""
-    return F.coalesce(analysis, department(question), user)
+    """Department of a filter: analysis, then a name in the question, then the user's."""
+    return F.coalesce(analysis, named_department(question), user)
 
 
 def last_folder(path: Column) -> Column:
@@ -156,7 +216,7 @@ def last_folder(path: Column) -> Column:
 
 
 def edge_weight(kind: Column, count: Column, strength: Column) -> Column:
-    """Traversal weight of a relation."""
+    """Traversal weight of a relation (fixed values)."""
     return (
         F.when(kind == "SUPERSEDES", 0.95)
         .when(kind == "CITES", 0.9)
@@ -169,21 +229,20 @@ def edge_weight(kind: Column, count: Column, strength: Column) -> Column:
 def date_range(text: Column, as_of: Column) -> tuple[Column, Column]:
     """(from, to) of a relative expression, half-open; nulls if there is none.
 
-    last N days, this/last week, this/last month, this/last quarter, this/last year,
+    last N day(s), this/last week, this/last month, this/last quarter, this/last year,
     in Qn YYYY, since YYYY, in YYYY; the first that matches wins.
     """
     low = F.lower(text)
-    days = F.regexp_extract(low, "last ([0-9]+) days", 1)
-    q = F.regexp_extract(low, "in q([1-4]) ([0-9]{4})", 1)
-    qy = F.regexp_extract(low, "in q([1-4]) ([0-9]{4})", 2)
-    since = F.regexp_extract(low, "since ([0-9]{4})", 1)
-    year = F.regexp_extract(low, "in ([0-9]{4})", 1)
+    said = lambda pattern, group=0: F.regexp_extract(low, f"(?:^|[^a-z0-9_]){pattern}(?:[^a-z0-9_]|$)", group)
+    days = said("last\\s+([0-9]+)\\s+days?", 1)
+    q, qy = (said("in\\s+q([1-4])\\s+([0-9]{4})", k) for k in (1, 2))
+    since, year = said("since\\s+([0-9]{4})", 1), said("in\\s+([0-9]{4})", 1)
     number = lambda c: F.try_to_number(c, F.lit("9999")).cast("int")
     rules: list[tuple[Column, Column, Column]] = [(days != "", as_of - F.make_interval(days=number(days)), as_of)]
     for unit, months in (("week", None), ("month", 1), ("quarter", 3), ("year", 12)):
         start = F.date_trunc(unit, as_of)
         back = start - F.make_interval(days=F.lit(7)) if months is None else F.date_trunc(unit, F.add_months(start, -months))
-        rules += [(low.contains(f"this {unit}"), start, as_of), (low.contains(f"last {unit}"), back, start)]
+        rules += [(said(f"this\\s+{unit}") != "", start, as_of), (said(f"last\\s+{unit}") != "", back, start)]
     start = F.make_timestamp(number(qy), number(q) * 3 - 2, F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     rules.append((q != "", start, F.date_trunc("day", F.add_months(start, 3))))
     rules.append((since != "", F.make_timestamp(number(since), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)), as_of))

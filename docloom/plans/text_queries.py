@@ -9,42 +9,63 @@ from docloom.operators import chunking, metrics
 from docloom.plans.registry import query
 
 ASKED = "asked as (select conv_id, turn, text, lower(text) as low from {conversations} where role = 'user')"
-TITLES = """titles as (select doc_id, case doc_id % 16 when 0 then 'What is our PTO policy?' when 1 then 'How to submit an expense report?' when 2 then 'Compare Q3 vs Q4 sales trends' when 3 then 'Create a presentation about Q4 sales'
-  when 4 then 'What is our leave policy?' when 5 then 'Show me the latest budget report' when 6 then 'Tell me about the company' when 7 then 'Generate a report document' when 8 then 'Create a spreadsheet with budget data'
-  when 9 then 'Steps to onboard a new employee' when 10 then 'Thanks!' when 11 then 'invoices of the last 30 days and the budget cost' when 12 then 'revenue in q2 2023' when 13 then 'hiring since 2021' when 14 then 'reports of last month'
-  else 'guide to benefits and payroll this quarter' end as q, text from {documents})"""
-QUESTIONS = ["What is our PTO policy?", "How to submit an expense report?", "Compare Q3 vs Q4 sales trends", "Create a presentation about Q4 sales", "What is our leave policy?", "Show me the latest budget report", "Tell me about the company", "Generate a report document", "Create a spreadsheet with budget data", "Steps to onboard a new employee", "Thanks!", "invoices of the last 30 days and the budget cost", "revenue in q2 2023", "hiring since 2021", "reports of last month"]
+# Questions and, written out by hand, what the rules say of each: kind, department, strategy,
+# document type, content type, complex, department by name, by score, routed strategy, date range.
+EXPECTED = """
+0|What is our PTO policy?|factual|hr|cosine||policy|f||hr|cosine||
+1|How to submit an expense report?|procedural|finance|mmr||report|f|||mmr||
+2|Compare Q3 vs Q4 sales trends|analytical||hyde_cosine|||t|sales||hyde_cosine||
+3|Create a presentation about Q4 sales|generative||cosine|pptx|presentation|t|sales||hyde_cosine||
+4|What is our leave policy?|factual|hr|cosine||policy|f||hr|cosine||
+5|Show me the latest budget report|factual|finance|cosine||report|f|finance||cosine||
+6|What's the current pipeline value?|factual|sales|cosine|||f|sales||cosine||
+7|What campaigns are running?|factual||cosine|||f|||cosine||
+8|Tell me about the company|factual||cosine|||f|||cosine||
+9|Generate a report document|generative||cosine|docx|report|t|||hyde_cosine||
+10|Create a spreadsheet with budget data|generative|finance|cosine|xlsx|spreadsheet|t|finance||hyde_cosine||
+11|Steps to onboard a new employee|procedural||mmr|||f|||mmr||
+12|Thanks!|smalltalk||cosine|||f|||none||
+13|How do I build the sales forecast for our clients?|generative|finance|cosine|||t|sales||mmr||
+14|invoices of the last 30 days, revenue and tax|factual|finance|cosine|||f|sales|finance|cosine|2024-01-01|2024-01-31
+15|revenue in Q2 2023|factual|finance|cosine|||f|sales||cosine|2023-04-01|2023-07-01
+16|hiring since 2021|factual||cosine|||f|||cosine|2021-01-01|2024-01-31
+17|reports of last month|factual||cosine||report|f|||cosine|2023-12-01|2024-01-01
+18|guide to benefits and payroll this quarter|factual||cosine|||f||hr|mmr|2024-01-01|2024-01-31
+19|compare benefits of last week with last 1 day|analytical||hyde_cosine|||t|||hyde_cosine|2024-01-30|2024-01-31
+20|news of this week|factual||cosine|||f|||cosine|2024-01-29|2024-01-31
+21|news of last week|factual||cosine|||f|||cosine|2024-01-22|2024-01-29
+22|budget of this month|factual|finance|cosine|||f|finance||cosine|2024-01-01|2024-01-31
+23|budget of last quarter|factual|finance|cosine|||f|finance|finance|cosine|2023-10-01|2024-01-01
+24|plan for this year|factual||cosine|||f|||cosine|2024-01-01|2024-01-31
+25|results of last year|factual||cosine|||f|||cosine|2023-01-01|2024-01-01
+26|deals in 2022|factual||cosine|||f|sales||cosine|2022-01-01|2023-01-01
+27|within 2021 nothing|factual||cosine|||f|||cosine||
+28|Bahrain office on the third floor|factual||cosine|||f|||cosine||
+29|What are the pros and cons of a vs b, a guide|factual||cosine|||f|||hyde_cosine||
+30|  OK. |smalltalk||cosine|||f|||none||
+31|human resources summary for people ops|analytical||hyde_cosine|||f|hr||hyde_cosine||
+""".strip("\n")
+EXPECTED = [x.split("|") for x in EXPECTED.split("\n")]
+QUESTIONS = [x[1] for x in EXPECTED]
+TITLES = (
+    "expected(k, q, kind, department, strategy, document_type, content_type, complex, named, by_score, routed, since, until) as (values "
+    + ", ".join("(" + ", ".join([x[0], *(f"nullif('{v.replace(chr(39), chr(39) * 2)}', '')" for v in x[1:])]) + ")" for x in EXPECTED)
+    + "), titles as (select doc_id, expected.* from {documents} join expected on doc_id % 32 = k)"
+)
 
 
 def _titles(t):
     """Every document under a question, so that rules meet all the tables' rows."""
     q = None
     for i, x in enumerate(QUESTIONS):
-        q = F.when(F.col("doc_id") % 16 == i, x) if q is None else q.when(F.col("doc_id") % 16 == i, x)
-    return t("documents").select("doc_id", q.otherwise("guide to benefits and payroll this quarter").alias("q"), "text")
-
-
-def _any(column: str, words: list[str]) -> str:
-    return "(" + " or ".join(f"contains({column}, '{w}')" for w in words) + ")"
-
-
-def _word(column: str, words: list[str]) -> str:
-    return f"regexp_matches({column}, '(^|[^a-z0-9_])({'|'.join(words)})([^a-z0-9_]|$)')"
+        q = F.when(F.col("doc_id") % 32 == i, x) if q is None else q.when(F.col("doc_id") % 32 == i, x)
+    return t("documents").select("doc_id", q.alias("q"), "text")
 
 
-SMALL = "list_contains([" + ", ".join(f"'{x}'" for x in text.SMALLTALK) + "], regexp_replace(lower(trim(q)), '[!?.,:; ]+$', ''))"
-KIND = f"case when {SMALL} then 'smalltalk' when {_any('lower(q)', text.GENERATIVE)} then 'generative' when {_any('lower(q)', text.PROCEDURAL)} then 'procedural' when {_any('lower(q)', text.ANALYTICAL)} then 'analytical' else 'factual' end"
-DEPT = "case " + " ".join(f"when {_word('lower({0})', w)} then '{d}'" for d, w in text.DEPARTMENTS.items()) + " end"
-DOC = f"case when {_any('lower(q)', text.GENERATIVE)} then case " + " ".join(f"when {_any('lower(q)', w)} then '{d}'" for d, w in text.DOC_TYPES.items()) + " end end"
-CONTENT = "case " + " ".join(f"when {_any('lower(q)', w)} then '{d}'" for d, w in text.CONTENT_TYPES.items()) + " end"
 WORDS = "list_filter(regexp_split_to_array({0}, '[ \\t\\n\\r]+'), lambda x: x <> '')"
 
 
-@query(
-    "query_analysis",
-    f"""with {TITLES} select doc_id, {KIND} as kind, {DEPT.format('q')} as department, case {KIND} when 'analytical' then 'hyde_cosine' when 'procedural' then 'mmr' else 'cosine' end as strategy, {DOC} as document_type, {CONTENT} as content_type,
-      {_any('lower(q)', text.COMPLEX)} or len({WORDS.format('q')}) > 15 as complex from titles""",
-)
+@query("query_analysis", f"with {TITLES} select doc_id, kind, department, strategy, document_type, content_type, complex = 't' as complex from titles")
 def query_analysis(t):
     q = F.col("q")
     kind = text.query_type(q)
@@ -53,49 +74,43 @@ def query_analysis(t):
 
 @query(
     "question_turns",
-    f"""with {ASKED} select conv_id, turn, {KIND.replace('(q)', '(text)')} as kind, substr(text, 1, 2000) = text as whole, length(text) > 100 as long from asked""",
+    f"""with {ASKED} select conv_id, turn, case when regexp_matches(low, '^\\s*(hi|hello|hey|howdy|hola|greetings|yo|sup|good (morning|afternoon|evening|day)|how are you|hows it going|how do you do|whats up|thanks|thank you( so much)?|thx|ty|cheers|bye|goodbye|see you|take care|later|cya|have a (good|nice) day|ok|okay|alright|sure|got it|understood|cool|nice|great|awesome|who are you|what (are you|can you do|do you do)|help)[!?.,:; ]*$') then 'smalltalk'
+        when regexp_matches(low, 'create|generate|make|build') then 'generative' when regexp_matches(low, 'how to|steps|process|procedure') then 'procedural' when regexp_matches(low, 'compare|analyze|trend|summary') then 'analytical' else 'factual' end as kind,
+        substr(text, 1, 2000) = text as whole, length(text) > 100 as long from asked""",
 )
 def question_turns(t):
     rows = t("conversations").where("role = 'user'")
     return rows.select("conv_id", "turn", text.query_type(F.col("text")).alias("kind"), (F.substring("text", 1, 2000) == F.col("text")).alias("whole"), (F.length("text") > 100).alias("long"))
 
 
-@query(
-    "routed_strategy",
-    f"""with {TITLES}, g as (select *, case doc_id % 3 when 0 then null when 1 then 'cosine' else 'mmr' end as given from titles)
-      select doc_id, case when (given is null or given = 'cosine') and {_any('lower(q)', ['how to', 'how do', 'steps'])} then 'mmr' when (given is null or given = 'cosine') and {_any('lower(q)', ['compare', 'versus', 'difference'])} then 'hyde_cosine' else coalesce(given, 'cosine') end as strategy from g""",
-)
+@query("routed_strategy", f"with {TITLES} select doc_id, case when kind <> 'smalltalk' and doc_id % 3 = 2 then 'mmr' else routed end as strategy from titles")
 def routed_strategy(t):
     given = F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, "cosine").otherwise("mmr")
     return _titles(t).select("doc_id", text.routed_strategy(F.col("q"), given).alias("strategy"))
 
 
-SCORES = {d: " + ".join(f"cast({_word('lower(q)', [w])} as int)" for w in ws) for d, ws in text.DEPARTMENTS.items()}
-
-
-@query(
-    "department_rules",
-    f"""with {TITLES}, s as (select *, {', '.join(f'{v} as s_{d}' for d, v in SCORES.items())} from titles), m as (select *, greatest({', '.join('s_' + d for d in SCORES)}) as most from s)
-      select doc_id, case when most < 2 then null {' '.join(f"when s_{d} = most then '{d}'" for d in SCORES)} end as by_score, coalesce({DEPT.format('q')}, case when doc_id % 2 = 0 then 'sales' end, 'general') as with_fallback from m""",
-)
+@query("department_rules", f"with {TITLES} select doc_id, by_score, named, coalesce(case when doc_id % 5 = 0 then 'hr' end, named, case when doc_id % 2 = 0 then 'sales' end) as filtered from titles")
 def department_rules(t):
-    fallback = F.coalesce(text.department(F.col("q")), F.when(F.col("doc_id") % 2 == 0, "sales"), F.lit("general"))
-    return _titles(t).select("doc_id", text.department_by_score(F.col("q")).alias("by_score"), fallback.alias("with_fallback"))
+    given, own = F.when(F.col("doc_id") % 5 == 0, "hr"), F.when(F.col("doc_id") % 2 == 0, "sales")
+    return _titles(t).select("doc_id", text.department_by_score(F.col("q")).alias("by_score"), text.named_department(F.col("q")).alias("named"), text.filter_department(given, F.col("q"), own).alias("filtered"))
 
 
-@query("path_departments", "select position, case when regexp_matches(lower(parent_path), '(^|[^a-z0-9_])hr([^a-z0-9_]|$)') then 'hr' when regexp_matches(lower(parent_path), '(^|[^a-z0-9_])finance([^a-z0-9_]|$)') then 'finance' when regexp_matches(lower(parent_path), '(^|[^a-z0-9_])sales([^a-z0-9_]|$)') then 'sales' end as department, case when lower(split_part(name, ' ', 1)) = 'file' then 'general' else 'x' end as normal from {feed}")
-def path_departments(t):
-    return t("feed").select("position", text.department_from_path(F.col("parent_path")).alias("department"), text.normal_department(F.substring_index("name", " ", 1)).alias("normal"))
+PATHS = "case position % 8 when 0 then '/Talent/x' when 1 then '/a/Human Resources' when 2 then '/threshold' when 3 then '/FY/Fiscal' when 4 then '/Deals-2023' when 5 then '/comms' else parent_path end"
 
 
 @query(
-    "date_ranges",
-    f"""with {TITLES} select doc_id,
-      case when contains(lower(q), 'last 30 days') then timestamp '2024-01-01 00:00:00' when contains(lower(q), 'this quarter') then timestamp '2024-01-01 00:00:00' when contains(lower(q), 'last month') then timestamp '2023-12-01 00:00:00'
-        when contains(lower(q), 'in q2 2023') then timestamp '2023-04-01 00:00:00' when contains(lower(q), 'since 2021') then timestamp '2021-01-01 00:00:00' end as since,
-      case when contains(lower(q), 'last 30 days') then timestamp '2024-01-31 00:00:00' when contains(lower(q), 'this quarter') then timestamp '2024-01-31 00:00:00' when contains(lower(q), 'last month') then timestamp '2024-01-01 00:00:00'
-        when contains(lower(q), 'in q2 2023') then timestamp '2023-07-01 00:00:00' when contains(lower(q), 'since 2021') then timestamp '2024-01-31 00:00:00' end as until from titles""",
+    "path_departments",
+    """select position, case position % 8 when 0 then 'hr' when 1 then 'hr' when 2 then null when 3 then 'finance' when 4 then 'sales' when 5 then 'marketing' else case split_part(split_part(parent_path, ':/', 2), '/', 1) when 'HR' then 'hr' when 'Finance' then 'finance' when 'Sales' then 'sales' end end as department,
+      case position % 8 when 0 then 'hr' when 1 then 'hr' when 2 then 'hr' when 3 then 'finance' when 4 then 'sales' when 5 then 'marketing' else case split_part(split_part(parent_path, ':/', 2), '/', 1) when 'HR' then 'hr' when 'Finance' then 'finance' when 'Sales' then 'sales' end end as inside,
+      case position % 4 when 0 then 'sales' when 1 then 'hr' else 'general' end as normal from {feed}""",
 )
+def path_departments(t):
+    path = F.expr(PATHS)
+    name = F.expr("case position % 4 when 0 then ' Sales ' when 1 then 'HR' when 2 then 'legal' end")
+    return t("feed").select("position", text.department_from_path(path).alias("department"), text.department_from_path(path, True).alias("inside"), text.normal_department(name).alias("normal"))
+
+
+@query("date_ranges", f"with {TITLES} select doc_id, cast(since as timestamp) as since, cast(until as timestamp) as until from titles")
 def date_ranges(t):
     a, b = text.date_range(F.col("q"), F.lit("2024-01-31").cast("timestamp"))
     return _titles(t).select("doc_id", a.cast("timestamp_ntz").alias("since"), b.cast("timestamp_ntz").alias("until"))
@@ -103,10 +118,12 @@ def date_ranges(t):
 
 @query(
     "scrubbed_text",
-    """select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '[0-9]{3}-[0-9]{2}-[0-9]{4}', '[SSN]', 'g'), '\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}', '[PHONE]', 'g')) as digest from {documents}""",
+    """with x as (select doc_id, text || case doc_id % 4 when 0 then ' ssn 123456789 or 123.45.6789' when 1 then ' call 5551234567, (555) 123-4567 or 1-555-123-4567' when 2 then ' mail A.b@C.Org' else '' end as text from {documents})
+      select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b', '[EMAIL]', 'gi'), '\\b\\d{3}[-.\\s]?\\d{2}[-.\\s]?\\d{4}\\b', '[SSN]', 'g'), '\\b(\\+1[-.\\s]?)?\\(?\\d{3}\\)?[-.\\s]?\\d{3}[-.\\s]?\\d{4}\\b', '[PHONE]', 'g')) as digest from x""",
 )
 def scrubbed_text(t):
-    return t("documents").select("doc_id", F.md5(text.scrub(F.col("text"))).alias("digest"))
+    more = F.expr("text || case doc_id % 4 when 0 then ' ssn 123456789 or 123.45.6789' when 1 then ' call 5551234567, (555) 123-4567 or 1-555-123-4567' when 2 then ' mail A.b@C.Org' else '' end")
+    return t("documents").select("doc_id", F.md5(text.scrub(more)).alias("digest"))
 
 
 @query(
@@ -361,7 +378,7 @@ def doc_specs(t):
 
 @query(
     "filter_departments",
-    f"with {TITLES} select doc_id, coalesce(case when doc_id % 5 = 0 then 'general' end, {DEPT.format('q')}, case when doc_id % 2 = 0 then 'sales' end) as department from titles",
+    f"with {TITLES} select doc_id, coalesce(case when doc_id % 5 = 0 then 'general' end, named, case when doc_id % 2 = 0 then 'sales' end) as department from titles",
 )
 def filter_departments(t):
     own = F.when(F.col("doc_id") % 5 == 0, "general")
