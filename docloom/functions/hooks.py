@@ -50,7 +50,7 @@ def fill_gaps(rows: DataFrame, model: Callable[[list[str]], list[dict[str, str]]
 def hashed_vector(text: Column, dim: int = 64) -> Column:
     """Default embedding: counts of words by a hash, in ``dim`` places."""
     words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dim)).cast("int"))
+    places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim)
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
 
 

@@ -1,7 +1,8 @@
 """Document-entity graph as vertex and edge tables.
 
 Relations between documents are kept once with the smaller id first and are read in
-both directions.
+both directions.  What a user looks up or is led to is held against the access table
+unless a caller says ``enforce_acl=False``.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import edge_weight
+from docloom.operators.search import visible
 
 TRAVERSED = ["CITES", "RELATED_TO", "SHARES_ENTITY", "SUPERSEDES"]
 
@@ -36,20 +38,48 @@ def belongs_edges(chunks: DataFrame) -> DataFrame:
 
 
 def merge_entities(mentions: DataFrame) -> DataFrame:
-    """Entities of a document under lower(name), type: counts added, first name kept."""
+    """Entities of a document under lower(name), type: counts added, first name kept;
+    where ``mentions`` has them, chunk ids and sections are united, and other names are
+    aliases."""
     key = F.lower(F.trim("name")).alias("key")
-    return mentions.groupBy("document_id", key, "type").agg(F.sum("n").alias("n"), F.min_by("name", "first_at").alias("name"))
+    united = [F.array_sort(F.collect_set(c)).alias(a) for c, a in (("chunk_id", "chunk_ids"), ("heading", "sections")) if c in mentions.columns]
+    out = mentions.groupBy("document_id", key, "type").agg(F.sum("n").alias("n"), F.min(F.struct("first_at", "name")).alias("f"), F.collect_set("name").alias("names"), *united)
+    return out.withColumn("name", F.col("f.name")).withColumn("aliases", F.array_sort(F.array_except("names", F.array("name")))).drop("f", "names")
+
+
+def document_vertices(documents: DataFrame, keep: list[str]) -> DataFrame:
+    """One vertex per document with the columns ``keep``; of repeated rows the last by
+    ``modified_at``, then by its columns, stays."""
+    last = Window.partitionBy("document_id").orderBy(F.desc_nulls_last("modified_at"), *keep)
+    return documents.select("document_id", "modified_at", *keep).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+
+
+def chunk_vertices(chunks: DataFrame, most: int = 200) -> DataFrame:
+    """One vertex per chunk: its document, index, heading and the start of its text."""
+    own = graph_index(chunks).select(F.col("chunk_id").alias("_c"), "index")
+    return chunks.join(own, F.col("chunk_id") == F.col("_c")).select("chunk_id", "document_id", "index", "heading", F.substring("content", 1, most).alias("summary"))
 
 
 def entity_vertices(mentions: DataFrame) -> DataFrame:
-    """One vertex per (name, type), with when it was first seen."""
-    return mentions.groupBy("name", "type").agg(F.min("first_at").alias("first_at"))
+    """One vertex per (lower name, type): the first name seen, all others as aliases, and
+    when it was first seen."""
+    key = F.lower(F.trim("name")).alias("key")
+    out = mentions.groupBy(key, "type").agg(F.min(F.struct("first_at", "name")).alias("f"), F.collect_set("name").alias("names"))
+    return out.select("key", "type", F.col("f.name").alias("name"), F.col("f.first_at").alias("first_at"), F.array_sort(F.array_except("names", F.array("f.name"))).alias("aliases"))
 
 
 def mentioned_edges(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("name", "type", "document_id").agg(F.sum("n").alias("count"))
 
 
+def mentions_in_chunks(mentions: DataFrame) -> DataFrame:
+    """MENTIONED_IN_CHUNK: entity to chunk, with how often and in which sections.
+
+    ``mentions`` has (name, type, chunk_id, heading, n)."""
+    out = mentions.where("chunk_id is not null").groupBy(F.lower(F.trim("name")).alias("key"), "type", "chunk_id")
+    return out.agg(F.sum("n").alias("count"), F.array_sort(F.collect_set("heading")).alias("sections"))
+
+
 def topic_edges(topics: DataFrame, relevance: float = 0.7) -> DataFrame:
     return topics.select(F.col("document_id").alias("src"), F.col("topic").alias("dst"), F.lit("COVERED_IN").alias("type"), F.lit(relevance).alias("relevance")).distinct()
 
@@ -80,16 +110,18 @@ def superseding(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(ids.select("document_id").distinct(), "document_id")
 
 
-def entity_lookup(mentions: DataFrame, wanted: DataFrame, most: int = 10) -> DataFrame:
-    """Documents that mention wanted (name, type), most mentions first."""
-    hit = mentions.join(F.broadcast(wanted), ["name", "type"]).groupBy("name", "type", "document_id").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("name", "type").orderBy(F.desc("n"), "document_id")
+def entity_lookup(mentions: DataFrame, wanted: DataFrame, access: DataFrame | None = None, most: int = 10, enforce_acl: bool = True) -> DataFrame:
+    """Documents that mention wanted (user_id, name, type), most mentions first."""
+    hit = mentions.groupBy("name", "type", "document_id").agg(F.sum("n").alias("n")).join(wanted.distinct(), ["name", "type"])
+    hit = visible(hit, access, enforce_acl)
+    order = Window.partitionBy("user_id", "name", "type").orderBy(F.desc("n"), "document_id")
     return hit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def document_context(ids: DataFrame, mentions: DataFrame, topics: DataFrame, edges: DataFrame) -> DataFrame:
-    """Entities, topics and citations of documents; each side is aggregated first."""
-    want = ids.select("document_id").distinct()
+def document_context(ids: DataFrame, mentions: DataFrame, topics: DataFrame, edges: DataFrame, access: DataFrame | None = None, enforce_acl: bool = True) -> DataFrame:
+    """Entities, topics and citations of the documents that (user_id, document_id) may see;
+    each side is aggregated first."""
+    want = visible(ids.select("user_id", "document_id").distinct(), access, enforce_acl)
     e = mentions.groupBy("document_id").agg(F.array_sort(F.collect_set("name")).alias("entities"))
     t = topics.groupBy("document_id").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
     c = edges.where("type = 'CITES'").groupBy(F.col("src").alias("document_id")).agg(F.array_sort(F.collect_set("dst")).alias("cites"))
@@ -102,32 +134,46 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.select("src", "dst", *cols).unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *cols))
 
 
-def expand(seeds: DataFrame, edges: DataFrame, limit: int = 5, per_seed: int = 20) -> DataFrame:
-    """Related documents of each query's seeds: (query_id, document_id, types, weight, rank).
+def _may_pass(rows: DataFrame, levels: DataFrame | None, access_levels: list[str] | None) -> DataFrame:
+    """Rows whose document has one of the access levels, or none; ``levels`` has
+    (document_id, access_level)."""
+    if levels is None or access_levels is None:
+        return rows
+    shut = levels.where(F.col("access_level").isNotNull() & ~F.col("access_level").isin(access_levels)).select("document_id").distinct()
+    return rows.join(shut, "document_id", "left_anti")
+
+
+def expand(seeds: DataFrame, edges: DataFrame, access: DataFrame | None = None, limit: int = 5, per_seed: int = 20, enforce_acl: bool = True, levels: DataFrame | None = None, access_levels: list[str] | None = None) -> DataFrame:
+    """Related documents of each query's seeds (query_id, user_id, document_id):
+    (query_id, document_id, types, weight, rank).
 
-    Neighbours in either direction; the best ``per_seed`` of each seed; rolled up per
-    related document with its relation types and largest weight; the best ``limit``.
+    Neighbours in either direction that the query's user may see; the best ``per_seed``
+    of each seed; rolled up per related document with its relation types and largest
+    weight; the best ``limit``.
     """
     e = both_ways(edges).withColumn("weight", F.round(edge_weight(F.col("type"), F.coalesce("count", F.lit(0)), F.col("strength")), 6))
-    near = seeds.select("query_id", F.col("document_id").alias("src")).distinct().join(e, "src")
-    order = Window.partitionBy("query_id", "src").orderBy(F.desc("weight"), "dst", "type")
+    near = seeds.select("query_id", "user_id", F.col("document_id").alias("src")).distinct().join(e, "src").withColumnRenamed("dst", "document_id")
+    near = _may_pass(visible(near, access, enforce_acl), levels, access_levels)
+    order = Window.partitionBy("query_id", "src").orderBy(F.desc("weight"), "document_id", "type")
     near = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_seed)
-    rolled = near.groupBy("query_id", F.col("dst").alias("document_id")).agg(F.array_sort(F.collect_set("type")).alias("types"), F.max("weight").alias("weight"))
+    rolled = near.groupBy("query_id", "document_id").agg(F.array_sort(F.collect_set("type")).alias("types"), F.max("weight").alias("weight"))
     rolled = rolled.join(seeds.select("query_id", "document_id").distinct(), ["query_id", "document_id"], "left_anti")
     best = Window.partitionBy("query_id").orderBy(F.desc("weight"), "document_id")
     return rolled.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
-def expand_hops(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
-    """(query_id, document_id, hop): documents within ``hops`` steps of the seeds."""
+def expand_hops(seeds: DataFrame, edges: DataFrame, access: DataFrame | None = None, hops: int = 2, enforce_acl: bool = True) -> DataFrame:
+    """(query_id, document_id, hop): documents within ``hops`` steps of the seeds
+    (query_id, user_id, document_id); hidden documents are no steps."""
     e = both_ways(edges).select("src", "dst").distinct()
-    seen = seeds.select("query_id", "document_id", F.lit(0).alias("hop")).distinct()
+    seen = seeds.select("query_id", "user_id", "document_id", F.lit(0).alias("hop")).distinct()
     front = seen
     for h in range(1, hops + 1):
-        step = front.join(e, front["document_id"] == e["src"]).select("query_id", F.col("dst").alias("document_id")).distinct()
-        front = step.join(seen, ["query_id", "document_id"], "left_anti").withColumn("hop", F.lit(h))
+        step = front.join(e, front["document_id"] == e["src"]).select("query_id", "user_id", F.col("dst").alias("document_id")).distinct()
+        step = visible(step, access, enforce_acl)
+        front = step.join(seen, ["query_id", "document_id"], "left_anti").withColumn("hop", F.lit(h)).select(*seen.columns)
         seen = seen.unionByName(front)
-    return seen.where("hop > 0")
+    return seen.where("hop > 0").drop("user_id")
 
 
 def delete_from_graph(edges: DataFrame, gone: DataFrame) -> DataFrame:
@@ -137,6 +183,7 @@ def delete_from_graph(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def merge_vertices(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Idempotent merge: the last row by ``order`` of each key wins."""
-    last = Window.partitionBy(*key).orderBy(F.desc(order))
+    """Idempotent merge of vertices or, with key (src, dst, type), of edges: the last row
+    by ``order`` of each key wins, ties by the other columns."""
+    last = Window.partitionBy(*key).orderBy(F.desc(order), *[F.col(c) for c in old.columns if c not in (*key, order)])
     return old.unionByName(new).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most distinct query words that are written into the plan.
+TERMS = 2000
 
-def terms(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, length): ASCII-lower-cased runs of letters."""
-    words = F.filter(F.split(F.lower(F.col(text_col)), "[^a-z]+"), lambda w: w != "")
-    split = rows.select(id_col, words.alias("w"))
-    return split.select(id_col, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
+
+def _words(text: Column) -> Column:
+    """ASCII-lower-cased runs of letters."""
+    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank) for (query_id, text) against (doc_id, text).
 
-    Only the queries' terms leave the document side before the join."""
-    q = terms(queries, "query_id", "text").select("query_id", "term")
-    t = terms(docs, "doc_id", "text")
-    size = docs.select(F.size(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")).alias("n")).agg(F.count("*").alias("total"), F.avg("n").alias("mean"))
-    own = t.join(q.select("term").distinct(), "term", "left_semi")
+    Texts are split once, into a row of counts per document and distinct word; only words
+    of the queries get there, where these are at most ``TERMS``, a list in the plan, and
+    by a join in any case.  The mean length comes from the same split.
+    """
+    q = queries.select("query_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).distinct()
+    few = [r.term for r in q.select("term").distinct().limit(TERMS + 1).collect()]
+    split = docs.select("doc_id", _words(F.col("text")).alias("w")).withColumn("length", F.size("w"))
+    size = split.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
+    if len(few) <= TERMS:
+        split = split.withColumn("w", F.filter("w", lambda w: w.isin(few)) if few else F.array().cast("array<string>"))
+    own = split.select("doc_id", "length", F.explode("w").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    if len(few) > TERMS:
+        own = own.join(q.select("term").distinct(), "term", "left_semi")
     df = own.groupBy("term").agg(F.count("*").alias("df"))
     hit = own.join(df, "term").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -1,6 +1,6 @@
 """Vector search over chunks for many queries at once, and what follows it.
 
-Scores are compared rounded to six places, ties go to the smaller chunk id, so a
+Access is checked unless a caller says ``enforce_acl=False``.  Scores are compared rounded to six places, ties go to the smaller chunk id, so a
 ranking is the same whatever the partitioning.
 """
 
@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from docloom.functions.vectors import cosine, norm
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 #: Queries that are sent to all tasks at once; more are searched in blocks.
 QUERY_BLOCK = 4096
@@ -60,26 +61,104 @@ def query_blocks(queries: DataFrame, most: int = QUERY_BLOCK) -> Iterator[DataFr
             yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)
 
 
-def scored(queries: DataFrame, chunks: DataFrame, access: DataFrame | None = None, match_department: bool = False) -> DataFrame:
-    """(query columns, chunk columns, score) of the pairs that may be seen.
+def visible(rows: DataFrame, access: DataFrame | None, enforce_acl: bool = True) -> DataFrame:
+    """The rows (user_id, document_id, ...) whose user may see the document."""
+    if not enforce_acl:
+        return rows
+    if access is None:
+        raise ValueError("an access table is required; enforce_acl=False searches without one")
+    return rows.join(access.select("user_id", "document_id").distinct(), ["user_id", "document_id"], "left_semi")
 
-    With ``access`` (user_id, document_id) pairs come from two equi-joins.  Without, the
-    queries of a block meet every chunk: the query side is broadcast, at most
-    ``QUERY_BLOCK`` rows at a time.
-    """
-    q = queries.select("query_id", "user_id", F.col("embedding").alias("q_vec"), norm("embedding").alias("q_norm"), F.col("department").alias("q_department"))
-    c = chunks.withColumn("c_norm", norm("embedding"))
+
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    """[row, component], with NaN rows for vectors that cannot be compared."""
+    out = np.full((len(column), dim), np.nan)
+    many = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    own = np.flatnonzero(many == dim)
+    if len(own):
+        out[own] = pc.fill_null(column.take(pa.array(own)).flatten(), np.nan).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return out
+
+
+def _block_scores(block: DataFrame, chunks: DataFrame, access: DataFrame | None, match_department: bool, keep: int | None, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """Scores of one block of queries, as matrix products of Arrow batches.
+
+    The block is sent to all tasks.  With ``access`` a chunk carries the numbers of the
+    block's queries that may see it, at most ``QUERY_BLOCK`` of them.  With ``centres`` a
+    chunk meets only the queries that have its list among their ``probes`` nearest."""
+    spark = chunks.sparkSession
+    q = block.select("query_id", "user_id", "embedding", "department").orderBy("query_id").toArrow()
+    ids, users = q.column("query_id").to_pylist(), q.column("user_id").to_pylist()
+    vectors = q.column("embedding").combine_chunks()
+    dim = max(pc.list_value_length(vectors).to_pylist() or [0], key=lambda n: n or 0) or 1
+    m = _vectors(vectors, dim)
+    shared = spark.sparkContext.broadcast((m, np.sqrt((m * m).sum(1)), ids, users, np.array([d or "" for d in q.column("department").to_pylist()], object)))
+    lists: list[np.ndarray] = []
+    checked = access is not None
+    if centres is not None:
+        near = np.argsort(-np.nan_to_num(m @ centres.T), axis=1, kind="stable")[:, :probes]
+        lists = [np.flatnonzero((near == k).any(1)) for k in range(len(centres))]
+    rows = chunks
     if access is not None:
-        pairs = q.join(access.select("user_id", "document_id").distinct(), "user_id").join(c, "document_id")
-    else:
-        pairs = None
-        for block in query_blocks(q):
-            part = c.crossJoin(F.broadcast(block))
-            pairs = part if pairs is None else pairs.unionByName(part)
-    if match_department:
-        pairs = pairs.where(F.col("q_department").isNull() | (F.col("q_department") == F.col("department")))
-    score = F.round(cosine("q_vec", "embedding", F.col("q_norm"), F.col("c_norm")), 6)
-    return pairs.withColumn("score", score).drop("q_norm", "c_norm", "q_department")
+        asked = spark.createDataFrame([(u, k) for k, u in enumerate(users) if u is not None], "user_id long, _q int")
+        may = access.select("user_id", "document_id").distinct().join(F.broadcast(asked), "user_id").groupBy("document_id").agg(F.collect_list("_q").alias("_may"))
+        rows = chunks.join(may, "document_id")
+    fields = [f for f in chunks.schema.fields if f.name not in ("query_id", "user_id", "score")]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, norms, ids, users, departments = shared.value
+        for whole in batches:
+            step = max(1, (1 << 22) // max(1, len(ids)))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                x = _vectors(batch.column(batch.schema.get_field_index("embedding")), dim)
+                size = np.sqrt((x * x).sum(1))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    if centres is None:
+                        score = np.round(x @ m.T / (size[:, None] * norms), 6)
+                    else:
+                        score = np.full((len(x), len(ids)), np.nan)
+                        home = np.nan_to_num(x @ centres.T).argmax(1)
+                        for k in np.unique(home):
+                            own, asked = np.flatnonzero(home == k), lists[k]
+                            score[np.ix_(own, asked)] = np.round(x[own] @ m[asked].T / (size[own][:, None] * norms[asked]), 6)
+                ok = np.isfinite(score)
+                if checked:
+                    may = batch.column(batch.schema.get_field_index("_may"))
+                    seen = np.zeros_like(ok)
+                    seen[np.repeat(np.arange(len(may)), pc.list_value_length(may).to_numpy()), may.flatten().to_numpy()] = True
+                    ok &= seen
+                if match_department:
+                    own = np.array(batch.column(batch.schema.get_field_index("department")).to_pylist(), object)
+                    ok &= (departments == "")[None, :] | (own[:, None] == departments[None, :])
+                if keep is not None and len(score) > keep:
+                    # the best of the batch, with all that tie with the last of them
+                    least = -np.partition(np.where(ok, -score, np.inf), keep - 1, axis=0)[keep - 1]
+                    ok &= score >= least
+                r, c = np.nonzero(ok)
+                own = batch.take(pa.array(r))
+                yield pa.RecordBatch.from_arrays([*(own.column(own.schema.get_field_index(n)) for n in names), pa.array([ids[k] for k in c], pa.int64()), pa.array([users[k] for k in c], pa.int64()), pa.array(score[r, c])], names=[*names, "query_id", "user_id", "score"])
+
+    return rows.mapInArrow(run, StructType([*fields, StructField("query_id", LongType()), StructField("user_id", LongType()), StructField("score", DoubleType())]))
+
+
+def scored(queries: DataFrame, chunks: DataFrame, access: DataFrame | None = None, match_department: bool = False, enforce_acl: bool = True, keep: int | None = None) -> DataFrame:
+    """(chunk columns, query_id, user_id, score) of the pairs that may be seen.
+
+    ``access`` has (user_id, document_id) and is required unless ``enforce_acl`` is
+    False.  Queries meet the chunks in blocks of at most ``QUERY_BLOCK``.  With ``keep``
+    every batch gives out only its best ``keep`` of each query, which is all that a
+    ranking of that length needs.  Vectors that are null, zero or of another length
+    than the queries' are left out.
+    """
+    if enforce_acl and access is None:
+        raise ValueError("an access table is required; enforce_acl=False searches without one")
+    out = None
+    for block in query_blocks(queries):
+        part = _block_scores(block, chunks, access if enforce_acl else None, match_department, keep)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def top_k(pairs: DataFrame, k: int = 20) -> DataFrame:
@@ -109,6 +188,14 @@ def rerank(ranked: DataFrame, new_score: Column, k: int = 10) -> DataFrame:
     return out.where(F.col("_new") <= k).withColumnRenamed("rank", "original_rank").withColumnRenamed("_new", "rank")
 
 
+def rerank_or_skip(ranked: DataFrame, new_score: Column, skip: Column, k: int = 10) -> DataFrame:
+    """``rerank``, but queries where ``skip`` holds keep their order; the first ``k``."""
+    skip = F.coalesce(skip, F.lit(False))
+    order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
+    out = ranked.withColumn("rerank_score", F.when(skip, -F.col("rank")).otherwise(F.round(new_score, 6)).cast("double")).withColumn("_new", F.row_number().over(order))
+    return out.withColumn("rerank_score", F.when(~skip, F.col("rerank_score"))).where(F.col("_new") <= k).withColumnRenamed("rank", "original_rank").withColumnRenamed("_new", "rank")
+
+
 def mmr(candidates: DataFrame, k: int = 10, weight: float = 0.7) -> DataFrame:
     """Maximal marginal relevance over each query's candidates, greedily.
 
@@ -132,12 +219,13 @@ def mmr(candidates: DataFrame, k: int = 10, weight: float = 0.7) -> DataFrame:
     return candidates.select("query_id", "chunk_id", "score", "rank", "embedding").groupBy("query_id").applyInPandas(pick, "query_id long, chunk_id long, score double, mmr_rank long")
 
 
-def by_strategy(queries: DataFrame, chunks: DataFrame, access: DataFrame | None, k: int = 10, fetch_k: int = 40) -> DataFrame:
-    """Each query by its own strategy: cosine and hyde_cosine rank, mmr diversifies."""
-    plain = queries.where("strategy in ('cosine', 'hyde_cosine')")
-    other = queries.where("strategy = 'mmr'")
-    a = top_k(scored(plain, chunks, access), k).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
-    b = mmr(top_k(scored(other, chunks, access), fetch_k), k).select("query_id", "chunk_id", "score", F.col("mmr_rank").alias("rank"))
+def by_strategy(queries: DataFrame, chunks: DataFrame, access: DataFrame | None, k: int = 10, fetch_k: int = 40, enforce_acl: bool = True) -> DataFrame:
+    """Each query by its own strategy: mmr diversifies, none retrieves nothing, all others
+    (cosine, hyde_cosine, unknown or null) rank."""
+    own = F.coalesce("strategy", F.lit("cosine"))
+    plain, other = queries.where(~own.isin("mmr", "none")), queries.where(own == "mmr")
+    a = top_k(scored(plain, chunks, access, enforce_acl=enforce_acl, keep=k), k).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    b = mmr(top_k(scored(other, chunks, access, enforce_acl=enforce_acl, keep=fetch_k), fetch_k), k).select("query_id", "chunk_id", "score", F.col("mmr_rank").alias("rank"))
     return a.unionByName(b)
 
 
@@ -179,22 +267,69 @@ def context_text(ranked: DataFrame, chunks: int = 8, each: int = 800, total: int
     return text.withColumn("context", F.when(F.length("context") > total, F.concat(F.substring("context", 1, total), F.lit("\n[truncated]"))).otherwise(F.col("context")))
 
 
-def numbered_context(ranked: DataFrame) -> DataFrame:
-    """``[i] title - heading`` blocks per query, in rank order."""
+def numbered_context(ranked: DataFrame, related: DataFrame | None = None) -> DataFrame:
+    """``[i] title - heading`` blocks per query, in rank order; then, where there are any,
+    the summaries of ``related`` (query_id, document_id, summary) documents."""
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce("title", F.lit("Unknown")), F.when(F.col("heading").isNotNull(), F.concat(F.lit(" - "), F.col("heading"))).otherwise(F.lit("")), F.lit("\n"), F.col("content"))
     rows = ranked.select("query_id", F.struct("rank", line.alias("t")).alias("r"))
-    return rows.groupBy("query_id").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"])).alias("context"))
+    out = rows.groupBy("query_id").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"])).alias("context"))
+    if related is None:
+        return out
+    more = related.where("summary is not null").groupBy("query_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("document_id", "summary"))), lambda r: F.concat(F.lit("- "), r["summary"]))).alias("_more"))
+    return out.join(more, "query_id", "left").select("query_id", F.concat_ws("\n\n", "context", F.concat(F.lit("Related:\n"), F.col("_more"))).alias("context"))
 
 
-def department_context(ranked: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Results up to the context size of their query's department."""
-    return ranked.join(F.broadcast(sizes), "department").where(F.col("rank") <= F.col("max_chunks"))
+def department_context(ranked: DataFrame, queries: DataFrame, sizes: dict[str, int], default: int = 5) -> DataFrame:
+    """Results up to the context size of their query's department (query_id, department)."""
+    size = F.lit(default)
+    for name, n in sizes.items():
+        size = F.when(F.col("_asked") == name, n).otherwise(size)
+    asked = queries.select(F.col("query_id").alias("_query"), F.col("department").alias("_asked"))
+    return ranked.join(asked, F.col("query_id") == F.col("_query")).where(F.col("rank") <= size).drop("_query", "_asked")
 
 
 def exclude_retrieved(related: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """Related documents that the query has not retrieved."""
+    """Related documents that the query has not retrieved, each once (its first by rank)."""
     seen = retrieved.select("query_id", "document_id").distinct()
-    return related.join(seen, ["query_id", "document_id"], "left_anti")
+    fresh = related.join(seen, ["query_id", "document_id"], "left_anti")
+    if "rank" not in related.columns:
+        return fresh.dropDuplicates(["query_id", "document_id"])
+    first = Window.partitionBy("query_id", "document_id").orderBy("rank")
+    return fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def related_scores(related: DataFrame, access_levels: list[str] | None = None) -> DataFrame:
+    """``related`` (query_id, document_id, types, weight, count) with ``relevance``: the
+    relation's weight, or by relation where it has none, and a little for each further
+    shared thing, 1 at most; with ``access_levels`` other levels go."""
+    rows = related
+    if access_levels is not None:
+        rows = rows.where(F.col("access_level").isNull() | F.col("access_level").isin(access_levels))
+    own = F.coalesce("weight", F.array_max(F.transform("types", lambda t: F.when(t == "SUPERSEDES", 0.95).when(t == "CITES", 0.9).otherwise(0.5))), F.lit(0.3))
+    return rows.withColumn("relevance", F.round(F.least(F.lit(1.0), own + 0.02 * F.greatest(F.lit(0), F.coalesce("count", F.lit(1)) - 1)), 6))
+
+
+def approximate_top_k(queries: DataFrame, chunks: DataFrame, access: DataFrame | None, k: int = 10, lists: int = 16, probes: int = 6, fit_rows: int = 50_000, enforce_acl: bool = True) -> DataFrame:
+    """Top k from inverted lists: (query_id, chunk_id, score, rank).
+
+    Centroids are fitted with k-means on at most ``fit_rows`` chunks (those of the
+    smallest hash); every chunk lies in its nearest list, and a query searches its
+    ``probes`` nearest lists, so a chunk meets only the queries that search its list.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    unit = F.transform("embedding", lambda x: x.cast("double"))
+    sample = chunks.where("embedding is not null").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(fit_rows).select(array_to_vector(unit).alias("features"))
+    centres = np.array(KMeans(k=lists, seed=7, distanceMeasure="cosine", maxIter=10).fit(sample).clusterCenters())
+    centres = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+    if enforce_acl and access is None:
+        raise ValueError("an access table is required; enforce_acl=False searches without one")
+    pairs = None
+    for block in query_blocks(queries):
+        part = _block_scores(block, chunks, access if enforce_acl else None, False, k, centres, probes)
+        pairs = part if pairs is None else pairs.unionByName(part)
+    return top_k(pairs, k).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def retrieval_metrics(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:

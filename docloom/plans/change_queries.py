@@ -193,11 +193,11 @@ def group_closure(t):
 @query(
     "access_pairs",
     """with recursive c as (select parent as ancestor, child as member from {group_edges} union select c.ancestor, e.child from c join {group_edges} e on e.parent = c.member),
-      g as (select distinct event_id % 50 as document_id, user_id, user_id % 20 as group_id from {events} where event_id < 400)
+      g as (select distinct event_id % 50 as document_id, user_id, user_id % 20 as group_id from {events})
       select document_id, user_id from g union select document_id, member from g join c on c.ancestor = g.group_id where member >= 20""",
 )
 def access_pairs(t):
-    e = t("events").where("event_id < 400").select((F.col("event_id") % 50).alias("document_id"), "user_id")
+    e = t("events").select((F.col("event_id") % 50).alias("document_id"), "user_id")
     grants = e.select("document_id", F.lit("user").alias("principal_type"), F.col("user_id").alias("principal_id")).unionByName(e.select("document_id", F.lit("group").alias("principal_type"), (F.col("user_id") % 20).alias("principal_id")))
     return access.access_pairs(grants, access.expand_groups(t("group_edges")).where("member >= 20"))
 

@@ -23,13 +23,13 @@ INPUTS = {
         vec_id % 7 + 1 as sequence_number,
         cast(timestamp '2023-01-01 00:00:00' as timestamp) as created_at
         from {embeddings}""",
-    "queries": """select vec_id as query_id, vec_id + 1 as user_id, embedding,
-        case vec_id % 3 when 0 then 'cosine' when 1 then 'mmr' else 'hyde_cosine' end as strategy,
-        case when vec_id % 4 = 3 then 'finance' else cast(null as string) end as department
-        from {embeddings} where vec_id < 8""",
+    "queries": """select vec_id as query_id, cast(floor(vec_id / 100) as bigint) + 1 as user_id, embedding,
+        case cast(floor(vec_id / 100) as bigint) % 5 when 0 then 'cosine' when 1 then 'mmr' when 2 then 'hyde_cosine' when 3 then cast(null as string) else 'none' end as strategy,
+        case when vec_id % 200 = 100 then 'finance' else cast(null as string) end as department
+        from {embeddings} where vec_id % 100 = 0""",
     "access": "select distinct user_id, event_id % 50 as document_id from {events} where event_type = 'view'",
     "doc_status": "select distinct document_id, case when document_id % 7 = 0 then 'pending' when document_id % 11 = 0 then 'deleted' else 'completed' end as status from {chunks}",
-    "group_edges": "select distinct user_id % 20 as parent, (user_id * 7 + event_id) % 40 as child from {events} where event_id < 60",
+    "group_edges": "select distinct user_id % 20 as parent, (user_id % 20 * 7 + event_id % 3) % 40 as child from {events}",
     "mentions": """select user_id as entity_id, concat('Entity ', cast(user_id as string)) as name, case when user_id % 2 = 0 then 'ORG' else 'PERSON' end as type,
         event_id % 500 as document_id, count(*) as n, min(event_id) as first_at from {events} where event_type = 'purchase' group by user_id, event_id % 500""",
     "topics": "select doc_id as document_id, source as topic, lang from {documents}",
@@ -41,13 +41,13 @@ INPUTS = {
         event_type = 'error' as is_deleted, event_type = 'signup' as is_folder,
         case when event_id % 13 = 0 then cast(null as string) else cast(cast(floor(value) as bigint) as string) end as ctag, cast(round(value, 2) as string) as etag,
         concat('/drives/', cast(event_id % 3 as string), '/root:/', case event_id % 4 when 0 then 'HR' when 1 then 'Finance/Reports' when 2 then 'Sales' else 'Misc' end) as parent_path,
-        cast(ts as timestamp) as modified_at from {events} where event_id >= 5000""",
+        cast(ts as timestamp) as modified_at from {events} where cast(floor(event_id / 400) as bigint) % 2 = 1""",
     "stored": """select item_id, drive_id, ctag, etag, status, retry_count, content_hash from (
         select event_id % 400 as item_id, event_id % 3 as drive_id, cast(cast(floor(value) as bigint) as string) as ctag, cast(round(value, 2) as string) as etag,
         case when event_type = 'error' then 'failed' when event_type = 'signup' then 'deleted' else 'completed' end as status, event_id % 5 as retry_count,
         cast(event_id % 17 as string) as content_hash,
-        row_number() over (partition by event_id % 400, event_id % 3 order by event_id desc) as rn from {events} where event_id < 5000) x where rn = 1 and item_id % 10 <> 9""",
-    "judged": "select doc_id % 8 as query_id, doc_id as rank_key, quality as relevant from {labels}",
+        row_number() over (partition by event_id % 400, event_id % 3 order by event_id desc) as rn from {events} where cast(floor(event_id / 400) as bigint) % 2 = 0) x where rn = 1 and item_id % 10 <> 9""",
+    "judged": "select doc_id % 80 as query_id, doc_id as rank_key, quality as relevant from {labels}",
     "metrics": "select event_id, cast(ts as timestamp) as seen_at, event_type as department, value as latency, user_id from {events}",
 }
 

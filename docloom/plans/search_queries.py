@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions.hooks import lexical_overlap
+from docloom.functions.hooks import hashed_vector, lexical_overlap
 from docloom.operators import graph, lexical, search
 from docloom.plans.registry import query
 
@@ -23,7 +23,7 @@ def _long(df, *cols):
 
 
 def _ranked(t, k=40):
-    return search.top_k(search.scored(t("queries"), t("chunks"), t("access")), k)
+    return search.top_k(search.scored(t("queries"), t("chunks"), t("access"), keep=k), k)
 
 
 def flagship(t):
@@ -47,34 +47,54 @@ def top_k_access(t):
 
 @query("top_k_all", f"with {ALL_PAIRS}, {RANKED} select query_id, chunk_id, score, rank from ranked where rank <= 20")
 def top_k_all(t):
-    """All pairs of a stated query block and the chunks."""
-    return _long(search.top_k(search.scored(t("queries"), t("chunks")), 20).select("query_id", "chunk_id", "score", "rank"), "rank")
+    """An administrator's search: access is not checked."""
+    return _long(search.top_k(search.scored(t("queries"), t("chunks"), enforce_acl=False, keep=20), 20).select("query_id", "chunk_id", "score", "rank"), "rank")
+
+
+OWN = f"""from {{queries}} q join {{access}} a on a.user_id = q.user_id join {{chunks}} c on c.document_id = a.document_id"""
 
 
 @query(
     "top_k_filtered",
-    f"""with pairs as (select q.query_id, c.chunk_id, {COSINE} as score from {{queries}} q, {{chunks}} c where c.content_type = 'policy' and c.extraction_method = 'ocr'
+    f"""with pairs as (select q.query_id, c.chunk_id, {COSINE} as score {OWN} where c.content_type = 'policy' and c.extraction_method = 'ocr' and c.created_at >= timestamp '2022-01-01 00:00:00' and c.created_at <= timestamp '2023-01-01 00:00:00'
       and (c.access_level in ('public') or c.access_level is null) and (q.department is null or q.department = c.department)), {RANKED}
       select query_id, chunk_id, score, rank from ranked where rank <= 10""",
 )
 def top_k_filtered(t):
-    chunks = t("chunks").where(search.metadata_filter(content_type="policy", extraction_method="ocr", access_levels=["public"]))
-    return _long(search.top_k(search.scored(t("queries"), chunks, match_department=True), 10).select("query_id", "chunk_id", "score", "rank"), "rank")
+    import datetime
+
+    day = datetime.datetime
+    chunks = t("chunks").where(search.metadata_filter(content_type="policy", extraction_method="ocr", access_levels=["public"], created_from=day(2022, 1, 1), created_to=day(2023, 1, 1)))
+    return _long(search.top_k(search.scored(t("queries"), chunks, t("access"), match_department=True, keep=10), 10).select("query_id", "chunk_id", "score", "rank"), "rank")
 
 
-@query("top_k_care", f"with {ALL_PAIRS}, own as (select * from pairs where kb = 'care'), r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from own) select query_id, chunk_id, score, rank from r where rank <= 8")
+@query(
+    "top_k_care",
+    f"""with pairs as (select q.query_id, c.chunk_id, {COSINE} as score, case when c.document_id % 2 = 0 then 'https://policies.example.org/' || c.document_id end as policy_url, case c.department when 'hr' then 'people' else c.department end as category {OWN} where c.kb = 'care'), {RANKED}
+      select query_id, chunk_id, score, rank, policy_url, category from ranked where rank <= 8""",
+)
 def top_k_care(t):
-    """The second knowledge base is the same search behind a filter on ``kb``."""
-    return _long(search.top_k(search.scored(t("queries"), t("chunks").where("kb = 'care'")), 8).select("query_id", "chunk_id", "score", "rank"), "rank")
+    """The second knowledge base is the same search behind a filter on ``kb``; its rows
+    have a policy address, and their department is called category."""
+    chunks = t("chunks").where("kb = 'care'").withColumns({"policy_url": F.when(F.col("document_id") % 2 == 0, F.concat(F.lit("https://policies.example.org/"), F.col("document_id").cast("string"))), "category": F.when(F.col("department") == "hr", "people").otherwise(F.col("department"))})
+    return _long(search.top_k(search.scored(t("queries"), chunks, t("access"), keep=8), 8).select("query_id", "chunk_id", "score", "rank", "policy_url", "category"), "rank")
 
 
 @query(
     "top_k_completed",
-    f"""with pairs as (select q.query_id, c.chunk_id, {COSINE} as score from {{queries}} q, {{chunks}} c where c.document_id in (select document_id from {{doc_status}} where status = 'completed')), {RANKED}
+    f"""with pairs as (select q.query_id, c.chunk_id, {COSINE} as score {OWN} where c.document_id in (select document_id from {{doc_status}} where status = 'completed')), {RANKED}
       select query_id, chunk_id, score, rank from ranked where rank <= 5""",
 )
 def top_k_completed(t):
-    return _long(search.top_k(search.scored(t("queries"), search.completed_only(t("chunks"), t("doc_status"))), 5).select("query_id", "chunk_id", "score", "rank"), "rank")
+    return _long(search.top_k(search.scored(t("queries"), search.completed_only(t("chunks"), t("doc_status")), t("access"), keep=5), 5).select("query_id", "chunk_id", "score", "rank"), "rank")
+
+
+@query("in_given_documents", f"with pairs as (select q.query_id, c.chunk_id, {COSINE} as score {OWN} where c.document_id in (select document_id from {{doc_status}} where status = 'pending')), {RANKED} select query_id, chunk_id, rank from ranked where rank <= least(10, greatest(1, cast(query_id / 100 as bigint)))")
+def in_given_documents(t):
+    """A search inside given documents, with each query's own k held between 1 and 10."""
+    some = search.in_documents(t("chunks"), t("doc_status").where("status = 'pending'"))
+    ranked = search.top_k(search.scored(t("queries"), some, t("access"), keep=10), 10)
+    return _long(ranked.where(F.col("rank") <= search.clamp_k(F.expr("query_id div 100"))).select("query_id", "chunk_id", "rank"), "rank")
 
 
 @query(
@@ -101,12 +121,36 @@ def reranked(t):
     return _long(out.select("query_id", "chunk_id", "original_rank", "rerank_score", "rank"), "original_rank", "rank")
 
 
-@query("mmr_selection")
+@query(
+    "rerank_skipped",
+    f"""with {ACL_PAIRS}, {RANKED}, r as (select query_id, chunk_id, rank as original_rank, query_id % 200 = 0 as skip, case when query_id % 200 <> 0 then round(score + 1e0 / (3 + chunk_id % 5), 6) end as rerank_score from ranked where rank <= 40),
+      n as (select *, row_number() over (partition by query_id order by case when skip then -original_rank else rerank_score end desc, original_rank) as rank from r) select query_id, chunk_id, original_rank, rerank_score, rank from n where rank <= 10""",
+)
+def rerank_skipped(t):
+    """Reranking, left out for every other query."""
+    out = search.rerank_or_skip(_ranked(t), F.col("score") + 1.0 / (3 + F.col("chunk_id") % 5), F.col("query_id") % 200 == 0, 10)
+    return _long(out.select("query_id", "chunk_id", "original_rank", "rerank_score", "rank"), "original_rank", "rank")
+
+
+# Greedy selection as a recursion over the list of what is chosen; ties go to the better rank.
+MMR = f"""m as (select query_id, chunk_id, score, rank, cast(embedding as double[]) as e from (select r.*, c.embedding from ranked r join {{chunks}} c using (chunk_id) where rank <= 40)),
+  pair as (select x.query_id, x.rank as i, y.rank as j, list_cosine_similarity(x.e, y.e) as sim from m x join m y using (query_id)),
+  pick(query_id, n, chosen, best) as (select query_id, cast(0 as bigint), cast([] as bigint[]), cast(null as bigint) from (select distinct query_id from m)
+    union all select query_id, n + 1, list_append(chosen, next), next from (
+      select p.query_id, p.n, p.chosen, arg_min(m.rank, (-round(0.7 * m.score - 0.3 * coalesce((select max(sim) from pair where pair.query_id = p.query_id and pair.i = m.rank and list_contains(p.chosen, pair.j)), 0), 9), m.rank)) as next
+      from pick p join m on m.query_id = p.query_id and not list_contains(p.chosen, m.rank) where p.n < 10 group by p.query_id, p.n, p.chosen))"""
+
+
+@query("mmr_selection", f"with recursive {ACL_PAIRS}, {RANKED}, {MMR} select p.query_id, m.chunk_id, m.score, p.n as mmr_rank from pick p join m on m.query_id = p.query_id and m.rank = p.best where p.n > 0")
 def mmr_selection(t):
     return search.mmr(_ranked(t), 10)
 
 
-@query("strategy_dispatch")
+@query(
+    "strategy_dispatch",
+    f"""with recursive {ACL_PAIRS}, {RANKED}, {MMR} select p.query_id, m.chunk_id, m.score, p.n as rank from pick p join m on m.query_id = p.query_id and m.rank = p.best where p.n > 0 and p.query_id in (select query_id from {{queries}} where strategy = 'mmr')
+      union all select query_id, chunk_id, score, rank from ranked where rank <= 10 and query_id in (select query_id from {{queries}} where coalesce(strategy, 'cosine') not in ('mmr', 'none'))""",
+)
 def strategy_dispatch(t):
     return search.by_strategy(t("queries"), t("chunks"), t("access"))
 
@@ -140,21 +184,26 @@ def context_text(t):
 
 @query(
     "numbered_context",
-    f"""with {ACL_PAIRS}, {RANKED} select query_id, string_agg('[' || rank || '] ' || title || ' - ' || department || chr(10) || 'chunk ' || chunk_id, chr(10) || chr(10) order by rank) as context from ranked where rank <= 6 group by query_id""",
+    f"""with {ACL_PAIRS}, {RANKED}, c as (select query_id, string_agg('[' || rank || '] ' || title || ' - ' || department || chr(10) || 'chunk ' || chunk_id, chr(10) || chr(10) order by rank) as context from ranked where rank <= 6 group by query_id),
+      r as (select query_id, string_agg('- About ' || document_id, chr(10) order by document_id) as more from (select distinct query_id, document_id from ranked where rank > 6 and rank <= 12 and document_id % 2 = 0) x group by query_id)
+      select query_id, context || coalesce(chr(10) || chr(10) || 'Related:' || chr(10) || more, '') as context from c left join r using (query_id)""",
 )
 def numbered_context(t):
-    rows = _ranked(t, 6).withColumns({"heading": F.col("department"), "content": F.concat(F.lit("chunk "), F.col("chunk_id").cast("string"))})
-    return search.numbered_context(rows)
+    ranked = _ranked(t, 12)
+    rows = ranked.where("rank <= 6").withColumns({"heading": F.col("department"), "content": F.concat(F.lit("chunk "), F.col("chunk_id").cast("string"))})
+    summary = F.when(F.col("document_id") % 2 == 0, F.concat(F.lit("About "), F.col("document_id").cast("string")))
+    return search.numbered_context(rows, ranked.where("rank > 6").select("query_id", "document_id", summary.alias("summary")).distinct())
 
 
 @query(
     "department_context",
-    f"""with {ACL_PAIRS}, {RANKED} select query_id, chunk_id, department, rank from ranked join (values ('hr', 6), ('finance', 8), ('sales', 6), ('marketing', 6), ('general', 5)) s(d, n) on s.d = department where rank <= n""",
+    f"""with {ACL_PAIRS}, {RANKED} select r.query_id, chunk_id, r.department, rank from ranked r join {{queries}} q on q.query_id = r.query_id where rank <= case q.department when 'hr' then 6 when 'finance' then 8 when 'sales' then 6 when 'marketing' then 6 else 5 end""",
 )
 def department_context(t):
-    ranked = _ranked(t)
-    sizes = ranked.sparkSession.sql("select * from values ('hr', 6), ('finance', 8), ('sales', 6), ('marketing', 6), ('general', 5) as s(department, max_chunks)")
-    return _long(search.department_context(ranked, sizes).select("query_id", "chunk_id", "department", "rank"), "rank")
+    # fixed values: chunks of context by department
+    sizes = {"hr": 6, "finance": 8, "sales": 6, "marketing": 6}
+    out = search.department_context(_ranked(t), t("queries").select("query_id", "department"), sizes, 5)
+    return _long(out.select("query_id", "chunk_id", "department", "rank"), "rank")
 
 
 @query("export_records", f"with {ACL_PAIRS}, {RANKED} select query_id, rank, chunk_id, substr(title, 1, 800) as content, round(score, 3) as score from ranked where rank <= 10")
@@ -164,12 +213,12 @@ def export_records(t):
 
 @query(
     "retrieval_metrics",
-    f"""with {ACL_PAIRS}, {RANKED}, got as (select distinct query_id, document_id from ranked where rank <= 10), want as (select distinct q.query_id, d.document_id from {{queries}} q, {{chunks}} d where d.document_id % 8 = q.query_id),
+    f"""with {ACL_PAIRS}, {RANKED}, got as (select distinct query_id, document_id from ranked where rank <= 10), want as (select distinct q.query_id, d.document_id from {{queries}} q, {{chunks}} d where d.document_id % 8 = cast(q.query_id / 100 as bigint) % 8),
       h as (select query_id, count(*) as hits from got join want using (query_id, document_id) group by query_id), g as (select query_id, count(*) as found from got group by query_id), w as (select query_id, count(*) as expected from want group by query_id)
       select query_id, case when coalesce(found, 0) > 0 then round(coalesce(hits, 0) / found, 6) else 0.0 end as precision, round(coalesce(hits, 0) / expected, 6) as recall from w left join g using (query_id) left join h using (query_id)""",
 )
 def retrieval_metrics(t):
-    want = t("chunks").select((F.col("document_id") % 8).alias("query_id"), "document_id").distinct()
+    want = t("chunks").select("document_id").distinct().join(t("queries").select("query_id"), F.expr("document_id % 8 = query_id div 100 % 8")).select("query_id", "document_id")
     return search.retrieval_metrics(_ranked(t, 10), want)
 
 
@@ -186,7 +235,8 @@ def sufficiency(t):
     f"""with {ACL_PAIRS}, {RANKED}, seeds as (select distinct query_id, document_id from ranked where rank <= 10),
       e0 as (select src, dst, type, strength from {{edges}} where dst is not null and src <> dst), e as (select * from e0 union all select dst, src, type, strength from e0),
       w as (select *, round(case type when 'SUPERSEDES' then 0.95 when 'CITES' then 0.9 when 'RELATED_TO' then coalesce(strength, 0.5) else 0.3 end, 6) as weight from e),
-      near as (select s.query_id, s.document_id as src, w.dst, w.type, w.weight, row_number() over (partition by s.query_id, s.document_id order by w.weight desc, w.dst, w.type) as n from seeds s join w on w.src = s.document_id),
+      near as (select s.query_id, s.document_id as src, w.dst, w.type, w.weight, row_number() over (partition by s.query_id, s.document_id order by w.weight desc, w.dst, w.type) as n from seeds s join w on w.src = s.document_id
+        join {{queries}} q on q.query_id = s.query_id join {{access}} a on a.user_id = q.user_id and a.document_id = w.dst where coalesce(w.dst % 9, 1) <> 4),
       rolled as (select query_id, dst as document_id, array_to_string(list_sort(list(distinct type)), ',') as types, max(weight) as weight from near where n <= 20 group by query_id, dst),
       out as (select r.*, row_number() over (partition by r.query_id order by weight desc, r.document_id) as rank from rolled r left join seeds s on s.query_id = r.query_id and s.document_id = r.document_id where s.query_id is null)
       select query_id, document_id, types, weight, rank from out where rank <= 5""",
@@ -194,7 +244,9 @@ def sufficiency(t):
 def related_documents(t):
     """Expansion of each query's seed documents over the relations."""
     edges = t("edges").withColumn("count", F.lit(None).cast("long"))
-    out = graph.expand(search.seeds(_ranked(t)), edges)
+    levels = t("edges").select(F.col("dst").alias("document_id"), F.when(F.col("dst") % 9 == 4, "secret").alias("access_level")).distinct()
+    seeds = search.seeds(_ranked(t)).join(t("queries").select("query_id", "user_id"), "query_id")
+    out = graph.expand(seeds, edges, t("access"), levels=levels, access_levels=["public"])
     return _long(out.withColumn("types", F.concat_ws(",", "types")), "rank")
 
 
@@ -217,24 +269,15 @@ def related_chunks(t):
 
 @query("approximate_recall")
 def approximate_recall(t):
-    """recall@10 of hashed random projections against the exact ranking."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    from docloom.functions.vectors import norm
-
-    unit = lambda df: df.withColumn("u", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / norm("embedding"))))
-    q, c = unit(t("queries")), unit(t("chunks"))
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=2.0, numHashTables=6, seed=7).fit(c)
-    near = model.approxSimilarityJoin(q.select("query_id", "u"), c.select("chunk_id", "u"), 1.4, "dist").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(1 - F.col("dist") * F.col("dist") / 2, 6).alias("score"))
-    got = search.top_k(near, 10).select("query_id", "chunk_id")
-    exact = search.top_k(search.scored(t("queries"), t("chunks")), 10).select("query_id", "chunk_id")
+    """recall@10 of the inverted-list search against the exact ranking."""
+    got = search.approximate_top_k(t("queries"), t("chunks"), t("access"), 10).select("query_id", "chunk_id")
+    exact = _ranked(t, 10).select("query_id", "chunk_id")
     hit = got.join(exact, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count("*").alias("hits"))
     return exact.groupBy("query_id").agg(F.count("*").alias("n")).join(hit, "query_id", "left").select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.col("n"), 6).alias("recall"))
 
 
 TERMS = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')"
-BM25 = f"""qt as (select distinct conv_id as query_id, unnest({TERMS}) as term from {{conversations}} where turn = 1 and conv_id < 20),
+BM25 = f"""qt as (select distinct conv_id as query_id, unnest({TERMS}) as term from {{conversations}} where turn = 1 and conv_id % 100 = 0),
   d as (select doc_id, {TERMS} as w from {{documents}}), st as (select count(*) as total, avg(len(w)) as mean from d), dt as (select doc_id, len(w) as length, unnest(w) as term from d),
   tf as (select doc_id, length, term, count(*) as tf from dt where term in (select term from qt) group by doc_id, length, term), df as (select term, count(*) as df from tf group by term),
   sc as (select query_id, doc_id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 4) as score from tf join df using (term) join qt using (term), st group by query_id, doc_id),
@@ -242,7 +285,7 @@ BM25 = f"""qt as (select distinct conv_id as query_id, unnest({TERMS}) as term f
 
 
 def _lexical(t, k=10):
-    asked = t("conversations").where("turn = 1 and conv_id < 20").select(F.col("conv_id").alias("query_id"), "text")
+    asked = t("conversations").where("turn = 1 and conv_id % 100 = 0").select(F.col("conv_id").alias("query_id"), "text")
     return lexical.bm25(asked, t("documents").select("doc_id", "text"), k)
 
 
@@ -251,17 +294,22 @@ def bm25(t):
     return _long(_lexical(t), "rank")
 
 
+HASHED = """list_transform(range(32), lambda i: cast(len(list_filter(list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> ''), lambda w: cast('0x' || substr(md5(w), 1, 4) as bigint) % 32), lambda p: p = i)) as double))"""
+
+
 @query(
     "hybrid_fusion",
-    f"""with {BM25}, o as (select query_id, doc_id, row_number() over (partition by query_id order by (doc_id * 7919 + query_id) % 1009, doc_id) as rank from lex where rank <= 30),
+    f"""with {BM25}, qv as (select conv_id as query_id, {HASHED} as v from {{conversations}} where turn = 1 and conv_id % 100 = 0), dv as (select doc_id, {HASHED} as v from {{documents}}),
+      vs as (select query_id, doc_id, round(list_cosine_similarity(qv.v, dv.v), 6) as score from qv, dv where list_sum(qv.v) > 0 and list_sum(dv.v) > 0), o as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from vs qualify rank <= 30),
       f as (select query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) as fused from (select query_id, doc_id, rank from lex where rank <= 30 union all select * from o) group by query_id, doc_id),
       r as (select *, row_number() over (partition by query_id order by fused desc, doc_id) as rank from f) select query_id, doc_id, fused, rank from r where rank <= 10""",
 )
 def hybrid_fusion(t):
-    """Reciprocal rank fusion of the lexical ranking with a second ranking."""
-    a = _lexical(t, 30)
-    other = a.select("query_id", "doc_id", F.expr("row_number() over (partition by query_id order by (doc_id * 7919 + query_id) % 1009, doc_id)").alias("rank"))
-    return _long(lexical.fuse(a, other), "rank")
+    """Reciprocal rank fusion of the lexical with the vector ranking."""
+    asked = t("conversations").where("turn = 1 and conv_id % 100 = 0").select(F.col("conv_id").alias("query_id"), F.lit(None).cast("long").alias("user_id"), hashed_vector(F.col("text"), 32).alias("embedding"), F.lit(None).cast("string").alias("department"))
+    docs = t("documents").select(F.col("doc_id").alias("chunk_id"), hashed_vector(F.col("text"), 32).alias("embedding"))
+    near = search.top_k(search.scored(asked, docs, enforce_acl=False, keep=30), 30).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
+    return _long(lexical.fuse(_lexical(t, 30), near), "rank")
 
 
 # ---- graph -----------------------------------------------------------------
@@ -282,14 +330,51 @@ def structure_edges(t):
     return graph.contains_edges(t("chunks")).withColumn("dst", F.col("dst").cast("string")).unionByName(graph.belongs_edges(t("chunks")))
 
 
-@query("merged_entities", "select document_id, lower(trim(name)) as key, type, cast(sum(n) as bigint) as n, arg_min(name, first_at) as name from {mentions} group by document_id, lower(trim(name)), type")
+SAID = "case event_type when 'purchase' then 'Entity ' || user_id % 30 when 'view' then 'ENTITY ' || user_id % 30 else 'entity ' || user_id % 30 end"
+SAYS = f"says as (select {SAID} as name, case when user_id % 2 = 0 then 'ORG' else 'PERSON' end as type, event_id % 50 as document_id, event_id % 500 as chunk_id, 'part ' || event_id % 3 as heading, cast(1 as bigint) as n, event_id as first_at from {{events}})"
+
+
+def _says(t):
+    """Mentions in three spellings, with their chunk and section."""
+    return t("events").select(F.expr(SAID).alias("name"), F.when(F.col("user_id") % 2 == 0, "ORG").otherwise("PERSON").alias("type"), (F.col("event_id") % 50).alias("document_id"), (F.col("event_id") % 500).alias("chunk_id"), F.concat(F.lit("part "), (F.col("event_id") % 3).cast("string")).alias("heading"), F.lit(1).cast("long").alias("n"), F.col("event_id").alias("first_at"))
+
+
+def _joined(df, *columns):
+    return df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in columns})
+
+
+@query(
+    "merged_entities",
+    f"""with {SAYS}, m as (select document_id, lower(trim(name)) as key, type, cast(sum(n) as bigint) as n, arg_min(name, first_at) as name, list_sort(list(distinct name)) as names, list_sort(list(distinct chunk_id)) as c, list_sort(list(distinct heading)) as s from says group by 1, 2, 3)
+      select document_id, key, type, n, name, array_to_string(c, ',') as chunk_ids, array_to_string(s, ',') as sections, array_to_string(list_filter(names, lambda x: x <> name), ',') as aliases from m""",
+)
 def merged_entities(t):
-    return graph.merge_entities(t("mentions"))
+    return _joined(graph.merge_entities(_says(t)), "chunk_ids", "sections", "aliases")
 
 
-@query("entity_vertices", "select name, type, min(first_at) as first_at from {mentions} group by name, type")
+@query(
+    "entity_vertices",
+    f"""with {SAYS}, m as (select lower(trim(name)) as key, type, arg_min(name, first_at) as name, min(first_at) as first_at, list_sort(list(distinct name)) as names from says group by 1, 2)
+      select key, type, name, first_at, array_to_string(list_filter(names, lambda x: x <> name), ',') as aliases from m""",
+)
 def entity_vertices(t):
-    return graph.entity_vertices(t("mentions"))
+    return _joined(graph.entity_vertices(_says(t)), "aliases")
+
+
+@query("mentions_in_chunks", f"with {SAYS} select lower(trim(name)) as key, type, chunk_id, cast(sum(n) as bigint) as count, array_to_string(list_sort(list(distinct heading)), ',') as sections from says group by 1, 2, 3")
+def mentions_in_chunks(t):
+    return _joined(graph.mentions_in_chunks(_says(t)), "sections")
+
+
+@query("document_vertices", "select document_id, max(sequence_number) as modified_at, title, arg_max(department, (sequence_number, -ascii(department))) as department from {chunks} group by document_id, title")
+def document_vertices(t):
+    rows = t("chunks").select("document_id", F.col("sequence_number").alias("modified_at"), "title", "department")
+    return graph.document_vertices(rows, ["department", "title"])
+
+
+@query("chunk_vertices", "select chunk_id, document_id, row_number() over (partition by document_id order by sequence_number, chunk_id) - 1 as index, department as heading, substr(repeat(title || ' ', 40), 1, 200) as summary from {chunks}")
+def chunk_vertices(t):
+    return graph.chunk_vertices(t("chunks").withColumns({"heading": F.col("department"), "content": F.expr("repeat(title || ' ', 40)")}))
 
 
 @query("mentioned_edges", "select name, type, document_id, cast(sum(n) as bigint) as count from {mentions} group by all")
@@ -324,37 +409,52 @@ def superseding(t):
 
 @query(
     "entity_lookup",
-    """with h as (select name, type, document_id, cast(sum(n) as bigint) as n from {mentions} where (name, type) in (select 'Entity ' || x, case when x % 2 = 0 then 'ORG' else 'PERSON' end from range(1, 30) r(x)) group by all),
-      r as (select *, row_number() over (partition by name, type order by n desc, document_id) as rank from h) select * from r where rank <= 10""",
+    """with w as (select distinct user_id % 20 as user_id, name, type from (select user_id, 'Entity ' || user_id as name, case when user_id % 2 = 0 then 'ORG' else 'PERSON' end as type from {events}) x),
+      h as (select user_id, name, type, document_id, n from w join (select name, type, document_id, cast(sum(n) as bigint) as n from {mentions} group by all) m using (name, type) join {access} a using (user_id, document_id)),
+      r as (select *, row_number() over (partition by user_id, name, type order by n desc, document_id) as rank from h) select * from r where rank <= 10""",
 )
 def entity_lookup(t):
-    m = t("mentions")
-    wanted = m.sparkSession.range(1, 30).select(F.concat(F.lit("Entity "), F.col("id").cast("string")).alias("name"), F.when(F.col("id") % 2 == 0, "ORG").otherwise("PERSON").alias("type"))
-    return _long(graph.entity_lookup(m, wanted), "rank")
+    wanted = t("events").select((F.col("user_id") % 20).alias("user_id"), F.concat(F.lit("Entity "), F.col("user_id").cast("string")).alias("name"), F.when(F.col("user_id") % 2 == 0, "ORG").otherwise("PERSON").alias("type")).distinct()
+    out = graph.entity_lookup(t("mentions"), wanted, t("access"))
+    return _long(out.select("user_id", "name", "type", "document_id", "n", "rank"), "rank")
 
 
 @query(
     "document_context",
-    """with d as (select distinct document_id from {chunks}), e as (select document_id, array_to_string(list_sort(list(distinct name)), ',') as entities from {mentions} group by 1),
+    """with d as (select distinct a.user_id, a.document_id from {access} a join (select distinct document_id from {chunks}) c on c.document_id = a.document_id where a.user_id % 10 = 3), e as (select document_id, array_to_string(list_sort(list(distinct name)), ',') as entities from {mentions} group by 1),
       t as (select document_id, array_to_string(list_sort(list(distinct topic)), ',') as topics from {topics} group by 1), c as (select src as document_id, array_to_string(list_sort(list(distinct dst)), ',') as cites from {edges} where type = 'CITES' group by 1)
-      select document_id, entities, topics, cites from d left join e using (document_id) left join t using (document_id) left join c using (document_id)""",
+      select user_id, document_id, entities, topics, cites from d left join e using (document_id) left join t using (document_id) left join c using (document_id)""",
 )
 def document_context(t):
-    out = graph.document_context(t("chunks"), t("mentions"), t("topics"), t("edges"))
+    """Every document for every tenth user, of which the hidden ones go."""
+    users = t("access").where("user_id % 10 = 3").select("user_id").distinct()
+    ids = t("chunks").select("document_id").distinct().crossJoin(F.broadcast(users))
+    out = graph.document_context(ids, t("mentions"), t("topics"), t("edges"), t("access"))
     joined = lambda c: F.when(F.col(c).isNotNull(), F.array_join(F.transform(c, lambda x: x.cast("string")), ",")).alias(c)
-    return out.select("document_id", joined("entities"), joined("topics"), joined("cites"))
+    return out.select("user_id", "document_id", joined("entities"), joined("topics"), joined("cites"))
 
 
 @query(
     "two_hops",
-    """with s as (select distinct vec_id as query_id, vec_id % 50 as document_id from {embeddings} where vec_id < 8), e0 as (select src, dst from {edges} where dst is not null and src <> dst), e as (select * from e0 union select dst, src from e0),
-      h1 as (select distinct s.query_id, e.dst as document_id from s join e on e.src = s.document_id where (s.query_id, e.dst) not in (select query_id, document_id from s)),
-      h2 as (select distinct h.query_id, e.dst as document_id from h1 h join e on e.src = h.document_id where (h.query_id, e.dst) not in (select query_id, document_id from s union select query_id, document_id from h1))
+    """with s as (select query_id, user_id, query_id % 50 as document_id from {queries}), e0 as (select src, dst from {edges} where dst is not null and src <> dst), e as (select * from e0 union select dst, src from e0),
+      h1 as (select distinct s.query_id, s.user_id, e.dst as document_id from s join e on e.src = s.document_id join {access} a on a.user_id = s.user_id and a.document_id = e.dst where (s.query_id, e.dst) not in (select query_id, document_id from s)),
+      h2 as (select distinct h.query_id, e.dst as document_id from h1 h join e on e.src = h.document_id join {access} a on a.user_id = h.user_id and a.document_id = e.dst where (h.query_id, e.dst) not in (select query_id, document_id from s union select query_id, document_id from h1))
       select query_id, document_id, 1 as hop from h1 union all select query_id, document_id, 2 from h2""",
 )
 def two_hops(t):
-    seeds = t("queries").select("query_id", (F.col("query_id") % 50).alias("document_id"))
-    return graph.expand_hops(seeds, t("edges").withColumn("count", F.lit(None).cast("long")))
+    seeds = t("queries").select("query_id", "user_id", (F.col("query_id") % 50).alias("document_id"))
+    return graph.expand_hops(seeds, t("edges").withColumn("count", F.lit(None).cast("long")), t("access"))
+
+
+@query(
+    "related_scores",
+    """with r as (select src as query_id, dst as document_id, array_agg(distinct type) as types, min(case when type = 'RELATED_TO' then null else 0.6 end) as weight, count(*) as n, case when dst % 4 = 0 then 'secret' end as access_level from {edges} where dst is not null group by src, dst)
+      select query_id, document_id, round(least(1.0, coalesce(weight, case when list_contains(types, 'SUPERSEDES') then 0.95 when list_contains(types, 'CITES') then 0.9 else 0.5 end) + 0.02 * (n - 1)), 6) as relevance from r where access_level is null""",
+)
+def related_scores(t):
+    rows = t("edges").where("dst is not null").groupBy(F.col("src").alias("query_id"), F.col("dst").alias("document_id"))
+    rows = rows.agg(F.array_sort(F.collect_set("type")).alias("types"), F.min(F.when(F.col("type") != "RELATED_TO", 0.6)).alias("weight"), F.count("*").alias("count")).withColumn("access_level", F.when(F.col("document_id") % 4 == 0, "secret"))
+    return search.related_scores(rows, ["public"]).select("query_id", "document_id", "relevance")
 
 
 @query("graph_delete", "select src, dst, type from {edges} where dst is not null and src % 5 <> 0 and dst % 5 <> 0")

@@ -193,7 +193,11 @@ def regex_entities(t):
     return hooks.regex_entities(t("documents").withColumnRenamed("doc_id", "document_id"))
 
 
-@query("default_vectors")
+@query(
+    "default_vectors",
+    """with p as (select doc_id, list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> ''), lambda w: cast('0x' || substr(md5(w), 1, 4) as bigint) % 32) as places from {documents})
+      select doc_id, array_to_string(list_transform(range(32), lambda i: len(list_filter(places, lambda x: x = i))), ',') as vector from p""",
+)
 def default_vectors(t):
     """Default embeddings: hashed word counts of every document."""
     return t("documents").select("doc_id", hooks.hashed_vector(F.col("text"), 32).alias("v")).select("doc_id", F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), ",").alias("vector"))

@@ -46,8 +46,10 @@ def test_query_blocks_cover_all(spark):
 
 def test_hops_and_shared_limit(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (2, 1)], "src long, dst long").withColumns({"type": F.lit("CITES"), "count": F.lit(None).cast("long"), "strength": F.lit(None).cast("double")})
-    seeds = spark.createDataFrame([(0, 1)], "query_id long, document_id long")
-    assert {(r.document_id, r.hop) for r in graph.expand_hops(seeds, e, 2).collect()} == {(2, 1), (3, 2)}
+    seeds = spark.createDataFrame([(0, 7, 1)], "query_id long, user_id long, document_id long")
+    may = spark.createDataFrame([(7, 1), (7, 3), (8, 2)], "user_id long, document_id long")
+    assert graph.expand_hops(seeds, e, may, 2).count() == 0
+    assert {(r.document_id, r.hop) for r in graph.expand_hops(seeds, e, hops=2, enforce_acl=False).collect()} == {(2, 1), (3, 2)}
     m = spark.createDataFrame([(d, n) for d in range(4) for n in ("a", "b")] + [(9, "c"), (8, "c")], "document_id long, name string")
     assert graph.shared(m, "name", 1, 2).count() == 1 and graph.shared(m, "name", 2).count() == 6
 
@@ -70,3 +72,33 @@ def test_feed_pages_and_listing(spark, tmp_path):
         (tmp_path / "d" / n).write_bytes(b"hi")
     assert {r.name for r in files.listing(spark, str(tmp_path / "d")).collect()} == {"x.PDF", "z.docx"}
     assert files.fingerprints(spark, str(tmp_path / "d")).count() == 3
+
+
+def test_access_is_required(spark):
+    import pytest
+
+    chunks = spark.createDataFrame([(i, i % 3, [float(i), 1.0]) for i in range(9)] + [(9, 0, None), (10, 0, [0.0, 0.0]), (11, 0, [1.0])], "chunk_id long, document_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, 7, [1.0, 1.0], None), (2, 8, [1.0, 0.0], None), (3, None, [1.0, 0.0], None)], "query_id long, user_id long, embedding array<float>, department string")
+    may = spark.createDataFrame([(7, 1), (8, 0), (8, 0)], "user_id long, document_id long")
+    with pytest.raises(ValueError, match="access"):
+        search.scored(q, chunks)
+    got = {(r.query_id, r.document_id) for r in search.scored(q, chunks, may).collect()}
+    assert got == {(1, 1), (2, 0)}
+    assert search.scored(q, chunks, enforce_acl=False).count() == 27
+    best = search.top_k(search.scored(q, chunks, enforce_acl=False, keep=2), 2)
+    every = search.top_k(search.scored(q, chunks, enforce_acl=False), 2)
+    assert sorted(map(str, best.collect())) == sorted(map(str, every.collect()))
+    assert search.scored(q.limit(0), chunks, may).count() == 0 and search.scored(q, chunks.limit(0), may).count() == 0
+
+
+def test_approximate_search_finds_most(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 24))
+    rows = [(i, i % 5, (centres[i % 40] + 0.5 * rng.normal(size=24)).tolist()) for i in range(4000)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, embedding array<float>")
+    q = chunks.where("chunk_id % 100 = 0").selectExpr("chunk_id as query_id", "1L as user_id", "embedding", "cast(null as string) as department")
+    got = {(r.query_id, r.chunk_id) for r in search.approximate_top_k(q, chunks, None, 10, lists=32, probes=6, enforce_acl=False).collect()}
+    exact = {(r.query_id, r.chunk_id) for r in search.top_k(search.scored(q, chunks, enforce_acl=False, keep=10), 10).collect()}
+    assert len(got & exact) >= 0.9 * len(exact)
