@@ -235,7 +235,7 @@ def learn_lexicon(train: DataFrame) -> tuple[list[tuple[str, float]], int, int]:
     """([(word, log odds)], toxic rows, clean rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ts in blocks(batches, 16 << 20):
+        for part, ts in blocks(batches, 4 << 20):
             n: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
             for t, y in zip(ts, part.column(2).to_pylist(), strict=True):
                 own = n[int(y == 1)]
@@ -251,7 +251,7 @@ def learn_lexicon(train: DataFrame) -> tuple[list[tuple[str, float]], int, int]:
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
         return [], pos, neg
-    n = train.mapInArrow(run, "word binary, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    n = train.mapInArrow(freeing(run), "word binary, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (pos - F.col("pos") + 0.5)) - F.log((F.col("neg") + 0.5) / (neg - F.col("neg") + 0.5))
     error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     best = n.where("pos >= 3").select("word", odds.alias("odds"), (odds / error).alias("z")).where(F.col("z") > Z).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
