@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import blocks, texts, written
+from docloom.llm.common import blocks, freeing, texts, written
 
 WINDOW = 10
 #: Most bytes of test phrases that are broadcast at once.
@@ -108,7 +108,7 @@ def build_index(docs: DataFrame, terms: set[bytes]) -> DataFrame:
         if state[0]:
             yield close(*state)
 
-    return texts(docs).withColumn("digest", F.xxhash64("text")).mapInArrow(run, "data binary")
+    return texts(docs).withColumn("digest", F.xxhash64("text")).mapInArrow(freeing(run), "data binary")
 
 
 def _pack(*arrays: np.ndarray) -> bytes:

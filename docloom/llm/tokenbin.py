@@ -17,8 +17,9 @@ Segment layout, little-endian::
            packed bits (n * width, MSB first) | u32 position[e] | u32 value[e]
 
 Edge cases: a null text is an empty text (it still gets the end id); empty tables
-give empty tables; a null ``doc_id`` sorts first; repeated ids are kept, ordered by
-text; other columns of the input are ignored.
+give empty tables; a null ``doc_id`` sorts first; rows of one id (or of none) are kept,
+ordered by a hash of their text and dealt out by it; a very long text is a segment of its
+own; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import blocks, n_parts, new_path
+from docloom.llm.common import blocks, freeing, n_parts, new_path
 
 BLOCK = 4096
 SEGMENT_IDS = 1 << 18
 PERCENTILE = 0.95
 #: Shuffle partitions' worth of text that one encoder and its word cache serve.
 SHARE = 2
+#: Words whose ids an encoder remembers.
+WORDS = 700_000
 _HEAD, _HEAD_SIZE = "<4sIII", 16
 _BLOCK, _BLOCK_SIZE = "<IIBI", 13
 
@@ -187,7 +190,7 @@ class Encoder:
     added token's string in them are encoded whole.
     """
 
-    def __init__(self, path: str, words: int = 700_000):
+    def __init__(self, path: str, words: int = WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -214,20 +217,21 @@ _PUNCTUATION = ".,!?;:%*#$&()-/"
 
 
 def ordered(docs: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
-    """Texts range-partitioned by the first of ``order`` and sorted by all of it;
-    partition i is before i + 1."""
-    return docs.repartitionByRange(partitions or max(1, n_parts(docs.sparkSession) // SHARE), order[0]).sortWithinPartitions(*order)
+    """Texts range-partitioned by the first two of ``order`` and sorted by all of it;
+    partition i is not after i + 1."""
+    return docs.repartitionByRange(partitions or max(1, n_parts(docs.sparkSession) // SHARE), *order[:2]).sortWithinPartitions(*order)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order: list[Column] | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order: list[Column] | None = None, words: int = WORDS) -> None:
     """Write the ids of all documents as segments: (shard, seq, n_ids, data).
 
-    ``order`` sets the order of the ids and is ``doc_id``, then text, by default.
+    ``order`` sets the order of the ids and is ``doc_id``, then text by its hash, by
+    default; an encoder remembers the ids of ``words`` words.
     """
-    order = order or [F.col("doc_id").asc_nulls_first(), F.col("text")]
+    order = order or [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = Encoder(tokenizer, words), np.array([end_id], "<u4").tobytes()
         shard, seq, inside = TaskContext.get().partitionId(), 0, 0
         ids_, lengths, raw, held = [], [], [], 0
 
@@ -249,7 +253,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, or
         if ids_:
             yield flush()
 
-    ordered(texts_with(docs), order).select("doc_id", "text").mapInArrow(run, "shard int, seq int, inside long, n_ids long, data binary").write.option("parquet.block.size", 16 << 20).option("compression", "uncompressed").parquet(path)
+    ordered(texts_with(docs), order).select("doc_id", "text").mapInArrow(freeing(run), "shard int, seq int, inside long, n_ids long, data binary").write.option("parquet.block.size", 16 << 20).option("compression", "uncompressed").parquet(path)
 
 
 _SCHEMA = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("inside", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
@@ -290,9 +294,9 @@ def decode_documents(segments: DataFrame) -> DataFrame:
     return segments.select("first", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, order: list[Column] | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, order: list[Column] | None = None, words: int = WORDS) -> DataFrame:
     """Write all ids to the shared folder, read the files back, digest each document."""
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
-    write_tokens(docs, path, tokenizer, end_id, order)
+    write_tokens(docs, path, tokenizer, end_id, order, words)
     return decode_documents(read_tokens(spark, path))
