@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor and the driver see.
 
     It is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests on one machine) a temporary folder is made and set.
+    is unset and there is one machine (tests) a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not (spark.sparkContext.master or "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -59,6 +62,21 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     )
 
 
+def freeing(run: Callable) -> Callable:
+    """A task function that gives its memory back to the system when its rows are done.
+
+    Python workers are reused, and what one stage's caches leave in the allocator
+    would otherwise count against the next stage's."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return tidy
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,27 +1,36 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles.
 
-A shingle is five consecutive words (ASCII-lower-cased runs of letters and digits); its
-weight in a document is its count times an inverse document frequency scaled to 1..2,
-``1 + ln(N / df) / ln N``, so that text shared by a large group of copies still counts.
-Document frequencies are counted over all documents in ``2 ** DF_BITS`` hashed cells,
-the only thing that is broadcast, of that size at any input.
-
-Documents with the same words are one class from the start, under their smallest id.
-For the rest, ``BANDS * ROWS`` samples per document, each a shingle drawn in proportion
-to weight, consistent between documents; ``ROWS`` of them make a bucket key.  In each
-bucket every member is compared with a few leaders, those that most others resemble;
-after that only members that are still in different classes are compared with one
-another, so a bucket of copies costs a few comparisons each, and no pair that could join
-two classes is left out.  A pair whose samples agree too rarely for
-the threshold is dropped, all others are verified by the weighted Jaccard similarity of
-the whole texts; in large buckets chunks of members are compared in one matrix product.  Classes are the connected components of verified links.
-
-At similarity 0.8 a pair meets in some bucket with probability 0.995, at 0.85 with 0.9994.
+A shingle is five consecutive words (ASCII-lower-cased runs of letters and digits).  Its
+weight in a document is its count times an inverse document frequency between 1 and 2,
+``1 + min(1, ln(N / df) / ln(1 / COMMON))`` in steps of 1/15: 2 for what fewer than
+``COMMON`` of all documents hold, down to 1 for what all hold.  So text shared by a large
+group of copies still counts.  Frequencies of common shingles are exact: a shingle that
+is common at all is common in some block of documents, so blocks name candidates, and a
+second pass counts those.  There are at most ``1 / COMMON`` times the average length of
+them, which bounds the broadcast; candidates travel as a bitmap of fixed size.
+
+Documents with the same words are one node.  ``BANDS * ROWS`` samples per node, each a
+shingle drawn in proportion to weight, consistent between documents; ``ROWS`` of them
+make a bucket key.  Pairs that share a bucket are candidates, and every candidate that
+could join two classes is verified by the weighted Jaccard similarity of whole texts:
+
+1. every member against its bucket's leader, the member that has most company over all
+   its buckets (the original of a group of copies, as a rule), each pair once;
+2. in buckets whose members are then in different classes, those outside the largest
+   class against each other and against the largest class.  Buckets with the same
+   members are taken once.  Members are cut into chunks of ``CHUNK_BYTES`` and
+   ``CHUNK_ROWS``, and two chunks are one group, compared in one matrix product, so no
+   group grows with its bucket.
+
+No candidate is dropped by sketches, caps or bucket size.  Classes are the connected
+components of verified links.  At similarity 0.8 a pair meets in some bucket with
+probability 0.995, at 0.85 with 0.9994.
 
 Edge cases: null texts and texts without words are in classes of their own; shorter
-texts than a shingle are one shingle of all their words; null ids link with nothing;
-rows that share an id are one node, verified on their smallest text; extra columns are
-ignored; an empty table gives an empty result.
+texts than a shingle are one shingle of all their words; rows with a null id link with
+nothing; rows that share an id are judged each by its own text, and a class goes by its
+smallest id; very long texts are one vector of four bytes and a byte per shingle; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,29 +40,25 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import blocks, texts, written
+from docloom.llm.common import blocks, drop_written, freeing, texts, written
 from docloom.llm.components import components
-from docloom.llm.decontam import words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
-DF_BITS = 18
-#: Of all samples, those that must agree before texts are compared; at the threshold
-#: fewer agree once in about a million pairs.
-AGREE = 0.5
-#: The same for the first comparisons, with leaders; fewer agree at the threshold once in
-#: a hundred pairs, and those are looked at later if they are still in different classes.
-SURE = 0.65
-#: Buckets of so many members have up to ``LEADS`` leaders, found among ``LOOK`` members.
-LARGE, LEADS, LOOK = 16, 6, 64
-#: Members of a large bucket that one group compares with as many others.
-CHUNK = 160
+#: Share of documents from which on a shingle is common and weighs less.
+COMMON = 0.01
+#: Steps of the weight between 1 and 2.
+STEPS = 15
+#: Bits of the bitmap of candidates, as a power of two, and bytes of text in a block.
+CELL_BITS = 20
+BLOCK_BYTES = 8 << 20
+#: Most bytes of vectors, and most of them, in a chunk of a bucket.
+CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 2048
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -63,11 +68,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(docs: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct shingle hashes, counts) of each document."""
-    flat = np.empty(sum(map(len, docs)), object)
-    flat[:] = [x for d in docs for x in d]
-    h = pd.util.hash_array(flat, categorize=False) if len(flat) else np.empty(0, np.uint64)
+#: A-Z as a-z, and 0 for ASCII that is no letter or digit.
+_FOLD = np.array([c if chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" or c > 127 else c + 32 if 65 <= c <= 90 else 0 for c in range(256)], np.uint8)
+_LETTER = np.random.default_rng(17).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_hashes(ts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, words per text), without a Python object per word."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in ts]
+    c = _FOLD[np.frombuffer(b" ".join([*raw, b""]), np.uint8)]
+    inside = c != 0
+    start = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    end = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    if not len(start):
+        return np.empty(0, np.uint64), np.zeros(len(ts), np.int64)
+    # place in its word of every letter; the sum over a word of letter times power of place
+    at = np.flatnonzero(inside)
+    size = end - start
+    place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(size.max()) - 1, _BASE, np.uint64)]))
+    h = np.add.reduceat(_LETTER[c[at]] * power[place], np.cumsum(size) - size)
+    bounds = np.cumsum([len(r) + 1 for r in raw])
+    return _mixed(h), np.diff(np.searchsorted(start, bounds), prepend=0)
+
+
+def shingles(ts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int | None]]:
+    """(distinct shingle hashes, counts, node) of each text; a node is 64 bits that stand
+    for a sequence of words, None if there are none."""
+    h, many = word_hashes(ts)
     out, at = [], 0
     n = max(0, len(h) - SHINGLE + 1)
     gram = h[:n].copy()
@@ -75,49 +103,102 @@ def shingles(docs: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
         gram *= np.uint64(_BASE)
         gram += h[j : j + n]
     gram = _mixed(gram)
-    for d in docs:
-        if not d:
-            out.append((np.empty(0, np.uint64), np.empty(0, np.int64)))
-        elif len(d) < SHINGLE:
-            own = np.uint64(len(d))
-            for x in h[at : at + len(d)]:
-                own = np.uint64((int(own) * _BASE + int(x)) & 0xFFFFFFFFFFFFFFFF)
-            out.append((_mixed(np.array([own])), np.ones(1, np.int64)))
+    for size in many.tolist():
+        own = h[at : at + size]
+        if not size:
+            out.append((np.empty(0, np.uint64), np.empty(0, np.int64), None))
+            continue
+        node = int.from_bytes(hashlib.md5(own.tobytes(), usedforsecurity=False).digest()[:8], "little", signed=True)
+        if size < SHINGLE:
+            one = size
+            for x in own.tolist():
+                one = (one * _BASE + x) & 0xFFFFFFFFFFFFFFFF
+            out.append((_mixed(np.array([one], np.uint64)), np.ones(1, np.int64), node))
         else:
-            out.append(np.unique(gram[at : at + len(d) - SHINGLE + 1], return_counts=True))
-        at += len(d)
+            out.append((*np.unique(gram[at : at + size - SHINGLE + 1], return_counts=True), node))
+        at += size
     return out
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - DF_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def _digest(w: list[bytes]) -> bytes:
-    return hashlib.md5(b" ".join(w), usedforsecurity=False).digest()
+def _hashed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[int | None], np.ndarray]]:
+    """(ids, nodes, distinct shingles of each document in a row) of ``most`` bytes of text
+    at a time."""
+    held, ids, nodes, h = 0, [], [], []
+    for part, ts in blocks(batches):
+        ids += part.column(0).to_pylist()
+        for x, _, node in shingles(ts):
+            h.append(x), nodes.append(node)
+        held += sum(map(len, ts))
+        if held >= most:
+            yield ids, nodes, np.concatenate(h)
+            held, ids, nodes, h = 0, [], [], []
+    if ids:
+        yield ids, nodes, np.concatenate(h)
 
 
-def keys_and_frequencies(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, key) per document with words, idf per cell).
+def nodes_and_candidates(docs: DataFrame, common: float = COMMON, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Written rows (doc_id, node, cell): one per document, and one with ``cell`` per
+    block and cell that holds a shingle common in that block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, nodes, h in _hashed(batches, block_bytes):
+            least = common * sum(x is not None for x in nodes)
+            cell = _cell(h)
+            own = h[np.bincount(cell, minlength=1 << CELL_BITS)[cell] >= least]
+            own, many = np.unique(own, return_counts=True)
+            cell = np.unique(_cell(own[many >= least]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids + [None] * len(cell), pa.int64()), pa.array(nodes + [None] * len(cell), pa.int64()), pa.array([None] * len(ids) + cell.tolist(), pa.int32())],
+                names=["doc_id", "node", "cell"],
+            )
+
+    return written(texts(docs).mapInArrow(freeing(run), "doc_id long, node long, cell int"), "nodes")
+
+
+class Weights:
+    """Inverse document frequencies, as steps above 1; ``grams`` are sorted."""
+
+    def __init__(self, grams: np.ndarray, steps: np.ndarray):
+        self.grams, self.steps = grams, steps
+        self.cells = np.zeros(1 << CELL_BITS, bool)
+        self.cells[_cell(grams)] = True
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Steps of shingles: ``STEPS`` but for common ones."""
+        out = np.full(len(h), STEPS, np.uint8)
+        if len(self.grams):
+            own = np.flatnonzero(self.cells[_cell(h)])
+            at = np.minimum(np.searchsorted(self.grams, h[own]), len(self.grams) - 1)
+            hit = self.grams[at] == h[own]
+            out[own[hit]] = self.steps[at[hit]]
+        return out
 
-    One pass writes both; ``key`` is the digest of the words."""
+
+def weights(docs: DataFrame, made: DataFrame, common: float = COMMON, block_bytes: int = BLOCK_BYTES) -> Weights:
+    """Exact document frequencies of all shingles in at least ``common`` of documents."""
+    n = made.where("node is not null").count()
+    cells = np.zeros(1 << CELL_BITS, bool)
+    cells[[r.cell for r in made.where("cell is not null").select("cell").distinct().collect()]] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << DF_BITS, np.int64)
-        for part, ts in blocks(batches):
-            w = [words(t) for t in ts]
-            total += np.bincount(_cell(np.concatenate([h for h, _ in shingles(w)])), minlength=1 << DF_BITS)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_digest(d) if d else None for d in w], pa.binary()), pa.nulls(len(w), pa.int64())], names=["doc_id", "key", "n"])
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(total[at])], names=["doc_id", "key", "n"])
-
-    made = written(texts(docs).mapInArrow(run, "doc_id long, key binary, n long"), "shingles")
-    count = docs.count()
-    idf = np.full(1 << DF_BITS, 2.0, np.float32)
-    if count > 1:
-        for r in made.where("n is not null").groupBy("doc_id").agg(F.sum("n").alias("n")).collect():
-            idf[r.doc_id] = 1 + max(0.0, math.log(count / r.n)) / math.log(count)
-    return made.where("n is null and key is not null and doc_id is not null").select("doc_id", "key"), np.clip(idf, 1, 2)
+        wanted = np.unpackbits(shared.value).astype(bool)
+        for _, _, h in _hashed(batches, block_bytes):
+            gram, many = np.unique(h[wanted[_cell(h)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(many, pa.int64())], names=["gram", "n"])
+
+    if not n or not cells.any():
+        return Weights(np.empty(0, np.uint64), np.empty(0, np.uint8))
+    counted = texts(docs).mapInArrow(freeing(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") >= common * n).toArrow()
+    grams, df = rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(grams)
+    steps = np.round(STEPS * np.clip(np.log(n / df) / math.log(1 / common), 0, 1)).astype(np.uint8)
+    return Weights(grams[order], steps[order])
 
 
 def gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
@@ -156,209 +237,213 @@ def samples(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, r_of: np.ndar
     return out
 
 
-def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, key, bands array<long>, sample array<int>) per document with words."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+def sketches(docs: DataFrame, idf: Weights) -> DataFrame:
+    """(node, b0, b1, ...): bucket keys of every document with words."""
+    shared = docs.sparkSession.sparkContext.broadcast((idf.grams, idf.steps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r_of, cells = gamma_quantiles(), shared.value
-        for part, ts in blocks(batches, 1 << 20):
-            w = [words(t) for t in ts]
-            own = [i for i, d in enumerate(w) if d]
-            if not own:
+        r_of, idf = gamma_quantiles(), Weights(*shared.value)
+        for _, ts in blocks(batches, 1 << 20):
+            each = {node: (h, n) for h, n, node in shingles(ts) if node is not None}
+            if not each:
                 continue
-            w = [w[i] for i in own]
-            each = shingles(w)
-            h = np.concatenate([x for x, _ in each])
-            tf = np.concatenate([x for _, x in each])
-            starts = np.concatenate([[0], np.cumsum([len(x) for x, _ in each])[:-1]]).astype(np.int64)
-            s = samples(h, tf * cells[_cell(h)], starts, r_of)
-            band = s.reshape(len(w), BANDS, ROWS)
+            h = np.concatenate([x for x, _ in each.values()])
+            tf = np.concatenate([x for _, x in each.values()])
+            starts = np.concatenate([[0], np.cumsum([len(x) for x, _ in each.values()])[:-1]]).astype(np.int64)
+            band = samples(h, tf * (1 + idf.of(h) / STEPS), starts, r_of).reshape(len(each), BANDS, ROWS)
             key = band[:, :, 0].copy()
             for j in range(1, ROWS):
                 key = _mixed(key * np.uint64(_BASE) + band[:, :, j])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0).take(pa.array(own)),
-                    pa.array([_digest(d) for d in w], pa.binary()),
-                    pa.array(list(key.view(np.int64)), pa.list_(pa.int64())),
-                    pa.array(list((s >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.list_(pa.int32())),
-                ],
-                names=["doc_id", "key", "bands", "sample"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(list(each), pa.int64()), *(pa.array(key[:, k].view(np.int64)) for k in range(BANDS))], names=_SKETCH)
 
-    return texts(docs).mapInArrow(run, "doc_id long, key binary, bands array<long>, sample array<int>")
+    made = texts(docs).where("doc_id is not null").mapInArrow(freeing(run), ", ".join(f"{c} long" for c in _SKETCH))
+    return made.groupBy("node").agg(*[F.first(c).alias(c) for c in _SKETCH[1:]])
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Sum of smaller over sum of larger weights of (sorted hashes, weights)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = float(np.minimum(a[1][i], b[1][j]).sum())
-    every = float(a[1].sum() + b[1].sum()) - both
-    return both / every if every else 0.0
+_SKETCH = ["node", *(f"b{k}" for k in range(BANDS))]
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts are similar enough."""
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
+def vector(h: np.ndarray, n: np.ndarray, idf: Weights) -> bytes:
+    """Sorted 32-bit features and their weight steps; the k-th occurrence of a shingle
+    is a feature of its own, so similarity is of sets with weights."""
+    steps = np.repeat(idf.of(h), n)
+    again = np.repeat(h, n)
+    k = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+    feature = (_mixed(again + k.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(32)).astype(np.uint32)
+    feature, at = np.unique(feature, return_index=True)
+    return feature.astype("<u4").tobytes() + steps[at].tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
-        last: tuple[int | None, tuple] = (None, ())
-
-        def vector(text: str):
-            h, n = shingles([words(text)])[0]
-            return h, n * cells[_cell(h)]
-
-        for part, ts in blocks(batches, text_col="text_b"):
-            left = part.column(2)
-            keep = []
-            for k, (a, t) in enumerate(zip(part.column(0).to_pylist(), ts, strict=True)):
-                if a != last[0]:
-                    last = (a, vector(left[k].as_py()))
-                keep.append(weighted_jaccard(last[1], vector(t)) >= threshold)
-            yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    one, two = (bodies.select(F.col("node").alias(f"node_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    rows = pairs.join(two, pairs["b"] == two["node_b"]).join(one, pairs["a"] == one["node_a"])
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
+def opened(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(features, weights) of a ``vector``."""
+    n = len(data) // 5
+    return np.frombuffer(data, "<u4", n), 1 + np.frombuffer(data, "u1", n, 4 * n) / STEPS
 
-def _agreement():
-    return F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
 
+def bodies(docs: DataFrame, wanted: DataFrame, idf: Weights) -> DataFrame:
+    """(node, vec, size) of the documents whose id is in ``wanted`` (own)."""
+    shared = docs.sparkSession.sparkContext.broadcast((idf.grams, idf.steps))
 
-def _agreeing(pairs: DataFrame, sample: DataFrame, share: float) -> DataFrame:
-    """Pairs with at least this share of their samples in common."""
-    one, two = (sample.select(F.col("node").alias(f"node_{x}"), F.col("sample").alias(f"s_{x}")) for x in "ab")
-    rows = pairs.join(two, pairs["b"] == two["node_b"]).join(one, pairs["a"] == one["node_a"])
-    return rows.where(_agreement() >= share * BANDS * ROWS).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = Weights(*shared.value)
+        for _, ts in blocks(batches):
+            each = shingles(ts)
+            vec = [vector(h, n, idf) for h, n, _ in each]
+            yield pa.RecordBatch.from_arrays([pa.array([node for _, _, node in each], pa.int64()), pa.array(vec, pa.binary()), pa.array(map(len, vec), pa.int64())], names=["node", "vec", "size"])
 
+    rows = texts(docs)
+    rows = rows.join(wanted, rows["doc_id"] == wanted["own"], "left_semi").groupBy("doc_id", "text").agg(F.lit(1).alias("one"))
+    return rows.select("doc_id", "text").mapInArrow(freeing(run), "node long, vec binary, size long").where("node is not null")
 
-def hubs(member: DataFrame, sample: DataFrame) -> DataFrame:
-    """(band, at, lead): members of large buckets that most others resemble.
 
-    They are picked greedily among the ``LOOK`` members with the smallest hash, until
-    these are covered or there are ``LEADS``.  The choice decides how many comparisons
-    are saved, not which links are found.
-    """
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Sum of common weights over sum of all weights of (sorted features, weights)."""
+    _, i, _ = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = float(a[1][i].sum())
+    every = float(a[1].sum() + b[1].sum()) - both
+    return both / every if every else 0.0
 
-    def pick(key: tuple, table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        s = table.column("sample").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        near = (s[:, None, :] == s[None, :, :]).mean(2) >= SURE
-        left, lead = np.ones(len(node), bool), []
-        while left.any() and len(lead) < LEADS:
-            best = int((near & left).sum(1).argmax())
-            lead.append(best)
-            left &= ~near[best]
-            left[best] = False
-        n = len(lead)
-        return pa.table({"band": pa.array([key[0].as_py()] * n, pa.int32()), "at": pa.array([key[1].as_py()] * n, pa.int64()), "lead": pa.array(node[lead])})
-
-    order = Window.partitionBy("band", "at").orderBy(F.xxhash64("node"), "node")
-    few = member.select("band", "at", "node", F.row_number().over(order).alias("k")).where(F.col("k") <= LOOK)
-    few = few.join(sample.withColumnRenamed("node", "sn"), F.col("node") == F.col("sn")).select("band", "at", "node", "sample")
-    return few.groupBy("band", "at").applyInArrow(pick, "band int, at long, lead long")
-
-
-def between_classes(known: DataFrame, body: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """(a, b): links that join different classes inside large buckets.
-
-    ``known``: (band, at, n, node, class).  A bucket is cut into chunks of about ``CHUNK``
-    members and every two chunks are one group; in it the weighted Jaccard similarities of
-    all pairs are one product of document-by-shingle matrices, and of the links found only
-    those are given out that join classes not yet joined in the group.
+
+def verified(pairs: DataFrame, body: DataFrame, threshold: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, last, left = [], None, None
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, left = a, opened(x.as_py())
+                keep.append(weighted_jaccard(left, opened(y.as_py())) >= threshold - 1e-9)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    one, two = (body.select(F.col("node").alias(f"node_{x}"), F.col("vec").alias(f"vec_{x}")) for x in "ab")
+    rows = pairs.join(two, pairs["b"] == two["node_b"]).join(one, pairs["a"] == one["node_a"])
+    return rows.select("a", "b", "vec_a", "vec_b").mapInArrow(freeing(run), "a long, b long")
+
+
+def leaders(member: DataFrame) -> DataFrame:
+    """(band, at, lead): the member with most company over all its buckets."""
+    company = member.groupBy("node").agg(F.sum("n").alias("company")).withColumnRenamed("node", "cn")
+    rows = member.join(company, member["node"] == company["cn"])
+    return rows.groupBy("band", "at").agg(F.max(F.struct("company", "node")).alias("m")).select(F.col("band").alias("lb"), F.col("at").alias("la"), F.col("m.node").alias("lead"))
+
+
+def _similar(vecs: list[bytes], rows: np.ndarray, columns: np.ndarray, threshold: float) -> np.ndarray:
+    """[row, column]: whether two vectors are similar enough, from one sparse product
+    that is made dense a thousand features at a time."""
+    each = [opened(v) for v in vecs]
+    owner = np.repeat(np.arange(len(each)), [len(f) for f, _ in each])
+    total = np.array([w.sum() for _, w in each])
+    _, first, place, many = np.unique(np.concatenate([f for f, _ in each]), return_index=True, return_inverse=True, return_counts=True)
+    weight = np.concatenate([w for _, w in each])
+    often = np.flatnonzero(many > 1)
+    column = np.full(len(many), -1)
+    column[often] = np.arange(len(often))
+    at, cost = column[place], weight[first[often]].astype(np.float32)
+    del each, place, column, weight
+    order = np.argsort(at, kind="stable")
+    order = order[np.searchsorted(at[order], 0) :]
+    at, owner = at[order], owner[order]
+    common = np.zeros((len(rows), len(columns)), np.float32)
+    for a in range(0, len(often), 1024):
+        own = slice(np.searchsorted(at, a), np.searchsorted(at, a + 1024))
+        block = np.zeros((len(vecs), min(1024, len(often) - a)), np.float32)
+        block[owner[own], at[own] - a] = 1.0
+        common += (block[rows] * cost[a : a + 1024]) @ block[columns].T
+    every = total[rows][:, None] + total[columns][None, :] - common
+    return common >= threshold * every - 1e-3
+
+
+def between_classes(known: DataFrame, body: DataFrame, threshold: float, chunk_bytes: int = CHUNK_BYTES, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(a, b): links that join different classes inside a bucket.
+
+    ``known``: (band, at, node, class).  The members of the bucket's largest class are cut
+    into chunks, and so are the others; every two chunks but two of the largest class are
+    one group, and of the links found there those are given out that join classes not yet
+    joined in the group.
     """
-    shared = known.sparkSession.sparkContext.broadcast(idf)
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = known.withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = rows.join(body.withColumnRenamed("node", "bn"), F.col("node") == F.col("bn"))
-    rows = rows.select("band", "at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "class", (F.col("own") > F.col("other")).alias("right"), "text")
+    sized = body.select(F.col("node").alias("sn"), "size")
+    rows = known.join(sized, F.col("node") == F.col("sn")).select("band", "at", "node", "class", "size")
+    rows = mixed = written(rows, "mixed")
+    part = rows.groupBy("band", "at", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    part = part.groupBy("band", "at").agg(F.max(F.struct("n", "class", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    cut = lambda n, size: F.greatest(F.lit(1), F.ceil(n / chunk_rows), F.ceil(size / chunk_bytes)).cast("int")
+    # buckets of the same members are compared once
+    plan = part.where("n > main.n").groupBy("x", "y", "n").agg(F.min(F.struct("band", "at", "main", "bytes")).alias("b"))
+    plan = plan.select(F.col("b.band").alias("pb"), F.col("b.at").alias("pa"), F.col("b.main.class").alias("main"), cut(F.col("b.main.n"), F.col("b.main.bytes")).alias("mc"), cut(F.col("n") - F.col("b.main.n"), F.col("b.bytes") - F.col("b.main.bytes")).alias("oc"))
+    rows = rows.join(plan, (rows["band"] == plan["pb"]) & (rows["at"] == plan["pa"]))
+    spread = lambda n: F.pmod(F.xxhash64("node", F.lit(2)), n).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("class") == F.col("main"), spread(F.col("mc"))).otherwise(F.col("mc") + spread(F.col("oc"))))
+    low = F.when(F.col("class") == F.col("main"), F.col("mc")).otherwise(F.lit(0))
+    rows = rows.withColumn("other", F.explode(F.sequence(low, F.col("mc") + F.col("oc") - 1)))
+    vec = body.select(F.col("node").alias("bn"), "vec")
+    rows = rows.join(vec, F.col("node") == F.col("bn"))
+    rows = rows.select("band", "at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "class", (F.col("own") > F.col("other")).alias("right"), "vec")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        cells = shared.value
         node, cls, right = (table.column(c).to_numpy() for c in ("node", "class", "right"))
-        feature, weight, owner = [], [], []
-        for d, (h, n) in enumerate(shingles([words(t) for t in table.column("text").to_pylist()])):
-            # the k-th occurrence of a shingle is a feature of its own
-            again = np.repeat(h, n)
-            k = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
-            feature.append(_mixed(again + k.astype(np.uint64) * np.uint64(_BASE)))
-            weight.append(cells[_cell(again)].astype(float))
-            owner.append(np.full(len(again), d))
-        total = np.array([w.sum() for w in weight])
-        weight, owner = np.concatenate(weight), np.concatenate(owner)
-        _, first, place, many = np.unique(np.concatenate(feature), return_index=True, return_inverse=True, return_counts=True)
-        often = np.flatnonzero(many > 1)
-        column = np.full(len(many), -1)
-        column[often] = np.arange(len(often))
-        at, cost = column[place], weight[first[often]]
-        del place, column, weight, feature
-        order = np.argsort(at, kind="stable")
-        common = np.zeros((len(node), len(node)))
-        for a in range(0, len(often), 1024):
-            own = order[np.searchsorted(at[order], a) : np.searchsorted(at[order], a + 1024)]
-            block = np.zeros((len(node), min(1024, len(often) - a)))
-            block[owner[own], at[own] - a] = 1.0
-            common += (block * cost[a : a + 1024]) @ block.T
-        every = total[:, None] + total[None, :] - common
-        near = (common >= threshold * every - 1e-9) & (every > 0) & (cls[:, None] != cls[None, :])
+        x = y = np.arange(len(node))
         if key[2].as_py() != key[3].as_py():
-            near &= right[:, None] != right[None, :]
-        up = {c: c for c in cls.tolist()}
-
-        def top(c: int) -> int:
-            while up[c] != c:
-                up[c] = up[up[c]]
-                c = up[c]
-            return c
-
+            x, y = np.flatnonzero(~right), np.flatnonzero(right)
         a, b = [], []
-        for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-            p, q = top(int(cls[x])), top(int(cls[y]))
-            if p != q:
-                up[max(p, q)] = min(p, q)
-                a.append(min(node[x], node[y]))
-                b.append(max(node[x], node[y]))
+        if len(x) and len(y):
+            vecs = table.column("vec").to_pylist()
+            near = _similar(vecs, x, y, threshold) & (cls[x][:, None] != cls[y][None, :])
+            up = {c: c for c in cls.tolist()}
+
+            def top(c: int) -> int:
+                while up[c] != c:
+                    up[c] = up[up[c]]
+                    c = up[c]
+                return c
+
+            for i, j in zip(*np.nonzero(near), strict=True):
+                i, j = int(x[i]), int(y[j])
+                p, q = top(int(cls[i])), top(int(cls[j]))
+                # the product is of single precision
+                if p != q and weighted_jaccard(opened(vecs[i]), opened(vecs[j])) >= threshold - 1e-9:
+                    up[max(p, q)] = min(p, q)
+                    a.append(node[i])
+                    b.append(node[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("band", "at", "i", "j").applyInArrow(compare, "a long, b long")
+    out = written(rows.groupBy("band", "at", "i", "j").applyInArrow(compare, "a long, b long"), "verified")
+    drop_written(known.sparkSession, mixed)
+    return out
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, common: float = COMMON) -> DataFrame:
     """(doc_id, class_id, kept) for every row; ``class_id`` is the class's smallest id."""
-    keyed, idf = keys_and_frequencies(docs)
-    exact = keyed.groupBy("key").agg(F.min("doc_id").alias("node"))
-    own = exact.select(F.col("key").alias("own_key"), "node")
-    made = sketches(docs, idf)
-    made = made.join(own, (made["key"] == own["own_key"]) & (made["doc_id"] == own["node"]), "left_semi").select(F.col("doc_id").alias("node"), "bands", "sample").dropDuplicates(["node"])
-    made = written(made, "sketches")
-    member = made.select("node", F.posexplode("bands").alias("band", "at"))
-    size = member.groupBy("band", "at").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    member = written(member.join(size, ["band", "at"]), "buckets")
-    nodes = member.select(F.col("node").alias("own")).distinct()
-    body = texts(docs)
-    body = written(body.join(nodes, body["doc_id"] == nodes["own"], "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), "bodies")
-    sample = made.select("node", "sample")
-
-    lead = member.where(F.col("n") < LARGE).select("band", "at", F.col("first").alias("lead")).distinct().unionByName(hubs(member.where(F.col("n") >= LARGE), sample))
-    star = member.join(lead, ["band", "at"]).where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    tested = written(_agreeing(star, sample, SURE * threshold / THRESHOLD), "tested")
-    links = written(verified(tested, body, idf, threshold), "verified")
+    spark = docs.sparkSession
+    made = nodes_and_candidates(docs, common)
+    idf = weights(docs, made, common)
+    keyed = made.where("cell is null").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    exact = keyed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+
+    sketch = written(sketches(docs, idf), "sketches")
+    band = F.posexplode(F.array(*_SKETCH[1:])).alias("band", "at")
+    member = sketch.select("node", band)
+    size = member.groupBy("band", "at").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("zb"), F.col("at").alias("za"), "n")
+    member = written(member.join(size, (F.col("band") == F.col("zb")) & (F.col("at") == F.col("za"))).select("band", "at", "n", "node"), "buckets")
+    drop_written(spark, sketch)
+    own = exact.withColumnRenamed("node", "en").join(member.select("node").distinct(), F.col("en") == F.col("node")).select(F.col("first").alias("own"))
+    body = written(bodies(docs, own, idf), "bodies")
+
+    lead = leaders(member)
+    star = member.join(lead, (F.col("band") == F.col("lb")) & (F.col("at") == F.col("la"))).where("node <> lead")
+    star = written(star.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct(), "star")
+    links = written(verified(star, body, threshold), "verified")
+    drop_written(spark, star)
     part = components(links).select(F.col("node").alias("pn"), "component")
-    known = member.join(part, F.col("node") == F.col("pn"), "left").select("band", "at", "n", "node", F.coalesce("component", "node").alias("class"))
-    mixed = known.groupBy("band", "at").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band", "at")
-    known = written(known.join(mixed, ["band", "at"]), "mixed")
-    x = known.where(F.col("n") < LARGE).select("band", "at", F.col("node").alias("a"), F.col("class").alias("ca"))
-    y = known.where(F.col("n") < LARGE).select("band", "at", F.col("node").alias("b"), F.col("class").alias("cb"))
-    rest = x.join(y, ["band", "at"]).where("a < b and ca <> cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    more = verified(_agreeing(rest, sample, AGREE * threshold / THRESHOLD), body, idf, threshold)
-    more = written(more.unionByName(between_classes(known.where(F.col("n") >= LARGE), body, idf, threshold)), "verified")
+    # a bucket of two has been decided above
+    known = member.where("n > 2").join(part, F.col("node") == F.col("pn"), "left").select("band", "at", "node", F.coalesce("component", "node").alias("class"))
+    more = between_classes(known, body, threshold)
     classes = components(links.unionByName(more)).select(F.col("node").alias("cn"), "component")
+    for done in (body, member, links, more, part):
+        drop_written(spark, done)
 
-    whole = exact.join(classes, F.col("node") == F.col("cn"), "left").select(F.col("key").alias("ek"), F.coalesce("component", "node").alias("class"))
-    found = keyed.join(whole, F.col("key") == F.col("ek")).groupBy(F.col("doc_id").alias("fd")).agg(F.min("class").alias("class"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    out = rows.join(found, rows["doc_id"] == found["fd"], "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
+    whole = exact.join(classes, F.col("node") == F.col("cn"), "left").select(F.col("node").alias("wn"), "first", F.coalesce("component", "node").alias("class"))
+    least = whole.groupBy(F.col("class").alias("lc")).agg(F.min("first").alias("class_id"))
+    whole = whole.join(least, F.col("class") == F.col("lc")).select("wn", "class_id")
+    out = keyed.join(whole, F.col("node") == F.col("wn"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
