@@ -1,7 +1,8 @@
 """Documents to chunks, as column expressions: a document never leaves its task.
 
 The sequential packers are folds over an array of paragraphs with a struct as state,
-so no Python runs and no shuffle happens; ``posexplode`` ends each of them.
+so no Python runs and no shuffle happens; ``posexplode`` ends each of them.  Limits are
+in tokens, by ``functions.text.token_count``.
 """
 
 from __future__ import annotations
@@ -9,21 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import word_count
+from docloom.functions.hooks import hashed_vector
+from docloom.functions.text import token_count
+from docloom.functions.vectors import cosine
 
+# Limits of chunks and slides, in tokens.
 TARGET, MOST, OVERLAP, SLIDE_LEAST = 450, 600, 60, 20
 
 
 def paragraphs(text: Column) -> Column:
     """Trimmed parts between blank lines; between lines if there are no blank ones."""
-    clean = lambda sep: F.filter(F.transform(F.split(text, sep), F.trim), lambda x: x != "")
+    clean = lambda sep: F.filter(F.transform(F.split(text, sep), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(text.contains("\n\n"), clean("\n\n")).otherwise(clean("\n"))
 
 
 def is_table(paragraph: Column) -> Column:
-    """A pipe table: every line starts and ends with a pipe."""
-    lines = F.filter(F.transform(F.split(paragraph, "\n"), F.trim), lambda x: x != "")
-    return (F.size(lines) > 0) & F.forall(lines, lambda x: x.startswith("|") & x.endswith("|"))
+    """A pipe table starts with a pipe."""
+    return paragraph.startswith("|")
 
 
 def sentences(text: Column) -> Column:
@@ -35,7 +38,7 @@ def pack(parts: Column, most: int = MOST, overlap: int = OVERLAP) -> Column:
     """Greedy chunks: array of (content, kind, tokens).
 
     A paragraph that would overflow flushes what is held; the next chunk starts with the
-    longest run of last paragraphs of at most ``overlap`` words.  A pipe table is a chunk
+    longest run of last paragraphs of at most ``overlap`` tokens.  A pipe table is a chunk
     of its own, and nothing is carried over it.
     """
     kind = "struct<out:array<struct<content:string,kind:string,tokens:int>>,held:array<string>,n:int>"
@@ -50,13 +53,13 @@ def pack(parts: Column, most: int = MOST, overlap: int = OVERLAP) -> Column:
         first = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open"))
 
         def step(a: Column, p: Column) -> Column:
-            fits = a["open"] & (a["n"] + word_count(p) <= overlap)
-            return F.struct(F.when(fits, F.concat(F.array(p), a["kept"])).otherwise(a["kept"]).alias("kept"), F.when(fits, a["n"] + word_count(p)).otherwise(a["n"]).alias("n"), fits.alias("open"))
+            fits = a["open"] & (a["n"] + token_count(p) <= overlap)
+            return F.struct(F.when(fits, F.concat(F.array(p), a["kept"])).otherwise(a["kept"]).alias("kept"), F.when(fits, a["n"] + token_count(p)).otherwise(a["n"]).alias("n"), fits.alias("open"))
 
         return F.aggregate(F.reverse(s["held"]), first, step)
 
     def step(s: Column, p: Column) -> Column:
-        n = word_count(p)
+        n = token_count(p)
         table = F.struct(F.concat(flushed(s), chunk(p, "table", n)).alias("out"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("n"))
         t = tail(s)
         new = F.struct(flushed(s).alias("out"), F.concat(t["kept"], F.array(p)).alias("held"), (t["n"] + n).alias("n"))
@@ -73,14 +76,14 @@ def chunk_documents(docs: DataFrame, most: int = MOST, overlap: int = OVERLAP) -
     """
     rows = docs.select("document_id", "summary", F.posexplode(pack(paragraphs(F.col("text")), most, overlap)).alias("sequence_number", "c"))
     body = rows.select("document_id", F.col("sequence_number").cast("long"), F.col("c.content").alias("content"), F.col("c.kind").alias("chunk_type"), F.col("c.tokens").cast("long").alias("token_count"))
-    head = docs.where("summary is not null and summary <> ''").select("document_id", F.lit(-1).cast("long").alias("sequence_number"), F.col("summary").alias("content"), F.lit("summary").alias("chunk_type"), word_count(F.col("summary")).cast("long").alias("token_count"))
+    head = docs.where("summary is not null and summary <> ''").select("document_id", F.lit(-1).cast("long").alias("sequence_number"), F.col("summary").alias("content"), F.lit("summary").alias("chunk_type"), token_count(F.col("summary")).cast("long").alias("token_count"))
     return body.unionByName(head)
 
 
 def with_context(content: Column, summary: Column, section_summary: Column, heading: Column) -> Column:
     """The chunk after its context prefix; missing parts are skipped."""
     label = lambda name, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(name + ": "), c))
-    prefix = F.concat_ws("\n", label("Document", F.substring(summary, 1, 300)), label("Sheet", section_summary), label("Section", heading))
+    prefix = F.concat_ws("\n", label("Document Summary", F.substring(summary, 1, 300)), label("Sheet Summary", section_summary), label("Section", heading))
     return F.when(prefix != "", F.concat(prefix, F.lit("\n\n"), content)).otherwise(content)
 
 
@@ -108,11 +111,108 @@ def markdown_heading(line: Column) -> Column:
     return line.rlike("^#{1,6} ")
 
 
-def known_heading(line: Column, headings: Column) -> Column:
-    """The trimmed line is one of the document's headings."""
+def known_heading(line: Column, headings: Column, inside: bool = False) -> Column:
+    """The trimmed line is one of the document's headings; with ``inside`` it may have one
+    anywhere in it."""
+    if inside:
+        return (F.trim(line) != "") & F.exists(headings, lambda h: line.contains(h))
     return F.array_contains(headings, F.trim(line))
 
 
+_PART = "array<struct<content:string,heading:string,kind:string>>"
+
+
+def section_parts(text: Column, headings: Column, inside: bool = False, most: int = MOST, overlap: int = OVERLAP) -> Column:
+    """Array of (content, heading, kind): a line that is a known heading starts a segment
+    and stays in it; a segment over ``most`` tokens is packed by paragraphs."""
+    lines = F.split(text, "\n")
+    at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: known_heading(F.get(lines, i), headings, inside))
+    starts = F.array_distinct(F.concat(F.array(F.lit(0)), at))
+
+    def segment(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(starts, k + 1), F.size(lines))
+        body = F.trim(F.array_join(F.slice(lines, start + 1, end - start), "\n"))
+        line = F.get(lines, start)
+        named = F.get(F.filter(headings, lambda h: line.contains(h) if inside else F.trim(line) == h), 0)
+        return F.struct(body.alias("content"), F.when(known_heading(line, headings, inside), named).alias("heading"))
+
+    def parts(x: Column) -> Column:
+        whole = F.array(F.struct(x["content"].alias("content"), x["heading"].alias("heading"), F.lit("text").alias("kind")))
+        cut = F.transform(pack(paragraphs(x["content"]), most, overlap), lambda c: F.struct(c["content"].alias("content"), x["heading"].alias("heading"), c["kind"].alias("kind")))
+        return F.when(token_count(x["content"]) <= most, whole).otherwise(cut)
+
+    return F.flatten(F.transform(F.filter(F.transform(starts, segment), lambda x: x["content"] != ""), parts))
+
+
+def text_parts(text: Column, most: int = MOST, overlap: int = OVERLAP) -> Column:
+    return F.transform(pack(paragraphs(text), most, overlap), lambda c: F.struct(c["content"].alias("content"), F.lit(None).cast("string").alias("heading"), c["kind"].alias("kind")))
+
+
+def _page(p: Column) -> Column:
+    text = F.nullif(F.trim(F.coalesce(p["text"], F.lit(""))), F.lit(""))
+    vision = F.nullif(F.nullif(F.trim(F.coalesce(p["vision_text"], F.lit(""))), F.lit("")), F.lit("NONE"))
+    return F.struct(F.concat_ws("\n\n", text, vision).alias("content"), F.lit(None).cast("string").alias("heading"), F.when(text.isNull(), "image_description").otherwise("text").alias("kind"))
+
+
+def _slide(s: Column) -> Column:
+    body = F.filter(s["content"], lambda x: (x != "") & (x != F.coalesce(s["title"], F.lit(""))))
+    head = F.when(F.coalesce(s["title"], F.lit("")) != "", F.concat(F.lit("# "), s["title"]))
+    notes = F.when(F.coalesce(s["notes"], F.lit("")) != "", F.concat(F.lit("Notes: "), s["notes"]))
+    charts = F.array_join(F.transform(s["charts"], lambda c: chart_text(c["kind"], c["title"], c["categories"], c["series"])), "\n")
+    content = F.concat_ws("\n", head, F.nullif(F.array_join(body, "\n"), F.lit("")), F.nullif(charts, F.lit("")), notes)
+    return F.struct(content.alias("content"), s["title"].alias("heading"), F.lit("text").alias("kind"))
+
+
+def _sheet_line(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", cells), F.lit(" |"))
+
+
+def _sheet_groups(headers: Column, rows: Column, most: int) -> Column:
+    """Rows as lines, in groups that fit under their header."""
+    kind = "struct<out:array<array<string>>,held:array<string>,n:int>"
+    start = F.struct(F.array().cast("array<array<string>>").alias("out"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("n")).cast(kind)
+    head = token_count(_sheet_line(headers))
+
+    def step(a: Column, r: Column) -> Column:
+        n = token_count(r)
+        over = (F.size(a["held"]) > 0) & (a["n"] + n + head > most)
+        return F.when(over, F.struct(F.concat(a["out"], F.array(a["held"])).alias("out"), F.array(r).alias("held"), n.alias("n"))).otherwise(F.struct(a["out"].alias("out"), F.concat(a["held"], F.array(r)).alias("held"), (a["n"] + n).alias("n"))).cast(kind)
+
+    return F.aggregate(F.transform(rows, _sheet_line), start, step, lambda a: F.when(F.size(a["held"]) > 0, F.concat(a["out"], F.array(a["held"]))).otherwise(a["out"]))
+
+
+def _sheet(s: Column, most: int) -> Column:
+    content = lambda g: F.concat_ws("\n", _sheet_line(s["headers"]), F.array_join(g, "\n"))
+    return F.transform(_sheet_groups(s["headers"], s["rows"], most), lambda g: F.struct(content(g).alias("content"), s["name"].alias("heading"), F.lit("table").alias("kind")))
+
+
+def chunk_parsed(docs: DataFrame, most: int = MOST, overlap: int = OVERLAP, inside: bool = False) -> DataFrame:
+    """Chunks of parsed documents, by file type: (document_id, sequence_number, content,
+    content_with_context, heading, chunk_type, token_count).
+
+    ``docs``: (document_id, file_type, text, summary, headings array<string>, pages
+    array<struct<text, vision_text>>, slides array<struct<title, content array<string>,
+    notes, charts>>, sheets array<struct<name, headers, rows>>, section_summaries
+    map<string, string>).  pptx goes by slides, xlsx and xlsb by sheets, docx by headings,
+    pdf by pages; where those are missing, and for all else, by the text.  A summary is a
+    chunk of its own, number -1.  No shuffle.
+    """
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    kind, text = F.lower("file_type"), F.coalesce("text", F.lit(""))
+    parts = (
+        F.when((kind == "pptx") & some("slides"), F.transform("slides", _slide).cast(_PART))
+        .when(kind.isin("xlsx", "xlsb") & some("sheets"), F.flatten(F.transform("sheets", lambda s: _sheet(s, most))).cast(_PART))
+        .when((kind == "docx") & some("headings"), section_parts(text, F.col("headings"), inside, most, overlap).cast(_PART))
+        .when((kind == "pdf") & some("pages"), F.filter(F.transform("pages", _page), lambda p: p["content"] != "").cast(_PART))
+        .otherwise(text_parts(text, most, overlap).cast(_PART))
+    )
+    rows = docs.select("document_id", "summary", "section_summaries", F.posexplode(parts).alias("sequence_number", "c"))
+    whole = with_context(F.col("c.content"), F.col("summary"), F.try_element_at("section_summaries", F.coalesce("c.heading", F.lit(""))), F.col("c.heading"))
+    body = rows.select("document_id", F.col("sequence_number").cast("long"), F.col("c.content").alias("content"), whole.alias("content_with_context"), F.col("c.heading").alias("heading"), F.col("c.kind").alias("chunk_type"))
+    head = docs.where("summary is not null and summary <> ''").select("document_id", F.lit(-1).cast("long").alias("sequence_number"), F.col("summary").alias("content"), F.concat(F.lit("Document Summary: "), "summary").alias("content_with_context"), F.lit(None).cast("string").alias("heading"), F.lit("summary").alias("chunk_type"))
+    return body.withColumn("token_count", token_count(F.col("content_with_context")).cast("long")).unionByName(head.withColumn("token_count", token_count(F.col("content")).cast("long")))
+
+
 def table_runs(lines: DataFrame) -> DataFrame:
     """Runs of consecutive lines that start and end with a pipe, as chunks."""
     order = Window.partitionBy("document_id").orderBy("line_no")
@@ -146,25 +246,25 @@ def global_pages(batches: DataFrame) -> DataFrame:
 
 
 def slide_chunks(slides: DataFrame) -> DataFrame:
-    """One chunk a slide: title, lines that are not the title, notes."""
-    body = F.filter("content", lambda x: (x != "") & (x != F.coalesce("title", F.lit(""))))
-    head = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit("# "), F.col("title")))
-    notes = F.when(F.coalesce("notes", F.lit("")) != "", F.concat(F.lit("Notes: "), F.col("notes")))
-    return slides.select("document_id", "slide", F.concat_ws("\n", head, F.concat_ws("\n", body), notes).alias("content"))
+    """One chunk a slide: title, lines that are not the title, charts in words, notes."""
+    none = "array<struct<kind:string,title:string,categories:array<string>,series:array<struct<name:string,values:array<double>>>>>"
+    rows = slides if "charts" in slides.columns else slides.withColumn("charts", F.array().cast(none))
+    return rows.select("document_id", "slide", _slide(F.struct("title", "content", "notes", "charts"))["content"].alias("content"))
 
 
 def merge_small_slides(slides: DataFrame, least: int = SLIDE_LEAST) -> DataFrame:
-    """A slide of fewer words joins the next; (document_id, first_slide, content)."""
+    """A slide of fewer tokens is joined with the next, whatever that one's size;
+    (document_id, first_slide, content)."""
     rows = slides.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("slide", "content"))).alias("s"))
     kind = "struct<out:array<struct<slide:bigint,content:string>>,slide:bigint,held:string>"
-    start = F.struct(F.array().cast("array<struct<slide:bigint,content:string>>").alias("out"), F.lit(None).cast("bigint").alias("slide"), F.lit("").alias("held")).cast(kind)
+    start = F.struct(F.array().cast("array<struct<slide:bigint,content:string>>").alias("out"), F.lit(None).cast("bigint").alias("slide"), F.lit(None).cast("string").alias("held")).cast(kind)
+    none = [F.lit(None).cast("bigint").alias("slide"), F.lit(None).cast("string").alias("held")]
 
     def step(a: Column, s: Column) -> Column:
-        text = F.when(a["held"] != "", F.concat(a["held"], F.lit("\n\n"), s["content"])).otherwise(s["content"])
-        first = F.coalesce(a["slide"], s["slide"])
-        done = word_count(text) >= least
-        add = F.concat(a["out"], F.array(F.struct(first.alias("slide"), text.alias("content"))))
-        return F.when(done, F.struct(add.alias("out"), F.lit(None).cast("bigint").alias("slide"), F.lit("").alias("held"))).otherwise(F.struct(a["out"].alias("out"), first.alias("slide"), text.alias("held"))).cast(kind)
+        both = F.struct(F.concat(a["out"], F.array(F.struct(a["slide"].alias("slide"), F.concat(a["held"], F.lit("\n\n---\n\n"), s["content"]).alias("content")))).alias("out"), *none)
+        wait = F.struct(a["out"].alias("out"), s["slide"].alias("slide"), s["content"].alias("held"))
+        own = F.struct(F.concat(a["out"], F.array(F.struct(s["slide"].alias("slide"), s["content"].alias("content")))).alias("out"), *none)
+        return F.when(a["slide"].isNotNull(), both.cast(kind)).when(token_count(s["content"]) < least, wait.cast(kind)).otherwise(own.cast(kind))
 
     def finish(a: Column) -> Column:
         return F.when(a["slide"].isNotNull(), F.concat(a["out"], F.array(F.struct(a["slide"].alias("slide"), a["held"].alias("content"))))).otherwise(a["out"])
@@ -173,29 +273,18 @@ def merge_small_slides(slides: DataFrame, least: int = SLIDE_LEAST) -> DataFrame
 
 
 def sheet_chunks(sheets: DataFrame, most: int = MOST) -> DataFrame:
-    """Row groups of a sheet under a repeated header, each within ``most`` words.
+    """Row groups of a sheet under a repeated header, each within ``most`` tokens.
 
     ``sheets``: (document_id, name, headers array<string>, rows array<array<string>>).
     """
-    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", cells), F.lit(" |"))
-    head = line(F.col("headers"))
-    kind = "struct<out:array<array<string>>,held:array<string>,n:int>"
-    start = F.struct(F.array().cast("array<array<string>>").alias("out"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("n")).cast(kind)
-    rows = F.transform("rows", line)
-
-    def step(a: Column, r: Column) -> Column:
-        n = word_count(r)
-        over = (F.size(a["held"]) > 0) & (a["n"] + n + word_count(head) > most)
-        return F.when(over, F.struct(F.concat(a["out"], F.array(a["held"])).alias("out"), F.array(r).alias("held"), n.alias("n"))).otherwise(F.struct(a["out"].alias("out"), F.concat(a["held"], F.array(r)).alias("held"), (a["n"] + n).alias("n"))).cast(kind)
-
-    groups = F.aggregate(rows, start, step, lambda a: F.when(F.size(a["held"]) > 0, F.concat(a["out"], F.array(a["held"]))).otherwise(a["out"]))
-    return sheets.select("document_id", "name", F.posexplode(groups).alias("part", "r"), head.alias("h")).select("document_id", "name", F.col("part").cast("long").alias("part"), F.concat_ws("\n", F.col("h"), F.concat_ws("\n", "r")).alias("content"))
+    rows = sheets.select("document_id", "name", F.posexplode(_sheet(F.struct("name", "headers", "rows"), most)).alias("part", "c"))
+    return rows.select("document_id", "name", F.col("part").cast("long").alias("part"), F.col("c.content").alias("content"))
 
 
 def sheet_parts(sheets: DataFrame, most: int = MOST, slack: int = 20) -> DataFrame:
     """Row groups with ``(part n)`` after the sheet's name and a rule under the header.
 
-    Groups may go over ``most`` by ``slack`` words; a first row that repeats the headers is
+    Groups may go over ``most`` by ``slack`` tokens; a first row that repeats the headers is
     no data."""
     same = F.try_element_at("rows", F.lit(1)) == F.col("headers")
     data = F.when(F.coalesce(same, F.lit(False)), F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).otherwise(F.col("rows"))
@@ -207,12 +296,30 @@ def sheet_parts(sheets: DataFrame, most: int = MOST, slack: int = 20) -> DataFra
     return parts.select("document_id", name.alias("heading"), "part", body.alias("content"))
 
 
+def sheet_extras(sheets: DataFrame) -> DataFrame:
+    """Charts and named ranges of each sheet as chunks: (document_id, heading, content,
+    chunk_type).
+
+    ``sheets`` also has charts array<struct<kind, title, categories, series>> and
+    named_ranges array<struct<name, cells>>."""
+    chart = lambda c: F.struct(F.concat("name", F.lit(" - "), F.coalesce(c["title"], F.lit("chart"))).alias("heading"), chart_text(c["kind"], c["title"], c["categories"], c["series"]).alias("content"), F.lit("chart").alias("chunk_type"))
+    ranges = F.array_join(F.transform("named_ranges", lambda r: F.concat(r["name"], F.lit(": "), r["cells"])), "\n")
+    named = F.when(F.size("named_ranges") > 0, F.array(F.struct(F.concat("name", F.lit(" - named ranges")).alias("heading"), ranges.alias("content"), F.lit("text").alias("chunk_type")))).otherwise(F.array())
+    return sheets.select("document_id", F.explode(F.concat(F.transform("charts", chart), named)).alias("c")).select("document_id", "c.heading", "c.content", "c.chunk_type")
+
+
+def sheet_text(sheets: DataFrame, most: int = 50) -> DataFrame:
+    """Full text of a workbook: a mark, the headers and the first rows of every sheet."""
+    block = F.struct("name", F.concat_ws("\n", F.concat(F.lit("--- Sheet "), F.col("name"), F.lit(" ---")), F.concat_ws(" | ", "headers"), F.array_join(F.transform(F.slice("rows", 1, most), lambda r: F.concat_ws(" | ", r)), "\n")).alias("t"))
+    return sheets.groupBy("document_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(block)), lambda b: b["t"])).alias("text"))
+
+
 def merge_small_sections(sections: DataFrame, target: int = TARGET, most: int = MOST) -> DataFrame:
     """Sections as chunks; a leaf under half the target joins the next one of its level.
 
     ``sections``: (document_id, sections array<struct<heading, level, content>>), flat and
     in document order.  A section is a leaf if the next one is not deeper.  The joined text
-    keeps within ``most`` words and goes by the first heading.
+    keeps within ``most`` tokens and goes by the first heading.
     """
     one = "struct<heading:string,level:int,content:string>"
     kind = f"struct<out:array<{one}>,held:{one}>"
@@ -221,7 +328,7 @@ def merge_small_sections(sections: DataFrame, target: int = TARGET, most: int =
     def step(a: Column, s: Column) -> Column:
         held = a["held"]
         text = F.concat(held["content"], F.lit("\n\n"), F.coalesce(s["heading"], F.lit("")), F.lit("\n"), s["content"])
-        small = held.isNotNull() & (word_count(held["content"]) < target // 2) & (held["level"] == s["level"]) & (word_count(text) <= most)
+        small = held.isNotNull() & (token_count(held["content"]) < target // 2) & (held["level"] == s["level"]) & (token_count(text) <= most)
         joined = F.struct(a["out"].alias("out"), F.struct(held["heading"].alias("heading"), held["level"].alias("level"), text.alias("content")).alias("held"))
         done = F.when(held.isNotNull(), F.concat(a["out"], F.array(held))).otherwise(a["out"])
         return F.when(small, joined.cast(kind)).otherwise(F.struct(done.alias("out"), s.cast(one).alias("held")).cast(kind))
@@ -249,6 +356,15 @@ def slide_text(slides: DataFrame) -> DataFrame:
     return slides.groupBy("document_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(block)), lambda b: b["t"])).alias("text"))
 
 
+def sentence_pairs(docs: DataFrame, dim: int = 32) -> DataFrame:
+    """(document_id, sentence, similarity): each sentence and how like the next one it is,
+    by default embeddings; the last has none.  A document stays in its row."""
+    v = F.transform(sentences(F.col("text")), lambda t: hashed_vector(t, dim))
+    rows = docs.select("document_id", v.alias("_v"))
+    near = F.transform("_v", lambda x, i: F.round(cosine(x, F.get(F.col("_v"), i + 1)), 6))
+    return rows.select("document_id", F.posexplode(near).alias("sentence", "similarity")).withColumn("sentence", F.col("sentence").cast("long"))
+
+
 def topic_boundaries(pairs: DataFrame, threshold: float = 0.75, least: int = 3) -> DataFrame:
     """Segment number of every sentence: a new one after a dissimilar neighbour.
 

@@ -206,7 +206,7 @@ def default_vectors(t):
 # ---- chunking --------------------------------------------------------------
 
 PARTS = "parts as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as p, text from {documents})"
-COUNT = "len(list_filter(regexp_split_to_array({0}, '[ \\t\\n\\r]+'), lambda y: y <> ''))"
+COUNT = "len(regexp_extract_all({0}, '[A-Za-z0-9_\\x{{80}}-\\x{{10FFFF}}]+|[!-/:-@\\[-^`{{-~]'))"
 KEPT = f"a.held[list_min(list_filter(generate_series(1, len(a.held) + 1), lambda j: coalesce(list_sum(list_transform(a.held[j:], lambda z: {COUNT.format('z')})), 0) <= 60)):]"
 PACKED = f"""packed as (select doc_id, list_reduce(p, lambda a, x: case when len(a.held) > 0 and a.n + {COUNT.format('x')} > 600
     then struct_pack(out := list_append(a.out, array_to_string(a.held, chr(10) || chr(10))), held := list_append({KEPT}, x), n := cast(coalesce(list_sum(list_transform({KEPT}, lambda u: {COUNT.format('u')})), 0) + {COUNT.format('x')} as bigint))
@@ -240,7 +240,7 @@ def chunked_documents(t):
 @query(
     "contextual_chunks",
     f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from {{documents}})
-      select doc_id, i as line_no, md5(concat_ws(chr(10), case when doc_id % 2 = 0 then 'Document: ' || substr('About ' || doc_id, 1, 300) end, case when i % 3 = 0 then 'Section: part ' || (i // 10) end)
+      select doc_id, i as line_no, md5(concat_ws(chr(10), case when doc_id % 2 = 0 then 'Document Summary: ' || substr('About ' || doc_id, 1, 300) end, case when i % 3 = 0 then 'Section: part ' || (i // 10) end)
         || case when doc_id % 2 = 0 or i % 3 = 0 then chr(10) || chr(10) else '' end || line) as digest from l""",
 )
 def contextual_chunks(t):
@@ -307,10 +307,23 @@ def slide_chunks(t):
     return chunking.slide_chunks(rows)
 
 
-@query("merged_slides")
+_TINY = COUNT.format("x.content") + " < 20"
+
+
+@query(
+    "merged_slides",
+    f"""with d as (select conv_id as document_id, list(struct_pack(slide := cast(turn as bigint), content := text) order by turn) as s from {{conversations}} group by conv_id),
+      f as (select document_id, list_reduce(s, lambda a, x: case
+        when a.slide is not null then struct_pack("out" := list_append(a.out, struct_pack(slide := a.slide, content := a.content || chr(10) || chr(10) || '---' || chr(10) || chr(10) || x.content)), slide := cast(null as bigint), content := cast(null as varchar))
+        when {_TINY} then struct_pack("out" := a.out, slide := x.slide, content := x.content)
+        else struct_pack("out" := list_append(a.out, x), slide := cast(null as bigint), content := cast(null as varchar)) end,
+        struct_pack("out" := cast([] as struct(slide bigint, content varchar)[]), slide := cast(null as bigint), content := cast(null as varchar))) as a from d),
+      e as (select document_id, unnest(case when a.slide is not null then list_append(a.out, struct_pack(slide := a.slide, content := a.content)) else a.out end) as x from f)
+      select document_id, x.slide as first_slide, x.content as content from e""",
+)
 def merged_slides(t):
-    """Small slides joined to the next; the words of a deck stay in order."""
-    rows = t("conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("slide"), F.col("text").alias("content"))
+    """Small slides joined to the next."""
+    rows = t("conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").cast("long").alias("slide"), F.col("text").alias("content"))
     return chunking.merge_small_slides(rows)
 
 
@@ -333,27 +346,112 @@ def sheet_profiles(t):
     return chunking.sheet_profile(_sheets(t))
 
 
-@query("sheet_chunks")
+def _groups(most: int, head: int) -> str:
+    """Sheets of suppliers as (document_id, part, g): groups of lines under their header."""
+    n = COUNT.format("x")
+    return f"""d as (select cast(s_nationkey as bigint) as document_id, list('| ' || s_suppkey || ' | ' || s_name || ' |' order by s_suppkey) as r from {{supplier}} group by s_nationkey),
+      f as (select document_id, list_reduce(r, lambda a, x: case when len(a.held) > 0 and a.n + {n} + {head} > {most} then struct_pack("out" := list_append(a.out, a.held), held := [x], n := cast({n} as bigint))
+        else struct_pack("out" := a.out, held := list_append(a.held, x), n := cast(a.n + {n} as bigint)) end, struct_pack("out" := cast([] as varchar[][]), held := cast([] as varchar[]), n := cast(0 as bigint))) as a from d),
+      g as (select document_id, unnest(list_append(a.out, a.held)) as g, generate_subscripts(list_append(a.out, a.held), 1) - 1 as part from f)"""
+
+
+@query("sheet_chunks", f"with {_groups(40, 5)} select document_id, 'suppliers' as name, part, '| key | name |' || chr(10) || array_to_string(g, chr(10)) as content from g")
 def sheet_chunks(t):
     """Row groups of each sheet under a repeated header."""
     return chunking.sheet_chunks(_sheets(t), 40)
 
 
+@query(
+    "sheet_extras",
+    """with d as (select cast(s_nationkey as bigint) as k, count(*) as n from {supplier} group by 1)
+      select k as document_id, 'suppliers - by nation' as heading, '[bar] by nation' || chr(10) || 'Categories: a, b' || chr(10) || 'n: ' || cast(cast(n as double) as varchar) as content, 'chart' as chunk_type from d
+      union all select k, 'suppliers - named ranges', 'all: A1:B' || n, 'text' from d where k % 2 = 0""",
+)
+def sheet_extras(t):
+    n = F.size("rows").cast("string")
+    chart = F.struct(F.lit("bar").alias("kind"), F.lit("by nation").alias("title"), F.array(F.lit("a"), F.lit("b")).alias("categories"), F.array(F.struct(F.lit("n").alias("name"), F.array(F.size("rows").cast("double")).alias("values"))).alias("series"))
+    named = F.array(F.struct(F.lit("all").alias("name"), F.concat(F.lit("A1:B"), n).alias("cells")))
+    return chunking.sheet_extras(_sheets(t).withColumns({"charts": F.array(chart), "named_ranges": F.when(F.col("document_id") % 2 == 0, named).otherwise(F.slice(named, 1, 0))}))
+
+
+@query("sheet_text", "with r as (select *, row_number() over (partition by s_nationkey order by s_suppkey) as i from {supplier}) select cast(s_nationkey as bigint) as document_id, '--- Sheet suppliers ---' || chr(10) || 'key | name' || chr(10) || string_agg(s_suppkey || ' | ' || s_name, chr(10) order by i) as text from r where i <= 50 group by s_nationkey")
+def sheet_text(t):
+    return chunking.sheet_text(_sheets(t))
+
+
+@query(
+    "section_chunks",
+    f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from {{documents}}),
+      h as (select *, case when i % 6 = 1 then 'Part ' || (i // 6) when i % 6 = 4 then '  Part ' || (i // 6) || ' ' else line end as said, i % 6 in (1, 4) as head from l),
+      s as (select *, cast(sum(cast(head as int)) over (partition by doc_id order by i) as bigint) as seg from h),
+      g as (select doc_id, seg, trim(string_agg(said, chr(10) order by i), ' ') as body, max(case when head then trim(said) end) as heading from s group by doc_id, seg),
+      k as (select doc_id, row_number() over (partition by doc_id order by seg) - 1 as n, heading, body from g where body <> '')
+      select doc_id as document_id, n as sequence_number, heading, md5(body) as digest from k""",
+)
+def section_chunks(t):
+    """Segments under known headings (each line of every sixth and fourth of six)."""
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1) % 6 == 1, F.concat(F.lit("Part "), F.floor((i + 1) / 6).cast("string"))).when((i + 1) % 6 == 4, F.concat(F.lit("  Part "), F.floor((i + 1) / 6).cast("string"), F.lit(" "))).otherwise(x))
+    heads = F.transform(F.sequence(F.lit(0), F.size(F.split("text", "\n"))), lambda i: F.concat(F.lit("Part "), i.cast("string")))
+    parts = chunking.section_parts(F.array_join(line, "\n"), heads, most=1_000_000)
+    return t("documents").select(F.col("doc_id").alias("document_id"), F.posexplode(parts).alias("n", "c")).select("document_id", F.col("n").cast("long").alias("sequence_number"), "c.heading", F.md5("c.content").alias("digest"))
+
+
+NESTED = "struct<kind:string,title:string,categories:array<string>,series:array<struct<name:string,values:array<double>>>>"
+
+
+@query(
+    "parsed_chunks",
+    f"""with d as (select doc_id, doc_id % 6 as k, lower(text) as w, text, case when doc_id % 4 = 0 then 'About ' || doc_id end as summary from {{documents}}),
+      c as (select doc_id, summary, 0 as n, case k when 0 then '# Deck' || chr(10) || 'line ' || doc_id || chr(10) || 'Notes: n' when 1 then '| a | b |' || chr(10) || '| 1 | ' || doc_id || ' |' when 3 then 'page ' || doc_id when 2 then 'Intro' || chr(10) || 'x ' || doc_id else 'plain ' || doc_id end as content,
+          case k when 0 then 'Deck' when 1 then 'S' when 2 then 'Intro' end as heading, case k when 1 then 'table' when 3 then 'image_description' else 'text' end as chunk_type from d
+        union all select doc_id, summary, 1, 'End' || chr(10) || 'y', 'End', 'text' from d where k = 2),
+      f as (select *, concat_ws(chr(10), 'Document Summary: ' || summary, case when heading = 'S' then 'Sheet Summary: sums' end, 'Section: ' || heading) as prefix from c)
+      select doc_id as document_id, n as sequence_number, heading, chunk_type, case when prefix <> '' then prefix || chr(10) || chr(10) else '' end || content as content_with_context from f
+      union all select doc_id, -1, null, 'summary', 'Document Summary: ' || summary from d where summary is not null""",
+)
+def parsed_chunks(t):
+    """Documents of six kinds through the dispatch by file type."""
+    d = F.col("doc_id")
+    own = d.cast("string")
+    charts = F.array().cast(f"array<{NESTED}>")
+    slides = F.array(F.struct(F.lit("Deck").alias("title"), F.array(F.lit("Deck"), F.concat(F.lit("line "), own)).alias("content"), F.lit("n").alias("notes"), charts.alias("charts")))
+    sheets = F.array(F.struct(F.lit("S").alias("name"), F.array(F.lit("a"), F.lit("b")).alias("headers"), F.array(F.array(F.lit("1"), own)).alias("rows")))
+    pages = F.array(F.struct(F.lit(" ").alias("text"), F.concat(F.lit("page "), own).alias("vision_text")), F.struct(F.lit("").alias("text"), F.lit("NONE").alias("vision_text")))
+    said = F.when(d % 6 == 2, F.concat(F.lit("Intro\nx "), own, F.lit("\nEnd\ny"))).otherwise(F.concat(F.lit("plain "), own))
+    rows = t("documents").select(
+        d.alias("document_id"), F.element_at(F.array(*map(F.lit, ["pptx", "xlsx", "docx", "pdf", "txt", "pptx"])), (d % 6 + 1).cast("int")).alias("file_type"), said.alias("text"), F.when(d % 4 == 0, F.concat(F.lit("About "), own)).alias("summary"),
+        F.array(F.lit("Intro"), F.lit("End")).alias("headings"), pages.alias("pages"), F.when(d % 6 == 0, slides).alias("slides"), sheets.alias("sheets"), F.create_map(F.lit("S"), F.lit("sums")).alias("section_summaries"),
+    )
+    return chunking.chunk_parsed(rows).select("document_id", "sequence_number", "heading", "chunk_type", "content_with_context")
+
+
 @query("sentences", "select doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: x <> '')) as n from {documents}")
 def sentences(t):
     return t("documents").select("doc_id", F.size(chunking.sentences(F.col("text"))).cast("long").alias("n"))
 
 
+PLACES = "list_transform(list_filter(regexp_split_to_array(lower(x), '[^a-z]+'), lambda y: y <> ''), lambda w: cast('0x' || substr(md5(w), 1, 4) as bigint) % 32)"
+SIMILAR = f"""t as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: x <> '') as s from {{documents}}),
+  v as (select doc_id, unnest(list_transform(s, lambda x: {PLACES})) as p, generate_subscripts(s, 1) - 1 as sentence from t),
+  h as (select doc_id, sentence, list_transform(range(32), lambda i: cast(len(list_filter(p, lambda y: y = i)) as double)) as e from v),
+  n as (select doc_id, sentence, e, lead(e) over (partition by doc_id order by sentence) as f from h),
+  near as (select doc_id as document_id, sentence, case when f is not null and list_sum(e) > 0 and list_sum(f) > 0 then round(list_cosine_similarity(e, f), 6) end as similarity from n)"""
+
+
+@query("sentence_pairs", f"with {SIMILAR} select * from near")
+def sentence_pairs(t):
+    return chunking.sentence_pairs(t("documents").select(F.col("doc_id").alias("document_id"), "text"))
+
+
 @query(
     "topic_segments",
-    """with p as (select doc_id as document_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as sentence, len(string_split(text, chr(10))) as total from {documents}),
-      c as (select *, cast((document_id * 31 + sentence * 17) % 100 < 40 and sentence + 1 >= 3 and total >= 6 as int) as cut from p)
+    f"""with {SIMILAR}, c as (select *, coalesce(cast(similarity < 0.35 and sentence + 1 >= 3 and count(*) over (partition by document_id) >= 6 as int), 0) as cut from near)
       select document_id, sentence, cast(coalesce(sum(cut) over (partition by document_id order by sentence rows between unbounded preceding and 1 preceding), 0) as bigint) as segment from c""",
 )
 def topic_segments(t):
-    rows = t("documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("sentence", "x")).withColumn("sentence", F.col("sentence").cast("long"))
-    rows = rows.withColumn("similarity", F.when((F.col("document_id") * 31 + F.col("sentence") * 17) % 100 < 40, 0.5).otherwise(0.9))
-    return chunking.topic_boundaries(rows).select("document_id", "sentence", "segment")
+    """Topic boundaries between sentences, by the default embeddings."""
+    rows = chunking.sentence_pairs(t("documents").select(F.col("doc_id").alias("document_id"), "text"))
+    return chunking.topic_boundaries(rows, 0.35).select("document_id", "sentence", "segment")
 
 
 @query("window_summaries", f"select doc_id, split_part(text, '.', 1) as lead from {{documents}}")
@@ -361,13 +459,29 @@ def window_summaries(t):
     return t("documents").select("doc_id", metrics.lead_sentence(F.col("text")).alias("lead"))
 
 
-@query("sheet_parts")
+@query(
+    "sheet_parts",
+    f"""with {_groups(40, 5)}, m as (select *, count(*) over (partition by document_id) as many from g)
+      select document_id, case when many > 1 then 'suppliers (part ' || (part + 1) || ')' else 'suppliers' end as heading, part, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string(g, chr(10)) as content from m""",
+)
 def sheet_parts(t):
     """Row groups of sheets in the numbered form."""
     return chunking.sheet_parts(_sheets(t), 20)
 
 
-@query("merged_sections")
+_JOINED = "a.held.content || chr(10) || chr(10) || x.heading || chr(10) || x.content"
+
+
+@query(
+    "merged_sections",
+    f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from {{documents}}),
+      d as (select doc_id, list(struct_pack(heading := 'h' || i, "level" := cast(1 + (i // 3) % 2 as int), content := content) order by i) as s from l group by doc_id),
+      f as (select doc_id, list_reduce(s[2:], lambda a, x: case when {COUNT.format('a.held.content')} < 225 and a.held.level = x.level and {COUNT.format(_JOINED)} <= 600
+          then struct_pack("out" := a.out, held := struct_pack(heading := a.held.heading, "level" := a.held.level, content := {_JOINED}))
+          else struct_pack("out" := list_append(a.out, a.held), held := x) end, struct_pack("out" := cast([] as struct(heading varchar, "level" int, content varchar)[]), held := s[1])) as a from d),
+      e as (select doc_id, unnest(list_append(a.out, a.held)) as x, generate_subscripts(list_append(a.out, a.held), 1) - 1 as n from f)
+      select doc_id as document_id, n as sequence_number, x.heading as heading, md5(x.content) as digest from e where x.content <> ''""",
+)
 def merged_sections(t):
     """Lines of every document as sections; small ones join the next of their level."""
     line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.concat(F.lit("h"), i.cast("string")).alias("heading"), (1 + F.floor(i / 3) % 2).cast("int").alias("level"), x.alias("content")))

@@ -51,6 +51,7 @@ def test_pack_equals_a_loop(spark, docs):
 def test_empty_and_short(spark):
     got = _pack(spark, ["", "One sentence.", "intro\n\n| a | b |\n| c | d |\n\ntext"], 600, 60)
     assert got[0] == [] and len(got[1]) == 1
+    assert [c.content for c in _pack(spark, ["0 first 100\n\n1 second 11"], 1, 0)[0]] == ["0 first 100", "1 second 11"]
     assert [c.kind for c in got[2]] == ["text", "table", "text"]
 
 
@@ -82,4 +83,13 @@ def test_page_merge(spark):
 def test_merge_small_slides(spark):
     df = spark.createDataFrame([(1, 1, "a b"), (1, 2, "c " * 25), (1, 3, "end")], "document_id long, slide long, content string")
     rows = chunking.merge_small_slides(df).orderBy("first_slide").collect()
-    assert [r.first_slide for r in rows] == [1, 3]
+    assert [r.first_slide for r in rows] == [1, 3] and rows[0].content.startswith("a b\n\n---\n\nc")
+
+
+def test_sections_over_the_limit_are_packed(spark):
+    text = "Intro\n\none two\n\nthree four\n\nfive six\nsee Intro here\nEnd\nlast"
+    cut = lambda **k: [tuple(x) for x in spark.range(1).select(chunking.section_parts(F.lit(text), F.array(F.lit("Intro"), F.lit("End")), **k)).first()[0]]
+    assert cut() == [("Intro\n\none two\n\nthree four\n\nfive six\nsee Intro here", "Intro", "text"), ("End\nlast", "End", "text")]
+    assert [x[0] for x in cut(inside=True)] == ["Intro\n\none two\n\nthree four\n\nfive six", "see Intro here", "End\nlast"]
+    packed = cut(most=4, overlap=0)
+    assert [x[1] for x in packed] == ["Intro"] * 3 + ["End"] and packed[0][0] == "Intro\n\none two"
