@@ -51,5 +51,13 @@ def rebuild_access(access: DataFrame, touched: DataFrame, new: DataFrame) -> Dat
     return old.unionByName(new.select("document_id", "user_id"))
 
 
+def refresh_completed(documents: DataFrame, grants: DataFrame, closure: DataFrame, access: DataFrame) -> DataFrame:
+    """Access after the pairs of all completed documents (document_id, status) are rebuilt
+    from their grants."""
+    done = documents.where("status = 'completed'").select("document_id").distinct()
+    new = access_pairs(grants.join(done, "document_id", "left_semi"), closure)
+    return rebuild_access(access, done, new)
+
+
 def documents_of_users(access: DataFrame) -> DataFrame:
     return access.groupBy("user_id").agg(F.array_sort(F.collect_set("document_id")).alias("documents"))

@@ -13,10 +13,18 @@ from docloom.functions.text import file_extension
 
 SUPPORTED = ["pptx", "docx", "pdf", "xlsx"]
 KEY = ["drive_id", "item_id"]
+#: What an item says of its document; ``SET_ONCE`` only counts when it is created.
+ITEM = ["name", "size", "url", "modified_at", "modified_by"]
+SET_ONCE = ["site_id", "mime_type", "parent_path", "created_by"]
 
 
-def last_per_key(feed: DataFrame, key: list[str] = KEY) -> DataFrame:
-    newest = Window.partitionBy(*key).orderBy(F.desc("modified_at"), F.desc("position"))
+def key_of(*tables: DataFrame) -> list[str]:
+    """The key of documents: with the knowledge base, where all tables name it."""
+    return [*(["kb"] if all("kb" in t.columns for t in tables) else []), *KEY]
+
+
+def last_per_key(feed: DataFrame, key: list[str] | None = None) -> DataFrame:
+    newest = Window.partitionBy(*(key or key_of(feed))).orderBy(F.desc("modified_at"), F.desc("position"))
     return feed.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
@@ -30,17 +38,20 @@ def path_allowed(path: Column, include: list[str] | None = None, exclude: list[s
     return out
 
 
-def classify(feed: DataFrame, stored: DataFrame, supported: list[str] = SUPPORTED) -> DataFrame:
+def classify(feed: DataFrame, stored: DataFrame, supported: list[str] = SUPPORTED, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """``feed`` with ``change``: DELETED, CREATED, UPDATED, PERMISSION_CHANGED or null.
 
-    A stored row with status deleted counts as unknown."""
-    live = stored.where("status <> 'deleted'").select(*KEY, F.col("ctag").alias("old_ctag"), F.col("etag").alias("old_etag"), F.lit(True).alias("known"))
-    rows = feed.join(live, KEY, "left")
+    A stored row with status deleted counts as unknown.  The path filter holds back
+    everything but deletes."""
+    key = key_of(feed, stored)
+    live = stored.where("status <> 'deleted'").select(*key, F.col("ctag").alias("old_ctag"), F.col("etag").alias("old_etag"), F.lit(True).alias("known"))
+    rows = feed.join(live, key, "left")
+    allowed = path_allowed(F.coalesce("parent_path", F.lit("")), include, exclude) if include or exclude else F.lit(True)
     known = F.coalesce("known", F.lit(False))
     other = lambda new, old: F.col(new).isNotNull() & (F.col(new) != "") & (F.coalesce(F.col(old), F.lit("")) != F.col(new))
     change = (
         F.when(F.col("is_deleted"), F.when(known, "DELETED"))
-        .when(F.col("is_folder") | ~file_extension(F.col("name")).isin(supported), None)
+        .when(F.col("is_folder") | ~allowed | ~file_extension(F.col("name")).isin(supported), None)
         .when(~known, "CREATED")
         .when(other("ctag", "old_ctag"), "UPDATED")
         .when(other("etag", "old_etag"), "PERMISSION_CHANGED")
@@ -57,19 +68,42 @@ def limit_changes(changes: DataFrame, most: int, partition: list[str]) -> DataFr
 def apply(stored: DataFrame, changes: DataFrame) -> DataFrame:
     """The next snapshot: one full outer join of documents with their last change.
 
-    Creates and updates set tags and go back to pending; an update of an unknown
-    document is a create; deletes leave a tombstone; permission changes set the etag.
+    Creates and updates take over what the item says (``ITEM`` and, for a new document,
+    ``SET_ONCE``, as far as ``changes`` has those columns), clear the error and go back to
+    pending; an update of an unknown document is a create; deletes leave a tombstone;
+    permission changes set the etag and who made them.
     """
-    new = last_per_key(changes.where("change is not null")).select(*KEY, "change", F.col("ctag").alias("n_ctag"), F.col("etag").alias("n_etag"))
-    rows = stored.join(new, KEY, "full_outer")
+    key = key_of(stored, changes)
+    said = [c for c in (*ITEM, *SET_ONCE) if c in changes.columns]
+    rest = [c for c in stored.columns if c not in (*key, *said, "ctag", "etag", "status", "retry_count", "error_message")]
+    new = last_per_key(changes.where("change is not null"), key).select(*key, "change", *[F.col(c).alias(f"n_{c}") for c in ("ctag", "etag", *said)])
+    old = stored.withColumns({c: F.lit(None).cast(changes.schema[c].dataType) for c in said if c not in stored.columns})
+    rows = old.join(new, key, "full_outer")
     write = F.col("change").isin("CREATED", "UPDATED")
-    return rows.select(
-        *KEY,
+    fresh = F.coalesce(F.col("change") == "CREATED", F.lit(False)) | F.col("status").isNull()
+
+    def item(c: str):
+        takes = write & fresh if c in SET_ONCE else write | (F.col("change") == "PERMISSION_CHANGED") if c == "modified_by" else write
+        return F.when(takes, F.coalesce(f"n_{c}", c)).otherwise(F.col(c)).alias(c)
+
+    out = [
+        *key,
         F.when(write, F.coalesce("n_ctag", "ctag")).otherwise(F.col("ctag")).alias("ctag"),
         F.when(write | (F.col("change") == "PERMISSION_CHANGED"), F.coalesce("n_etag", "etag")).otherwise(F.col("etag")).alias("etag"),
         F.when(write, "pending").when(F.col("change") == "DELETED", "deleted").otherwise(F.col("status")).alias("status"),
         F.when(write, F.lit(0)).otherwise(F.col("retry_count")).cast("long").alias("retry_count"),
-    )
+        *map(item, said),
+    ]
+    if "error_message" in stored.columns:
+        out.append(F.when(~F.coalesce(write, F.lit(False)), F.col("error_message")).alias("error_message"))
+    return rows.select(*out, *rest)
+
+
+def cascade(gone: DataFrame, chunks: DataFrame, access: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, access pairs and edges without the deleted documents (document_id)."""
+    from docloom.operators.graph import delete_from_graph
+
+    return delete_documents(chunks, gone), delete_documents(access, gone), delete_from_graph(edges, gone)
 
 
 def change_stats(changes: DataFrame) -> DataFrame:
@@ -80,20 +114,23 @@ def change_stats(changes: DataFrame) -> DataFrame:
 
 def orphans(stored: DataFrame, listing: DataFrame) -> DataFrame:
     """Live documents that the full listing does not hold."""
-    return stored.where("status <> 'deleted'").join(listing.select(*KEY).distinct(), KEY, "left_anti")
+    key = key_of(stored, listing)
+    return stored.where("status <> 'deleted'").join(listing.select(*key).distinct(), key, "left_anti")
 
 
 def reconcile(stored: DataFrame, listing: DataFrame) -> DataFrame:
     """Deletes for orphans and classified changes of a full listing, in one table."""
-    gone = orphans(stored, listing).select(*KEY, F.lit("DELETED").alias("change"))
-    return gone.unionByName(classify(last_per_key(listing), stored).where("change is not null").select(*KEY, "change"))
+    key = key_of(stored, listing)
+    gone = orphans(stored, listing).select(*key, F.lit("DELETED").alias("change"))
+    return gone.unionByName(classify(last_per_key(listing), stored).where("change is not null").select(*key, "change"))
 
 
 def reconcile_totals(stored: DataFrame, listing: DataFrame) -> DataFrame:
+    """Items listed, live documents and orphans of every drive that has any of them."""
     items = listing.groupBy("drive_id").agg(F.countDistinct("item_id").alias("items"))
     docs = stored.where("status <> 'deleted'").groupBy("drive_id").agg(F.count("*").alias("documents"))
     gone = orphans(stored, listing).groupBy("drive_id").agg(F.count("*").alias("orphans"))
-    return items.join(docs, "drive_id", "left").join(gone, "drive_id", "left").fillna(0)
+    return items.join(docs, "drive_id", "full_outer").join(gone, "drive_id", "full_outer").fillna(0, ["items", "documents", "orphans"])
 
 
 def unchanged_gate(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -142,8 +179,9 @@ def advance_cursors(cursors: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def audit(changes: DataFrame, processed_at: Column) -> DataFrame:
-    """Append-only event rows of the changes."""
-    return changes.where("change is not null").select(*KEY, F.col("change").alias("change_type"), F.col("name").alias("file_name"), F.col("modified_at").alias("detected_at"), processed_at.alias("processed_at"))
+    """Append-only event rows of the changes, with the error of those that failed."""
+    error = F.col("error") if "error" in changes.columns else F.lit(None).cast("string")
+    return changes.where("change is not null").select(*key_of(changes), F.col("change").alias("change_type"), F.col("name").alias("file_name"), F.col("modified_at").alias("detected_at"), processed_at.alias("processed_at"), F.substring(error, 1, 1000).alias("error"))
 
 
 def delete_documents(rows: DataFrame, gone: DataFrame, key: str = "document_id") -> DataFrame:

@@ -38,16 +38,40 @@ def change_stats(t):
     return changes.change_stats(_classified(t))
 
 
-@query(
-    "next_snapshot",
-    f"""with {LAST}, {CLASS}, n as (select drive_id, item_id, change, ctag as nc, etag as ne from classified where change is not null)
-      select drive_id, item_id, case when change in ('CREATED', 'UPDATED') then coalesce(nc, ctag) else ctag end as ctag, case when change in ('CREATED', 'UPDATED', 'PERMISSION_CHANGED') then coalesce(ne, etag) else etag end as etag,
-      case when change in ('CREATED', 'UPDATED') then 'pending' when change = 'DELETED' then 'deleted' else status end as status, case when change in ('CREATED', 'UPDATED') then 0 else retry_count end as retry_count
-      from {{stored}} full outer join n using (drive_id, item_id)""",
-)
+def applied(changes: str, stored: str, old: bool) -> str:
+    """SQL of the snapshot after classified ``changes``; ``old``: stored rows have the
+    columns that items bring."""
+    write, fresh = "n.change in ('CREATED', 'UPDATED')", "(n.change = 'CREATED' or s.status is null)"
+    was = lambda c: f"s.{c}" if old else "null"
+    items = [f"case when {write} then coalesce(n.{c}, {was(c)}) else {was(c)} end as {c}" for c in ("name", "size", "url", "modified_at")]
+    items.append(f"case when {write} or n.change = 'PERMISSION_CHANGED' then coalesce(n.modified_by, {was('modified_by')}) else {was('modified_by')} end as modified_by")
+    items += [f"case when {write} and {fresh} then coalesce(n.{c}, {was(c)}) else {was(c)} end as {c}" for c in ("mime_type", "parent_path", "created_by")]
+    return f"""select drive_id, item_id, case when {write} then coalesce(n.ctag, s.ctag) else s.ctag end as ctag, case when {write} or n.change = 'PERMISSION_CHANGED' then coalesce(n.etag, s.etag) else s.etag end as etag,
+      case when {write} then 'pending' when n.change = 'DELETED' then 'deleted' else s.status end as status, cast(case when {write} then 0 else s.retry_count end as bigint) as retry_count, {', '.join(items)}
+      from {stored} s full outer join (select * from {changes} where change is not null) n using (drive_id, item_id)"""
+
+
+@query("next_snapshot", f"with {LAST}, {CLASS} {applied('classified', '{stored}', False)}")
 def next_snapshot(t):
     """Create, update, delete and permission change in one full outer join."""
-    return changes.apply(t("stored"), _classified(t))
+    return changes.apply(t("stored").drop("content_hash"), _classified(t))
+
+
+@query(
+    "filtered_changes",
+    f"with {LAST}, {CLASS} select drive_id, item_id, case when change = 'DELETED' or contains(lower(parent_path), 'finance') and not contains(lower(parent_path), 'reports') or contains(lower(parent_path), 'hr') then change end as change from classified",
+)
+def filtered_changes(t):
+    """The path filter holds back creates and updates, never deletes."""
+    rows = changes.classify(changes.last_per_key(t("feed")), t("stored"), include=["Finance", "HR"], exclude=["reports"])
+    return rows.select("drive_id", "item_id", "change")
+
+
+@query("keyed_changes", f"with two as (select *, case when item_id % 2 = 0 then 'main' else 'care' end as kb from {{feed}}), {LAST.replace('{feed}', 'two')}, {CLASS} select kb, drive_id, item_id, case when change in ('UPDATED', 'PERMISSION_CHANGED') and kb = 'care' then 'CREATED' when kb = 'care' and is_deleted then null when kb = 'care' and change is null and not is_folder and lower(split_part(name, '.', -1)) in ('pptx', 'docx', 'pdf', 'xlsx') and contains(name, '.') then 'CREATED' else change end as change from classified")
+def keyed_changes(t):
+    """Documents of another knowledge base are other documents: the second has none."""
+    kb = F.when(F.col("item_id") % 2 == 0, "main").otherwise("care")
+    return changes.classify(changes.last_per_key(t("feed").withColumn("kb", kb)), t("stored").withColumn("kb", F.lit("main"))).select("kb", "drive_id", "item_id", "change")
 
 
 @query(
@@ -73,12 +97,12 @@ def filtered_paths(t):
     return t("feed").where(changes.path_allowed(F.col("parent_path"), ["Finance", "HR"], ["reports"])).select("position")
 
 
-LISTING = "listing as (select * from {feed} where item_id % 6 <> 0)"
+LISTING = "listing as (select * from {feed} where item_id % 6 <> 0 and drive_id <> 2)"
 
 
 @query("orphans", f"with {LISTING} select drive_id, item_id from {{stored}} s where status <> 'deleted' and not exists (select 1 from listing l where l.drive_id = s.drive_id and l.item_id = s.item_id)")
 def orphans(t):
-    return changes.orphans(t("stored"), t("feed").where("item_id % 6 <> 0")).select("drive_id", "item_id")
+    return changes.orphans(t("stored"), t("feed").where("item_id % 6 <> 0 and drive_id <> 2")).select("drive_id", "item_id")
 
 
 @query(
@@ -95,10 +119,10 @@ def reconciliation(t):
     "reconciliation_totals",
     f"""with {LISTING}, i as (select drive_id, count(distinct item_id) as items from listing group by 1), d as (select drive_id, count(*) as documents from {{stored}} where status <> 'deleted' group by 1),
       o as (select drive_id, count(*) as orphans from {{stored}} s where status <> 'deleted' and not exists (select 1 from listing l where l.drive_id = s.drive_id and l.item_id = s.item_id) group by 1)
-      select drive_id, items, coalesce(documents, 0) as documents, coalesce(orphans, 0) as orphans from i left join d using (drive_id) left join o using (drive_id)""",
+      select drive_id, coalesce(items, 0) as items, coalesce(documents, 0) as documents, coalesce(orphans, 0) as orphans from i full outer join d using (drive_id) full outer join o using (drive_id)""",
 )
 def reconciliation_totals(t):
-    return changes.reconcile_totals(t("stored"), t("feed").where("item_id % 6 <> 0"))
+    return changes.reconcile_totals(t("stored"), t("feed").where("item_id % 6 <> 0 and drive_id <> 2"))
 
 
 @query(
@@ -145,18 +169,23 @@ def crawl_modes(t):
 @query(
     "advanced_cursors",
     f"""with {CURSORS}, runs as (select item_id % 30 as drive_id, 'new' || (item_id % 30) as new_token, count(*) as items from {{feed}} group by 1, 2)
-      select cast(drive_id as bigint) as drive_id, coalesce(new_token, delta_token) as delta_token, cast(coalesce(items_processed, 0) + coalesce(items, 0) as bigint) as items_processed from cur full outer join runs using (drive_id)""",
+      select cast(drive_id as bigint) as drive_id, coalesce(new_token, delta_token) as delta_token, cast(coalesce(items_processed, 0) + coalesce(items, 0) as bigint) as items_processed,
+        case when items is not null then timestamp '2024-01-31 00:00:00' when drive_id is not null then timestamp '2024-01-01 00:00:00' end as last_sync_at,
+        case when items is not null and drive_id % 2 = 0 then timestamp '2024-01-31 00:00:00' when items_processed is not null then timestamp '2023-12-01 00:00:00' end as full_crawl_at from cur full outer join runs using (drive_id)""",
 )
 def advanced_cursors(t):
-    cursors = _cursors(t).withColumns({"last_sync_at": F.lit(None).cast("timestamp"), "full_crawl_at": F.lit(None).cast("timestamp")})
+    day = lambda d: F.lit(d).cast("timestamp")
+    cursors = _cursors(t).withColumns({"last_sync_at": day("2024-01-01"), "full_crawl_at": day("2023-12-01")})
     key = F.col("item_id") % 30
-    runs = t("feed").groupBy(key.alias("drive_id")).agg(F.count("*").alias("items")).withColumns({"new_token": F.concat(F.lit("new"), F.col("drive_id").cast("string")), "run_at": F.lit("2024-01-31").cast("timestamp"), "was_full": F.lit(False)})
-    return changes.advance_cursors(cursors, runs).select("drive_id", "delta_token", "items_processed")
+    runs = t("feed").groupBy(key.alias("drive_id")).agg(F.count("*").alias("items")).withColumns({"new_token": F.concat(F.lit("new"), F.col("drive_id").cast("string")), "run_at": day("2024-01-31"), "was_full": F.col("drive_id") % 2 == 0})
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return changes.advance_cursors(cursors, runs).select("drive_id", "delta_token", "items_processed", ntz("last_sync_at"), ntz("full_crawl_at"))
 
 
-@query("audit_events", f"with {LAST}, {CLASS} select drive_id, item_id, change as change_type, name as file_name from classified where change is not null")
+@query("audit_events", f"with {LAST}, {CLASS} select drive_id, item_id, change as change_type, name as file_name, case when item_id % 4 = 0 then 'boom ' || item_id end as error from classified where change is not null")
 def audit_events(t):
-    return changes.audit(_classified(t), F.lit("2024-01-31").cast("timestamp")).select("drive_id", "item_id", "change_type", "file_name")
+    failed = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("boom "), F.col("item_id").cast("string")))
+    return changes.audit(_classified(t).withColumn("error", failed), F.lit("2024-01-31").cast("timestamp")).select("drive_id", "item_id", "change_type", "file_name", "error")
 
 
 @query("cascade_delete", "select chunk_id, document_id from {chunks} where document_id not in (select document_id from {doc_status} where status = 'deleted')")
@@ -209,6 +238,17 @@ def rebuilt_access(t):
     return access.rebuild_access(t("access"), touched, new)
 
 
+@query(
+    "refreshed_access",
+    """with g as (select distinct user_id % 7 as user_id, document_id from {access}) select user_id, document_id from {access} where document_id not in (select document_id from {doc_status} where status = 'completed')
+      union all select user_id, document_id from g where document_id in (select document_id from {doc_status} where status = 'completed')""",
+)
+def refreshed_access(t):
+    """All completed documents' pairs, rebuilt from their grants."""
+    grants = t("access").select("document_id", F.lit("user").alias("principal_type"), (F.col("user_id") % 7).alias("principal_id"))
+    return access.refresh_completed(t("doc_status"), grants, t("group_edges").select(F.col("parent").alias("ancestor"), F.col("child").alias("member")), t("access"))
+
+
 @query("user_documents", "select user_id, array_to_string(list_sort(list(distinct document_id)), ',') as documents from {access} group by user_id")
 def user_documents(t):
     return access.documents_of_users(t("access")).withColumn("documents", F.concat_ws(",", F.transform("documents", lambda x: x.cast("string"))))

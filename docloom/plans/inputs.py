@@ -41,6 +41,8 @@ INPUTS = {
         event_type = 'error' as is_deleted, event_type = 'signup' as is_folder,
         case when event_id % 13 = 0 then cast(null as string) else cast(cast(floor(value) as bigint) as string) end as ctag, cast(round(value, 2) as string) as etag,
         concat('/drives/', cast(event_id % 3 as string), '/root:/', case event_id % 4 when 0 then 'HR' when 1 then 'Finance/Reports' when 2 then 'Sales' else 'Misc' end) as parent_path,
+        event_id * 10 as size, concat('https://files.example.org/', cast(event_id % 400 as string)) as url, case when event_id % 3 = 0 then concat('user', cast(user_id as string)) else cast(null as string) end as modified_by,
+        concat('user', cast(user_id as string)) as created_by, case when event_id % 400 % 5 = 0 then 'application/pdf' else cast(null as string) end as mime_type,
         cast(ts as timestamp) as modified_at from {events} where cast(floor(event_id / 400) as bigint) % 2 = 1""",
     "stored": """select item_id, drive_id, ctag, etag, status, retry_count, content_hash from (
         select event_id % 400 as item_id, event_id % 3 as drive_id, cast(cast(floor(value) as bigint) as string) as ctag, cast(round(value, 2) as string) as etag,

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import changes
-from docloom.plans.change_queries import CLASS, LAST
+from docloom.plans.change_queries import CLASS, applied
 from docloom.plans.registry import query
 from docloom.sources.files import write_snapshot
 from docloom.sources.scratch import scratch_path
 from docloom.streaming import feeds
 
+#: Files that each slice of an input is written to; a micro-batch reads one slice.
+FILES = 2
 
-def _stream(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` landed as files and read as a stream."""
+
+def _stream(rows: DataFrame, name: str, slice_of: Column, slices: int) -> DataFrame:
+    """``rows`` landed one slice after the other, read as a stream of as many batches."""
     path = scratch_path(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
+    for k in range(slices):
+        rows.where(slice_of == k).repartition(FILES).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -28,29 +32,65 @@ def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query(
-    "stream_snapshot",
-    f"""with {LAST}, {CLASS}, n as (select drive_id, item_id, change, ctag as nc, etag as ne from classified where change is not null)
-      select drive_id, item_id, case when change in ('CREATED', 'UPDATED') then coalesce(nc, ctag) else ctag end as ctag, case when change in ('CREATED', 'UPDATED', 'PERMISSION_CHANGED') then coalesce(ne, etag) else etag end as etag,
-      case when change in ('CREATED', 'UPDATED') then 'pending' when change = 'DELETED' then 'deleted' else status end as status, case when change in ('CREATED', 'UPDATED') then 0 else retry_count end as retry_count
-      from {{stored}} full outer join n using (drive_id, item_id)""",
-)
+def _step(k: int) -> str:
+    """SQL of micro-batch k: late items go, the last of each document counts."""
+    before = f"s{k}"
+    late = "" if k == 0 else f"left join {before} o on o.drive_id = f.drive_id and o.item_id = f.item_id"
+    keep = "" if k == 0 else "and (o.modified_at is null or f.modified_at >= o.modified_at)"
+    last = f"l{k} as (select * from (select f.*, row_number() over (partition by f.drive_id, f.item_id order by f.modified_at desc, f.position desc) as rn from {{feed}} f {late} where cast(floor(f.position / 400) as bigint) % 3 = {k} {keep}) where rn = 1)"
+    own = CLASS.replace("classified as", f"c{k} as").replace("lastf f", f"l{k} f").replace("{stored}", before)
+    return f"{last}, {own}, s{k + 1} as ({applied(f'c{k}', before, k > 0)})"
+
+
+@query("stream_snapshot", f"with s0 as (select drive_id, item_id, ctag, etag, status, retry_count from {{stored}}), {_step(0)}, {_step(1)}, {_step(2)} select * from s3")
 def stream_snapshot(t):
-    """The feed as a stream of micro-batches; the snapshot after the last one."""
+    """The feed in three micro-batches; the snapshot after the last one."""
     stored = t("stored").select(*changes.KEY, "ctag", "etag", "status", "retry_count")
     spark = stored.sparkSession
     base = scratch_path(spark, "snapshots")
     write_snapshot(stored, base, 0)
     numbers: list[int] = []
-    feeds.upsert_stream(_stream(t("feed").coalesce(1), "feed"), base, scratch_path(spark, "mark"), lambda _, n: numbers.append(n)).awaitTermination()
+    feeds.upsert_stream(_stream(t("feed"), "feed", F.expr("cast(floor(position / 400) as bigint) % 3"), 3), base, scratch_path(spark, "mark"), lambda _, n: numbers.append(n)).awaitTermination()
     return spark.read.parquet(f"{base}/v={max(numbers, default=-1) + 1}")
 
 
-@query("stream_notices", "select distinct drive_id from {feed}")
+@query(
+    "stream_index",
+    """with d as (select doc_id as document_id, doc_id % 3 as k, text from {documents} union all select doc_id, 2, 'again ' || doc_id from {documents} where doc_id % 6 = 0)
+      select document_id, text as content from d where not (k = 0 and document_id % 6 = 0) and not (document_id % 9 = 4)""",
+)
+def stream_index(t):
+    """Chunks kept in step with documents that come, come again and are deleted."""
+    docs = t("documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 3).alias("k"), "text", F.lit("completed").alias("status"))
+    again = docs.where("document_id % 6 = 0").withColumns({"k": F.lit(2).cast("long"), "text": F.concat(F.lit("again "), F.col("document_id").cast("string"))})
+    gone = docs.where("document_id % 9 = 4").withColumns({"k": F.lit(2).cast("long"), "status": F.lit("deleted")})
+    spark = docs.sparkSession
+    base = scratch_path(spark, "chunks")
+    build = lambda rows: rows.select("document_id", F.col("text").alias("content"))
+    write_snapshot(build(docs.limit(0)), base, 0)
+    feeds.index_stream(_stream(docs.unionByName(again).unionByName(gone), "documents", F.col("k"), 3), base, scratch_path(spark, "mark"), build).awaitTermination()
+    return spark.read.parquet(f"{base}/v=3")
+
+
+# Bursts an hour apart; between them a lone row moves the watermark past the last burst.
+
+def _bursts(rows: DataFrame, number: Column) -> DataFrame:
+    """``rows`` with ``seen_at`` in one of three bursts and their batch ``k``."""
+    start = F.lit("2024-01-01").cast("timestamp")
+    at = lambda hours, seconds: (start + F.make_interval(hours=hours, secs=seconds)).cast("timestamp")
+    out = rows.withColumns({"burst": (number % 3).cast("int"), "seen_at": at((number % 3).cast("int"), (number % 240).cast("int"))}).withColumn("k", 2 * F.col("burst"))
+    ticks = rows.sparkSession.range(3).select(F.col("id").cast("int").alias("burst"))
+    lone = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    ticks = ticks.select(*lone, "burst", at(F.col("burst"), F.lit(2400)).alias("seen_at"), (2 * F.col("burst") + 1).alias("k"))
+    return out.unionByName(ticks)
+
+
+@query("stream_notices", "select drive_id, burst, count(*) as n from (select distinct drive_id, cast(position % 3 as integer) as burst from {feed}) group by all")
 def stream_notices(t):
-    """One notification per drive while it is within the watermark."""
-    rows = t("feed").select("drive_id", F.col("modified_at").alias("seen_at")).coalesce(1)
-    return _drained(feeds.collapse_notifications(_stream(rows, "notices")).select("drive_id"), "notices")
+    """One notification per drive and burst: those within the watermark collapse."""
+    rows = _bursts(t("feed").select("drive_id", "position"), F.col("position"))
+    out = feeds.collapse_notifications(_stream(rows, "notices", F.col("k"), 6))
+    return _drained(out.select("drive_id", "burst"), "notices").where("drive_id is not null").groupBy("drive_id", "burst").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -59,13 +99,18 @@ def stream_notices(t):
       select start, n from w where start + interval '5 minutes' <= (select max(seen_at) - interval '10 minutes' from {metrics})""",
 )
 def stream_rates(t):
-    """Sliding counts of the windows that the watermark has closed."""
-    out = _drained(feeds.metric_stream(_stream(t("metrics").coalesce(1), "metrics")), "rates")
+    """Sliding counts of the windows that the watermark has closed, over four batches."""
+    rows = t("metrics")
+    cuts = rows.select(F.percentile_approx(F.unix_micros("seen_at"), [0.25, 0.5, 0.75], 1000).alias("c")).first().c or []
+    which = sum(((F.unix_micros("seen_at") > c).cast("int") for c in cuts), F.lit(0))
+    out = _drained(feeds.metric_stream(_stream(rows.withColumn("k", which), "metrics", F.col("k"), 4).drop("k")), "rates")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("stream_queries", "select count(distinct sha256(lower(text) || ':')) as questions from {conversations} where role = 'user'")
+@query("stream_queries", "select cast(conv_id % 3 as integer) as burst, count(distinct sha256(lower(text) || ':')) as questions from {conversations} where role = 'user' group by 1")
 def stream_queries(t):
-    """Questions without those that repeat within two minutes."""
-    rows = t("conversations").where("role = 'user'").select("text", F.lit(None).cast("string").alias("department"), F.lit("2024-01-01").cast("timestamp").alias("seen_at")).coalesce(1)
-    return _drained(feeds.dedup_queries(_stream(rows, "questions")).select("key"), "questions").agg(F.count("*").alias("questions"))
+    """Questions of each burst without those that repeat within two minutes."""
+    rows = t("conversations").where("role = 'user'").select("text", F.lit(None).cast("string").alias("department"), "conv_id")
+    rows = _bursts(rows, F.col("conv_id")).withColumn("seen_at", F.when(F.col("text").isNull(), F.col("seen_at")).otherwise(F.date_trunc("hour", "seen_at")))
+    out = feeds.dedup_queries(_stream(rows, "questions", F.col("k"), 6)).where("text is not null")
+    return _drained(out.select("key", "burst"), "questions").groupBy("burst").agg(F.count("*").alias("questions"))

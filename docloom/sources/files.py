@@ -43,6 +43,11 @@ def items(pages: DataFrame) -> DataFrame:
         F.col("i.cTag").alias("ctag"),
         F.col("i.eTag").alias("etag"),
         F.col("i.parentReference.path").alias("parent_path"),
+        F.col("i.size").alias("size"),
+        F.col("i.webUrl").alias("url"),
+        F.col("i.parentReference.siteId").alias("site_id"),
+        F.col("i.file.mimeType").alias("mime_type"),
+        F.coalesce("i.createdBy.user.email", "i.createdBy.user.displayName").alias("created_by"),
         email.alias("modified_by"),
         F.try_to_timestamp("i.lastModifiedDateTime").alias("modified_at"),
         F.col("i.deleted").isNotNull().alias("is_deleted"),
@@ -65,12 +70,20 @@ def write_chunks(chunks: DataFrame, documents: DataFrame, path: str) -> None:
 
 
 def write_snapshot(rows: DataFrame, base: str, version: int) -> str:
-    """Write a new version beside the old ones; a path that is read is never overwritten."""
+    """Write a new version beside the old ones.  A finished one is left as it is (a replayed
+    batch would write the same); what a lost run left of one is overwritten."""
     path = f"{base.rstrip('/')}/v={version}"
-    rows.write.mode("errorifexists").parquet(path)
+    if not finished(rows.sparkSession, path):
+        rows.write.mode("overwrite").parquet(path)
     return path
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def clear(spark: SparkSession, base: str, version: int) -> str:
     """An empty version of the same schema."""
     last = spark.read.parquet(f"{base.rstrip('/')}/v={version - 1}")

@@ -16,23 +16,34 @@ from docloom.sources.files import write_snapshot
 def upsert_stream(feed: DataFrame, base: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Apply each micro-batch of feed items to the snapshot, as a batch run would.
 
-    Batch n reads version n and writes version n + 1 of ``base``; a replayed batch finds
-    its version written and leaves it, so the result is the same."""
+    Batch n reads version n and writes version n + 1 of ``base``; a replayed batch leaves a
+    finished version and overwrites an unfinished one, so the result is the same.  Items
+    older than what is stored of their document are late and dropped."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        stored = spark.read.parquet(f"{base.rstrip('/')}/v={number}")
-        found = changes.classify(changes.last_per_key(batch), stored)
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/v={number + 1}/_SUCCESS")
-        if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-            write_snapshot(changes.apply(stored, found), base, number + 1)
+        stored = batch.sparkSession.read.parquet(f"{base.rstrip('/')}/v={number}")
+        found = changes.classify(changes.last_per_key(newer_only(batch, stored)), stored)
+        write_snapshot(changes.apply(stored, found), base, number + 1)
         if on_batch:
             on_batch(found, number)
 
     return feed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_stream(documents: DataFrame, base: str, checkpoint: str, build: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Keep a derived table (chunks, mentions, edges) in step with a stream of documents.
+
+    ``build`` makes a document's rows; the rows of every document of a batch are replaced,
+    those with status deleted get none.  Versions are written as in ``upsert_stream``."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        old = batch.sparkSession.read.parquet(f"{base.rstrip('/')}/v={number}")
+        new = build(batch.where("status <> 'deleted'"))
+        write_snapshot(changes.delete_documents(old, batch).unionByName(new), base, number + 1)
+
+    return documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def collapse_notifications(notices: DataFrame, within: str = "10 minutes") -> DataFrame:
     """One notification per drive while it is within the watermark."""
     return notices.withWatermark("seen_at", within).dropDuplicatesWithinWatermark(["drive_id"])
@@ -62,5 +73,8 @@ def access_stream(grants: DataFrame, closure: DataFrame, base: str, checkpoint:
 
 def newer_only(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Late items: what is older than the stored version of its key is dropped."""
-    old = stored.select(*changes.KEY, F.col("modified_at").alias("_at"))
-    return batch.join(old, changes.KEY, "left").where(F.col("_at").isNull() | (F.col("modified_at") >= F.col("_at"))).drop("_at")
+    if "modified_at" not in stored.columns:
+        return batch
+    key = changes.key_of(batch, stored)
+    old = stored.select(*key, F.col("modified_at").alias("_at"))
+    return batch.join(old, key, "left").where(F.col("_at").isNull() | (F.col("modified_at") >= F.col("_at"))).drop("_at")
