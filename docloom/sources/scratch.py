@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); a
-    temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")
+    temporary one only where that is unset and there is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="docloom-")
     return f"{base.rstrip('/')}/docloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
