@@ -5,7 +5,8 @@ each test term in the block's token stream (one posting list per term).  ``searc
 takes each test phrase, orders its terms by how short their lists in the block are,
 subtracts each term's offset in the phrase from its list, and intersects from the
 rarest on; what is left after the last term are the exact phrase starts.
-``proximity`` uses the same lists for terms that lie near one another.
+For proximity the same lists tell where all terms of a phrase, in any order, lie within
+``WITHIN`` words of its first one.
 
 The index is cut by documents, so intersection needs no shuffle and no key gathers
 rows: a passage in a third of all documents is a long list in each block.  Test
@@ -15,7 +16,8 @@ only one block is broadcast at a time; more of them mean more passes.
 Edge cases: null texts have no words; a document shorter than every phrase is never
 hit; items with no words have no phrases; items with a null id are left out; an item
 id that occurs twice is one item; null and repeated ``doc_id`` keep their own rows;
-phrases never match across documents; extra columns are ignored.
+phrases never match across documents; very long texts are index blocks of their own;
+extra columns are ignored; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import blocks, freeing, texts, written
 
 WINDOW = 10
+WITHIN = 20
 #: Most bytes of test phrases that are broadcast at once.
 PHRASE_BYTES = 8 << 20
 #: Bytes of text in an index block.
@@ -65,6 +68,10 @@ def phrase_blocks(found: DataFrame, most: int = PHRASE_BYTES) -> Iterator[tuple[
     sized = written(sized.withColumn("bytes", F.octet_length("phrase") + 8 * F.size("items") + 64), "phrases")
     total = sized.agg(F.sum("bytes")).first()[0] or 0
     passes = -(-2 * total // most) if total > most else 1
+    part = F.pmod(F.xxhash64("phrase"), F.lit(passes))
+    while passes > 1 and sized.groupBy(part.alias("k")).agg(F.sum("bytes").alias("n")).agg(F.max("n")).first()[0] > most and passes < 1 << 16:
+        passes *= 2
+        part = F.pmod(F.xxhash64("phrase"), F.lit(passes))
     for k in range(passes):
         rows = sized.where(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == k).orderBy("phrase").collect()
         yield [bytes(r.phrase) for r in rows], [list(r["items"]) for r in rows]
@@ -163,10 +170,10 @@ class Postings:
         return left[self.doc(left) == self.doc(left + len(phrase) - 1)] if len(left) else left
 
     def near(self, terms: list[int], within: int) -> np.ndarray:
-        """Positions of the rarest term with every other at most ``within`` away."""
-        terms = sorted(set(terms), key=self.count)
+        """Positions of the first term with every other at most ``within`` away, cut down
+        from the rarest term on."""
         left = self.of(terms[0])
-        for t in terms[1:]:
+        for t in sorted(set(terms) - {terms[0]}, key=self.count):
             other = self.of(t)
             if not len(left) or not len(other):
                 return left[:0]
@@ -179,9 +186,10 @@ class Postings:
         return left
 
 
-def search(index: DataFrame, test: list[bytes], terms: set[bytes], within: int | None = None) -> DataFrame:
-    """Rows (doc_id, digest, n_words, starts, phrase) per document: exact starts, or with
-    ``within`` the proximity matches, as positions in the document."""
+def search(index: DataFrame, test: list[bytes], terms: set[bytes], within: int | None = None, also: int | None = None) -> DataFrame:
+    """Rows (doc_id, digest, n_words, starts, phrase, near) per document: exact starts, or
+    with ``within`` the proximity matches, as positions in the document; with ``also`` the
+    phrases that match within so many words as well, in ``near``."""
     numbers = {t: i for i, t in enumerate(sorted(terms))}
     lists = [[numbers[w] for w in p.split(b" ")] for p in test]
     shared = index.sparkSession.sparkContext.broadcast(lists)
@@ -192,28 +200,34 @@ def search(index: DataFrame, test: list[bytes], terms: set[bytes], within: int |
                 p = Postings(data.as_py())
                 starts: list[list[int]] = [[] for _ in p.ids]
                 which: list[list[int]] = [[] for _ in p.ids]
+                near: list[list[int]] = [[] for _ in p.ids]
                 for k, phrase in enumerate(shared.value):
                     at = p.exact(phrase) if within is None else p.near(phrase, within)
                     if len(at):
                         for d, x in zip(p.doc(at).tolist(), at.tolist(), strict=True):
                             starts[d].append(x - int(p.bounds[d]))
                             which[d].append(k)
+                    if also is not None and all(t in p.lists for t in phrase):
+                        for d in np.unique(p.doc(p.near(phrase, also))).tolist():
+                            near[d].append(k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.ids, pa.int64()), pa.array(p.digests, pa.int64()), pa.array(p.sizes, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(which, pa.list_(pa.int32()))],
-                    names=["doc_id", "digest", "n_words", "starts", "phrase"],
+                    [pa.array(p.ids, pa.int64()), pa.array(p.digests, pa.int64()), pa.array(p.sizes, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(which, pa.list_(pa.int32())), pa.array(near, pa.list_(pa.int32()))],
+                    names=["doc_id", "digest", "n_words", "starts", "phrase", "near"],
                 )
 
-    return index.mapInArrow(run, "doc_id long, digest long, n_words long, starts array<long>, phrase array<int>")
+    return index.mapInArrow(freeing(run), "doc_id long, digest long, n_words long, starts array<long>, phrase array<int>, near array<int>")
 
 
 def _report(found: DataFrame, test: list[bytes], items: list[list[int]]) -> DataFrame:
-    """(doc_id, n_words, spans, items): merged hit spans and the items found."""
+    """(doc_id, n_words, spans, items, near): merged hit spans, the items found, and those
+    found by proximity."""
     shared = found.sparkSession.sparkContext.broadcast(([p.count(b" ") + 1 for p in test], items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, of = shared.value
         for batch in batches:
             spans, hit = [], []
+            close = [sorted({i for k in ks for i in of[k]}) for ks in batch.column(5).to_pylist()]
             for starts, which in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 merged: list[list[int]] = []
                 for s, e in sorted((s, s + length[k]) for s, k in zip(starts, which, strict=True)):
@@ -223,9 +237,9 @@ def _report(found: DataFrame, test: list[bytes], items: list[list[int]]) -> Data
                         merged.append([s, e])
                 spans.append(merged)
                 hit.append(sorted({i for k in set(which) for i in of[k]}))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(hit, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(hit, pa.list_(pa.int64())), pa.array(close, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_words", "spans", "items", "near"])
 
-    return found.mapInArrow(run, "doc_id long, digest long, n_words long, spans array<array<long>>, items array<long>")
+    return found.mapInArrow(run, "doc_id long, digest long, n_words long, spans array<array<long>>, items array<long>, near array<long>")
 
 
 def _merge(passes: list[DataFrame]) -> DataFrame:
@@ -238,19 +252,20 @@ def _merge(passes: list[DataFrame]) -> DataFrame:
     every = passes[0]
     for p in passes[1:]:
         every = every.unionByName(p)
-    every = every.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / n).cast("int").alias("copies"))
+    every = every.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), (F.count("*") / n).cast("int").alias("copies"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
     total = F.aggregate(F.array_sort("spans"), start, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s[1] - F.greatest(s[0], a["end"]))).alias("n"), F.greatest(a["end"], s[1]).alias("end")), lambda a: a["n"])
     return every.withColumn("n_hit", total).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies", "digest")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, spans, items) of every document."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES, within: int | None = WITHIN) -> DataFrame:
+    """(doc_id, n_words, n_hit, spans, items, near) of every document; ``near`` are the
+    items with a window all of whose words lie within ``within`` words of its first."""
     done = []
     for test, items in phrase_blocks(phrases(benchmark, window), phrase_bytes):
         terms = {w for p in test for w in p.split(b" ")}
         index = written(build_index(docs, terms), "postings")
-        done.append(_report(search(index, test, terms), test, items))
+        done.append(_report(search(index, test, terms, also=within), test, items))
     if len(done) == 1:
         n = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
         return done[0].withColumn("n_hit", n).drop("digest")

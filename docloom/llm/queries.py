@@ -51,6 +51,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(ids, 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near_items"),
     )
 
 
@@ -116,15 +117,17 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": f"""
 with b as (select item_id, {_WORDS2.format("text")} as w from benchmark where item_id is not null),
 d as (select doc_id, {_WORDS2.format("text")} as w from documents),
-p as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as g
+p as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as g, w[i : i + least(10, len(w)) - 1] as pw
       from b, lateral (select unnest(generate_series(1, greatest(1, len(w) - 9))) as i) where len(w) > 0),
 g as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as g from d, (select distinct n from p) l,
       lateral (select unnest(generate_series(1, greatest(0, len(w) - n + 1))) as i)),
 h as (select doc_id, item_id, i, p.n from g join p on p.n = g.n and p.g = g.g),
 c as (select doc_id, count(distinct j) as n_hit from h, lateral (select unnest(generate_series(i, i + n - 1)) as j) group by doc_id),
+o as (select doc_id, w, unnest(w) as x, generate_subscripts(w, 1) as i from d),
+y as (select doc_id, count(distinct item_id) as n_near from o join p on p.pw[1] = o.x where list_has_all(w[greatest(1, i - 20) : i + 20], pw) group by doc_id),
 s as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') as ids from h group by doc_id)
-select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join c using (doc_id) left join s using (doc_id)""",
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near_items
+from d left join c using (doc_id) left join s using (doc_id) left join y using (doc_id)""",
     "op5_embedding_dedup": """
 with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
 l as (select a.vec_id as a, b.vec_id as b from v a, v b where a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
