@@ -7,7 +7,7 @@ around its smallest member within a few rounds.  Rounds are written tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docloom.llm.common import drop_written, written
@@ -26,7 +26,7 @@ def _small(links: DataFrame) -> DataFrame:
     Here ``a`` is the larger end of each link."""
     least = links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
     inner = links.join(least, F.col("a") == F.col("n")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return inner.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
+    return inner.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,11 +40,12 @@ def components(links: DataFrame) -> DataFrame:
     now = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     said = None
     while True:
-        new = written(_small(_large(now)), "links")
-        row = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        # what a round wrote is summed up as it is written
+        seen = Observation()
+        new = written(_small(_large(now)).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "links")
         drop_written(spark, now)
         now = new
-        if (row[0], row[1]) == said:
+        if seen.get == said:
             break
-        said = (row[0], row[1])
+        said = seen.get
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
