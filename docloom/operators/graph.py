@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from docloom.functions.text import edge_weight
 from docloom.operators.search import visible
 
+#: Documents of one item that one task pairs with as many others.
+CHUNK = 2000
 TRAVERSED = ["CITES", "RELATED_TO", "SHARES_ENTITY", "SUPERSEDES"]
 
 
@@ -89,18 +91,25 @@ def topic_vertices(topics: DataFrame) -> DataFrame:
     return topics.groupBy("topic").agg(F.max_by("lang", "document_id").alias("lang"))
 
 
-def shared(pairs: DataFrame, item: str, least: int, most_documents: int | None = None) -> DataFrame:
+def shared(pairs: DataFrame, item: str, least: int, most_documents: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(a, b, n, names): document pairs a < b with at least ``least`` common items.
 
-    ``pairs`` is (document_id, item...).  An item in d documents makes d * d / 2 pairs;
-    ``most_documents`` leaves out more common ones and is off by default.
+    ``pairs`` is (document_id, item...).  An item in d documents makes d * d / 2 pairs,
+    which are the result; its documents are cut into chunks of about ``chunk``, and every
+    two chunks meet in one task, so a topic of a third of all documents is many tasks.
+    ``most_documents`` leaves out more common items and is off by default.
     """
-    rows = pairs.select("document_id", F.col(item).alias("item")).distinct()
+    rows = pairs.select("document_id", F.col(item).alias("item")).where("item is not null").distinct()
+    size = rows.groupBy("item").agg(F.count("*").alias("_n"))
     if most_documents is not None:
-        rare = rows.groupBy("item").count().where(F.col("count") <= most_documents).select("item")
-        rows = rows.join(rare, "item", "left_semi")
-    a, b = rows.select("item", F.col("document_id").alias("a")), rows.select("item", F.col("document_id").alias("b"))
-    out = a.join(b, "item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("item")).alias("names"))
+        size = size.where(F.col("_n") <= most_documents)
+    rows = rows.join(size.select(F.col("item").alias("_item"), F.ceil(F.col("_n") / chunk).cast("int").alias("_k")), F.col("item").eqNullSafe(F.col("_item")))
+    own = F.pmod(F.xxhash64("document_id"), F.col("_k")).cast("int")
+    rows = rows.withColumn("own", own)
+    a = rows.select("item", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("_k") - 1)).alias("j"), F.col("document_id").alias("x"))
+    b = rows.select("item", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("document_id").alias("y"))
+    met = a.join(b, ["item", "i", "j"]).where("i < j or x < y")
+    out = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("item")).alias("names"))
     return out.where(F.col("n") >= least)
 
 

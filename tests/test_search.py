@@ -52,6 +52,8 @@ def test_hops_and_shared_limit(spark):
     assert {(r.document_id, r.hop) for r in graph.expand_hops(seeds, e, hops=2, enforce_acl=False).collect()} == {(2, 1), (3, 2)}
     m = spark.createDataFrame([(d, n) for d in range(4) for n in ("a", "b")] + [(9, "c"), (8, "c")], "document_id long, name string")
     assert graph.shared(m, "name", 1, 2).count() == 1 and graph.shared(m, "name", 2).count() == 6
+    whole = sorted(map(str, graph.shared(m, "name", 1).collect()))
+    assert whole == sorted(map(str, graph.shared(m, "name", 1, chunk=2).collect())) == sorted(map(str, graph.shared(m, "name", 1, chunk=1).collect()))
 
 
 def test_fusion(spark):
