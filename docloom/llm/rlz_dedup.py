@@ -14,7 +14,7 @@ straddle the boundary were matched on their own and join the next factor.  Facto
 are at least ``WINDOW`` words long, and what they cover is removed.
 
 Windows are compared by a 64-bit hash of all their words, inside their bucket.  There is
-a bucket for every ``BUCKET_BYTES`` of text, so that no group grows with the input.  A run
+``SPREAD`` buckets for every ``BUCKET_BYTES`` of text, so no group grows with the input.  A run
 of words in more than ``HOT`` of all places (a line of a third of the documents) would
 bring all windows around it to one bucket; the windows under such an anchor are dealt out
 by their own hash.  A pass over all texts finds them: what has that share of all places
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import blocks, freeing, n_parts, texts
+from docloom.llm.common import blocks, drop_written, freeing, n_parts, texts, written
 
 WINDOW = 20
 ANCHOR = 6
@@ -48,8 +48,9 @@ REFERENCE_BYTES = 12 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xD6E8FEB86659FD93
 _ROW = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
-#: Bytes of text whose windows a bucket holds, and share of all places that is hot.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text whose windows a task matches, buckets that it has of them as a rule, so
+#: that tasks are even, and share of all places that is hot.
+BUCKET_BYTES, SPREAD = 16 << 20, 4
 HOT = 2e-5
 #: Bits of the counting table that finds hot runs in a block.
 CELL_BITS = 20
@@ -140,10 +141,11 @@ def hot_runs(docs: DataFrame, anchor: int = ANCHOR, hot: float = HOT, reference_
             yield close(held, parts)
 
     made = texts(docs).mapInArrow(freeing(run), "gram long, n long, bytes long, own boolean").groupBy("own", "gram").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    total = Window.partitionBy(F.lit(0))
-    rows = made.withColumn("places", F.max(F.when(~F.col("own"), F.col("n"))).over(total)).where(~F.col("own") | (F.col("n") >= hot * F.col("places"))).collect()
-    whole = [r.bytes for r in rows if not r.own]
-    return np.sort(np.array([r.gram for r in rows if r.own], np.int64).view(np.uint64)), whole[0] if whole else 0
+    made = written(made, "runs")
+    whole = made.where("not own").agg(F.sum("n"), F.sum("bytes")).first()
+    own = made.where("own").where(F.col("n") >= hot * (whole[0] or 0)).select("gram").toArrow().column("gram").to_numpy()
+    drop_written(docs.sparkSession, made)
+    return np.sort(own.astype(np.int64).view(np.uint64)), whole[1] or 0
 
 
 def _rows(ids, null, digests, hashes, window: int, anchor: int, buckets: int, hot: np.ndarray = np.empty(0, np.uint64)) -> pa.RecordBatch:
@@ -284,9 +286,10 @@ def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, referen
     of a document from word ``start`` on, that occur from ``ref_start`` of ``ref_doc``."""
     spark = docs.sparkSession
     often, size = hot_runs(docs, anchor, hot, reference_bytes)
-    buckets = max(n_parts(spark), -(-size // bucket_bytes))
+    parts = max(n_parts(spark), -(-size // bucket_bytes))
+    buckets = parts * SPREAD
     index = _digested(docs).mapInArrow(_index(window, anchor, reference_bytes, buckets, spark.sparkContext.broadcast(often)), "bucket int, data binary")
-    return index.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_match, _MATCH_DDL)
+    return index.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_match, _MATCH_DDL)
 
 
 def _digested(docs: DataFrame) -> DataFrame:
