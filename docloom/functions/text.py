@@ -76,6 +76,10 @@ ROUTED = {"analytical": "hyde_cosine", "generative": "hyde_cosine", "procedural"
 KNOWN_DEPARTMENTS = ["hr", "finance", "sales", "marketing", "general"]
 
 
+#: A token: a run of letters and digits, or a single other ASCII sign.
+TOKEN = "[A-Za-z0-9_\\x{80}-\\x{10FFFF}]+|[!-/:-@\\[-^`{-~]"
+
+
 def has_any(text: Column, phrases: list[str]) -> Column:
     """True if a phrase occurs anywhere in lower-cased text."""
     out = F.lit(False)
@@ -180,7 +184,7 @@ def scrub(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Runs of ASCII letters and digits, and single other ASCII signs."""
-    return F.regexp_count(text, F.lit("[A-Za-z0-9_\\x{80}-\\x{10FFFF}]+|[!-/:-@\\[-^`{-~]"))
+    return F.regexp_count(text, F.lit(TOKEN))
 
 
 def word_count(text: Column) -> Column:

@@ -19,8 +19,9 @@ def outside_domain(rows: DataFrame, column: str, domain: list[str]) -> DataFrame
 
 
 def bad_vectors(rows: DataFrame, column: str, dim: int) -> DataFrame:
-    """Null vectors, and those of another length or with null parts."""
-    return rows.where(F.col(column).isNull() | (F.size(column) != dim) | F.exists(column, lambda x: x.isNull()))
+    """Null vectors, and those of another length or with null or non-finite parts."""
+    bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.where(F.col(column).isNull() | (F.size(column) != dim) | F.coalesce(bad, F.lit(True)))
 
 
 def nulls(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.text import TOKEN
+
 
 def rates(events: DataFrame, key: str, width: str = "5 minutes", seconds: int = 300) -> DataFrame:
     """Events per second by key and tumbling window."""
@@ -73,16 +77,18 @@ def column_totals(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def compare_methods(chunks: DataFrame, methods: list[str]) -> DataFrame:
-    """Chunks of each extraction method, side by side per document."""
-    return chunks.groupBy("document_id").pivot("extraction_method", methods).agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("content_type").alias("types"))
-
-
-def map_reduce(windows: DataFrame, part: Column) -> DataFrame:
-    """Per-window results joined in order under 'Section i:' labels.
-
-    ``windows``: (document_id, i, text); ``part`` is the map step on ``text``."""
-    line = F.struct("i", F.concat(F.lit("Section "), (F.col("i") + 1).cast("string"), F.lit(": "), part).alias("t"))
-    return windows.groupBy("document_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"])).alias("combined"))
+    """Chunks of each extraction method, and their tokens, side by side per document."""
+    return chunks.groupBy("document_id").pivot("extraction_method", methods).agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"), F.count_distinct("content_type").alias("types"))
+
+
+def map_reduce(text: Column, part: Callable[[Column], Column], single: Callable[[Column], Column], reduce: Callable[[Column], Column], window: int = 4000, most: int = 8000) -> Column:
+    """A text of at most ``most`` tokens through ``single``; a longer one in windows of
+    ``window`` tokens through ``part``, joined in order under ``Section i:`` labels and
+    passed through ``reduce``.  A document stays in its row."""
+    tokens = F.regexp_extract_all(text, F.lit(f"(?:{TOKEN})\\s*"), F.lit(0))
+    starts = F.sequence(F.lit(1), F.size(tokens), F.lit(window))
+    line = lambda at, i: F.concat(F.lit("Section "), (i + 1).cast("string"), F.lit(": "), part(F.array_join(F.slice(tokens, at, window), "")))
+    return F.when(F.size(tokens) <= most, single(text)).otherwise(reduce(F.array_join(F.transform(starts, line), "\n\n")))
 
 
 def lead_sentence(text: Column) -> Column:

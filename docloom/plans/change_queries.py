@@ -272,9 +272,14 @@ def outside_domain(t):
     return checks.outside_domain(t("events").select("event_id", "event_type"), "event_type", ["view", "purchase", "error"])
 
 
-@query("bad_vectors", "select vec_id from {embeddings} where embedding is null or len(embedding) <> 64 or vec_id < 0")
+@query("bad_vectors", "select vec_id from {embeddings} where vec_id % 97 in (1, 2, 3, 4, 5)")
 def bad_vectors(t):
-    return checks.bad_vectors(t("embeddings"), "embedding", 64).select("vec_id")
+    """Planted: null, short, with a null, a NaN and an infinite part."""
+    e = F.col("embedding").cast("array<double>")
+    put = lambda x: F.concat(F.slice(e, 1, 63), F.array(x))
+    k = F.col("vec_id") % 97
+    bad = F.when(k == 2, F.slice(e, 1, 63)).when(k == 3, put(F.lit(None).cast("double"))).when(k == 4, put(F.lit(float("nan")))).when(k == 5, put(F.lit(float("inf")))).when(k != 1, e)
+    return checks.bad_vectors(t("embeddings").withColumn("embedding", bad), "embedding", 64).select("vec_id")
 
 
 @query("null_counts", "select count(*) filter (ctag is null) as ctag, count(*) filter (etag is null) as etag, count(*) filter (name is null) as name from {feed}")
@@ -358,19 +363,22 @@ def column_totals(t):
     return metrics.column_totals(t("feed"), ["ctag", "name"])
 
 
-@query("extraction_methods", "select document_id, nullif(count(*) filter (extraction_method = 'ocr'), 0) as ocr_chunks, nullif(count(*) filter (extraction_method = 'native'), 0) as native_chunks from {chunks} group by 1")
+@query("extraction_methods", "select document_id, nullif(count(*) filter (extraction_method = 'ocr'), 0) as ocr_chunks, nullif(count(*) filter (extraction_method = 'native'), 0) as native_chunks, sum(chunk_id % 100) filter (extraction_method = 'ocr') as ocr_tokens, sum(chunk_id % 100) filter (extraction_method = 'native') as native_tokens from {chunks} group by 1")
 def extraction_methods(t):
-    return metrics.compare_methods(t("chunks"), ["ocr", "native"]).select("document_id", "ocr_chunks", "native_chunks")
+    rows = t("chunks").withColumn("token_count", F.col("chunk_id") % 100)
+    return metrics.compare_methods(rows, ["ocr", "native"]).select("document_id", "ocr_chunks", "native_chunks", "ocr_tokens", "native_tokens")
 
 
 @query(
     "map_reduced",
-    """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from {documents})
-      select doc_id as document_id, string_agg('Section ' || (i + 1) || ': ' || split_part(line, '.', 1), chr(10) order by i) as combined from l group by doc_id""",
+    """with t as (select doc_id, text, regexp_extract_all(text, '(?:[A-Za-z0-9_\\x{80}-\\x{10FFFF}]+|[!-/:-@\\[-^`{-~])\\s*') as w from {documents}),
+      l as (select doc_id, k, split_part(array_to_string(w[k * 200 + 1 : k * 200 + 200], ''), '.', 1) as part from t, range(0, 10000) r(k) where len(w) > 400 and k * 200 < len(w))
+      select doc_id, md5('All: ' || string_agg('Section ' || (k + 1) || ': ' || part, chr(10) || chr(10) order by k)) as digest from l group by doc_id
+      union all select doc_id, md5(split_part(text, '.', 1)) from t where len(w) <= 400""",
 )
 def map_reduced(t):
-    lines = t("documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
-    return metrics.map_reduce(lines, metrics.lead_sentence(F.col("text")))
+    text = metrics.map_reduce(F.col("text"), metrics.lead_sentence, metrics.lead_sentence, lambda x: F.concat(F.lit("All: "), x), 200, 400)
+    return t("documents").select("doc_id", F.md5(text).alias("digest"))
 
 
 # ---- conversations ---------------------------------------------------------
