@@ -172,8 +172,14 @@ class Postings:
     def near(self, terms: list[int], within: int) -> np.ndarray:
         """Positions of the first term with every other at most ``within`` away, cut down
         from the rarest term on."""
-        left = self.of(terms[0])
-        for t in sorted(set(terms) - {terms[0]}, key=self.count):
+        left, others = self.of(terms[0]), sorted(set(terms) - {terms[0]}, key=self.count)
+        if others and self.count(others[0]) < len(left):
+            # only first terms near the rarest one
+            rare = self.of(others[0])
+            a, b = np.searchsorted(left, rare - within), np.searchsorted(left, rare + within, side="right")
+            many = b - a
+            left = np.unique(left[np.repeat(a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)])
+        for t in others:
             other = self.of(t)
             if not len(left) or not len(other):
                 return left[:0]
