@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, html_extract, minhash, mixing, pii, pq_dedup, rlz_dedup, token_counts, tokenbin, toxicity
+from docloom.llm import content_sort, decontam, html_extract, minhash, mixing, pii, pq_dedup, rlz_dedup, token_counts, tokenbin, toxicity
 
 #: Where the public tokenizer files lie; None: what ``public_tokenizers`` says.
 TOKENIZERS: str | None = None
@@ -98,6 +98,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document; the largest id stays."""
+    return content_sort.exact_duplicates(table(spark, sf_dir, "documents"), largest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_html_text": op10_html_text,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 _WORDS2 = "list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -154,4 +160,7 @@ t(step, had, pick, pos, block) as (select cast(0 as bigint), list_transform(u, l
 pl as (select names[pick] as source, block, pos as slot, block * total // u[pick] as release, ((block + 1) * total + u[pick] - 1) // u[pick] as deadline from t, o where step > 0),
 rk as (select doc_id, source, row_number() over (partition by source order by doc_id, md5(coalesce(text, ''))) - 1 as r from documents)
 select doc_id, rk.source, pl.block, r % rows as place, slot, release, deadline from rk, br, pl where pl.source = rk.source and pl.block = r // rows""",
+    "op13_exact_dedup": """
+with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from d""",
 }
