@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import content_sort, decontam, html_extract, minhash, mixing, pii, pq_dedup, rlz_dedup, token_counts, tokenbin, toxicity
+from docloom.llm import content_sort, decontam, html_extract, minhash, mixing, pii, pq_dedup, prefix_trie, rlz_dedup, token_counts, tokenbin, toxicity
 
 #: Where the public tokenizer files lie; None: what ``public_tokenizers`` says.
 TOKENIZERS: str | None = None
@@ -98,6 +98,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document; the largest id stays."""
     return content_sort.exact_duplicates(table(spark, sf_dir, "documents"), largest=True)
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_html_text": op10_html_text,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -160,6 +166,18 @@ t(step, had, pick, pos, block) as (select cast(0 as bigint), list_transform(u, l
 pl as (select names[pick] as source, block, pos as slot, block * total // u[pick] as release, ((block + 1) * total + u[pick] - 1) // u[pick] as deadline from t, o where step > 0),
 rk as (select doc_id, source, row_number() over (partition by source order by doc_id, md5(coalesce(text, ''))) - 1 as r from documents)
 select doc_id, rk.source, pl.block, r % rows as place, slot, release, deadline from rk, br, pl where pl.source = rk.source and pl.block = r // rows""",
+    "op11_prefix_trie": """
+with b as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)) as bits),
+t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first) as p, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null),
+k as (select c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(c as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda a, y: xor(a >> 8, bits[(xor(a, y) & 255) + 1])), 4294967295) % 9 as h from (select distinct c from t), b),
+u as (select k.c, 0 as part, p, r, x from k join t on t.c = k.c - k.c % 5 and p <= h union all select k.c, 1, p, r, x from k join t on t.c = k.c and p > h),
+l as (select k.c, coalesce(list({'r': r, 'x': x} order by part, p) filter (r is not null), []) as w from k left join u using (c) group by k.c),
+m as (select c, len(w) as turns, d, strlen(coalesce(w[d].x, '')) as bytes, list_transform(range(d + 1), lambda i: md5(cast(to_json(w[1:i]) as varchar))) as keys from l, lateral (select unnest(range(len(w) + 1)) as d)),
+n as (select keys[-1] as key, any_value(keys) as keys, d as depth, any_value(bytes) as bytes, min(c) as conv_id, count(*) as n_convs, coalesce(string_agg(c, ',' order by c) filter (turns = d), '') as ends from m group by keys[-1], d),
+ch as (select keys[-2] as key, count(*) as n_children from n where depth > 0 group by 1),
+s as (select a as key, sum(case when ch.key is null then 1 else 0 end) as n_leaves, sum((n_convs - 1) * bytes) as saved_tokens from (select key as own, unnest(keys) as a, n_convs, bytes from n) x left join ch on ch.key = own group by a)
+select n.conv_id, n.depth, up.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from n join s on s.key = n.key left join ch on ch.key = n.key left join n up on n.depth > 0 and up.key = n.keys[-2]""",
     "op13_exact_dedup": """
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from d""",
