@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import content_sort, decontam, html_extract, minhash, mixing, pii, pq_dedup, prefix_trie, rlz_dedup, token_counts, tokenbin, toxicity
+from docloom.llm import content_sort, decontam, hard_negatives, html_extract, minhash, mixing, pii, pq_dedup, prefix_trie, rlz_dedup, token_counts, tokenbin, toxicity
 
 #: Where the public tokenizer files lie; None: what ``public_tokenizers`` says.
 TOKENIZERS: str | None = None
@@ -103,6 +103,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, some of which have a wrong label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document; the largest id stays."""
     return content_sort.exact_duplicates(table(spark, sf_dir, "documents"), largest=True)
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_html_text": op10_html_text,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -178,6 +185,14 @@ ch as (select keys[-2] as key, count(*) as n_children from n where depth > 0 gro
 s as (select a as key, sum(case when ch.key is null then 1 else 0 end) as n_leaves, sum((n_convs - 1) * bytes) as saved_tokens from (select key as own, unnest(keys) as a, n_convs, bytes from n) x left join ch on ch.key = own group by a)
 select n.conv_id, n.depth, up.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
 from n join s on s.key = n.key left join ch on ch.key = n.key left join n up on n.depth > 0 and up.key = n.keys[-2]""",
+    "op12_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id as other_id, cast(list_inner_product(a.e, b.e) as bigint) as score from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.e) = len(b.e)),
+p as (select anchor_id, other_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) as integer) as rank, other_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) <= 5""",
     "op13_exact_dedup": """
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from d""",
