@@ -91,26 +91,87 @@ def topic_vertices(topics: DataFrame) -> DataFrame:
     return topics.groupBy("topic").agg(F.max_by("lang", "document_id").alias("lang"))
 
 
+def _distinct_items(pairs: DataFrame, item: str) -> DataFrame:
+    return pairs.select("document_id", F.col(item).alias("item")).where("document_id is not null and item is not null").distinct()
+
+
+def _met(rows: DataFrame, chunk: int) -> DataFrame:
+    """(x, y, item): two documents with an item in common, each pair of them once an item.
+
+    ``rows`` has (document_id, item, _n), ``_n`` being the documents of the item in
+    ``rows``.  They are cut into chunks of about ``chunk``, and every two chunks meet in one
+    task, so an item of a third of all documents is many tasks."""
+    rows = rows.withColumn("_k", F.ceil(F.col("_n") / chunk).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("document_id"), F.col("_k")).cast("int"))
+    a = rows.select("item", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("_k") - 1)).alias("j"), F.col("document_id").alias("x"))
+    b = rows.select("item", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("document_id").alias("y"))
+    return a.join(b, ["item", "i", "j"]).where("i < j or x < y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "item")
+
+
+def _with_size(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_n``, the number of documents that have the item."""
+    size = rows.groupBy("item").agg(F.count("*").alias("_n")).withColumnRenamed("item", "_item")
+    return rows.join(size, F.col("item") == F.col("_item")).drop("_item")
+
+
+def prefixes(rows: DataFrame, least: int) -> DataFrame:
+    """(document_id, item): each document's items but its ``least - 1`` most common ones.
+
+    Items are ordered by how many documents have them (``_n``), then by themselves.  Two
+    documents with ``least`` items in common have one of them in both prefixes: the first
+    common one has ``least - 1`` further ones behind it in either."""
+    own = Window.partitionBy("document_id")
+    placed = rows.withColumn("_at", F.row_number().over(own.orderBy("_n", "item"))).withColumn("_of", F.count("*").over(own))
+    return placed.where(F.col("_at") <= F.col("_of") - least + 1).select("document_id", "item")
+
+
+def candidates(pairs: DataFrame, item: str, least: int, chunk: int = CHUNK) -> DataFrame:
+    """(x, y): document pairs that share an item of their prefixes, and so may have
+    ``least`` items in common."""
+    return _met(_with_size(prefixes(_with_size(_distinct_items(pairs, item)), least)), chunk).select("x", "y").distinct()
+
+
+def _item_sets(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy(F.col("document_id").alias(name)).agg(F.collect_set("item").alias(f"items_{name}"))
+
+
+def _verified(found: DataFrame, x: DataFrame, y: DataFrame, least: int) -> DataFrame:
+    """(a, b, n, names) of the pairs whose sets (x, items_x) and (y, items_y) have ``least``
+    items in common."""
+    both = found.join(x, "x").join(y, "y").withColumn("names", F.array_sort(F.array_intersect("items_x", "items_y")))
+    out = both.select(F.col("x").alias("a"), F.col("y").alias("b"), F.size("names").cast("long").alias("n"), "names")
+    return out.where(F.col("n") >= least)
+
+
 def shared(pairs: DataFrame, item: str, least: int, most_documents: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(a, b, n, names): document pairs a < b with at least ``least`` common items.
 
-    ``pairs`` is (document_id, item...).  An item in d documents makes d * d / 2 pairs,
-    which are the result; its documents are cut into chunks of about ``chunk``, and every
-    two chunks meet in one task, so a topic of a third of all documents is many tasks.
+    ``pairs`` is (document_id, item...).  From ``least`` 2 on only pairs that share an item
+    of their prefixes meet, and are verified on their whole sets, so the pairs of a common
+    item are never made.  With ``least`` 1 an item in d documents makes d * d / 2 pairs,
+    which are the result (``shared_with`` gives those of chosen documents only).
     ``most_documents`` leaves out more common items and is off by default.
     """
-    rows = pairs.select("document_id", F.col(item).alias("item")).where("item is not null").distinct()
-    size = rows.groupBy("item").agg(F.count("*").alias("_n"))
+    rows = _distinct_items(pairs, item)
     if most_documents is not None:
-        size = size.where(F.col("_n") <= most_documents)
-    rows = rows.join(size.select(F.col("item").alias("_item"), F.ceil(F.col("_n") / chunk).cast("int").alias("_k")), F.col("item").eqNullSafe(F.col("_item")))
-    own = F.pmod(F.xxhash64("document_id"), F.col("_k")).cast("int")
-    rows = rows.withColumn("own", own)
-    a = rows.select("item", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("_k") - 1)).alias("j"), F.col("document_id").alias("x"))
-    b = rows.select("item", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("document_id").alias("y"))
-    met = a.join(b, ["item", "i", "j"]).where("i < j or x < y")
-    out = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("item")).alias("names"))
-    return out.where(F.col("n") >= least)
+        rows = _with_size(rows).where(F.col("_n") <= most_documents).drop("_n")
+    if least > 1:
+        return _verified(candidates(rows, "item", least, chunk), _item_sets(rows, "x"), _item_sets(rows, "y"), least)
+    met = _met(_with_size(rows), chunk)
+    return met.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("item")).alias("names"))
+
+
+def shared_with(wanted: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """(a, b, n, names) with ``a`` among the wanted documents and any ``b`` in ``rows``.
+
+    ``wanted`` and ``rows`` are distinct (document_id, item); of ``rows`` only those of
+    wanted items are used.  Wanted documents look for partners by their prefixes."""
+    known = rows.join(wanted.select("item").distinct(), "item", "left_semi")
+    size = known.groupBy("item").agg(F.count("*").alias("_n"))
+    asked = prefixes(wanted.join(size, "item", "left").fillna(0, ["_n"]), least) if least > 1 else wanted
+    found = asked.select(F.col("document_id").alias("x"), "item").join(known.select(F.col("document_id").alias("y"), "item"), "item").where("x <> y").select("x", "y").distinct()
+    partners = known.join(found.select(F.col("y").alias("document_id")).distinct(), "document_id", "left_semi")
+    return _verified(found, _item_sets(wanted, "x"), _item_sets(partners, "y"), least)
 
 
 def superseding(ids: DataFrame, edges: DataFrame) -> DataFrame:
