@@ -6,7 +6,7 @@ ranking is the same whatever the partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from docloom.sources.scratch import scratch_path
+
 #: Queries that are sent to all tasks at once; more are searched in blocks.
 QUERY_BLOCK = 4096
 
@@ -80,85 +82,173 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _block_scores(block: DataFrame, chunks: DataFrame, access: DataFrame | None, match_department: bool, keep: int | None, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
-    """Scores of one block of queries, as matrix products of Arrow batches.
-
-    The block is sent to all tasks.  With ``access`` a chunk carries the numbers of the
-    block's queries that may see it, at most ``QUERY_BLOCK`` of them.  With ``centres`` a
-    chunk meets only the queries that have its list among their ``probes`` nearest."""
-    spark = chunks.sparkSession
-    q = block.select("query_id", "user_id", "embedding", "department").orderBy("query_id").toArrow()
-    ids, users = q.column("query_id").to_pylist(), q.column("user_id").to_pylist()
-    vectors = q.column("embedding").combine_chunks()
-    dim = max(pc.list_value_length(vectors).to_pylist() or [0], key=lambda n: n or 0) or 1
-    m = _vectors(vectors, dim)
-    shared = spark.sparkContext.broadcast((m, np.sqrt((m * m).sum(1)), ids, users, np.array([d or "" for d in q.column("department").to_pylist()], object)))
-    lists: list[np.ndarray] = []
-    checked = access is not None
-    if centres is not None:
-        near = np.argsort(-np.nan_to_num(m @ centres.T), axis=1, kind="stable")[:, :probes]
-        lists = [np.flatnonzero((near == k).any(1)) for k in range(len(centres))]
-    rows = chunks
-    if access is not None:
-        asked = spark.createDataFrame([(u, k) for k, u in enumerate(users) if u is not None], "user_id long, _q int")
+class Block:
+    """A block of queries as arrays, for tasks: vectors, their lengths, ids and users."""
+
+    def __init__(self, block: DataFrame):
+        q = block.select("query_id", "user_id", "embedding", "department").orderBy("query_id").toArrow()
+        self.ids, self.users = q.column("query_id").to_pylist(), q.column("user_id").to_pylist()
+        vectors = q.column("embedding").combine_chunks()
+        self.dim = max(pc.list_value_length(vectors).to_pylist() or [0], key=lambda n: n or 0) or 1
+        self.vectors = _vectors(vectors, self.dim)
+        self.departments = np.array([d or "" for d in q.column("department").to_pylist()], object)
+
+    def arrays(self) -> tuple:
+        return self.vectors, np.sqrt((self.vectors * self.vectors).sum(1)), self.dim, self.departments
+
+    def allowed(self, chunks: DataFrame, access: DataFrame) -> DataFrame:
+        """``chunks`` with ``_may``: numbers of the block's queries that may see each."""
+        asked = chunks.sparkSession.createDataFrame([(u, k) for k, u in enumerate(self.users) if u is not None], "user_id long, _q int")
         may = access.select("user_id", "document_id").distinct().join(F.broadcast(asked), "user_id").groupBy("document_id").agg(F.collect_list("_q").alias("_may"))
-        rows = chunks.join(may, "document_id")
-    fields = [f for f in chunks.schema.fields if f.name not in ("query_id", "user_id", "score")]
-    names = [f.name for f in fields]
+        return chunks.join(may, "document_id")
+
+
+def _cosines(batch: pa.RecordBatch, block: tuple, match_department: bool) -> np.ndarray:
+    """[row, query] cosine to six places; NaN where the pair may not be seen.
+
+    ``_may`` and ``_asked``, where there, hold the numbers of a row's queries."""
+    m, norms, dim, departments = block
+    column = lambda name: batch.column(batch.schema.get_field_index(name))
+    x = _vectors(column("embedding"), dim)
+    size = np.sqrt((x * x).sum(1))
+    ok = np.ones((len(x), len(m)), bool)
+    for name in ("_may", "_asked"):
+        if name in batch.schema.names:
+            seen = np.zeros_like(ok)
+            seen[np.repeat(np.arange(len(x)), pc.list_value_length(column(name)).to_numpy()), column(name).flatten().to_numpy()] = True
+            ok &= seen
+    if match_department:
+        own = np.array(column("department").to_pylist(), object)
+        ok &= (departments == "")[None, :] | (own[:, None] == departments[None, :])
+    score = np.full(ok.shape, np.nan)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        # only columns that a row of the batch asks for are multiplied
+        asked = np.flatnonzero(ok.any(0))
+        score[:, asked] = np.round(x @ m[asked].T / (size[:, None] * norms[asked]), 6)
+    score[~ok] = np.nan
+    return score
+
+
+def _slices(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, (1 << 22) // max(1, queries))
+    for whole in batches:
+        for at in range(0, whole.num_rows, step):
+            yield whole.slice(at, step)
+
+
+class Best:
+    """The k best of each of n queries among the pairs seen so far, by (score descending, id).
+
+    What is below a query's k-th score so far is left out at once; the rest is held until
+    it is twice the k best of all queries, and then cut to them."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.most = k, 2 * n * k
+        self.least = np.full(n, -np.inf)
+        self.query, self.id, self.score = [], [], []
+        self.held = 0
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        with np.errstate(invalid="ignore"):
+            row, query = np.nonzero(score >= self.least)
+        self.query.append(query), self.id.append(ids[row]), self.score.append(score[row, query])
+        self.held += len(row)
+        if self.held > self.most:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, own, score = (np.concatenate(x or [np.empty(0)]) for x in (self.query, self.id, self.score))
+        order = np.lexsort((own, -score, query))
+        query, own, score = query[order].astype(np.int64), own[order].astype(np.int64), score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.k - 1
+        self.least[query[last]] = score[last]
+        stay = place < self.k
+        self.query, self.id, self.score = [query[stay]], [own[stay]], [score[stay]]
+        self.held = int(stay.sum())
+        return self.query[0], self.id[0], self.score[0]
+
+
+def block_best(block: DataFrame | Block, chunks: DataFrame, access: DataFrame | None, k: int, match_department: bool = False) -> DataFrame:
+    """(query_id, chunk_id, score): the ``k`` best of each task's chunks for each query.
+
+    The block is sent to all tasks; ids and scores leave a task, at most ``k`` a query."""
+    asked = block if isinstance(block, Block) else Block(block)
+    shared = chunks.sparkSession.sparkContext.broadcast(asked.arrays())
+    ids = np.array(asked.ids, np.int64)
+    rows = chunks if access is None else asked.allowed(chunks, access)
+    columns = ["chunk_id", "embedding", *(["department"] if match_department else []), *(c for c in ("_may", "_asked") if c in rows.columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, norms, ids, users, departments = shared.value
-        for whole in batches:
-            step = max(1, (1 << 22) // max(1, len(ids)))
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                x = _vectors(batch.column(batch.schema.get_field_index("embedding")), dim)
-                size = np.sqrt((x * x).sum(1))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    if centres is None:
-                        score = np.round(x @ m.T / (size[:, None] * norms), 6)
-                    else:
-                        score = np.full((len(x), len(ids)), np.nan)
-                        home = np.nan_to_num(x @ centres.T).argmax(1)
-                        for k in np.unique(home):
-                            own, asked = np.flatnonzero(home == k), lists[k]
-                            score[np.ix_(own, asked)] = np.round(x[own] @ m[asked].T / (size[own][:, None] * norms[asked]), 6)
-                ok = np.isfinite(score)
-                if checked:
-                    may = batch.column(batch.schema.get_field_index("_may"))
-                    seen = np.zeros_like(ok)
-                    seen[np.repeat(np.arange(len(may)), pc.list_value_length(may).to_numpy()), may.flatten().to_numpy()] = True
-                    ok &= seen
-                if match_department:
-                    own = np.array(batch.column(batch.schema.get_field_index("department")).to_pylist(), object)
-                    ok &= (departments == "")[None, :] | (own[:, None] == departments[None, :])
-                if keep is not None and len(score) > keep:
-                    # the best of the batch, with all that tie with the last of them
-                    least = -np.partition(np.where(ok, -score, np.inf), keep - 1, axis=0)[keep - 1]
-                    ok &= score >= least
-                r, c = np.nonzero(ok)
-                own = batch.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([*(own.column(own.schema.get_field_index(n)) for n in names), pa.array([ids[k] for k in c], pa.int64()), pa.array([users[k] for k in c], pa.int64()), pa.array(score[r, c])], names=[*names, "query_id", "user_id", "score"])
+        best = Best(len(ids), k)
+        for batch in _slices(batches, len(ids)):
+            best.add(_cosines(batch, shared.value, match_department), batch.column(0).to_numpy())
+        query, own, score = best.cut()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(own), pa.array(score)], names=["query_id", "chunk_id", "score"])
 
-    return rows.mapInArrow(run, StructType([*fields, StructField("query_id", LongType()), StructField("user_id", LongType()), StructField("score", DoubleType())]))
+    return rows.where("chunk_id is not null").select(*columns).mapInArrow(run, "query_id long, chunk_id long, score double")
 
 
-def scored(queries: DataFrame, chunks: DataFrame, access: DataFrame | None = None, match_department: bool = False, enforce_acl: bool = True, keep: int | None = None) -> DataFrame:
-    """(chunk columns, query_id, user_id, score) of the pairs that may be seen.
+def nearest(queries: DataFrame, chunks: DataFrame, access: DataFrame | None = None, k: int = 20, match_department: bool = False, enforce_acl: bool = True) -> DataFrame:
+    """The ``k`` best chunks of each query, with the chunk's columns, ``score`` and ``rank``.
 
-    ``access`` has (user_id, document_id) and is required unless ``enforce_acl`` is
-    False.  Queries meet the chunks in blocks of at most ``QUERY_BLOCK``.  With ``keep``
-    every batch gives out only its best ``keep`` of each query, which is all that a
-    ranking of that length needs.  Vectors that are null, zero or of another length
-    than the queries' are left out.
-    """
+    ``access`` has (user_id, document_id) and is required unless ``enforce_acl`` is False.
+    Each task keeps the ``k`` best of every query, only ids and scores are shuffled, and
+    the chunks' columns are joined to the final ranking.  Queries are searched in blocks of
+    at most ``QUERY_BLOCK``; where there are several, each block's ranking is written.
+    Vectors that are null, zero or of another length than the queries' are left out."""
     if enforce_acl and access is None:
         raise ValueError("an access table is required; enforce_acl=False searches without one")
-    out = None
-    for block in query_blocks(queries):
-        part = _block_scores(block, chunks, access if enforce_acl else None, match_department, keep)
-        out = part if out is None else out.unionByName(part)
-    return out
+    ranked = ranked_blocks(queries, lambda block: top_k(block_best(block, chunks, access if enforce_acl else None, k, match_department), k))
+    return with_chunks(ranked, queries, chunks)
+
+
+def ranked_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` over the blocks of the queries; the results of several are written, one
+    job a block, so no plan holds more than one."""
+    blocks = list(query_blocks(queries))
+    if len(blocks) == 1:
+        return search(blocks[0])
+    path = scratch_path(queries.sparkSession, "blocks")
+    for block in blocks:
+        found = search(block)
+        found.write.mode("append").parquet(path)
+    return queries.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def with_chunks(ranked: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``ranked`` (query_id, chunk_id, score, rank) with its chunks' columns and user_id."""
+    own = queries.select(F.col("query_id").alias("_query"), "user_id")
+    rows = ranked.withColumnsRenamed({"chunk_id": "_chunk"}).join(own, F.col("query_id") == F.col("_query")).drop("_query")
+    columns = [c for c in chunks.columns if c not in ("query_id", "user_id", "score", "rank")]
+    return chunks.select(*columns).join(rows, F.col("chunk_id") == F.col("_chunk")).drop("_chunk")
+
+
+def scored(queries: DataFrame, chunks: DataFrame, access: DataFrame | None = None, match_department: bool = False, enforce_acl: bool = True) -> DataFrame:
+    """(chunk columns, query_id, user_id, score) of all pairs that may be seen.
+
+    For a ranking of a given length use ``nearest``, which shuffles that many pairs only."""
+    if enforce_acl and access is None:
+        raise ValueError("an access table is required; enforce_acl=False searches without one")
+    return ranked_blocks(queries, lambda block: _block_pairs(block, chunks, access if enforce_acl else None, match_department))
+
+
+def _block_pairs(block: DataFrame, chunks: DataFrame, access: DataFrame | None, match_department: bool) -> DataFrame:
+    asked = Block(block)
+    shared = chunks.sparkSession.sparkContext.broadcast(asked.arrays())
+    ids, users = asked.ids, asked.users
+    rows = chunks if access is None else asked.allowed(chunks, access)
+    fields = [f for f in chunks.schema.fields if f.name not in ("query_id", "user_id", "score")]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, len(ids)):
+            score = _cosines(batch, shared.value, match_department)
+            r, c = np.nonzero(np.isfinite(score))
+            own = batch.take(pa.array(r))
+            yield pa.RecordBatch.from_arrays([*(own.column(own.schema.get_field_index(n)) for n in names), pa.array([ids[k] for k in c], pa.int64()), pa.array([users[k] for k in c], pa.int64()), pa.array(score[r, c])], names=[*names, "query_id", "user_id", "score"])
+
+    return rows.mapInArrow(run, StructType([*fields, StructField("query_id", LongType()), StructField("user_id", LongType()), StructField("score", DoubleType())]))
 
 
 def top_k(pairs: DataFrame, k: int = 20) -> DataFrame:
@@ -224,8 +314,8 @@ def by_strategy(queries: DataFrame, chunks: DataFrame, access: DataFrame | None,
     (cosine, hyde_cosine, unknown or null) rank."""
     own = F.coalesce("strategy", F.lit("cosine"))
     plain, other = queries.where(~own.isin("mmr", "none")), queries.where(own == "mmr")
-    a = top_k(scored(plain, chunks, access, enforce_acl=enforce_acl, keep=k), k).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
-    b = mmr(top_k(scored(other, chunks, access, enforce_acl=enforce_acl, keep=fetch_k), fetch_k), k).select("query_id", "chunk_id", "score", F.col("mmr_rank").alias("rank"))
+    a = nearest(plain, chunks, access, k, enforce_acl=enforce_acl).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    b = mmr(nearest(other, chunks, access, fetch_k, enforce_acl=enforce_acl), k).select("query_id", "chunk_id", "score", F.col("mmr_rank").alias("rank"))
     return a.unionByName(b)
 
 
@@ -309,29 +399,6 @@ def related_scores(related: DataFrame, access_levels: list[str] | None = None) -
     return rows.withColumn("relevance", F.round(F.least(F.lit(1.0), own + 0.02 * F.greatest(F.lit(0), F.coalesce("count", F.lit(1)) - 1)), 6))
 
 
-def approximate_top_k(queries: DataFrame, chunks: DataFrame, access: DataFrame | None, k: int = 10, lists: int = 16, probes: int = 6, fit_rows: int = 50_000, enforce_acl: bool = True) -> DataFrame:
-    """Top k from inverted lists: (query_id, chunk_id, score, rank).
-
-    Centroids are fitted with k-means on at most ``fit_rows`` chunks (those of the
-    smallest hash); every chunk lies in its nearest list, and a query searches its
-    ``probes`` nearest lists, so a chunk meets only the queries that search its list.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = F.transform("embedding", lambda x: x.cast("double"))
-    sample = chunks.where("embedding is not null").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(fit_rows).select(array_to_vector(unit).alias("features"))
-    centres = np.array(KMeans(k=lists, seed=7, distanceMeasure="cosine", maxIter=10).fit(sample).clusterCenters())
-    centres = centres / np.linalg.norm(centres, axis=1, keepdims=True)
-    if enforce_acl and access is None:
-        raise ValueError("an access table is required; enforce_acl=False searches without one")
-    pairs = None
-    for block in query_blocks(queries):
-        part = _block_scores(block, chunks, access if enforce_acl else None, False, k, centres, probes)
-        pairs = part if pairs is None else pairs.unionByName(part)
-    return top_k(pairs, k).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
-
-
 def retrieval_metrics(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
     """precision and recall at k per query, over (query_id, document_id) expected."""
     got = ranked.where(F.col("rank") <= k).select("query_id", "document_id").distinct()

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions.hooks import hashed_vector, lexical_overlap
-from docloom.operators import graph, lexical, search
+from docloom.operators import graph, lexical, search, vector_index
 from docloom.plans.registry import query
+from docloom.sources.scratch import scratch_path
+
+#: Lists that a query of the stored index searches.
+PROBES = 8
 
 COSINE = "round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 6)"
 ACL_PAIRS = f"""pairs as (select q.query_id, c.chunk_id, c.document_id, c.title, c.department, {COSINE} as score
@@ -23,7 +27,7 @@ def _long(df, *cols):
 
 
 def _ranked(t, k=40):
-    return search.top_k(search.scored(t("queries"), t("chunks"), t("access"), keep=k), k)
+    return search.nearest(t("queries"), t("chunks"), t("access"), k)
 
 
 def flagship(t):
@@ -48,7 +52,7 @@ def top_k_access(t):
 @query("top_k_all", f"with {ALL_PAIRS}, {RANKED} select query_id, chunk_id, score, rank from ranked where rank <= 20")
 def top_k_all(t):
     """An administrator's search: access is not checked."""
-    return _long(search.top_k(search.scored(t("queries"), t("chunks"), enforce_acl=False, keep=20), 20).select("query_id", "chunk_id", "score", "rank"), "rank")
+    return _long(search.nearest(t("queries"), t("chunks"), k=20, enforce_acl=False).select("query_id", "chunk_id", "score", "rank"), "rank")
 
 
 OWN = f"""from {{queries}} q join {{access}} a on a.user_id = q.user_id join {{chunks}} c on c.document_id = a.document_id"""
@@ -65,7 +69,7 @@ def top_k_filtered(t):
 
     day = datetime.datetime
     chunks = t("chunks").where(search.metadata_filter(content_type="policy", extraction_method="ocr", access_levels=["public"], created_from=day(2022, 1, 1), created_to=day(2023, 1, 1)))
-    return _long(search.top_k(search.scored(t("queries"), chunks, t("access"), match_department=True, keep=10), 10).select("query_id", "chunk_id", "score", "rank"), "rank")
+    return _long(search.nearest(t("queries"), chunks, t("access"), 10, match_department=True).select("query_id", "chunk_id", "score", "rank"), "rank")
 
 
 @query(
@@ -77,7 +81,7 @@ def top_k_care(t):
     """The second knowledge base is the same search behind a filter on ``kb``; its rows
     have a policy address, and their department is called category."""
     chunks = t("chunks").where("kb = 'care'").withColumns({"policy_url": F.when(F.col("document_id") % 2 == 0, F.concat(F.lit("https://policies.example.org/"), F.col("document_id").cast("string"))), "category": F.when(F.col("department") == "hr", "people").otherwise(F.col("department"))})
-    return _long(search.top_k(search.scored(t("queries"), chunks, t("access"), keep=8), 8).select("query_id", "chunk_id", "score", "rank", "policy_url", "category"), "rank")
+    return _long(search.nearest(t("queries"), chunks, t("access"), 8).select("query_id", "chunk_id", "score", "rank", "policy_url", "category"), "rank")
 
 
 @query(
@@ -86,14 +90,14 @@ def top_k_care(t):
       select query_id, chunk_id, score, rank from ranked where rank <= 5""",
 )
 def top_k_completed(t):
-    return _long(search.top_k(search.scored(t("queries"), search.completed_only(t("chunks"), t("doc_status")), t("access"), keep=5), 5).select("query_id", "chunk_id", "score", "rank"), "rank")
+    return _long(search.nearest(t("queries"), search.completed_only(t("chunks"), t("doc_status")), t("access"), 5).select("query_id", "chunk_id", "score", "rank"), "rank")
 
 
 @query("in_given_documents", f"with pairs as (select q.query_id, c.chunk_id, {COSINE} as score {OWN} where c.document_id in (select document_id from {{doc_status}} where status = 'pending')), {RANKED} select query_id, chunk_id, rank from ranked where rank <= least(10, greatest(1, cast(query_id / 100 as bigint)))")
 def in_given_documents(t):
     """A search inside given documents, with each query's own k held between 1 and 10."""
     some = search.in_documents(t("chunks"), t("doc_status").where("status = 'pending'"))
-    ranked = search.top_k(search.scored(t("queries"), some, t("access"), keep=10), 10)
+    ranked = search.nearest(t("queries"), some, t("access"), 10)
     return _long(ranked.where(F.col("rank") <= search.clamp_k(F.expr("query_id div 100"))).select("query_id", "chunk_id", "rank"), "rank")
 
 
@@ -269,11 +273,16 @@ def related_chunks(t):
 
 @query("approximate_recall")
 def approximate_recall(t):
-    """recall@10 of the inverted-list search against the exact ranking."""
-    got = search.approximate_top_k(t("queries"), t("chunks"), t("access"), 10).select("query_id", "chunk_id")
+    """recall@10 of the stored inverted-list index against the exact ranking, and the share
+    of the index that each query's lists hold."""
+    chunks, asked = t("chunks"), t("queries")
+    path = scratch_path(chunks.sparkSession, "vector-index")
+    vector_index.build(chunks, path)
+    got = vector_index.search(path, asked, t("access"), 10, PROBES).select("query_id", "chunk_id")
     exact = _ranked(t, 10).select("query_id", "chunk_id")
     hit = got.join(exact, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count("*").alias("hits"))
-    return exact.groupBy("query_id").agg(F.count("*").alias("n")).join(hit, "query_id", "left").select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.col("n"), 6).alias("recall"))
+    out = exact.groupBy("query_id").agg(F.count("*").alias("n")).join(hit, "query_id", "left").join(vector_index.share_read(path, asked, PROBES), "query_id")
+    return out.select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.col("n"), 6).alias("recall"), F.round("share", 6).alias("share"))
 
 
 TERMS = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')"
@@ -308,7 +317,7 @@ def hybrid_fusion(t):
     """Reciprocal rank fusion of the lexical with the vector ranking."""
     asked = t("conversations").where("turn = 1 and conv_id % 100 = 0").select(F.col("conv_id").alias("query_id"), F.lit(None).cast("long").alias("user_id"), hashed_vector(F.col("text"), 32).alias("embedding"), F.lit(None).cast("string").alias("department"))
     docs = t("documents").select(F.col("doc_id").alias("chunk_id"), hashed_vector(F.col("text"), 32).alias("embedding"))
-    near = search.top_k(search.scored(asked, docs, enforce_acl=False, keep=30), 30).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
+    near = search.nearest(asked, docs, k=30, enforce_acl=False).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
     return _long(lexical.fuse(_lexical(t, 30), near), "rank")
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from docloom.operators import changes
 from docloom.plans.change_queries import CLASS, applied
 from docloom.plans.registry import query
-from docloom.sources.files import write_snapshot
+from docloom.sources import buckets
 from docloom.sources.scratch import scratch_path
 from docloom.streaming import feeds
 
+#: Buckets of the tables kept here, which are small.
+BUCKETS = 8
 #: Files that each slice of an input is written to; a micro-batch reads one slice.
 FILES = 2
 
@@ -48,10 +50,9 @@ def stream_snapshot(t):
     stored = t("stored").select(*changes.KEY, "ctag", "etag", "status", "retry_count")
     spark = stored.sparkSession
     base = scratch_path(spark, "snapshots")
-    write_snapshot(stored, base, 0)
-    numbers: list[int] = []
-    feeds.upsert_stream(_stream(t("feed"), "feed", F.expr("cast(floor(position / 400) as bigint) % 3"), 3), base, scratch_path(spark, "mark"), lambda _, n: numbers.append(n)).awaitTermination()
-    return spark.read.parquet(f"{base}/v={max(numbers, default=-1) + 1}")
+    feeds.snapshot_table(stored, t("feed"), base, BUCKETS)
+    feeds.upsert_stream(_stream(t("feed"), "feed", F.expr("cast(floor(position / 400) as bigint) % 3"), 3), base, scratch_path(spark, "mark"), size=BUCKETS).awaitTermination()
+    return buckets.load(spark, base)
 
 
 @query(
@@ -63,13 +64,37 @@ def stream_index(t):
     """Chunks kept in step with documents that come, come again and are deleted."""
     docs = t("documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 3).alias("k"), "text", F.lit("completed").alias("status"))
     again = docs.where("document_id % 6 = 0").withColumns({"k": F.lit(2).cast("long"), "text": F.concat(F.lit("again "), F.col("document_id").cast("string"))})
-    gone = docs.where("document_id % 9 = 4").withColumns({"k": F.lit(2).cast("long"), "status": F.lit("deleted")})
+    gone = docs.where("document_id % 9 = 4").withColumns({"k": F.lit(3).cast("long"), "status": F.lit("deleted")})
     spark = docs.sparkSession
     base = scratch_path(spark, "chunks")
     build = lambda rows: rows.select("document_id", F.col("text").alias("content"))
-    write_snapshot(build(docs.limit(0)), base, 0)
-    feeds.index_stream(_stream(docs.unionByName(again).unionByName(gone), "documents", F.col("k"), 3), base, scratch_path(spark, "mark"), build).awaitTermination()
-    return spark.read.parquet(f"{base}/v=3")
+    buckets.create(build(docs.limit(0)), base, feeds.DOCUMENT, BUCKETS)
+    feeds.index_stream(_stream(docs.unionByName(again).unionByName(gone), "documents", F.col("k"), 4), base, scratch_path(spark, "mark"), build, "k", BUCKETS).awaitTermination()
+    return buckets.load(spark, base)
+
+
+@query(
+    "stream_shares_entity",
+    """with m as (select distinct document_id, entity_id, name from {mentions}),
+      s as (select document_id, name from m where case when document_id % 7 = 3 then false when document_id % 5 = 1 then entity_id % 2 = 0 when document_id % 3 = 1 then entity_id % 4 <> 0 else true end)
+      select x.document_id as a, y.document_id as b, count(*) as n, array_to_string(list_sort(list(distinct x.name)), ',') as names from s x join s y on x.name = y.name and x.document_id < y.document_id group by 1, 2 having count(*) >= 2""",
+)
+def stream_shares_entity(t):
+    """Edges of shared entities after documents came, came again with more or other
+    entities, and went, over four batches."""
+    said = t("mentions").select("document_id", "entity_id", "name").distinct()
+    rows = lambda k, which, what: said.where(which).groupBy("document_id").agg(F.collect_set(F.when(F.expr(what), F.col("name"))).alias("names")).withColumns({"k": F.lit(k), "status": F.lit("completed")})
+    gone = said.where("document_id % 7 = 3").select("document_id").distinct().select("document_id", F.array().cast("array<string>").alias("names"), F.lit(3).alias("k"), F.lit("deleted").alias("status"))
+    sent = [rows(0, "document_id % 3 <> 2", "entity_id % 4 <> 0"), rows(1, "document_id % 3 = 2", "true"), rows(1, "document_id % 3 = 0", "true"), rows(2, "document_id % 5 = 1", "entity_id % 2 = 0"), gone]
+    docs = sent[0]
+    for more in sent[1:]:
+        docs = docs.unionByName(more)
+    spark = docs.sparkSession
+    base = scratch_path(spark, "edges")
+    feeds.edge_tables(spark, base, size=BUCKETS)
+    build = lambda rows: rows.select("document_id", F.explode("names").alias("item"))
+    feeds.shared_edge_stream(_stream(docs, "said", F.col("k"), 4), base, scratch_path(spark, "mark"), build, "k", 2, BUCKETS).awaitTermination()
+    return feeds.shared_edges(spark, base).withColumn("names", F.concat_ws(",", "names"))
 
 
 # Bursts an hour apart; between them a lone row moves the watermark past the last burst.

@@ -1,15 +1,18 @@
 """Tables in hash buckets: a version holds only the buckets that its batch has touched.
 
-``base/data/v=N/bucket=K`` are the rows of bucket K as of version N, and ``base/state/v=N``
-says, for every bucket, which version holds it.  The state is one file, written last, so a
-version without it does not exist, and a replayed batch overwrites what a lost run left.
-Bytes written follow the batch, not the table.
+``base/data/v=N/bucket=K`` are the rows of bucket K as of version N, and ``base/state/N.json``
+says, for every bucket, which version holds it.  The state is written last and renamed into
+place, so a version without it does not exist, and a replayed batch overwrites what a lost
+run left.  Bytes written follow the batch, not the table.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Buckets of a table where its maker does not say; they are rewritten whole, so a large
 #: table has many.
@@ -37,22 +40,25 @@ def _names(spark: SparkSession, path: str) -> list[str]:
 
 def versions(spark: SparkSession, base: str) -> list[int]:
     """Finished versions, oldest first."""
-    made = [int(n[2:]) for n in _names(spark, f"{base}/state") if n.startswith("v=")]
-    return sorted(v for v in made if "_SUCCESS" in _names(spark, f"{base}/state/v={v}"))
+    return sorted(int(n[:-5]) for n in _names(spark, f"{base}/state") if n.endswith(".json"))
 
 
-def _state(spark: SparkSession, base: str, upto: int | None) -> dict[int, int | None]:
-    """Version that holds each bucket; None where it is empty."""
+def _state(spark: SparkSession, base: str, upto: int | None) -> tuple[StructType | None, dict[int, int | None]]:
+    """Schema, and the version that holds each bucket; None where it is empty."""
     known = [v for v in versions(spark, base) if upto is None or v <= upto]
     if not known:
-        return {}
-    return {r.bucket: r.version for r in spark.read.schema("bucket int, version int").parquet(f"{base}/state/v={known[-1]}").collect()}
+        return None, {}
+    fs, p = _fs(spark, f"{base}/state/{known[-1]}.json")
+    source = fs.open(p)
+    try:
+        said = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+    finally:
+        source.close()
+    return StructType.fromJson(said["schema"]), {int(b): v for b, v in said["buckets"].items()}
 
 
 def create(rows: DataFrame, base: str, key: list[str], buckets: int = BUCKETS) -> None:
     """Version 0 with all buckets."""
-    base = base.rstrip("/")
-    rows.limit(0).write.mode("overwrite").parquet(f"{base}/schema")
     save(rows, base, 0, list(range(buckets)), key, buckets)
 
 
@@ -62,19 +68,28 @@ def save(rows: DataFrame, base: str, version: int, which: list[int], key: list[s
     base, spark = base.rstrip("/"), rows.sparkSession
     if version in versions(spark, base):
         return
-    path = f"{base}/data/v={version}"
-    rows.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    held = {int(n.split("=")[1]) for n in _names(spark, path) if n.startswith("bucket=")}
-    state = _state(spark, base, version - 1) | {b: version if b in held else None for b in which}
-    spark.createDataFrame(sorted(state.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{base}/state/v={version}")
+    schema, state = _state(spark, base, version - 1)
+    held: set[int] = set()
+    if which:
+        path = f"{base}/data/v={version}"
+        rows.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        held = {int(n.split("=")[1]) for n in _names(spark, path) if n.startswith("bucket=")}
+    state |= {b: version if b in held else None for b in which}
+    fs, temporary = _fs(spark, f"{base}/state/{version}.unfinished")
+    out = fs.create(temporary, True)
+    out.write(bytearray(json.dumps({"schema": (schema or rows.schema).jsonValue(), "buckets": state}).encode()))
+    out.close()
+    fs.rename(temporary, _fs(spark, f"{base}/state/{version}.json")[1])
 
 
 def load(spark: SparkSession, base: str, which: list[int] | None = None, upto: int | None = None) -> DataFrame:
     """Rows of the table, or of some buckets, as of version ``upto``; no other bucket is read."""
     base = base.rstrip("/")
-    schema = spark.read.parquet(f"{base}/schema").schema
-    state = _state(spark, base, upto)
-    paths = [f"{base}/data/v={v}/bucket={b}" for b, v in sorted(state.items()) if v is not None and (which is None or b in set(which))]
+    schema, state = _state(spark, base, upto)
+    if schema is None:
+        raise FileNotFoundError(f"no finished version of a bucketed table in {base}")
+    wanted = state.keys() if which is None else set(which)
+    paths = [f"{base}/data/v={v}/bucket={b}" for b, v in sorted(state.items()) if v is not None and b in wanted]
     if not paths:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*paths)
@@ -86,14 +101,20 @@ def expire(spark: SparkSession, base: str, keep: int = 2) -> int:
     A stream replays its last batch at most, which reads the version before."""
     base = base.rstrip("/")
     known = versions(spark, base)
-    read = {(v, b) for n in known[-keep:] for b, v in _state(spark, base, n).items() if v is not None}
+    read = {(v, b) for n in known[-keep:] for b, v in _state(spark, base, n)[1].items() if v is not None}
     gone = 0
+    for name in _names(spark, f"{base}/data"):
+        v = int(name[2:])
+        if len(known) <= keep or v >= known[-keep]:
+            continue
+        left = [n for n in _names(spark, f"{base}/data/{name}") if n.startswith("bucket=")]
+        old = [n for n in left if (v, int(n.split("=")[1])) not in read]
+        # a folder without buckets that are read goes as a whole
+        for path in [f"{base}/data/{name}"] if len(old) == len(left) else [f"{base}/data/{name}/{n}" for n in old]:
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
+        gone += len(old)
     for v in known[:-keep]:
-        for name in _names(spark, f"{base}/data/v={v}"):
-            if name.startswith("bucket=") and (v, int(name.split("=")[1])) not in read:
-                fs, p = _fs(spark, f"{base}/data/v={v}/{name}")
-                fs.delete(p, True)
-                gone += 1
-        fs, p = _fs(spark, f"{base}/state/v={v}")
+        fs, p = _fs(spark, f"{base}/state/{v}.json")
         fs.delete(p, True)
     return gone

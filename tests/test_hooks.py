@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import hooks
 from docloom.operators import access, chunking, metrics
-from docloom.sources import files
+from docloom.sources import buckets, files
 from docloom.streaming import feeds
 
 
@@ -40,11 +40,11 @@ def test_access_stream_equals_batch(spark, tmp_path):
     old = spark.createDataFrame([(1, 5), (2, 6)], "document_id long, user_id long")
     grants = spark.createDataFrame([(1, "user", 7), (1, "group", 3)], "document_id long, principal_type string, principal_id long")
     closure = spark.createDataFrame([(3, 8), (3, 9)], "ancestor long, member long")
-    files.write_snapshot(old, str(tmp_path / "a"), 0)
+    buckets.create(old, str(tmp_path / "a"), feeds.DOCUMENT, 4)
     grants.coalesce(1).write.parquet(str(tmp_path / "g"))
     stream = spark.readStream.schema(grants.schema).parquet(str(tmp_path / "g"))
-    feeds.access_stream(stream, closure, str(tmp_path / "a"), str(tmp_path / "m")).awaitTermination()
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "a" / "v=1")).select("document_id", "user_id").collect()}
+    feeds.access_stream(stream, closure, str(tmp_path / "a"), str(tmp_path / "m"), 4).awaitTermination()
+    got = {tuple(r) for r in buckets.load(spark, str(tmp_path / "a")).select("document_id", "user_id").collect()}
     assert got == {tuple(r) for r in access.rebuild_access(old, grants, access.access_pairs(grants, closure)).select("document_id", "user_id").collect()} == {(2, 6), (1, 7), (1, 8), (1, 9)}
 
 

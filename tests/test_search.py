@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from docloom.operators import graph, lexical, search
+from docloom.operators import graph, lexical, search, vector_index
 from docloom.sources import files
 
 
@@ -87,20 +87,68 @@ def test_access_is_required(spark):
     got = {(r.query_id, r.document_id) for r in search.scored(q, chunks, may).collect()}
     assert got == {(1, 1), (2, 0)}
     assert search.scored(q, chunks, enforce_acl=False).count() == 27
-    best = search.top_k(search.scored(q, chunks, enforce_acl=False, keep=2), 2)
-    every = search.top_k(search.scored(q, chunks, enforce_acl=False), 2)
-    assert sorted(map(str, best.collect())) == sorted(map(str, every.collect()))
+    with pytest.raises(ValueError, match="access"):
+        search.nearest(q, chunks)
+    for own in ({"enforce_acl": False}, {"access": may}):
+        best, every = search.nearest(q, chunks, k=2, **own), search.top_k(search.scored(q, chunks, **own), 2)
+        assert sorted(map(str, best.select(*every.columns).collect())) == sorted(map(str, every.collect()))
     assert search.scored(q.limit(0), chunks, may).count() == 0 and search.scored(q, chunks.limit(0), may).count() == 0
 
 
-def test_approximate_search_finds_most(spark):
+def _clustered(spark, n, lists=40, dim=24):
     import numpy as np
 
     rng = np.random.default_rng(2)
-    centres = rng.normal(size=(40, 24))
-    rows = [(i, i % 5, (centres[i % 40] + 0.5 * rng.normal(size=24)).tolist()) for i in range(4000)]
+    centres = rng.normal(size=(lists, dim))
+    rows = [(i, i % 5, (centres[i % lists] + 0.5 * rng.normal(size=dim)).tolist()) for i in range(n)]
     chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, embedding array<float>")
-    q = chunks.where("chunk_id % 100 = 0").selectExpr("chunk_id as query_id", "1L as user_id", "embedding", "cast(null as string) as department")
-    got = {(r.query_id, r.chunk_id) for r in search.approximate_top_k(q, chunks, None, 10, lists=32, probes=6, enforce_acl=False).collect()}
-    exact = {(r.query_id, r.chunk_id) for r in search.top_k(search.scored(q, chunks, enforce_acl=False, keep=10), 10).collect()}
-    assert len(got & exact) >= 0.9 * len(exact)
+    return chunks, chunks.where("chunk_id % 100 = 0").selectExpr("chunk_id as query_id", "1L as user_id", "embedding", "cast(null as string) as department")
+
+
+def test_tasks_give_out_k_rows_a_query(spark, monkeypatch):
+    chunks, q = _clustered(spark, 3000)
+    q = q.limit(20).cache()
+    found = search.block_best(q, chunks.repartition(3), None, 5)
+    assert found.count() <= 3 * 20 * 5
+    assert set(found.columns) == {"query_id", "chunk_id", "score"}
+    pairs = lambda df: sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in df.collect())
+    want = pairs(search.top_k(search.scored(q, chunks, enforce_acl=False), 5))
+    assert pairs(search.nearest(q, chunks, k=5, enforce_acl=False)) == want
+    # several blocks of queries are searched one after the other
+    blocks = search.query_blocks
+    monkeypatch.setattr(search, "query_blocks", lambda queries: blocks(queries, 6))
+    assert pairs(search.nearest(q, chunks, k=5, enforce_acl=False)) == want
+
+
+def test_best_keeps_ties_by_id():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    score = rng.integers(0, 6, (500, 3)) / 10
+    score[rng.random(score.shape) < 0.2] = np.nan
+    ids = rng.permutation(500)
+    best = search.Best(3, 7)
+    for k in range(0, 500, 13):
+        best.add(score[k : k + 13], ids[k : k + 13])
+    query, own, value = best.cut()
+    want = [(c, i, s) for c in range(3) for s, i in sorted(((s, i) for s, i in zip(score[:, c], ids, strict=True) if s == s), key=lambda x: (-x[0], x[1]))[:7]]
+    assert [(a, b, c) for a, b, c in zip(query.tolist(), own.tolist(), value.tolist(), strict=True)] == want
+
+
+def test_stored_index(spark, tmp_path):
+    """Recall of at least 0.95 at less than a tenth of the rows over 100 lists and more, by
+    a search that knows only the path, and lists pruned from the scan at run time."""
+    chunks, q = _clustered(spark, 12_000, 100)
+    path = str(tmp_path / "index")
+    vector_index.build(chunks.unionByName(spark.createDataFrame([(-1, 0, None), (-2, 0, [0.0] * 24)], chunks.schema)), path)
+    assert spark.read.parquet(f"{path}/centres").count() >= 100 and vector_index.index_exists(spark, path)
+    assert vector_index.share_read(path, q, 6).selectExpr("max(share)").first()[0] < 0.1
+    got = {(r.query_id, r.chunk_id) for r in vector_index.search(path, q, None, 10, 6, enforce_acl=False).collect()}
+    exact = {(r.query_id, r.chunk_id) for r in search.nearest(q, chunks, k=10, enforce_acl=False).collect()}
+    assert len(got & exact) >= 0.95 * len(exact)
+    rows, _ = vector_index.visited(q.limit(1), path, 3)
+    assert 0 < rows.count() < 1200
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    may = spark.createDataFrame([(1, 3)], "user_id long, document_id long")
+    assert {r.document_id for r in vector_index.search(path, q, may, 5, 6).collect()} == {3}
