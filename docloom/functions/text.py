@@ -187,6 +187,32 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN))
 
 
+def truncate_tokens(text: Column, most: int = 8000) -> Column:
+    """A text of more than ``most`` tokens cut after that many, by the token array."""
+    tokens = F.regexp_extract_all(text, F.lit(f"(?:{TOKEN})[ \\t\\n\\r]*"), F.lit(0))
+    return F.when(F.size(tokens) <= most, text).otherwise(F.regexp_replace(F.array_join(F.slice(tokens, 1, most), ""), "[ \\t\\n\\r]+$", ""))
+
+
+def path_ids(path: Column) -> list[Column]:
+    """``drive_id`` and ``item_id`` of a file that has none: slices of its path's digest,
+    the same whenever it is read."""
+    digest = F.md5(path)
+    return [F.concat(F.lit("local-drive-"), F.substring(digest, 1, 12)).alias("drive_id"), F.concat(F.lit("local-item-"), F.substring(digest, 13, 12)).alias("item_id")]
+
+
+def notification_drive(resource: Column) -> Column:
+    """Drive of a notification's resource ``drives/ID/...``; null for others."""
+    parts = F.split(resource, "/")
+    return F.when((F.get(parts, F.lit(0)) == "drives") & (F.size(parts) >= 2), F.get(parts, F.lit(1)))
+
+
+def notification_verified(state: Column, secret: str | None) -> Column:
+    """Whether the third part of ``site:drive:secret`` is the secret; all are where none is set."""
+    if not secret:
+        return F.lit(True)
+    return F.coalesce(F.get(F.split(state, ":"), F.lit(2)) == secret, F.lit(False))
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "[ \\t\\n\\r]+"), lambda w: w != ""))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import file_extension
+from docloom.functions.text import department_from_path, file_extension, notification_drive, notification_verified
 
 SUPPORTED = ["pptx", "docx", "pdf", "xlsx"]
 KEY = ["drive_id", "item_id"]
@@ -135,8 +135,46 @@ def reconcile_totals(stored: DataFrame, listing: DataFrame) -> DataFrame:
 
 def unchanged_gate(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Incoming rows whose content differs from the last completed version."""
-    done = stored.where("status = 'completed'").select(*KEY, F.col("content_hash").alias("_old"))
-    return incoming.join(done, KEY, "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("content_hash"))).drop("_old")
+    key = key_of(incoming, stored)
+    done = stored.where("status = 'completed'").select(*key, F.col("content_hash").alias("_old"))
+    return incoming.join(done, key, "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("content_hash"))).drop("_old")
+
+
+def notifications(rows: DataFrame, secret: str | None = None) -> DataFrame:
+    """(drive_id, site_id, ...) of verified notifications (resource, client_state, ...) of
+    drives; their other columns are kept."""
+    known = rows.withColumns({"drive_id": notification_drive(F.col("resource")), "site_id": F.get(F.split("client_state", ":"), F.lit(0))})
+    return known.where(F.col("drive_id").isNotNull() & notification_verified(F.col("client_state"), secret))
+
+
+#: Columns of a document's metadata by where they come from.
+FROM_FEED = ["created_by", "created_at", "modified_at", "modified_by", "url", "site_name", "library_name"]
+FROM_FILE = ["page_count", "word_count", "title"]
+DERIVED = ["content_type", "topics", "language"]
+
+
+def merge_metadata(documents: DataFrame, feed: DataFrame | None = None, files: DataFrame | None = None, derived: DataFrame | None = None, key: list[str] = KEY) -> DataFrame:
+    """Metadata of documents (key, text length ``n_chars``): who, when and where from the
+    feed, counts and title from the file, and content type, topics and language from what
+    was derived of the text, which counts only for texts of more than 100 characters.  The
+    department is that of the feed's path, else the derived one; the language else "en"."""
+    out = documents
+    for name, table, columns in (("feed", feed, [*FROM_FEED, "parent_path"]), ("file", files, FROM_FILE), ("derived", derived, [*DERIVED, "department"])):
+        if table is not None:
+            have = [c for c in columns if c in table.columns]
+            own = table.select(*key, F.struct(*have).alias(f"_{name}"))
+            out = out.join(own, key, "left")
+        else:
+            out = out.withColumn(f"_{name}", F.lit(None))
+    said = F.col("n_chars") > 100
+    field = lambda name, table, c: F.col(f"_{name}.{c}") if table is not None and c in table.columns else F.lit(None)
+    columns = [field("feed", feed, c).alias(c) for c in FROM_FEED]
+    columns += [F.coalesce(field("file", files, c), F.lit(0)).alias(c) if c != "title" else field("file", files, c).alias(c) for c in FROM_FILE]
+    columns += [F.when(said, field("derived", derived, c)).alias(c) for c in DERIVED[:-1]]
+    columns.append(F.coalesce(F.when(said, field("derived", derived, "language")), F.lit("en")).alias("language"))
+    path = department_from_path(field("feed", feed, "parent_path").cast("string"))
+    columns.append(F.coalesce(path, F.when(said, field("derived", derived, "department"))).alias("department"))
+    return out.select(*key, *columns)
 
 
 def retry_selection(stored: DataFrame, most: int = 3) -> DataFrame:

@@ -213,11 +213,22 @@ def chunk_parsed(docs: DataFrame, most: int = MOST, overlap: int = OVERLAP, insi
     return body.withColumn("token_count", token_count(F.col("content_with_context")).cast("long")).unionByName(head.withColumn("token_count", token_count(F.col("content")).cast("long")))
 
 
+def _table_line() -> Column:
+    t = F.trim("line")
+    return t.startswith("|") & t.endswith("|") & (F.length(t) > 1)
+
+
+def without_tables(lines: DataFrame) -> DataFrame:
+    """(document_id, content): what is left of each document without ``table_runs``."""
+    left = F.when(~_table_line(), F.struct("line_no", "line"))
+    out = lines.groupBy("document_id").agg(F.array_sort(F.collect_list(left)).alias("_l"))
+    return out.select("document_id", F.concat_ws("\n", F.transform("_l", lambda x: F.coalesce(x["line"], F.lit("")))).alias("content"))
+
+
 def table_runs(lines: DataFrame) -> DataFrame:
     """Runs of consecutive lines that start and end with a pipe, as chunks."""
     order = Window.partitionBy("document_id").orderBy("line_no")
-    t = F.trim("line")
-    rows = lines.where(t.startswith("|") & t.endswith("|") & (F.length(t) > 1))
+    rows = lines.where(_table_line())
     rows = rows.withColumn("_run", F.col("line_no") - F.row_number().over(order))
     out = rows.groupBy("document_id", "_run").agg(F.min("line_no").alias("first_line"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
     return out.select("document_id", "first_line", F.concat_ws("\n", F.transform("_l", lambda x: x["line"])).alias("content"))

@@ -7,11 +7,13 @@ unless a caller says ``enforce_acl=False``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from docloom.functions.text import edge_weight
 from docloom.operators.search import visible
+from docloom.sources.scratch import kept, scratch_path
 
 #: Documents of one item that one task pairs with as many others.
 CHUNK = 2000
@@ -63,15 +65,19 @@ def chunk_vertices(chunks: DataFrame, most: int = 200) -> DataFrame:
 
 
 def entity_vertices(mentions: DataFrame) -> DataFrame:
-    """One vertex per (lower name, type): the first name seen, all others as aliases, and
-    when it was first seen."""
+    """One vertex per (lower name, type): name, aliases and time of the mention that has
+    created it; later ones add no alias.  ``mentions`` without aliases give none."""
     key = F.lower(F.trim("name")).alias("key")
-    out = mentions.groupBy(key, "type").agg(F.min(F.struct("first_at", "name")).alias("f"), F.collect_set("name").alias("names"))
-    return out.select("key", "type", F.col("f.name").alias("name"), F.col("f.first_at").alias("first_at"), F.array_sort(F.array_except("names", F.array("f.name"))).alias("aliases"))
+    aliases = F.col("aliases") if "aliases" in mentions.columns else F.array().cast("array<string>")
+    out = mentions.select(key, "type", F.struct("first_at", "name", aliases.alias("aliases")).alias("f")).groupBy("key", "type").agg(F.min("f").alias("f"))
+    return out.select("key", "type", F.col("f.name").alias("name"), F.col("f.first_at").alias("first_at"), F.array_sort(F.coalesce("f.aliases", F.array().cast("array<string>"))).alias("aliases"))
 
 
 def mentioned_edges(mentions: DataFrame) -> DataFrame:
-    return mentions.groupBy("name", "type", "document_id").agg(F.sum("n").alias("count"))
+    """MENTIONED_IN: entity to document, with how often and, where ``mentions`` has
+    headings, in which sections."""
+    sections = [F.array_sort(F.collect_set("heading")).alias("sections")] if "heading" in mentions.columns else []
+    return mentions.groupBy("name", "type", "document_id").agg(F.sum("n").alias("count"), *sections)
 
 
 def mentions_in_chunks(mentions: DataFrame) -> DataFrame:
@@ -87,8 +93,10 @@ def topic_edges(topics: DataFrame, relevance: float = 0.7) -> DataFrame:
 
 
 def topic_vertices(topics: DataFrame) -> DataFrame:
-    """One vertex per topic; its language is that of the last document."""
-    return topics.groupBy("topic").agg(F.max_by("lang", "document_id").alias("lang"))
+    """One vertex per topic; its department, null or not, is that of the document written
+    last (``document_id`` where there is no ``written_at``)."""
+    order = "written_at" if "written_at" in topics.columns else "document_id"
+    return topics.groupBy("topic").agg(F.max_by("department", order).alias("department"))
 
 
 def _distinct_items(pairs: DataFrame, item: str) -> DataFrame:
@@ -234,16 +242,34 @@ def expand(seeds: DataFrame, edges: DataFrame, access: DataFrame | None = None,
 
 def expand_hops(seeds: DataFrame, edges: DataFrame, access: DataFrame | None = None, hops: int = 2, enforce_acl: bool = True) -> DataFrame:
     """(query_id, document_id, hop): documents within ``hops`` steps of the seeds
-    (query_id, user_id, document_id); hidden documents are no steps."""
-    e = both_ways(edges).select("src", "dst").distinct()
-    seen = seeds.select("query_id", "user_id", "document_id", F.lit(0).alias("hop")).distinct()
-    front = seen
+    (query_id, user_id, document_id); documents that a query's user may not see are no steps.
+
+    Breadth first: a hop joins the last frontier with the edges and leaves out what was
+    reached before.  Edges and every frontier are written, so each hop's plan is the same
+    size, and a hop without new documents is the last."""
+    spark = seeds.sparkSession
+    e = kept(both_ways(edges).select("src", "dst").distinct(), "links")
+    base = scratch_path(spark, "hops")
+    hop = lambda h: f"{base}/hop={h}"
+    rows = seeds.select("query_id", "user_id", "document_id").where("document_id is not null").distinct()
+    rows.write.parquet(hop(0))
     for h in range(1, hops + 1):
-        step = front.join(e, front["document_id"] == e["src"]).select("query_id", "user_id", F.col("dst").alias("document_id")).distinct()
-        step = visible(step, access, enforce_acl)
-        front = step.join(seen, ["query_id", "document_id"], "left_anti").withColumn("hop", F.lit(h)).select(*seen.columns)
-        seen = seen.unionByName(front)
-    return seen.where("hop > 0").drop("user_id")
+        front = spark.read.schema(rows.schema).parquet(hop(h - 1))
+        seen = spark.read.schema(rows.schema).parquet(*[hop(k) for k in range(h)])
+        found = Observation()
+        hop_step(front, seen, e, access, enforce_acl).observe(found, F.count("*").alias("n")).write.parquet(hop(h))
+        if not found.get["n"]:
+            break
+    out = spark.read.schema(StructType([*rows.schema.fields, StructField("hop", IntegerType())])).parquet(base)
+    return out.where("hop > 0").select("query_id", "document_id", "hop")
+
+
+def hop_step(front: DataFrame, seen: DataFrame, links: DataFrame, access: DataFrame | None, enforce_acl: bool = True) -> DataFrame:
+    """(query_id, user_id, document_id) one step from ``front`` that are not in ``seen``."""
+    step = front.join(links, front["document_id"] == links["src"]).select("query_id", "user_id", F.col("dst").alias("document_id")).distinct()
+    old = seen.select(F.col("query_id").alias("_q"), F.col("user_id").alias("_u"), F.col("document_id").alias("_d"))
+    same = F.col("query_id").eqNullSafe(F.col("_q")) & F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("document_id") == F.col("_d"))
+    return visible(step, access, enforce_acl).join(old, same, "left_anti").select("query_id", "user_id", "document_id")
 
 
 def delete_from_graph(edges: DataFrame, gone: DataFrame) -> DataFrame:

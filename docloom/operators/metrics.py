@@ -27,9 +27,27 @@ def latency_quantiles(events: DataFrame, width: str = "5 minutes") -> DataFrame:
     return events.groupBy(F.window("seen_at", width).alias("w")).agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99")).select(F.col("w.start").alias("start"), "p50", "p95", "p99")
 
 
-def latency_sketch(events: DataFrame, width: str = "5 minutes") -> DataFrame:
-    """Mergeable quantile sketches by window, for tables too large for exact ones."""
-    return events.groupBy(F.window("seen_at", width).alias("w")).agg(F.kll_sketch_agg_double("latency").alias("sketch")).select(F.col("w.start").alias("start"), "sketch")
+#: Size of the quantile sketches, and by how much the rank of one of their quantiles may be
+#: off, with 99 % confidence, as the sketch's authors give it for this size.
+SKETCH, RANK_ERROR = 400, 0.0068
+
+
+def latency_sketch(events: DataFrame, width: str = "5 minutes", size: int = SKETCH) -> DataFrame:
+    """(start, sketch, n): mergeable quantile sketches by window, for tables too large for
+    exact ones; a window is a few kilobytes whatever its number of events."""
+    return events.groupBy(F.window("seen_at", width).alias("w")).agg(F.kll_sketch_agg_double("latency", size).alias("sketch"), F.count("latency").alias("n")).select(F.col("w.start").alias("start"), "sketch", "n")
+
+
+def rolled_up(sketches: DataFrame, width: str) -> DataFrame:
+    """Sketches of longer windows from those of shorter ones, without their events."""
+    out = sketches.groupBy(F.window("start", width).alias("w")).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+    return out.select(F.col("w.start").alias("start"), "sketch", "n")
+
+
+def sketched_quantiles(sketches: DataFrame, at: dict[str, float]) -> DataFrame:
+    """(start, n, one column a quantile), e.g. {"p95": 0.95}; null where there is no event."""
+    quantile = lambda q: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+    return sketches.select("start", "n", *[quantile(q).alias(name) for name, q in at.items()])
 
 
 def sliding_rates(events: DataFrame, width: str = "5 minutes", step: str = "1 minute") -> DataFrame:
@@ -45,6 +63,31 @@ def held_alerts(points: DataFrame, key: str, order: str, test: Column, least: in
     return out.where(F.col("n") >= least).drop("_island")
 
 
+def held_for(points: DataFrame, key: str, at: str, test: Column, span: str, gap: str) -> DataFrame:
+    """Alerts that hold for a span of time: (key, first, last, fired_at, n).
+
+    An island is passing points with no failing point between them and no two further
+    apart than ``gap`` (without points a condition is not known to hold).  It fires at its
+    first point that is at least ``span`` after its first, however many there are."""
+    order = Window.partitionBy(key).orderBy(at, F.when(test, 1).otherwise(0))
+    passed = F.coalesce(test, F.lit(False))
+    before, before_at = F.lag(passed).over(order), F.lag(at).over(order)
+    starts = passed & ~(F.coalesce(before, F.lit(False)) & (F.col(at) <= before_at + F.expr(f"interval {gap}")))
+    rows = points.withColumns({"_ok": passed, "_new": starts}).withColumn("_island", F.sum(F.col("_new").cast("int")).over(order)).where("_ok")
+    rows = rows.withColumn("_from", F.min(at).over(Window.partitionBy(key, "_island")))
+    late = F.col(at) >= F.col("_from") + F.expr(f"interval {span}")
+    out = rows.groupBy(key, "_island").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.min(F.when(late, F.col(at))).alias("fired_at"), F.count("*").alias("n"))
+    return out.where("fired_at is not null").drop("_island")
+
+
+def held_sessions(points: DataFrame, key: str, at: str, test: Column, span: str, gap: str) -> DataFrame:
+    """The same for a stream of evenly spaced points, as session windows: (key, first,
+    last, n).  A failing point leaves a hole, so ``gap`` is under two intervals; an island
+    comes out once the watermark has passed its end."""
+    out = points.where(test).groupBy(F.session_window(at, gap).alias("w"), key).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+    return out.where(F.col("last") >= F.col("first") + F.expr(f"interval {span}")).select(key, "first", "last", "n")
+
+
 def share_of_total(rows: DataFrame, value: str, partition: list[str]) -> DataFrame:
     """Each row's share, and the total, of its partition."""
     total = F.sum(value).over(Window.partitionBy(*partition))

@@ -333,6 +333,11 @@ def citations(context: DataFrame) -> DataFrame:
     return out.withColumn("citation", F.row_number().over(order))
 
 
+def citation_columns(cited: DataFrame) -> DataFrame:
+    """Citations as records of what a reader is shown of them."""
+    return cited.select("query_id", "citation", "document_id", F.col("title").alias("document_title"), "url", "department", "chunk_id", "page_numbers", F.col("heading").alias("section_heading"), "score")
+
+
 def citation_events(cited: DataFrame) -> DataFrame:
     """Citations once per title; a missing title is 'Unknown'."""
     named = cited.withColumn("title", F.coalesce("title", F.lit("Unknown")))
@@ -388,15 +393,36 @@ def exclude_retrieved(related: DataFrame, retrieved: DataFrame) -> DataFrame:
     return fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def related_scores(related: DataFrame, access_levels: list[str] | None = None) -> DataFrame:
-    """``related`` (query_id, document_id, types, weight, count) with ``relevance``: the
-    relation's weight, or by relation where it has none, and a little for each further
-    shared thing, 1 at most; with ``access_levels`` other levels go."""
-    rows = related
+# Relevance of a related document by its first relation, if it has no weight.
+RELATION_WEIGHTS = {
+    "SUPERSEDES": 0.95,
+    "CITES": 0.90,
+    "SHARES_ENTITY": 0.70,
+    "RELATED_TO": 0.60,
+    "SHARES_TOPIC": 0.50,
+}
+OTHER_RELATION, NO_RELATION = 0.5, "RELATED_TO"
+
+
+def related_scores(related: DataFrame, sources: DataFrame | None = None, access_levels: list[str] | None = None) -> DataFrame:
+    """``related`` (query_id, document_id, types, weight, position) with ``relevance`` and
+    ``rank``: the weight, else that of the first of its types (none: as RELATED_TO).
+
+    Of repeated documents the first by position counts; those of ``sources`` (query_id,
+    document_id), and with ``access_levels`` those of other levels, go."""
+    rows = related.where("document_id is not null")
     if access_levels is not None:
         rows = rows.where(F.col("access_level").isNull() | F.col("access_level").isin(access_levels))
-    own = F.coalesce("weight", F.array_max(F.transform("types", lambda t: F.when(t == "SUPERSEDES", 0.95).when(t == "CITES", 0.9).otherwise(0.5))), F.lit(0.3))
-    return rows.withColumn("relevance", F.round(F.least(F.lit(1.0), own + 0.02 * F.greatest(F.lit(0), F.coalesce("count", F.lit(1)) - 1)), 6))
+    if sources is not None:
+        rows = rows.join(sources.select("query_id", "document_id").distinct(), ["query_id", "document_id"], "left_anti")
+    first = Window.partitionBy("query_id", "document_id").orderBy("position")
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    kind = F.coalesce(F.get("types", F.lit(0)), F.lit(NO_RELATION))
+    fallback = F.lit(OTHER_RELATION)
+    for name, weight in RELATION_WEIGHTS.items():
+        fallback = F.when(kind == name, weight).otherwise(fallback)
+    rows = rows.withColumn("relevance", F.round(F.coalesce("weight", fallback), 6))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "position")))
 
 
 def retrieval_metrics(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:

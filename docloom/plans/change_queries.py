@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import entity_name, file_extension, last_folder
 from docloom.operators import access, changes, checks, conversations, metrics
 from docloom.plans.registry import query
+from docloom.sources import files
 
 LAST = "lastf as (select * from (select *, row_number() over (partition by drive_id, item_id order by modified_at desc, position desc) as rn from {feed}) where rn = 1)"
 EXT = "case when contains(f.name, '.') then lower(split_part(f.name, '.', -1)) else '' end"
@@ -204,10 +205,10 @@ def feed_names(t):
 @query(
     "grant_rows",
     """select event_id as document_id, 'user' as principal_type, cast(user_id as varchar) as principal_id, case when event_type = 'view' then 'write' else 'read' end as role from {events}
-      union all select event_id, 'group', cast(user_id % 20 as varchar), case when event_type = 'view' then 'write' else 'read' end from {events} where event_id % 3 = 0""",
+      union all select event_id, 'group', cast(user_id as varchar), case when event_type = 'view' then 'write' else 'read' end from {events} where event_id % 3 = 0""",
 )
 def grant_rows(t):
-    who = F.struct(F.col("user_id").cast("string").alias("user"), F.when(F.col("event_id") % 3 == 0, (F.col("user_id") % 20).cast("string")).alias("group"), F.lit(None).cast("string").alias("siteUser"))
+    who = F.struct(F.col("user_id").cast("string").alias("user"), F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).alias("group"), F.lit(None).cast("string").alias("siteUser"))
     none = F.when(F.lit(False), who)
     v2 = F.when(F.col("event_id") % 2 == 0, who).otherwise(none)
     grant = F.struct(F.when(F.col("event_type") == "view", F.array(F.lit("write"))).otherwise(F.array().cast("array<string>")).alias("roles"), v2.alias("grantedToV2"), who.alias("grantedTo"))
@@ -222,13 +223,13 @@ def group_closure(t):
 @query(
     "access_pairs",
     """with recursive c as (select parent as ancestor, child as member from {group_edges} union select c.ancestor, e.child from c join {group_edges} e on e.parent = c.member),
-      g as (select distinct event_id % 50 as document_id, user_id, user_id % 20 as group_id from {events})
-      select document_id, user_id from g union select document_id, member from g join c on c.ancestor = g.group_id where member >= 20""",
+      g as (select distinct cast(floor(event_id / 200) as bigint) as document_id, user_id from {events})
+      select document_id, user_id from g union select document_id, member from g join c on c.ancestor = g.user_id""",
 )
 def access_pairs(t):
-    e = t("events").select((F.col("event_id") % 50).alias("document_id"), "user_id")
-    grants = e.select("document_id", F.lit("user").alias("principal_type"), F.col("user_id").alias("principal_id")).unionByName(e.select("document_id", F.lit("group").alias("principal_type"), (F.col("user_id") % 20).alias("principal_id")))
-    return access.access_pairs(grants, access.expand_groups(t("group_edges")).where("member >= 20"))
+    e = t("events").select(F.expr("event_id div 200").alias("document_id"), "user_id")
+    grants = e.select("document_id", F.lit("user").alias("principal_type"), F.col("user_id").alias("principal_id")).unionByName(e.select("document_id", F.lit("group").alias("principal_type"), F.col("user_id").alias("principal_id")))
+    return access.access_pairs(grants, access.expand_groups(t("group_edges")))
 
 
 @query("rebuilt_access", "select user_id, document_id from {access} where document_id % 3 <> 0 union all select distinct user_id % 10, document_id from {access} where document_id % 3 = 0")
@@ -323,6 +324,51 @@ def held_alerts(t):
     return metrics.held_alerts(t("metrics"), "department", "event_id", F.col("latency") > 20, 3)
 
 
+@query(
+    "alerts_by_span",
+    """with p as (select department, seen_at as seen, coalesce(latency > 20, false) as ok from {metrics}),
+      g as (select *, lag(ok) over w as ok0, lag(seen) over w as seen0 from p window w as (partition by department order by seen, ok)),
+      i as (select *, sum(case when ok and not (coalesce(ok0, false) and seen <= seen0 + interval '90 minutes') then 1 else 0 end) over (partition by department order by seen, ok rows unbounded preceding) as island from g),
+      s as (select *, min(seen) over (partition by department, island) as first from i where ok)
+      select department, first, max(seen) as last, min(case when seen >= first + interval '2 hours' then seen end) as fired_at, count(*) as n from s group by department, island, first having max(seen) >= first + interval '2 hours'""",
+)
+def alerts_by_span(t):
+    """Alerts held for two hours, however many points that is: points are uneven."""
+    out = metrics.held_for(t("metrics"), "department", "seen_at", F.col("latency") > 20, "2 hours", "90 minutes")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last", "fired_at")})
+
+
+@query(
+    "rolled_up_quantiles",
+    """with w as (select 'hour' as width, time_bucket(interval '1 hour', seen_at) as start, latency from {metrics} union all select 'day', time_bucket(interval '1 day', seen_at), latency from {metrics})
+      select width, start, count(latency) as n, true as within from w group by 1, 2""",
+)
+def rolled_up_quantiles(t):
+    """Quantiles of hours and days from five-minute sketches alone: whether the rank of each,
+    counted over all events, is within the sketch's stated error."""
+    rows, asked = t("metrics"), {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    hours = metrics.rolled_up(metrics.latency_sketch(rows), "1 hour")
+    out = None
+    for width, sketches in (("hour", hours), ("day", metrics.rolled_up(hours, "1 day"))):
+        q = metrics.sketched_quantiles(sketches, asked)
+        seen = rows.where("latency is not null").select(F.window("seen_at", f"1 {width}")["start"].alias("s"), "latency")
+        # shares of events below and not above each quantile; its true rank is between them
+        share = lambda test: F.avg(test.cast("int"))
+        ranks = seen.join(q, F.col("s") == F.col("start")).groupBy("start", "n").agg(*[f(F.col("latency"), F.col(c)).alias(f"{c}_{k}") for c in asked for k, f in (("low", lambda x, y: share(x < y)), ("high", lambda x, y: share(x <= y)))])
+        ok = F.lit(True)
+        for c, p in asked.items():
+            ok &= (F.col(f"{c}_low") <= p + metrics.RANK_ERROR) & (F.col(f"{c}_high") >= p - metrics.RANK_ERROR)
+        part = ranks.select(F.lit(width).alias("width"), F.col("start").cast("timestamp_ntz").alias("start"), "n", ok.alias("within"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("enumerated_items", "select distinct drive_id, item_id from {feed} where not is_folder and not is_deleted and regexp_matches(lower(name), '[.](pptx|docx|pdf|xlsx|xlsb)$')")
+def enumerated_items(t):
+    """All supported files of every drive."""
+    return files.drive_items(t("feed"))
+
+
 SERIES = "ser as (select year(o_orderdate) as y, o_orderpriority as label, round(sum(o_totalprice), 2) as v from {orders} group by 1, 2)"
 
 

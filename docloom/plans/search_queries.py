@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions.hooks import hashed_vector, lexical_overlap
@@ -13,13 +14,13 @@ from docloom.sources.scratch import scratch_path
 PROBES = 8
 
 COSINE = "round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 6)"
-ACL_PAIRS = f"""pairs as (select q.query_id, c.chunk_id, c.document_id, c.title, c.department, {COSINE} as score
+ACL_PAIRS = f"""pairs as (select q.query_id, c.chunk_id, c.document_id, c.title, c.department, c.url, c.heading, c.page_numbers, {COSINE} as score
   from {{queries}} q join {{access}} a on a.user_id = q.user_id join {{chunks}} c on c.document_id = a.document_id)"""
 ALL_PAIRS = f"""pairs as (select q.query_id, c.chunk_id, c.document_id, c.title, c.department, c.kb, {COSINE} as score from {{queries}} q, {{chunks}} c)"""
 RANKED = "ranked as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from pairs)"
 DIVERSE = """turns as (select *, row_number() over (partition by query_id, document_id order by rank) as turn from ranked where rank <= 40),
   final as (select *, row_number() over (partition by query_id order by turn > 3, rank) as final_rank from turns)"""
-CITED = """cited as (select query_id, chunk_id, document_id, score, final_rank, row_number() over (partition by query_id, document_id order by final_rank) as n from final where final_rank <= 10)"""
+CITED = """cited as (select query_id, chunk_id, document_id, title, url, department, page_numbers, heading, score, final_rank, row_number() over (partition by query_id, document_id order by final_rank) as n from final where final_rank <= 10)"""
 
 
 def _long(df, *cols):
@@ -33,14 +34,14 @@ def _ranked(t, k=40):
 def flagship(t):
     """Access-checked ranking, diversified, cited: the whole retrieval of a question."""
     final = search.diversify(_ranked(t), 10, 3)
-    context = final.select("query_id", "chunk_id", "document_id", "score", F.col("final_rank").alias("rank"), F.lit(0).alias("part"))
-    return _long(search.citations(context).select("query_id", "citation", "chunk_id", "document_id", "score"), "citation")
+    context = final.drop("rank", "embedding").withColumnRenamed("final_rank", "rank").withColumn("part", F.lit(0))
+    return _long(search.citation_columns(search.citations(context)), "citation")
 
 
 query(
     "retrieve_citations",
     f"""with {ACL_PAIRS}, {RANKED}, {DIVERSE}, {CITED}
-    select query_id, row_number() over (partition by query_id order by final_rank) as citation, chunk_id, document_id, score from cited where n = 1""",
+    select query_id, row_number() over (partition by query_id order by final_rank) as citation, document_id, title as document_title, url, department, chunk_id, page_numbers, heading as section_heading, score from cited where n = 1""",
 )(flagship)
 
 
@@ -210,9 +211,10 @@ def department_context(t):
     return _long(out.select("query_id", "chunk_id", "department", "rank"), "rank")
 
 
-@query("export_records", f"with {ACL_PAIRS}, {RANKED} select query_id, rank, chunk_id, substr(title, 1, 800) as content, round(score, 3) as score from ranked where rank <= 10")
+@query("export_records", f"with {ACL_PAIRS}, {RANKED} select query_id, rank, chunk_id, substr(repeat(title || ' ', 60 + chunk_id % 60), 1, 800) as content, round(score, 3) as score from ranked where rank <= 10")
 def export_records(t):
-    return _long(search.export_records(_ranked(t, 10), "title"), "rank")
+    rows = _ranked(t, 10).withColumn("content", F.expr("repeat(title || ' ', cast(60 + chunk_id % 60 as int))"))
+    return _long(search.export_records(rows), "rank")
 
 
 @query(
@@ -237,8 +239,8 @@ def sufficiency(t):
 @query(
     "related_documents",
     f"""with {ACL_PAIRS}, {RANKED}, seeds as (select distinct query_id, document_id from ranked where rank <= 10),
-      e0 as (select src, dst, type, strength from {{edges}} where dst is not null and src <> dst), e as (select * from e0 union all select dst, src, type, strength from e0),
-      w as (select *, round(case type when 'SUPERSEDES' then 0.95 when 'CITES' then 0.9 when 'RELATED_TO' then coalesce(strength, 0.5) else 0.3 end, 6) as weight from e),
+      e0 as (select src, dst, type, strength, count from {{edges}} where dst is not null and src <> dst), e as (select * from e0 union all select dst, src, type, strength, count from e0),
+      w as (select *, round(case type when 'SUPERSEDES' then 0.95 when 'CITES' then 0.9 when 'SHARES_ENTITY' then 0.5 + coalesce(count, 0) * 0.05 when 'RELATED_TO' then coalesce(strength, 0.5) else 0.3 end, 6) as weight from e),
       near as (select s.query_id, s.document_id as src, w.dst, w.type, w.weight, row_number() over (partition by s.query_id, s.document_id order by w.weight desc, w.dst, w.type) as n from seeds s join w on w.src = s.document_id
         join {{queries}} q on q.query_id = s.query_id join {{access}} a on a.user_id = q.user_id and a.document_id = w.dst where coalesce(w.dst % 9, 1) <> 4),
       rolled as (select query_id, dst as document_id, array_to_string(list_sort(list(distinct type)), ',') as types, max(weight) as weight from near where n <= 20 group by query_id, dst),
@@ -247,8 +249,8 @@ def sufficiency(t):
 )
 def related_documents(t):
     """Expansion of each query's seed documents over the relations."""
-    edges = t("edges").withColumn("count", F.lit(None).cast("long"))
-    levels = t("edges").select(F.col("dst").alias("document_id"), F.when(F.col("dst") % 9 == 4, "secret").alias("access_level")).distinct()
+    edges = t("edges")
+    levels = t("documents").select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 9 == 4, "secret").alias("access_level"))
     seeds = search.seeds(_ranked(t)).join(t("queries").select("query_id", "user_id"), "query_id")
     out = graph.expand(seeds, edges, t("access"), levels=levels, access_levels=["public"])
     return _long(out.withColumn("types", F.concat_ws(",", "types")), "rank")
@@ -256,7 +258,7 @@ def related_documents(t):
 
 @query(
     "related_chunks",
-    f"""with {ACL_PAIRS}, {RANKED}, top as (select * from ranked where rank <= 10), rel as (select distinct query_id, (document_id * 3 + 1) % 50 as document_id from top),
+    f"""with {ACL_PAIRS}, {RANKED}, top as (select * from ranked where rank <= 10), rel as (select distinct query_id, document_id + 3 as document_id from top),
       fresh as (select r.* from rel r where not exists (select 1 from top t where t.query_id = r.query_id and t.document_id = r.document_id)),
       x as (select p.*, row_number() over (partition by p.query_id, p.document_id order by p.score desc, p.chunk_id) as n from pairs p join fresh f on f.query_id = p.query_id and f.document_id = p.document_id)
       select query_id, chunk_id, document_id, score, rank, cast(0 as bigint) as part from top union all select query_id, chunk_id, document_id, score, n, 1 from x where n <= 6""",
@@ -265,7 +267,7 @@ def related_chunks(t):
     """Final chunks, then the best chunks of related documents not yet retrieved."""
     pairs = search.scored(t("queries"), t("chunks"), t("access"))
     top = search.top_k(pairs, 10)
-    related = top.select("query_id", ((F.col("document_id") * 3 + 1) % 50).alias("document_id")).distinct()
+    related = top.select("query_id", (F.col("document_id") + 3).alias("document_id")).distinct()
     fresh = search.exclude_retrieved(related, top)
     more = search.top_per_document(pairs.join(fresh, ["query_id", "document_id"], "left_semi"), 6).withColumnRenamed("doc_rank", "rank")
     return _long(search.assemble(top, more), "rank", "part")
@@ -339,13 +341,13 @@ def structure_edges(t):
     return graph.contains_edges(t("chunks")).withColumn("dst", F.col("dst").cast("string")).unionByName(graph.belongs_edges(t("chunks")))
 
 
-SAID = "case event_type when 'purchase' then 'Entity ' || user_id % 30 when 'view' then 'ENTITY ' || user_id % 30 else 'entity ' || user_id % 30 end"
-SAYS = f"says as (select {SAID} as name, case when user_id % 2 = 0 then 'ORG' else 'PERSON' end as type, event_id % 50 as document_id, event_id % 500 as chunk_id, 'part ' || event_id % 3 as heading, cast(1 as bigint) as n, event_id as first_at from {{events}})"
+SAID = "case event_type when 'purchase' then 'Entity ' when 'view' then 'ENTITY ' else 'entity ' end || cast(floor(user_id / 5) as bigint)"
+SAYS = f"says as (select {SAID} as name, 'aka ' || event_type as alias, case when user_id % 2 = 0 then 'ORG' else 'PERSON' end as type, cast(floor(event_id / 200) as bigint) as document_id, cast(floor(event_id / 20) as bigint) as chunk_id, 'part ' || event_id % 3 as heading, cast(1 as bigint) as n, event_id as first_at from {{events}})"
 
 
 def _says(t):
     """Mentions in three spellings, with their chunk and section."""
-    return t("events").select(F.expr(SAID).alias("name"), F.when(F.col("user_id") % 2 == 0, "ORG").otherwise("PERSON").alias("type"), (F.col("event_id") % 50).alias("document_id"), (F.col("event_id") % 500).alias("chunk_id"), F.concat(F.lit("part "), (F.col("event_id") % 3).cast("string")).alias("heading"), F.lit(1).cast("long").alias("n"), F.col("event_id").alias("first_at"))
+    return t("events").select(F.expr(SAID).alias("name"), F.when(F.col("user_id") % 2 == 0, "ORG").otherwise("PERSON").alias("type"), F.expr("event_id div 200").alias("document_id"), F.expr("event_id div 20").alias("chunk_id"), F.array(F.concat(F.lit("aka "), "event_type")).alias("aliases"), F.concat(F.lit("part "), (F.col("event_id") % 3).cast("string")).alias("heading"), F.lit(1).cast("long").alias("n"), F.col("event_id").alias("first_at"))
 
 
 def _joined(df, *columns):
@@ -363,8 +365,7 @@ def merged_entities(t):
 
 @query(
     "entity_vertices",
-    f"""with {SAYS}, m as (select lower(trim(name)) as key, type, arg_min(name, first_at) as name, min(first_at) as first_at, list_sort(list(distinct name)) as names from says group by 1, 2)
-      select key, type, name, first_at, array_to_string(list_filter(names, lambda x: x <> name), ',') as aliases from m""",
+    f"with {SAYS} select lower(trim(name)) as key, type, arg_min(name, first_at) as name, min(first_at) as first_at, arg_min(alias, first_at) as aliases from says group by 1, 2",
 )
 def entity_vertices(t):
     return _joined(graph.entity_vertices(_says(t)), "aliases")
@@ -386,12 +387,12 @@ def chunk_vertices(t):
     return graph.chunk_vertices(t("chunks").withColumns({"heading": F.col("department"), "content": F.expr("repeat(title || ' ', 40)")}))
 
 
-@query("mentioned_edges", "select name, type, document_id, cast(sum(n) as bigint) as count from {mentions} group by all")
+@query("mentioned_edges", f"with {SAYS} select name, type, document_id, cast(sum(n) as bigint) as count, array_to_string(list_sort(list(distinct heading)), ',') as sections from says group by 1, 2, 3")
 def mentioned_edges(t):
-    return graph.mentioned_edges(t("mentions"))
+    return _joined(graph.mentioned_edges(_says(t)), "sections")
 
 
-@query("topic_graph", "select topic, arg_max(lang, document_id) as lang, count(*) as documents from {topics} group by topic")
+@query("topic_graph", "select topic, max_by(struct_pack(d := department), document_id).d as department, count(*) as documents from {topics} group by topic")
 def topic_graph(t):
     covered = graph.topic_edges(t("topics")).groupBy(F.col("dst").alias("topic")).agg(F.count("*").alias("documents"))
     return graph.topic_vertices(t("topics")).join(covered, "topic")
@@ -430,14 +431,15 @@ def entity_lookup(t):
 
 @query(
     "document_context",
-    """with d as (select distinct a.user_id, a.document_id from {access} a join (select distinct document_id from {chunks}) c on c.document_id = a.document_id where a.user_id % 10 = 3), e as (select document_id, array_to_string(list_sort(list(distinct name)), ',') as entities from {mentions} group by 1),
+    """with s as (select a.user_id, a.document_id from {access} a join (select distinct document_id from {chunks}) c on c.document_id = a.document_id where a.user_id % 10 = 3),
+      d as (select * from (select * from s union select user_id, document_id + 1 from s) x semi join {access} using (user_id, document_id)), e as (select document_id, array_to_string(list_sort(list(distinct name)), ',') as entities from {mentions} group by 1),
       t as (select document_id, array_to_string(list_sort(list(distinct topic)), ',') as topics from {topics} group by 1), c as (select src as document_id, array_to_string(list_sort(list(distinct dst)), ',') as cites from {edges} where type = 'CITES' group by 1)
       select user_id, document_id, entities, topics, cites from d left join e using (document_id) left join t using (document_id) left join c using (document_id)""",
 )
 def document_context(t):
-    """Every document for every tenth user, of which the hidden ones go."""
-    users = t("access").where("user_id % 10 = 3").select("user_id").distinct()
-    ids = t("chunks").select("document_id").distinct().crossJoin(F.broadcast(users))
+    """Every tenth user's documents, and as many more, of which the hidden ones go."""
+    seen = t("access").where("user_id % 10 = 3").select("user_id", "document_id").join(t("chunks").select("document_id").distinct(), "document_id")
+    ids = seen.unionByName(seen.withColumn("document_id", F.col("document_id") + 1))
     out = graph.document_context(ids, t("mentions"), t("topics"), t("edges"), t("access"))
     joined = lambda c: F.when(F.col(c).isNotNull(), F.array_join(F.transform(c, lambda x: x.cast("string")), ",")).alias(c)
     return out.select("user_id", "document_id", joined("entities"), joined("topics"), joined("cites"))
@@ -445,25 +447,37 @@ def document_context(t):
 
 @query(
     "two_hops",
-    """with s as (select query_id, user_id, query_id % 50 as document_id from {queries}), e0 as (select src, dst from {edges} where dst is not null and src <> dst), e as (select * from e0 union select dst, src from e0),
+    """with s as (select query_id, user_id, document_id from {queries} join {access} using (user_id) where document_id % 4 = 1), e0 as (select src, dst from {edges} where dst is not null and src <> dst), e as (select * from e0 union select dst, src from e0),
       h1 as (select distinct s.query_id, s.user_id, e.dst as document_id from s join e on e.src = s.document_id join {access} a on a.user_id = s.user_id and a.document_id = e.dst where (s.query_id, e.dst) not in (select query_id, document_id from s)),
       h2 as (select distinct h.query_id, e.dst as document_id from h1 h join e on e.src = h.document_id join {access} a on a.user_id = h.user_id and a.document_id = e.dst where (h.query_id, e.dst) not in (select query_id, document_id from s union select query_id, document_id from h1))
       select query_id, document_id, 1 as hop from h1 union all select query_id, document_id, 2 from h2""",
 )
 def two_hops(t):
-    seeds = t("queries").select("query_id", "user_id", (F.col("query_id") % 50).alias("document_id"))
-    return graph.expand_hops(seeds, t("edges").withColumn("count", F.lit(None).cast("long")), t("access"))
+    """Documents within two visible steps of a quarter of what each query's user may see."""
+    seeds = t("queries").join(t("access"), "user_id").where("document_id % 4 = 1").select("query_id", "user_id", "document_id")
+    return graph.expand_hops(seeds, t("edges"), t("access"))
 
 
 @query(
     "related_scores",
-    """with r as (select src as query_id, dst as document_id, array_agg(distinct type) as types, min(case when type = 'RELATED_TO' then null else 0.6 end) as weight, count(*) as n, case when dst % 4 = 0 then 'secret' end as access_level from {edges} where dst is not null group by src, dst)
-      select query_id, document_id, round(least(1.0, coalesce(weight, case when list_contains(types, 'SUPERSEDES') then 0.95 when list_contains(types, 'CITES') then 0.9 else 0.5 end) + 0.02 * (n - 1)), 6) as relevance from r where access_level is null""",
+    """with e as (select src as query_id, dst as document_id, type, case when type <> 'RELATED_TO' or dst % 3 = 0 then strength end as weight, case when dst % 4 = 0 then 'secret' end as access_level from {edges} where dst is not null
+        union all select doc_id, doc_id + 2, 'SHARES_TOPIC', null, null from {documents} union all select doc_id, doc_id + 5, 'MENTIONS', null, null from {documents} union all select doc_id, doc_id + 11, null, null, 'public' from {documents}),
+      o as (select *, row_number() over (partition by query_id order by coalesce(type, ''), document_id, weight) as position from e),
+      f as (select * from o where document_id <> query_id and (access_level is null or access_level = 'public') qualify row_number() over (partition by query_id, document_id order by position) = 1),
+      s as (select query_id, document_id, position, coalesce(weight, case type when 'SUPERSEDES' then 0.95 when 'CITES' then 0.9 when 'SHARES_ENTITY' then 0.7 when 'SHARES_TOPIC' then 0.5 when 'MENTIONS' then 0.5 else 0.6 end) as relevance from f)
+      select query_id, document_id, relevance, row_number() over (partition by query_id order by relevance desc, position) as rank from s""",
 )
 def related_scores(t):
-    rows = t("edges").where("dst is not null").groupBy(F.col("src").alias("query_id"), F.col("dst").alias("document_id"))
-    rows = rows.agg(F.array_sort(F.collect_set("type")).alias("types"), F.min(F.when(F.col("type") != "RELATED_TO", 0.6)).alias("weight"), F.count("*").alias("count")).withColumn("access_level", F.when(F.col("document_id") % 4 == 0, "secret"))
-    return search.related_scores(rows, ["public"]).select("query_id", "document_id", "relevance")
+    """Scores of related documents with and without a weight, of every kind of relation, of
+    an unknown kind and of none; repeats, the source itself and hidden ones go."""
+    weight = F.when((F.col("type") != "RELATED_TO") | (F.col("dst") % 3 == 0), F.col("strength"))
+    rows = t("edges").where("dst is not null").select(F.col("src").alias("query_id"), F.col("dst").alias("document_id"), "type", weight.alias("weight"), F.when(F.col("dst") % 4 == 0, "secret").alias("access_level"))
+    for far, kind, level in ((2, "SHARES_TOPIC", None), (5, "MENTIONS", None), (11, None, "public")):
+        rows = rows.unionByName(t("documents").select(F.col("doc_id").alias("query_id"), (F.col("doc_id") + far).alias("document_id"), F.lit(kind).cast("string").alias("type"), F.lit(None).cast("double").alias("weight"), F.lit(level).cast("string").alias("access_level")))
+    order = Window.partitionBy("query_id").orderBy(F.coalesce("type", F.lit("")), "document_id", F.asc_nulls_last("weight"))
+    rows = rows.withColumn("position", F.row_number().over(order)).withColumn("types", F.when(F.col("type").isNotNull(), F.array("type")))
+    own = t("documents").select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("document_id"))
+    return _long(search.related_scores(rows, own, ["public"]).select("query_id", "document_id", "relevance", "rank"), "rank")
 
 
 @query("graph_delete", "select src, dst, type from {edges} where dst is not null and src % 5 <> 0 and dst % 5 <> 0")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators import changes
+from docloom.operators import changes, metrics
 from docloom.plans.change_queries import CLASS, applied
 from docloom.plans.registry import query
 from docloom.sources import buckets
 from docloom.sources.scratch import scratch_path
-from docloom.streaming import feeds
+from docloom.streaming import feeds, retries
 
 #: Buckets of the tables kept here, which are small.
 BUCKETS = 8
@@ -139,3 +139,42 @@ def stream_queries(t):
     rows = _bursts(rows, F.col("conv_id")).withColumn("seen_at", F.when(F.col("text").isNull(), F.col("seen_at")).otherwise(F.date_trunc("hour", "seen_at")))
     out = feeds.dedup_queries(_stream(rows, "questions", F.col("k"), 6)).where("text is not null")
     return _drained(out.select("key", "burst"), "questions").groupBy("burst").agg(F.count("*").alias("questions"))
+
+
+@query(
+    "stream_retries",
+    """with e as (select cast(user_id as varchar) as document_id, event_id, event_type = 'error' as failed, timestamp '2024-01-01 00:00:00' + to_seconds(event_id * 300) as seen from {events} where event_type in ('error', 'purchase')),
+      s as (select *, sum(case when failed then 0 else 1 end) over (partition by document_id order by event_id rows unbounded preceding) as part from e),
+      f as (select *, (row_number() over (partition by document_id, part order by event_id) - 1) % 4 as k from s where failed)
+      select document_id, case when k = 3 then 'given_up' else 'retry' end as kind, least(k + 1, 3) as attempt, seen + to_seconds(case k when 0 then 60 when 1 then 120 when 2 then 240 else 0 end) as \"at\" from f""",
+)
+def stream_retries(t):
+    """Retries that fall due as the clock of the events goes on, over five batches."""
+    at = (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("event_id") * 300)).cast("timestamp")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed")
+    rows = t("events").select(F.col("user_id").cast("string").alias("document_id"), status.alias("status"), at.alias("at"), "event_id").where("status is not null")
+    cuts = rows.select(F.percentile_approx("event_id", [0.25, 0.5, 0.75], 1000).alias("c")).first().c or []
+    rows = rows.withColumn("k", sum(((F.col("event_id") > c).cast("int") for c in cuts), F.lit(0))).drop("event_id")
+    # a last outcome of another document moves the clock past all that waits
+    last = rows.agg((F.max("at") + F.expr("interval 1 day")).alias("at")).select(F.lit("clock").alias("document_id"), F.lit("completed").alias("status"), "at", F.lit(4).alias("k"))
+    retries.use_timers(rows.sparkSession)
+    out = _drained(retries.retry_stream(_stream(rows.unionByName(last), "outcomes", F.col("k"), 5)), "retries")
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_alerts",
+    """with m as (select department, time_bucket(interval '1 hour', seen_at) as seen, avg(latency) as v from {metrics} group by 1, 2), p as (select department, seen from m where v > 45),
+      g as (select *, seen - to_hours(row_number() over (partition by department order by seen)) as island from p)
+      select department, min(seen) as first, max(seen) as last, count(*) as n from g group by department, island having max(seen) - min(seen) >= interval '2 hours'""",
+)
+def stream_alerts(t):
+    """Hourly means that stay high for two hours, as session windows of a stream."""
+    points = t("metrics").groupBy("department", F.window("seen_at", "1 hour")["start"].alias("at")).agg(F.avg("latency").alias("v"))
+    day = F.dayofmonth("at")
+    rows = points.withColumn("k", F.floor((day - 1) / 8).cast("int"))
+    clock = rows.groupBy("department").agg((F.max("at") + F.expr("interval 2 days")).alias("at")).select("department", "at", F.lit(100.0).alias("v"), F.lit(4).alias("k"))
+    stream = _stream(rows.unionByName(clock), "points", F.col("k"), 5).withWatermark("at", "10 minutes")
+    # one point that holds for no span moves the watermark past all others
+    out = _drained(metrics.held_sessions(stream, "department", "at", F.col("v") > 45, "2 hours", "61 minutes"), "alerts")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})

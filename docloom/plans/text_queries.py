@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions import hooks, text
-from docloom.operators import chunking, metrics
+from docloom.functions import hooks, tables, text
+from docloom.operators import changes, chunking, metrics
 from docloom.plans.registry import query
 
 ASKED = "asked as (select conv_id, turn, text, lower(text) as low from {conversations} where role = 'user')"
@@ -149,39 +149,58 @@ def edge_weights(t):
     return t("edges").select("src", "dst", "type", F.round(text.edge_weight(F.col("type"), F.lit(0), F.col("strength")), 6).alias("weight"))
 
 
-@query("path_ids", "select position, substr(md5(parent_path || '/' || name), 1, 16) as id, sha256(name) as content_hash from {feed}")
+@query("path_ids", "select position, 'local-drive-' || substr(md5(parent_path || '/' || name), 1, 12) as drive_id, 'local-item-' || substr(md5(parent_path || '/' || name), 13, 12) as item_id, sha256(name) as content_hash from {feed}")
 def path_ids(t):
-    return t("feed").select("position", F.substring(F.md5(F.concat("parent_path", F.lit("/"), "name")), 1, 16).alias("id"), F.sha2("name", 256).alias("content_hash"))
+    return t("feed").select("position", *text.path_ids(F.concat("parent_path", F.lit("/"), "name")), F.sha2("name", 256).alias("content_hash"))
+
+
+NOTICES = """n as (select event_id, case event_id % 11 when 0 then 'sites/' when 1 then 'drives' else 'drives/' end || user_id || case when event_id % 5 = 0 then '' else '/root' end as resource,
+  'site' || (event_id % 3) || case when event_id % 7 = 0 then '' else ':' || user_id || case event_id % 4 when 0 then ':s3' when 1 then ':no' when 2 then ':s3:more' else '' end end as state from {events})"""
 
 
 @query(
     "notices",
-    """with n as (select 'drives/' || (event_id % 7) || case when event_id % 5 = 0 then '/bad' else '/root' end as resource, 'site' || (event_id % 3) || ':' || (event_id % 7) || case when event_id % 4 = 0 then ':s3' else ':no' end as state from {events})
-      select regexp_extract(resource, '^drives/([^/]+)/root$', 1) as drive_id, split_part(state, ':', 1) as site, count(*) as n from n where regexp_matches(resource, '^drives/([^/]+)/root$') and split_part(state, ':', 3) = 's3' group by 1, 2""",
+    f"""with {NOTICES} select split_part(resource, '/', 2) as drive_id, split_part(state, ':', 1) as site_id, count(*) as n from n
+      where split_part(resource, '/', 1) = 'drives' and contains(resource, '/') and split_part(state, ':', 3) = 's3' group by 1, 2""",
 )
 def notices(t):
+    """Verified notifications of each drive; others, and those of no drive, go."""
     e = F.col("event_id")
-    resource = F.concat(F.lit("drives/"), (e % 7).cast("string"), F.when(e % 5 == 0, "/bad").otherwise("/root"))
-    state = F.concat(F.lit("site"), (e % 3).cast("string"), F.lit(":"), (e % 7).cast("string"), F.when(e % 4 == 0, ":s3").otherwise(":no"))
-    rows = t("events").select(F.regexp_extract(resource, "^drives/([^/]+)/root$", 1).alias("drive_id"), F.split(state, ":").alias("s")).where("drive_id <> '' and s[2] = 's3'")
-    return rows.groupBy("drive_id", F.col("s")[0].alias("site")).agg(F.count("*").alias("n"))
+    resource = F.concat(F.when(e % 11 == 0, "sites/").when(e % 11 == 1, "drives").otherwise("drives/"), F.col("user_id").cast("string"), F.when(e % 5 == 0, "").otherwise("/root"))
+    secret = F.when(e % 4 == 0, ":s3").when(e % 4 == 1, ":no").when(e % 4 == 2, ":s3:more").otherwise("")
+    state = F.concat(F.lit("site"), (e % 3).cast("string"), F.when(e % 7 == 0, "").otherwise(F.concat(F.lit(":"), F.col("user_id").cast("string"), secret)))
+    rows = t("events").select(resource.alias("resource"), state.alias("client_state"))
+    return changes.notifications(rows, "s3").groupBy("drive_id", "site_id").agg(F.count("*").alias("n"))
 
 
 @query(
     "merged_metadata",
-    "select f.position, coalesce(nullif(f.ctag, ''), s.ctag, 'none') as tag, coalesce(s.status, 'new') as status from {feed} f left join {stored} s on s.drive_id = f.drive_id and s.item_id = f.item_id",
+    """with d as (select distinct drive_id, item_id, 60 + item_id % 90 as n_chars from {feed}),
+      f as (select drive_id, item_id, created_by, modified_by, modified_at, url, parent_path from {feed} qualify row_number() over (partition by drive_id, item_id order by modified_at desc, position desc) = 1),
+      p as (select drive_id, item_id, retry_count + 1 as page_count, 'Title ' || item_id as title from {stored} where item_id % 3 <> 0)
+      select d.drive_id, d.item_id, created_by, modified_by, modified_at, url, coalesce(page_count, 0) as page_count, cast(0 as bigint) as word_count, title,
+        case when n_chars > 100 then case d.item_id % 3 when 0 then 'policy' else 'guide' end end as content_type, case when n_chars > 100 and d.item_id % 4 <> 0 then 'de' else 'en' end as language,
+        case when contains(lower(parent_path), 'hr') then 'hr' when contains(lower(parent_path), 'finance') then 'finance' when contains(lower(parent_path), 'sales') then 'sales' when n_chars > 100 then 'general' end as department
+      from d left join f using (drive_id, item_id) left join p using (drive_id, item_id)""",
 )
 def merged_metadata(t):
-    """Metadata by priority: feed, then stored properties, then a derived default."""
-    s = t("stored").select("drive_id", "item_id", F.col("ctag").alias("old"), "status")
-    rows = t("feed").join(s, ["drive_id", "item_id"], "left")
-    return rows.select("position", F.coalesce(F.nullif("ctag", F.lit("")), "old", F.lit("none")).alias("tag"), F.coalesce("status", F.lit("new")).alias("status"))
+    """Metadata by priority: feed, then the file's properties, then what the text gave."""
+    docs = t("feed").select("drive_id", "item_id", (60 + F.col("item_id") % 90).alias("n_chars")).distinct()
+    files = t("stored").where("item_id % 3 <> 0").select("drive_id", "item_id", (F.col("retry_count") + 1).alias("page_count"), F.concat(F.lit("Title "), F.col("item_id").cast("string")).alias("title"))
+    derived = docs.select("drive_id", "item_id", F.when(F.col("item_id") % 3 == 0, "policy").otherwise("guide").alias("content_type"), F.when(F.col("item_id") % 4 != 0, "de").alias("language"), F.lit("general").alias("department"))
+    out = changes.merge_metadata(docs, changes.last_per_key(t("feed")), files, derived)
+    columns = ["created_by", "modified_by", "url", "title", "content_type", "language", "department"]
+    return out.select("drive_id", "item_id", *columns, F.col("modified_at").cast("timestamp_ntz").alias("modified_at"), *[F.col(c).cast("long").alias(c) for c in ("page_count", "word_count")])
 
 
-@query("truncated_tokens", f"select doc_id, md5(array_to_string(({WORDS.format('text')})[1:100], ' ')) as digest from {{documents}}")
+@query(
+    "truncated_tokens",
+    """with k as (select doc_id, text, regexp_extract_all(text, '(?:[A-Za-z0-9_\\x{80}-\\x{10FFFF}]+|[!-/:-@\\[-^`{-~])[ \\t\\n\\r]*') as w from {documents})
+      select doc_id, md5(case when len(w) <= 100 then text else regexp_replace(array_to_string(w[1:100], ''), '[ \\t\\n\\r]+$', '') end) as digest from k""",
+)
 def truncated_tokens(t):
-    words = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != "")
-    return t("documents").select("doc_id", F.md5(F.concat_ws(" ", F.slice(words, 1, 100))).alias("digest"))
+    """Texts cut after their hundredth token."""
+    return t("documents").select("doc_id", F.md5(text.truncate_tokens(F.col("text"), 100)).alias("digest"))
 
 
 @query(
@@ -237,6 +256,18 @@ def chunked_documents(t):
     return out.select("document_id", "sequence_number", "chunk_type", "token_count", F.md5("content").alias("digest"))
 
 
+@query(
+    "chunked_by_table_function",
+    f"""with {PARTS}, {PACKED} select doc_id as document_id, k as sequence_number, 'text' as chunk_type, {COUNT.format('content')} as token_count, md5(content) as digest from flat
+      union all select doc_id, -1, 'summary', 3, md5('Summary of ' || doc_id) from {{documents}} where doc_id % 4 = 0""",
+)
+def chunked_by_table_function(t):
+    """The same chunks from SQL: a table function joined to every document."""
+    docs = _documents(t, True)
+    tables.register(docs.sparkSession)
+    return docs.sparkSession.sql("select document_id, c.sequence_number, c.chunk_type, c.token_count, md5(c.content) as digest from {docs} d, lateral chunk(d.text, d.summary) c", docs=docs)
+
+
 @query(
     "contextual_chunks",
     f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from {{documents}})
@@ -278,6 +309,12 @@ def table_runs(t):
     return chunking.table_runs(_lines(t)).select("document_id", "first_line", F.md5("content").alias("digest"))
 
 
+@query("table_remainder", f"with {LINES} select document_id, md5(coalesce(string_agg(line, chr(10) order by line_no) filter (not (starts_with(trim(line), '|') and ends_with(trim(line), '|') and length(trim(line)) > 1)), '')) as digest from marked group by document_id")
+def table_remainder(t):
+    """What is left of each document once its tables are taken out."""
+    return chunking.without_tables(_lines(t)).select("document_id", F.md5("content").alias("digest"))
+
+
 @query(
     "page_chunks",
     """with l as (select doc_id as document_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from {documents}),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.text import file_extension
+from docloom.functions.text import file_extension, path_ids
 
 EXTENSIONS = ["pptx", "docx", "pdf", "xlsx", "xlsb"]
 FEED_SCHEMA = """value array<struct<id:string,name:string,webUrl:string,cTag:string,eTag:string,size:bigint,lastModifiedDateTime:string,
@@ -16,12 +16,11 @@ FEED_SCHEMA = """value array<struct<id:string,name:string,webUrl:string,cTag:str
 
 
 def listing(spark: SparkSession, folder: str, extensions: list[str] = EXTENSIONS, glob: str = "*") -> DataFrame:
-    """(path, name, length, modified_at, id) of all supported files below a folder.
-
-    Contents are not read; ``id`` is a digest of the path, so a new run finds the same."""
+    """(path, name, length, modified_at, drive_id, item_id) of all supported files below a
+    folder.  Contents are not read; the ids come from the path, so a new run finds the same."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     name = F.substring_index("path", "/", -1)
-    out = files.select("path", name.alias("name"), "length", F.col("modificationTime").alias("modified_at"), F.md5("path").alias("id"))
+    out = files.select("path", name.alias("name"), "length", F.col("modificationTime").alias("modified_at"), *path_ids(F.col("path")))
     return out.where(file_extension(F.col("name")).isin(extensions))
 
 
@@ -55,6 +54,13 @@ def items(pages: DataFrame) -> DataFrame:
     )
 
 
+def drive_items(rows: DataFrame, extensions: list[str] = EXTENSIONS) -> DataFrame:
+    """(drive_id, item_id) of all supported files in a drive: feed items, from the pages of
+    all its folders, without folders, deleted items and repeats."""
+    files = rows.where(~F.col("is_folder") & ~F.col("is_deleted") & file_extension(F.col("name")).isin(extensions))
+    return files.select("drive_id", "item_id").distinct()
+
+
 def feed(spark: SparkSession, folder: str) -> DataFrame:
     return items(spark.read.schema(FEED_SCHEMA).option("multiLine", True).json(folder))
 
