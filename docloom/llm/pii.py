@@ -21,6 +21,7 @@ length; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,6 +168,33 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[list[
     return [1 if base else int(bool(_STRICT[kind].fullmatch(span))), check, known, context, 0 if glued else 1], int(shape)
 
 
+class _Taken:
+    """Disjoint spans in order of place, asked and added to by bisection."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, start: int, end: int) -> bool:
+        """Whether no span shares a character with this one."""
+        at = bisect_left(self.starts, end)
+        return not at or self.ends[at - 1] <= start
+
+    def put(self, start: int, end: int) -> None:
+        """Add a span that is ``free``."""
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+    def join(self, start: int, end: int) -> None:
+        """Add a span that starts no earlier than all others; overlaps become one."""
+        if self.ends and start < self.ends[-1]:
+            self.ends[-1] = max(end, self.ends[-1])
+        else:
+            self.starts.append(start)
+            self.ends.append(end)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): every document and its candidate spans with votes."""
 
@@ -176,13 +204,16 @@ def candidates(docs: DataFrame) -> DataFrame:
             for t in ts:
                 found = base_spans(t)
                 rows = [{"kind": k, "start": s, "end": e, "base": True} for k, s, e in found]
-                low = t.casefold()
+                low, base, own = t.casefold(), _Taken(), [_Taken() for _ in KINDS]
+                for _, s, e in sorted(found, key=lambda x: x[1:]):
+                    base.join(s, e)
                 for kind, cues, pattern in LOOSE:
                     if not cues or any(c in low for c in cues):
                         k = KINDS.index(kind)
                         for m in pattern.finditer(t):
                             s, e = m.span(m.lastindex or 0)
-                            if not any(s < b and a < e for _, a, b in found) and not any(r["kind"] == k and s < r["end"] and r["start"] < e for r in rows):
+                            if base.free(s, e) and own[k].free(s, e):
+                                own[k].put(s, e)
                                 rows.append({"kind": k, "start": s, "end": e, "base": False})
                 for r in rows:
                     v, r["shape"] = votes(KINDS[r["kind"]], t, r["start"], r["end"], r["base"])
