@@ -108,7 +108,8 @@ def ranked(docs: DataFrame, tie: str = "text") -> tuple[DataFrame, DataFrame]:
 
 
 def _mixed(docs: DataFrame, weights: DataFrame | None, block_rows: int, slots: int) -> DataFrame:
-    rows, sizes = ranked(docs)
+    # a row's own columns go along as one, so none of them can be taken for one made here
+    rows, sizes = ranked(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_mx_doc"), "doc_id", "source", "text"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     block_rows = max(block_rows, -(-total // slots))
     if weights is not None:
@@ -130,8 +131,9 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = B
     ``size_weights``.  Order by (slot, place) to read the mixture.
     """
     added = {"block": "_mx_block", "place": "_mx_place", "slot": "_mx_at", "release": "_mx_release", "deadline": "_mx_deadline"}
+    docs = docs.withColumn("source", F.col("source").cast("string"))
     own = [c for c in docs.columns if c.lower() not in added]
-    return _mixed(docs, weights, block_rows, slots).select(*own, *[F.col(c).alias(n) for n, c in added.items()])
+    return _mixed(docs, weights, block_rows, slots).select(*[F.col("_mx_doc").getField(c).alias(c) for c in own], *[F.col(c).alias(n) for n, c in added.items()])
 
 
 def in_order(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS, slots: int = SLOTS) -> DataFrame:
@@ -140,4 +142,4 @@ def in_order(docs: DataFrame, weights: DataFrame | None = None, block_rows: int
     order = [F.col("_mx_at"), F.col("_mx_place")]
     parts = n_parts(docs.sparkSession)
     out = _mixed(docs, weights, block_rows, slots)
-    return out.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*docs.columns)
+    return out.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*[F.col("_mx_doc").getField(c).alias(c) for c in docs.columns])
