@@ -23,10 +23,14 @@ grows with it.  A task gives out, per vector, how many links it has there, and a
 that connects what is linked; no list of pairs is made.  Identical vectors are searched
 once.  No cap on partners or candidates.
 
-Edge cases: vectors that are null, empty, zero, of another length than most, or hold
-null or non-finite numbers link with nothing but keep their row; so do those with a null
-id; rows that share an id are judged each by its own vector, and a component goes by its
-smallest id; an empty table gives an empty result; extra columns are ignored.
+Vectors of different lengths are not linked; each length is searched by itself, the
+``LENGTHS`` most frequent ones by lists and codes, the others against each other.
+
+Edge cases: vectors that are null, empty, zero, or hold null or non-finite numbers link
+with nothing but keep their row; so do those with a null id; rows that share an id are
+judged each by its own vector, and a component goes by its smallest id; ties do not occur,
+as all pairs at the threshold are links; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import drop_written, freeing, written
@@ -52,6 +56,14 @@ CHUNK = 1024
 ROUNDING = 1e-3
 #: Fitted vectors that a coarse list must have.
 LIST_SAMPLE = 8
+#: Vector lengths that get a quantiser.
+LENGTHS = 4
+#: Pairs that the tables let through and that are re-ranked at a time.
+RERANK = 1 << 15
+
+
+def _dim() -> Column:
+    return (F.octet_length("v") / 8).cast("int")
 
 
 def unit(vectors: DataFrame) -> DataFrame:
@@ -154,15 +166,16 @@ class Quantiser:
         return total
 
 
-def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Quantiser | None, int]:
-    """(quantiser, dimension) from a bounded sample; the usual length is the dimension."""
-    usual = rows.groupBy((F.octet_length("v") / 8).cast("int").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if usual is None:
-        return None, 0
-    sample = rows.where(F.octet_length("v") == 8 * usual.d).orderBy(F.xxhash64("node"), "node").limit(fit_rows).select("v").toArrow()
-    x = np.frombuffer(b"".join(sample.column("v").to_pylist())).reshape(-1, usual.d)
-    lists = int(max(1, min(usual["count"] ** 0.5, len(x) // LIST_SAMPLE)))
-    return Quantiser.fitted(x, lists), usual.d
+def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> dict[int, Quantiser]:
+    """Quantisers of the ``LENGTHS`` most frequent vector lengths, from bounded samples.
+
+    Vectors of other lengths are one list each length, compared in full."""
+    out = {}
+    for usual in rows.groupBy(_dim().alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect():
+        sample = rows.where(_dim() == usual.d).orderBy(F.xxhash64("node"), "node").limit(fit_rows).select("v").toArrow()
+        x = np.frombuffer(b"".join(sample.column("v").to_pylist())).reshape(-1, usual.d)
+        out[usual.d] = Quantiser.fitted(x, int(max(1, min(usual["count"] ** 0.5, len(x) // LIST_SAMPLE))))
+    return out
 
 
 def _joined(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,29 +195,35 @@ def links(rows: DataFrame, threshold: float = 0.9, reach: float = REACH, fit_row
     null, ``n`` linked rows of node ``a``; else ``a`` and ``b`` are connected."""
     spark = rows.sparkSession
     schema = "a long, b long, n long"
-    quantiser, dim = fit(rows, fit_rows)
-    if quantiser is None:
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(quantiser)
+    fitted = fit(rows, fit_rows)
+    # plain arrays, so that a task makes its quantisers with the code that came with it
+    shared = spark.sparkContext.broadcast({d: q.__getstate__() for d, q in fitted.items()})
     bound = max(2 - 2 * threshold, 0.0)
-    step = reach * np.sqrt(bound / quantiser.spread)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
+        known = {d: Quantiser(*state) for d, state in shared.value.items()}
         for whole in batches:
-            for k in range(0, whole.num_rows, 2048):
-                batch = whole.slice(k, 2048)
-                n = batch.num_rows
+            lengths = whole.column(3).to_numpy()
+            parts = [whole.filter(pa.array(lengths == d)) for d in np.unique(lengths)]
+            for batch in (p.slice(k, 2048) for p in parts for k in range(0, p.num_rows, 2048)):
+                n, dim = batch.num_rows, batch.column(3)[0].as_py()
                 x = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(n, dim)
-                home = q.homes(x)
-                who, where = q.probes(x, home, step)
+                if dim in known:
+                    q = known[dim]
+                    home = q.homes(x)
+                    who, where = q.probes(x, home, reach * np.sqrt(bound / q.spread))
+                    residual = x - q.coarse[home]
+                    codes = q.encode(residual)
+                    errors = q.errors(residual, codes)
+                else:
+                    home, who, where = np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64)
+                    codes, errors = np.zeros((n, 0), np.uint8), np.zeros(n)
                 cut = np.searchsorted(who, np.arange(n + 1))
-                residual = x - q.coarse[home]
-                codes = q.encode(residual)
                 at = pa.array(np.concatenate([np.arange(n), who]))
                 none = [None] * len(who)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.full(n + len(who), dim, np.int32)),
                         pa.array(np.concatenate([home, where]).astype(np.int32)),
                         pa.array(np.r_[np.ones(n, bool), np.zeros(len(who), bool)]),
                         batch.column(0).take(at),
@@ -212,25 +231,27 @@ def links(rows: DataFrame, threshold: float = 0.9, reach: float = REACH, fit_row
                         pa.array(np.concatenate([home, home[who]]).astype(np.int32)),
                         pa.array([*(where[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)), *none], pa.binary()),
                         pa.array([*(c.tobytes() for c in codes), *none], pa.binary()),
-                        pa.array(np.r_[q.errors(residual, codes), np.zeros(len(who))]),
+                        pa.array(np.r_[errors, np.zeros(len(who))]),
                         batch.column(1).take(at),
                     ],
-                    names=["list", "member", "node", "copies", "home", "probes", "codes", "error", "v"],
+                    names=["d", "list", "member", "node", "copies", "home", "probes", "codes", "error", "v"],
                 )
 
-    placed = rows.where(F.octet_length("v") == 8 * dim).select("node", "v", "copies")
-    placed = placed.mapInArrow(freeing(assign), "list int, member boolean, node long, copies long, home int, probes binary, codes binary, error double, v binary")
+    placed = rows.select("node", "v", "copies", _dim().alias("d"))
+    placed = placed.mapInArrow(freeing(assign), "d int, list int, member boolean, node long, copies long, home int, probes binary, codes binary, error double, v binary")
     # chunks of lists: each member chunk meets each query chunk of its list
-    size = written(placed.groupBy("list", "member").agg(F.count("*").alias("n")), "lists")
-    n = size.groupBy("list").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("member") == m, F.col("n")).otherwise(0)) / CHUNK)).cast("int").alias(x) for m, x in ((True, "mc"), (False, "qc"))])
-    placed = placed.join(F.broadcast(n), "list")
+    size = written(placed.groupBy("d", "list", "member").agg(F.count("*").alias("n")), "lists")
+    n = size.groupBy("d", "list").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("member") == m, F.col("n")).otherwise(0)) / CHUNK)).cast("int").alias(x) for m, x in ((True, "mc"), (False, "qc"))])
+    # one row a list; only where many lengths have one each is that more than the lists fitted
+    placed = placed.join(F.broadcast(n) if n.count() <= 1 << 17 else n, ["d", "list"])
     own = F.when(F.col("member"), F.pmod(F.xxhash64("node"), F.col("mc"))).otherwise(F.pmod(F.xxhash64("node"), F.col("qc"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("member"), F.col("qc")).otherwise(F.col("mc")) - 1))
     placed = placed.withColumn("own", own).withColumn("other", other)
     placed = placed.withColumn("m", F.when(F.col("member"), F.col("own")).otherwise(F.col("other"))).withColumn("q", F.when(F.col("member"), F.col("other")).otherwise(F.col("own")))
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        qz = shared.value
+        dim = key[0].as_py()
+        qz = Quantiser(*shared.value[dim]) if dim in shared.value else None
         member = table.column("member").to_numpy()
         ids, copies, home = (table.column(c).to_numpy() for c in ("node", "copies", "home"))
         mi, qi = np.flatnonzero(member), np.flatnonzero(~member)
@@ -238,20 +259,22 @@ def links(rows: DataFrame, threshold: float = 0.9, reach: float = REACH, fit_row
         if len(mi) and len(qi):
             x = np.frombuffer(b"".join(table.column("v").to_pylist())).reshape(len(ids), dim)
             own = table.filter(pa.array(member))
-            codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(len(mi), -1)
             # which lists a member searches itself
             searched = [np.frombuffer(p, "<i4") for p in own.column("probes").to_pylist()]
-            searches = np.zeros((len(mi), len(qz.coarse)), bool)
+            searches = np.zeros((len(mi), len(qz.coarse) if qz else 1), bool)
             searches[np.repeat(np.arange(len(mi)), list(map(len, searched))), np.concatenate(searched)] = True
-            most = (np.sqrt(bound) + own.column("error").to_numpy()) ** 2 + ROUNDING
-            centre, right = qz.coarse[key[0].as_py()], x[mi].T
+            if qz:
+                codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(len(mi), -1)
+                most = (np.sqrt(bound) + own.column("error").to_numpy()) ** 2 + ROUNDING
+                centre = qz.coarse[key[1].as_py()]
             for k in range(0, len(qi), 64):
                 part = qi[k : k + 64]
-                near = qz.distances(x[part] - centre, codes) <= most
-                # one product is cheaper than gathering what the codes let through
-                r, c = np.nonzero(near & (x[part] @ right >= threshold - 1e-9))
-                cosine = np.einsum("ij,ij->i", x[part[r]], x[mi[c]])
-                ok = (cosine >= threshold) & (ids[part[r]] != ids[mi[c]])
+                # only what the tables let through is compared by its own numbers
+                r, c = np.nonzero(qz.distances(x[part] - centre, codes) <= most) if qz else np.nonzero(np.ones((len(part), len(mi)), bool))
+                ok = ids[part[r]] != ids[mi[c]]
+                r, c = r[ok], c[ok]
+                cosine = np.concatenate([np.einsum("ij,ij->i", x[part[r[a : a + RERANK]]], x[mi[c[a : a + RERANK]]]) for a in range(0, len(r), RERANK)] or [np.empty(0)])
+                ok = cosine >= threshold
                 a, b, c = part[r[ok]], mi[c[ok]], c[ok]
                 np.add.at(n, a, copies[b])
                 # a member that does not search the query's list is not going to find it
@@ -263,7 +286,7 @@ def links(rows: DataFrame, threshold: float = 0.9, reach: float = REACH, fit_row
         b = pa.array(np.concatenate([np.zeros(len(has), np.int64), ids[up[child]]]), mask=np.r_[np.ones(len(has), bool), np.zeros(len(child), bool)])
         return pa.table({"a": a, "b": b, "n": pa.array(np.concatenate([n[has], np.zeros(len(child), np.int64)]))})
 
-    found = placed.select("list", "m", "q", "member", "node", "copies", "home", "probes", "codes", "error", "v").groupBy("list", "m", "q").applyInArrow(compare, schema)
+    found = placed.select("d", "list", "m", "q", "member", "node", "copies", "home", "probes", "codes", "error", "v").groupBy("d", "list", "m", "q").applyInArrow(compare, schema)
     out = written(found, "links")
     drop_written(spark, size)
     return out
