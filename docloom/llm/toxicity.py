@@ -42,6 +42,7 @@ from docloom.llm.common import blocks, freeing, texts, written
 #: Most labelled rows that models are fitted on.
 TRAIN_ROWS = 20_000
 Z = 5.0
+#: Most words of the lexicon, those of the largest z: a bound of the model, not of the texts.
 LEXICON = 400
 FOLDS = 5
 
