@@ -66,10 +66,12 @@ def phrase_blocks(found: DataFrame, most: int = PHRASE_BYTES) -> Iterator[tuple[
     """(phrases, items of each) in blocks whose measured size is ``most`` at most."""
     sized = found.groupBy("phrase").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     sized = written(sized.withColumn("bytes", F.octet_length("phrase") + 8 * F.size("items") + 64), "phrases")
-    total = sized.agg(F.sum("bytes")).first()[0] or 0
+    total, largest = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+    # a phrase goes with all its items
+    most = max(most, largest)
     passes = -(-2 * total // most) if total > most else 1
     part = F.pmod(F.xxhash64("phrase"), F.lit(passes))
-    while passes > 1 and sized.groupBy(part.alias("k")).agg(F.sum("bytes").alias("n")).agg(F.max("n")).first()[0] > most and passes < 1 << 16:
+    while passes > 1 and sized.groupBy(part.alias("k")).agg(F.sum("bytes").alias("n")).agg(F.max("n")).first()[0] > most:
         passes *= 2
         part = F.pmod(F.xxhash64("phrase"), F.lit(passes))
     for k in range(passes):
@@ -141,6 +143,7 @@ class Postings:
         self.bounds = np.concatenate([[0], np.cumsum(self.sizes.astype(np.int64))])
         ends = np.cumsum(many)
         self.positions = np.cumsum(steps.astype(np.int64))
+        self.holders: dict[int, np.ndarray] = {}
         self.lists = {int(t): (int(e - n), int(e)) for t, n, e in zip(present, many, ends, strict=True)}
 
     def of(self, term: int) -> np.ndarray:
@@ -169,10 +172,28 @@ class Postings:
         left = left[left >= 0]
         return left[self.doc(left) == self.doc(left + len(phrase) - 1)] if len(left) else left
 
-    def near(self, terms: list[int], within: int) -> np.ndarray:
+    def documents(self, term: int) -> np.ndarray:
+        """Documents that hold a term, in order."""
+        if term not in self.holders:
+            self.holders[term] = np.unique(self.doc(self.of(term)))
+        return self.holders[term]
+
+    def together(self, terms: list[int], without: np.ndarray) -> np.ndarray:
+        """Documents that hold all terms, from the term in the fewest on, but for ``without``."""
+        order = sorted(set(terms), key=self.count)
+        left = self.documents(order[0])
+        for t in order[1:]:
+            if not len(left):
+                return left
+            left = left[np.isin(left, self.documents(t), assume_unique=True)]
+        return left[~np.isin(left, without)] if len(left) and len(without) else left
+
+    def near(self, terms: list[int], within: int, only: np.ndarray | None = None) -> np.ndarray:
         """Positions of the first term with every other at most ``within`` away, cut down
-        from the rarest term on."""
+        from the rarest term on; with ``only`` in these documents."""
         left, others = self.of(terms[0]), sorted(set(terms) - {terms[0]}, key=self.count)
+        if only is not None:
+            left = left[np.isin(self.doc(left), only)]
         if others and self.count(others[0]) < len(left):
             # only first terms near the rarest one
             rare = self.of(others[0])
@@ -192,30 +213,44 @@ class Postings:
         return left
 
 
-def search(index: DataFrame, test: list[bytes], terms: set[bytes], within: int | None = None, also: int | None = None) -> DataFrame:
+def search(index: DataFrame, test: list[bytes], terms: set[bytes], within: int | None = None, also: int | None = None, items: list[list[int]] | None = None) -> DataFrame:
     """Rows (doc_id, digest, n_words, starts, phrase, near) per document: exact starts, or
-    with ``within`` the proximity matches, as positions in the document; with ``also`` the
-    phrases that match within so many words as well, in ``near``."""
+    with ``within`` the proximity matches, as positions in the document; with ``also``
+    phrases that match within so many words as well, in ``near``: enough of them to name
+    every item of ``items`` (the items of each phrase) that has one."""
     numbers = {t: i for i, t in enumerate(sorted(terms))}
     lists = [[numbers[w] for w in p.split(b" ")] for p in test]
-    shared = index.sparkSession.sparkContext.broadcast(lists)
+    shared = index.sparkSession.sparkContext.broadcast((lists, items or [[k] for k in range(len(lists))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test_lists, of = shared.value
         for batch in batches:
             for data in batch.column(0):
                 p = Postings(data.as_py())
                 starts: list[list[int]] = [[] for _ in p.ids]
                 which: list[list[int]] = [[] for _ in p.ids]
                 near: list[list[int]] = [[] for _ in p.ids]
-                for k, phrase in enumerate(shared.value):
+                hit: dict[int, set[int]] = {}
+                for k, phrase in enumerate(test_lists):
                     at = p.exact(phrase) if within is None else p.near(phrase, within)
                     if len(at):
                         for d, x in zip(p.doc(at).tolist(), at.tolist(), strict=True):
                             starts[d].append(x - int(p.bounds[d]))
                             which[d].append(k)
-                    if also is not None and all(t in p.lists for t in phrase):
-                        for d in np.unique(p.doc(p.near(phrase, also))).tolist():
-                            near[d].append(k)
+                            if also is not None:
+                                near[d].append(k)
+                                for item in of[k]:
+                                    hit.setdefault(item, set()).add(d)
+                for k, phrase in enumerate(test_lists if also is not None else ()):
+                    if all(t in p.lists for t in phrase):
+                        # an exact match is near; what all of the phrase's items have is known
+                        known = set.intersection(*(hit.get(item, set()) for item in of[k])) if of[k] else set()
+                        some = p.together(phrase, np.array(sorted(known), np.int64))
+                        if len(some):
+                            for d in np.unique(p.doc(p.near(phrase, also, some))).tolist():
+                                near[d].append(k)
+                                for item in of[k]:
+                                    hit.setdefault(item, set()).add(d)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(p.ids, pa.int64()), pa.array(p.digests, pa.int64()), pa.array(p.sizes, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(which, pa.list_(pa.int32())), pa.array(near, pa.list_(pa.int32()))],
                     names=["doc_id", "digest", "n_words", "starts", "phrase", "near"],
@@ -271,7 +306,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     for test, items in phrase_blocks(phrases(benchmark, window), phrase_bytes):
         terms = {w for p in test for w in p.split(b" ")}
         index = written(build_index(docs, terms), "postings")
-        done.append(_report(search(index, test, terms, also=within), test, items))
+        done.append(_report(search(index, test, terms, also=within, items=items), test, items))
     if len(done) == 1:
         n = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
         return done[0].withColumn("n_hit", n).drop("digest")
