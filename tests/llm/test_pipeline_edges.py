@@ -7,7 +7,7 @@ import corpus_pipeline
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["_row", "_bad", "node", "key", "digest", "slot", "block", "place", "score", "release", "_mx_s", "class_id"]
+CLASH = ["_row", "_bad", "node", "key", "digest", "slot", "block", "place", "score", "release", "_mx_s", "_mx_id", "_mx_rank", "_mx_at", "_mx_doc", "_mx_range", "_found", "class_id"]
 ROWS = [
     (None, None, None, None, None),
     (None, "a text of its own without an id", None, "s", 3),
@@ -28,8 +28,9 @@ def test_stage(spark, name, tmp_path):
     want = len(ROWS) - (name == "minhash_near_dedup")
     assert len(rows) == want
     assert stage(spark, docs.limit(0), SF).count() == 0
-    extra = docs.withColumns({c: F.lit("x") for c in CLASH if name != "source_mix" or not c.startswith("_mx")})
+    extra = docs.withColumns({c: F.lit("x") for c in CLASH}).withColumn("m", F.create_map(F.lit("a"), F.col("doc_id")))
     out = stage(spark, extra, SF)
     assert out.count() == want
     if name != "token_output":
         assert out.columns == extra.columns
+        assert out.where(" and ".join(f"{c} = 'x'" for c in CLASH)).count() == want

@@ -128,7 +128,7 @@ def test_deobfuscation():
     model = toxicity.char_model(corpus, ["idiot", "clown", "moron", "scum", "worthless", "trash"])
     for token, word in [("1d10t", "idiot"), ("cl0wn", "clown"), ("m0r0n", "moron"), ("$cum", "scum"), ("idiooot", "idiot"), ("worth1ess", "worthless"), ("tra$h", "trash")]:
         assert toxicity.decode(token, model) == word
-    assert {"idiot", "clown", "m0r0n", "iiidiot"} <= set(toxicity.suspects("you i d i o t and c-l-o-w-n athe*** m0r0n!! iiidiot"))
+    assert {"idiot", "clown", "m0r0n", "iiidiot"} <= {word for word, _ in toxicity.suspects("you i d i o t and c-l-o-w-n athe*** m0r0n!! iiidiot")}
     assert toxicity.suspects("a plain text, with 3 words!") == []
 
 
