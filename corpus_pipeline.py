@@ -24,7 +24,9 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     name = "_row"
     while name in (c.lower() for c in docs.columns):
         name += "_"
-    return docs.withColumn(name, F.xxhash64(*[docs[c] for c in docs.columns], *[docs[c].isNull() for c in docs.columns])), name
+    # maps have no hash of their own
+    value = lambda f: F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() else docs[f.name]
+    return docs.withColumn(name, F.xxhash64(*map(value, docs.schema.fields), *[docs[c].isNull() for c in docs.columns])), name
 
 
 def _without(keyed: DataFrame, key: str, bad: DataFrame) -> DataFrame:
