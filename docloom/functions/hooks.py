@@ -51,7 +51,9 @@ def hashed_vector(text: Column, dim: int = 64) -> Column:
     """Default embedding: counts of words by a hash, in ``dim`` places."""
     words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+    counted = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(held, lambda p: p == i)).cast("double"))
+    # as an array's element the places are computed once, not once a place
+    return F.get(F.transform(F.array(places), counted), F.lit(0))
 
 
 def lexical_overlap(query: Column, text: Column) -> Column:

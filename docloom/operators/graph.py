@@ -166,6 +166,9 @@ def shared(pairs: DataFrame, item: str, least: int, most_documents: int | None =
     if least > 1:
         return _verified(candidates(rows, "item", least, chunk), _item_sets(rows, "x"), _item_sets(rows, "y"), least)
     met = _met(_with_size(rows), chunk)
+    if (rows.groupBy("document_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= 1:
+        # documents with one item each meet once, so there is nothing to count
+        return met.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).cast("long").alias("n"), F.array("item").alias("names"))
     return met.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("item")).alias("names"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most distinct query words that are written into the plan.
-TERMS = 2000
+#: Most distinct query words that are broadcast.
+TERMS = 100_000
 
 
 def _words(text: Column) -> Column:
@@ -17,19 +17,24 @@ def _words(text: Column) -> Column:
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank) for (query_id, text) against (doc_id, text).
 
-    Texts are split once, into a row of counts per document and distinct word; only words
-    of the queries get there, where these are at most ``TERMS``, a list in the plan, and
-    by a join in any case.  The mean length comes from the same split.
+    Texts are split once and their words joined to those of the queries before they are
+    counted: by broadcast where the distinct words were found to be at most ``TERMS``,
+    else after counting, by a shuffle.  The mean length comes from the same split.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).distinct()
-    few = [r.term for r in q.select("term").distinct().limit(TERMS + 1).collect()]
-    split = docs.select("doc_id", _words(F.col("text")).alias("w")).withColumn("length", F.size("w"))
+    asked = q.select("term").distinct()
+    few = asked.limit(TERMS + 1).count() <= TERMS
+    # a split text has an empty part only where it starts or ends with no letter
+    w = F.col("w")
+    ends = (F.get(w, F.lit(0)) == "").cast("int") + ((F.size(w) > 1) & (F.get(w, F.size(w) - 1) == "")).cast("int")
+    split = docs.select("doc_id", F.split(F.lower("text"), "[^a-z]+").alias("w")).withColumn("length", F.when(w.isNotNull(), F.size(w) - ends))
     size = split.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
-    if len(few) <= TERMS:
-        split = split.withColumn("w", F.filter("w", lambda w: w.isin(few)) if few else F.array().cast("array<string>"))
-    own = split.select("doc_id", "length", F.explode("w").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    if len(few) > TERMS:
-        own = own.join(q.select("term").distinct(), "term", "left_semi")
+    own = split.select("doc_id", "length", F.explode("w").alias("term"))
+    if few:
+        own = own.join(F.broadcast(asked), "term", "left_semi")
+    own = own.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    if not few:
+        own = own.join(asked, "term", "left_semi")
     df = own.groupBy("term").agg(F.count("*").alias("df"))
     hit = own.join(df, "term").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
