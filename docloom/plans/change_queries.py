@@ -8,6 +8,7 @@ from docloom.functions.text import entity_name, file_extension, last_folder
 from docloom.operators import access, changes, checks, conversations, metrics
 from docloom.plans.registry import query
 from docloom.sources import files
+from docloom.sources.scratch import scratch_path
 
 LAST = "lastf as (select * from (select *, row_number() over (partition by drive_id, item_id order by modified_at desc, position desc) as rn from {feed}) where rn = 1)"
 EXT = "case when contains(f.name, '.') then lower(split_part(f.name, '.', -1)) else '' end"
@@ -447,3 +448,44 @@ def latest_questions(t):
 @query("entity_names", "select doc_id, case when length(n) between 2 and 100 then n end as name from (select doc_id, trim(regexp_replace(substr(text, 1, 60), '[ \\t\\n\\r]+', ' ', 'g')) as n from {documents})")
 def entity_names(t):
     return t("documents").select("doc_id", entity_name(F.substring("text", 1, 60)).alias("name"))
+
+
+@query(
+    "landed_pages",
+    """select cast(drive_id as varchar) as drive_id, cast(item_id as varchar) as item_id, name, ctag, etag, parent_path, size, url, case when not is_folder then mime_type end as mime_type, created_by, modified_by, is_deleted, is_folder, modified_at from {feed}""",
+)
+def landed_pages(t):
+    """The feed written as JSON change pages of up to 200 items, one a file, and read back."""
+    user = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.struct(F.when(F.col("position") % 2 == 0, F.col(c)).alias("email"), F.col(c).alias("displayName")).alias("user")))
+    item = F.struct(
+        F.col("item_id").cast("string").alias("id"),
+        "name",
+        F.col("url").alias("webUrl"),
+        F.col("ctag").alias("cTag"),
+        F.col("etag").alias("eTag"),
+        "size",
+        F.date_format("modified_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("lastModifiedDateTime"),
+        F.struct(F.col("drive_id").cast("string").alias("driveId"), F.col("parent_path").alias("path")).alias("parentReference"),
+        user("created_by").alias("createdBy"),
+        user("modified_by").alias("lastModifiedBy"),
+        F.when(~F.col("is_folder"), F.struct(F.col("mime_type").alias("mimeType"))).alias("file"),
+        F.when(F.col("is_folder"), F.struct(F.lit(1).alias("childCount"))).alias("folder"),
+        F.when(F.col("is_deleted"), F.struct(F.lit("deleted").alias("state"))).alias("deleted"),
+    )
+    rows = t("feed")
+    pages = rows.groupBy("drive_id", F.floor(F.col("position") / 200).alias("page")).agg(F.collect_list(item).alias("value"))
+    path = scratch_path(rows.sparkSession, "pages")
+    pages.select(F.to_json(F.struct("value")).alias("text")).write.option("maxRecordsPerFile", 1).text(path)
+    columns = ["drive_id", "item_id", "name", "ctag", "etag", "parent_path", "size", "url", "mime_type", "created_by", "modified_by", "is_deleted", "is_folder"]
+    return files.feed(rows.sparkSession, path).select(*columns, F.col("modified_at").cast("timestamp_ntz").alias("modified_at"))
+
+
+@query("chunk_sink", "select chunk_id, c.document_id, title, department, kb from (select chunk_id, document_id from {chunks}) c join (select document_id, min(title) as title, min(department) as department, case when document_id % 2 = 0 then 'main' else 'care' end as kb from {chunks} group by document_id) d on d.document_id = c.document_id")
+def chunk_sink(t):
+    """Chunks with their document's columns, appended twice by knowledge base, read back."""
+    chunks = t("chunks").select("chunk_id", "document_id")
+    docs = t("chunks").groupBy("document_id").agg(F.min("title").alias("title"), F.min("department").alias("department")).withColumn("kb", F.when(F.col("document_id") % 2 == 0, "main").otherwise("care"))
+    path = scratch_path(chunks.sparkSession, "sink")
+    for part in (0, 1):
+        files.write_chunks(chunks.where(F.col("chunk_id") % 2 == part), docs, path)
+    return chunks.sparkSession.read.parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators import changes, metrics
+from docloom.operators import access, changes, metrics
 from docloom.plans.change_queries import CLASS, applied
 from docloom.plans.registry import query
 from docloom.sources import buckets
@@ -14,16 +14,18 @@ from docloom.streaming import feeds, retries
 
 #: Buckets of the tables kept here, which are small.
 BUCKETS = 8
-#: Files that each slice of an input is written to; a micro-batch reads one slice.
-FILES = 2
+#: Least files that each slice of an input is written to, and rows of one; a micro-batch
+#: reads one slice.
+FILES, FILE_ROWS = 2, 500_000
 
 
 def _stream(rows: DataFrame, name: str, slice_of: Column, slices: int) -> DataFrame:
     """``rows`` landed one slice after the other, read as a stream of as many batches."""
     path = scratch_path(rows.sparkSession, name)
+    files = max(FILES, -(-rows.count() // (slices * FILE_ROWS)))
     for k in range(slices):
-        rows.where(slice_of == k).repartition(FILES).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+        rows.where(slice_of == k).repartition(files).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -178,3 +180,22 @@ def stream_alerts(t):
     # one point that holds for no span moves the watermark past all others
     out = _drained(metrics.held_sessions(stream, "department", "at", F.col("v") > 45, "2 hours", "61 minutes"), "alerts")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
+
+
+@query(
+    "stream_access",
+    """with recursive c as (select parent as ancestor, child as member from {group_edges} union select c.ancestor, e.child from c join {group_edges} e on e.parent = c.member),
+      n as (select distinct document_id, user_id + 1000000 as user_id from {access} where document_id % 3 = 0 union select document_id, member from {access} a join c on c.ancestor = a.user_id where document_id % 3 = 1)
+      select document_id, user_id from {access} where document_id % 3 = 2 union all select document_id, user_id from n""",
+)
+def stream_access(t):
+    """Access pairs rebuilt for the documents whose grants arrive, over two batches."""
+    pairs = t("access").select("document_id", "user_id")
+    direct = pairs.where("document_id % 3 = 0").select("document_id", F.lit("user").alias("principal_type"), (F.col("user_id") + 1_000_000).alias("principal_id"), F.lit(0).alias("k"))
+    groups = pairs.where("document_id % 3 = 1").select("document_id", F.lit("group").alias("principal_type"), F.col("user_id").alias("principal_id"), F.lit(1).alias("k"))
+    spark = pairs.sparkSession
+    base = scratch_path(spark, "access")
+    buckets.create(pairs, base, feeds.DOCUMENT, BUCKETS)
+    stream = _stream(direct.unionByName(groups), "grants", F.col("k"), 2)
+    feeds.access_stream(stream, access.expand_groups(t("group_edges")), base, scratch_path(spark, "mark"), BUCKETS).awaitTermination()
+    return buckets.load(spark, base)

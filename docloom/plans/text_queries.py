@@ -538,3 +538,25 @@ def doc_specs(t):
 def filter_departments(t):
     own = F.when(F.col("doc_id") % 5 == 0, "general")
     return _titles(t).select("doc_id", text.filter_department(own, F.col("q"), F.when(F.col("doc_id") % 2 == 0, "sales")).alias("department"))
+
+
+@query("filled_gaps", "select doc_id, coalesce(case when doc_id % 3 <> 0 then source end, 'derived ' || length(text)) as department, coalesce(case when doc_id % 2 = 0 then lang end, 'xx') as language from {documents}")
+def filled_gaps(t):
+    """Missing department and language from what a model says of the text."""
+    rows = t("documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("department"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("language"))
+    model = lambda ts: [{"department": f"derived {len(x)}", "language": "xx"} for x in ts]
+    return hooks.fill_gaps(rows, model, ["department", "language"]).drop("text")
+
+
+@query(
+    "merged_pages",
+    """with l as (select doc_id, substr(text, 1, 40) as a, case doc_id % 3 when 0 then '# ' || substr(text, 1, 20) when 1 then '' end as b, case doc_id % 4 when 0 then ' NONE ' when 1 then 'a chart' when 2 then '' end as c, doc_id % 5 < 2 as visual from {documents})
+      select doc_id, md5(case when visual then concat_ws(chr(10) || chr(10), nullif(a, ''), nullif(nullif(trim(coalesce(c, ''), ' '), 'NONE'), '')) else coalesce(nullif(b, ''), a, '') end) as digest from l""",
+)
+def merged_pages(t):
+    """Text of pages from the parser, an extraction service and what vision saw."""
+    n = F.col("doc_id")
+    parsed, start = F.substring("text", 1, 40), F.concat(F.lit("# "), F.substring("text", 1, 20))
+    extracted = F.when(n % 3 == 0, start).when(n % 3 == 1, "")
+    vision = F.when(n % 4 == 0, " NONE ").when(n % 4 == 1, "a chart").when(n % 4 == 2, "")
+    return t("documents").select("doc_id", F.md5(chunking.page_merge(parsed, extracted, vision, n % 5 < 2)).alias("digest"))
