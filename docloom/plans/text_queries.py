@@ -256,6 +256,29 @@ def chunked_documents(t):
     return out.select("document_id", "sequence_number", "chunk_type", "token_count", F.md5("content").alias("digest"))
 
 
+FLUSHED = "case when len(a.held) > 0 then list_append(a.out, struct_pack(c := array_to_string(a.held, chr(10) || chr(10)), k := 'text')) else a.out end"
+TABLED = f"""tabled as (select doc_id, list_transform(p, lambda x, i: case when i % 5 = 3 then '| ' || x || ' |' else x end) as p from parts),
+  folded as (select doc_id, list_reduce(p, lambda a, x: case when starts_with(x, '|')
+    then struct_pack("out" := list_append({FLUSHED}, struct_pack(c := x, k := 'table')), held := cast([] as varchar[]), n := cast(0 as bigint))
+    when len(a.held) > 0 and a.n + {COUNT.format('x')} > 600
+    then struct_pack("out" := {FLUSHED}, held := list_append({KEPT}, x), n := cast(coalesce(list_sum(list_transform({KEPT}, lambda u: {COUNT.format('u')})), 0) + {COUNT.format('x')} as bigint))
+    else struct_pack("out" := a.out, held := list_append(a.held, x), n := cast(a.n + {COUNT.format('x')} as bigint)) end,
+    struct_pack("out" := cast([] as struct(c varchar, k varchar)[]), held := cast([] as varchar[]), n := cast(0 as bigint))) as a from tabled),
+  cut as (select doc_id, {FLUSHED} as o from folded)"""
+
+
+@query(
+    "chunked_tables",
+    f"""with {PARTS}, {TABLED}, x as (select doc_id, unnest(o) as c, generate_subscripts(o, 1) - 1 as k from cut)
+      select doc_id as document_id, k as sequence_number, c.k as chunk_type, {COUNT.format('c.c')} as token_count, md5(c.c) as digest from x""",
+)
+def chunked_tables(t):
+    """Texts with tables between their paragraphs: a table is a chunk of its own."""
+    lines = F.transform(chunking.paragraphs(F.col("text")), lambda x, i: F.when((i + 1) % 5 == 3, F.concat(F.lit("| "), x, F.lit(" |"))).otherwise(x))
+    docs = t("documents").select(F.col("doc_id").alias("document_id"), F.concat_ws("\n", lines).alias("text"), F.lit(None).cast("string").alias("summary"))
+    return chunking.chunk_documents(docs).select("document_id", "sequence_number", "chunk_type", "token_count", F.md5("content").alias("digest"))
+
+
 @query(
     "chunked_by_table_function",
     f"""with {PARTS}, {PACKED} select doc_id as document_id, k as sequence_number, 'text' as chunk_type, {COUNT.format('content')} as token_count, md5(content) as digest from flat
