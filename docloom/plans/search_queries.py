@@ -412,6 +412,14 @@ def shares_topic(t):
     return graph.shared(t("topics"), "topic", 1).withColumn("names", F.concat_ws(",", "names"))
 
 
+@query("topic_partners", "select x.document_id as a, y.document_id as b, count(*) as n from (select distinct document_id, topic from {topics} where document_id % 100 = 0) x join (select distinct document_id, topic from {topics}) y on x.topic = y.topic and x.document_id <> y.document_id group by 1, 2")
+def topic_partners(t):
+    """Documents that share a topic with every hundredth document: only what is asked for of
+    the pairs of ``shares_topic``."""
+    rows = t("topics").select("document_id", F.col("topic").alias("item")).where("item is not null").distinct()
+    return graph.shared_with(rows.where("document_id % 100 = 0"), rows, 1).select("a", "b", "n")
+
+
 @query("superseding", "select src as document_id, dst as newer from {edges} where type = 'SUPERSEDES' and dst is not null and src in (select document_id from {chunks})")
 def superseding(t):
     return graph.superseding(t("chunks"), t("edges"))
