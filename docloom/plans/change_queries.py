@@ -206,10 +206,11 @@ def feed_names(t):
 @query(
     "grant_rows",
     """select event_id as document_id, 'user' as principal_type, cast(user_id as varchar) as principal_id, case when event_type = 'view' then 'write' else 'read' end as role from {events}
-      union all select event_id, 'group', cast(user_id as varchar), case when event_type = 'view' then 'write' else 'read' end from {events} where event_id % 3 = 0""",
+      union all select event_id, 'group', cast(user_id as varchar), case when event_type = 'view' then 'write' else 'read' end from {events} where event_id % 3 = 0
+      union all select event_id, 'site_user', 'site' || user_id, case when event_type = 'view' then 'write' else 'read' end from {events} where event_id % 5 = 0""",
 )
 def grant_rows(t):
-    who = F.struct(F.col("user_id").cast("string").alias("user"), F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).alias("group"), F.lit(None).cast("string").alias("siteUser"))
+    who = F.struct(F.col("user_id").cast("string").alias("user"), F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).alias("group"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("site"), F.col("user_id").cast("string"))).alias("siteUser"))
     none = F.when(F.lit(False), who)
     v2 = F.when(F.col("event_id") % 2 == 0, who).otherwise(none)
     grant = F.struct(F.when(F.col("event_type") == "view", F.array(F.lit("write"))).otherwise(F.array().cast("array<string>")).alias("roles"), v2.alias("grantedToV2"), who.alias("grantedTo"))
@@ -391,9 +392,12 @@ def waterfall(t):
     return metrics.waterfall(_series(t), "label", "v", ["y"]).select("y", "label", "base")
 
 
-@query("heat_matrix", f"with {SERIES} select y, round(sum(v) filter (label = '1-URGENT'), 2) as urgent, round(sum(v) filter (label = '5-LOW'), 2) as low from ser group by y")
+PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+
+
+@query("heat_matrix", f"with {SERIES} select y, " + ", ".join(f"round(sum(v) filter (label = '{k}'), 2) as {n}" for k, n in PRIORITIES.items()) + " from ser group by y")
 def heat_matrix(t):
-    return metrics.matrix(_series(t), "y", "label", "v", ["1-URGENT", "5-LOW"]).withColumnsRenamed({"1-URGENT": "urgent", "5-LOW": "low"})
+    return metrics.matrix(_series(t), "y", "label", "v", list(PRIORITIES)).withColumnsRenamed(PRIORITIES)
 
 
 @query(
@@ -405,9 +409,11 @@ def box_statistics(t):
     return metrics.box_statistics(t("orders").withColumnRenamed("o_orderpriority", "label"), "label", "o_totalprice")
 
 
-@query("column_totals", "select round(sum(try_cast(ctag as double)), 2) as ctag, round(sum(try_cast(name as double)), 2) as name from {feed}")
+@query("column_totals", "select round(sum(try_cast(ctag as double)), 2) as ctag, round(sum(try_cast(case when position % 3 = 0 then name when position % 3 = 1 then cast(size as varchar) end as double)), 2) as cell, round(sum(try_cast(name as double)), 2) as name from {feed}")
 def column_totals(t):
-    return metrics.column_totals(t("feed"), ["ctag", "name"])
+    """Totals of numbers, of numbers among words, and of words alone."""
+    cell = F.when(F.col("position") % 3 == 0, F.col("name")).when(F.col("position") % 3 == 1, F.col("size").cast("string"))
+    return metrics.column_totals(t("feed").withColumn("cell", cell), ["ctag", "cell", "name"])
 
 
 @query("extraction_methods", "select document_id, nullif(count(*) filter (extraction_method = 'ocr'), 0) as ocr_chunks, nullif(count(*) filter (extraction_method = 'native'), 0) as native_chunks, sum(chunk_id % 100) filter (extraction_method = 'ocr') as ocr_tokens, sum(chunk_id % 100) filter (extraction_method = 'native') as native_tokens from {chunks} group by 1")
