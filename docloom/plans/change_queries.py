@@ -495,3 +495,13 @@ def chunk_sink(t):
     for part in (0, 1):
         files.write_chunks(chunks.where(F.col("chunk_id") % 2 == part), docs, path)
     return chunks.sparkSession.read.parquet(path)
+
+
+@query("landed_files", "select sha256(text || chr(10)) as content_hash, cast(strlen(text) + 1 as bigint) as length, count(*) as n, count(*) as ids from {documents} where text is not null group by 1, 2")
+def landed_files(t):
+    """Every document as a file of its own, listed and fingerprinted; ids differ by path."""
+    docs = t("documents").where("text is not null").select("text")
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "files")
+    docs.write.option("maxRecordsPerFile", 1).text(path)
+    found = files.listing(spark, path, ["txt"]).join(files.fingerprints(spark, path), "path")
+    return found.groupBy("content_hash", "length").agg(F.count("*").alias("n"), F.countDistinct("drive_id", "item_id").alias("ids"))
