@@ -59,6 +59,8 @@ CELL_BITS = 20
 BLOCK_BYTES = 8 << 20
 #: Most bytes of vectors, and most of them, in a chunk of a bucket.
 CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 2048
+#: Pairs of a leader, and members of a bucket, that one key of a shuffle holds.
+LEADER_ROWS = 4096
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -304,28 +306,47 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / every if every else 0.0
 
 
-def verified(pairs: DataFrame, body: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts are similar enough."""
+def verified(star: DataFrame, body: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs (lead, node) of ``star`` whose texts are similar enough.
+
+    A leader's vector stands before those of its members, once for each of its ``parts``,
+    so that a task holds one vector and a leader of a third of all texts is many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
         for batch in batches:
-            keep, last, left = [], None, None
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, left = a, opened(x.as_py())
-                keep.append(weighted_jaccard(left, opened(y.as_py())) >= threshold - 1e-9)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    one, two = (body.select(F.col("node").alias(f"node_{x}"), F.col("vec").alias(f"vec_{x}")) for x in "ab")
-    rows = pairs.join(two, pairs["b"] == two["node_b"]).join(one, pairs["a"] == one["node_a"])
-    return rows.select("a", "b", "vec_a", "vec_b").mapInArrow(freeing(run), "a long, b long")
-
-
-def leaders(member: DataFrame) -> DataFrame:
-    """(band, at, lead): the member with most company over all its buckets."""
+            a, b = [], []
+            for lead, node, vec in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if node is None:
+                    left = opened(vec.as_py())
+                elif weighted_jaccard(left, opened(vec.as_py())) >= threshold - 1e-9:
+                    a.append(max(lead, node)), b.append(min(lead, node))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    vec = body.select(F.col("node").alias("vn"), "vec")
+    own = star.join(vec, F.col("node") == F.col("vn")).select("lead", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node", "vec")
+    first = star.groupBy("lead").agg(F.max("parts").alias("parts")).join(vec, F.col("lead") == F.col("vn"))
+    first = first.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("node"), "vec")
+    rows = first.unionByName(own).repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("node").asc_nulls_first())
+    return rows.select("lead", "node", "vec").mapInArrow(freeing(run), "a long, b long")
+
+
+def stars(member: DataFrame, most: int = LEADER_ROWS) -> DataFrame:
+    """(lead, node, parts): every member of a bucket with its leader, the member that has
+    most company over all its buckets; each pair once.
+
+    A leader's pairs are at most its company, and ``parts`` as many as make ``most`` pairs
+    each.  Buckets meet their leaders in parts of ``most`` members."""
     company = member.groupBy("node").agg(F.sum("n").alias("company")).withColumnRenamed("node", "cn")
     rows = member.join(company, member["node"] == company["cn"])
-    return rows.groupBy("band", "at").agg(F.max(F.struct("company", "node")).alias("m")).select(F.col("band").alias("lb"), F.col("at").alias("la"), F.col("m.node").alias("lead"))
+    lead = rows.groupBy("band", "at").agg(F.max(F.struct("company", "node")).alias("m"), F.max("n").alias("n"))
+    cut = lambda n: F.ceil(n / most).cast("long")
+    lead = lead.select(F.col("band").alias("lb"), F.col("at").alias("la"), F.col("m.node").alias("lead"), cut(F.col("m.company")).alias("parts"), F.explode(F.sequence(F.lit(0).cast("long"), cut(F.col("n")) - 1)).alias("ls"))
+    rows = member.withColumn("salt", F.pmod(F.xxhash64("node"), cut(F.col("n"))))
+    rows = rows.join(lead, (F.col("band") == F.col("lb")) & (F.col("at") == F.col("la")) & (F.col("salt") == F.col("ls"))).where("node <> lead")
+    # two leaders may have each other as members
+    rows = rows.groupBy(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).agg(F.max(F.struct("parts", "lead")).alias("m"))
+    return rows.select(F.col("m.lead").alias("lead"), F.when(F.col("a") == F.col("m.lead"), F.col("b")).otherwise(F.col("a")).alias("node"), F.col("m.parts").alias("parts"))
 
 
 def _similar(vecs: list[bytes], rows: np.ndarray, columns: np.ndarray, threshold: float) -> np.ndarray:
@@ -429,9 +450,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, common: float
     own = exact.withColumnRenamed("node", "en").join(member.select("node").distinct(), F.col("en") == F.col("node")).select(F.col("first").alias("own"))
     body = written(bodies(docs, own, idf), "bodies")
 
-    lead = leaders(member)
-    star = member.join(lead, (F.col("band") == F.col("lb")) & (F.col("at") == F.col("la"))).where("node <> lead")
-    star = written(star.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct(), "star")
+    star = written(stars(member), "star")
     links = written(verified(star, body, threshold), "verified")
     drop_written(spark, star)
     part = components(links).select(F.col("node").alias("pn"), "component")
