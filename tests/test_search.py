@@ -163,3 +163,24 @@ def test_bm25_keeps_words_and_pairs_in_tasks(spark):
     rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect()))
     assert len(rows(got)) == 15
     assert rows(got) == rows(lexical._joined(queries, docs, 5, 1.2, 0.75))
+
+
+def test_best_sends_on_few_of_a_slice():
+    import numpy as np
+
+    score = np.round(np.random.default_rng(0).random((5000, 3)), 2)
+    score[:, 1] = np.nan
+    score[:2, 1] = 0.5
+    best = search.Best(3, 4)
+    best.add(score, np.arange(5000))
+    assert best.held < 500
+    query, own, value = best.cut()
+    want = [(q, i, score[i, q]) for q in range(3) for i in sorted((i for i in range(5000) if score[i, q] == score[i, q]), key=lambda i: (-score[i, q], i))[:4]]
+    assert list(zip(query, own, value, strict=True)) == want
+
+
+def test_hybrid_fusion_has_the_lexical_ranking_of_tasks(spark):
+    from docloom.plans.registry import QUERIES
+
+    df = QUERIES["hybrid_fusion"](spark, "/root/testdata/sf0.001")
+    assert "explode" not in df._jdf.queryExecution().executedPlan().toString()
