@@ -125,23 +125,31 @@ _PART = "array<struct<content:string,heading:string,kind:string>>"
 def section_parts(text: Column, headings: Column, inside: bool = False, most: int = MOST, overlap: int = OVERLAP) -> Column:
     """Array of (content, heading, kind): a line that is a known heading starts a segment
     and stays in it; a segment over ``most`` tokens is packed by paragraphs."""
-    lines = F.split(text, "\n")
-    at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: known_heading(F.get(lines, i), headings, inside))
-    starts = F.array_distinct(F.concat(F.array(F.lit(0)), at))
+    # as arrays' elements the lines, the headings and the starts are computed once a text
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
 
-    def segment(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(starts, k + 1), F.size(lines))
-        body = F.trim(F.array_join(F.slice(lines, start + 1, end - start), "\n"))
-        line = F.get(lines, start)
-        named = F.get(F.filter(headings, lambda h: line.contains(h) if inside else F.trim(line) == h), 0)
-        return F.struct(body.alias("content"), F.when(known_heading(line, headings, inside), named).alias("heading"))
+    def named(line: Column, heads: Column) -> Column:
+        if inside:
+            return F.when(F.trim(line) != "", F.get(F.filter(heads, lambda h: line.contains(h)), 0))
+        return F.when(F.array_contains(heads, F.trim(line)), F.trim(line))
+
+    def segment(said: Column, start: Column, end: Column) -> Column:
+        body = F.trim(F.array_join(F.transform(F.slice(said, start + 1, end - start), lambda x: x["line"]), "\n"))
+        return F.struct(body.alias("content"), F.get(said, start)["heading"].alias("heading"))
+
+    def cut(said: Column) -> Column:
+        at = F.filter(F.transform(said, lambda x, i: F.when((i == 0) | x["heading"].isNotNull(), i)), lambda i: i.isNotNull())
+        return once(at, lambda starts: F.transform(starts, lambda start, k: segment(said, start, F.coalesce(F.get(starts, k + 1), F.size(said)))))
+
+    heads = lambda h: F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), named(x, h).alias("heading")))
+    segments = once(once(headings, heads), cut)
 
     def parts(x: Column) -> Column:
         whole = F.array(F.struct(x["content"].alias("content"), x["heading"].alias("heading"), F.lit("text").alias("kind")))
         cut = F.transform(pack(paragraphs(x["content"]), most, overlap), lambda c: F.struct(c["content"].alias("content"), x["heading"].alias("heading"), c["kind"].alias("kind")))
         return F.when(token_count(x["content"]) <= most, whole).otherwise(cut)
 
-    return F.flatten(F.transform(F.filter(F.transform(starts, segment), lambda x: x["content"] != ""), parts))
+    return F.flatten(F.transform(F.filter(segments, lambda x: x["content"] != ""), parts))
 
 
 def text_parts(text: Column, most: int = MOST, overlap: int = OVERLAP) -> Column:

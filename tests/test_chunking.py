@@ -93,3 +93,15 @@ def test_sections_over_the_limit_are_packed(spark):
     assert [x[0] for x in cut(inside=True)] == ["Intro\n\none two\n\nthree four\n\nfive six", "see Intro here", "End\nlast"]
     packed = cut(most=4, overlap=0)
     assert [x[1] for x in packed] == ["Intro"] * 3 + ["End"] and packed[0][0] == "Intro\n\none two"
+
+
+def test_sections_of_a_long_text_take_linear_time(spark):
+    import time
+
+    text = "\n".join(f"Part {i // 6}" if i % 6 == 0 else f"line {i}" for i in range(9000))
+    df = spark.createDataFrame([(text,)], "text string").select(F.explode(chunking.section_parts(F.col("text"), F.array(*[F.lit(f"Part {i}") for i in range(0, 1500, 10)]), most=10**6)).alias("c"))
+    start = time.time()
+    rows = df.collect()
+    assert time.time() - start < 30
+    assert [r.c.heading for r in rows] == [f"Part {i}" for i in range(0, 1500, 10)]
+    assert "\n".join(r.c.content for r in rows) == text
