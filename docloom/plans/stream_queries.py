@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import access, changes, metrics
@@ -19,12 +19,24 @@ BUCKETS = 8
 FILES, FILE_ROWS = 2, 500_000
 
 
+def _landed(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return sum(f.getPath().getName().startswith("part-") for f in found)
+
+
 def _stream(rows: DataFrame, name: str, slice_of: Column, slices: int) -> DataFrame:
-    """``rows`` landed one slice after the other, read as a stream of as many batches."""
+    """``rows`` landed one slice after the other, read as a stream of as many batches.
+
+    A part without rows makes no file, so empty ones fill up a slice to its number of files;
+    a batch would else hold rows of two slices."""
     path = scratch_path(rows.sparkSession, name)
     files = max(FILES, -(-rows.count() // (slices * FILE_ROWS)))
+    none = rows.sparkSession.createDataFrame([], rows.schema)
     for k in range(slices):
         rows.where(slice_of == k).repartition(files).write.mode("append").parquet(path)
+        for _ in range(files * (k + 1) - _landed(rows.sparkSession, path)):
+            none.write.mode("append").parquet(path)
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -99,16 +111,17 @@ def stream_shares_entity(t):
     return feeds.shared_edges(spark, base).withColumn("names", F.concat_ws(",", "names"))
 
 
-# Bursts an hour apart; between them a lone row moves the watermark past the last burst.
+# Bursts an hour apart; between them a lone row moves the watermark past the last burst, and
+# another one's batch lets the state expire, which Spark does after a batch's own rows.
 
 def _bursts(rows: DataFrame, number: Column) -> DataFrame:
     """``rows`` with ``seen_at`` in one of three bursts and their batch ``k``."""
     start = F.lit("2024-01-01").cast("timestamp")
     at = lambda hours, seconds: (start + F.make_interval(hours=hours, secs=seconds)).cast("timestamp")
-    out = rows.withColumns({"burst": (number % 3).cast("int"), "seen_at": at((number % 3).cast("int"), (number % 240).cast("int"))}).withColumn("k", 2 * F.col("burst"))
-    ticks = rows.sparkSession.range(3).select(F.col("id").cast("int").alias("burst"))
+    out = rows.withColumns({"burst": (number % 3).cast("int"), "seen_at": at((number % 3).cast("int"), (number % 240).cast("int"))}).withColumn("k", 3 * F.col("burst"))
+    ticks = rows.sparkSession.range(6).select((F.col("id") % 3).cast("int").alias("burst"), F.floor(F.col("id") / 3).cast("int").alias("turn"))
     lone = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
-    ticks = ticks.select(*lone, "burst", at(F.col("burst"), F.lit(2400)).alias("seen_at"), (2 * F.col("burst") + 1).alias("k"))
+    ticks = ticks.select(*lone, "burst", at(F.col("burst"), F.lit(2400)).alias("seen_at"), (3 * F.col("burst") + 1 + F.col("turn")).alias("k"))
     return out.unionByName(ticks)
 
 
@@ -116,7 +129,7 @@ def _bursts(rows: DataFrame, number: Column) -> DataFrame:
 def stream_notices(t):
     """One notification per drive and burst: those within the watermark collapse."""
     rows = _bursts(t("feed").select("drive_id", "position"), F.col("position"))
-    out = feeds.collapse_notifications(_stream(rows, "notices", F.col("k"), 6))
+    out = feeds.collapse_notifications(_stream(rows, "notices", F.col("k"), 9))
     return _drained(out.select("drive_id", "burst"), "notices").where("drive_id is not null").groupBy("drive_id", "burst").agg(F.count("*").alias("n"))
 
 
@@ -139,7 +152,7 @@ def stream_queries(t):
     """Questions of each burst without those that repeat within two minutes."""
     rows = t("conversations").where("role = 'user'").select("text", F.lit(None).cast("string").alias("department"), "conv_id")
     rows = _bursts(rows, F.col("conv_id")).withColumn("seen_at", F.when(F.col("text").isNull(), F.col("seen_at")).otherwise(F.date_trunc("hour", "seen_at")))
-    out = feeds.dedup_queries(_stream(rows, "questions", F.col("k"), 6)).where("text is not null")
+    out = feeds.dedup_queries(_stream(rows, "questions", F.col("k"), 9)).where("text is not null")
     return _drained(out.select("key", "burst"), "questions").groupBy("burst").agg(F.count("*").alias("questions"))
 
 

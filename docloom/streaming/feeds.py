@@ -142,7 +142,10 @@ def collapse_notifications(notices: DataFrame, within: str = "10 minutes") -> Da
 
 
 def dedup_queries(queries: DataFrame, within: str = "2 minutes") -> DataFrame:
-    """Drop repeated questions of a department within two minutes."""
+    """Drop repeated questions of a department within two minutes.
+
+    A question is forgotten at the end of the first batch whose watermark has passed that
+    time, so a later repeat in that batch or an earlier one goes too."""
     key = F.sha2(F.concat_ws(":", F.lower("text"), F.coalesce("department", F.lit(""))), 256)
     return queries.withColumn("key", key).withWatermark("seen_at", within).dropDuplicatesWithinWatermark(["key"])
 

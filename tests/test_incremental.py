@@ -123,3 +123,23 @@ def test_streamed_edges_equal_the_batch_result(spark, tmp_path, monkeypatch):
             monkeypatch.setattr(buckets, "save", real)
         run()
         assert _rows(feeds.shared_edges(spark, base)) == _pairs(sets, 2)
+
+
+def test_a_batch_of_a_landed_stream_is_one_slice(spark):
+    from docloom.plans import stream_queries
+
+    for parts in (1, 2, 3, 4):
+        rows = spark.range(40, numPartitions=parts).select("id", (F.col("id") % 2 * 2).alias("k"))
+        rows = rows.unionByName(spark.range(1).select(F.lit(99).cast("long").alias("id"), F.lit(1).cast("long").alias("k")))
+        seen = []
+        stream = stream_queries._stream(rows, "slices", F.col("k"), 3)
+        stream.writeStream.foreachBatch(lambda b, n: seen.append({r.k for r in b.collect()})).trigger(availableNow=True).start().awaitTermination()  # noqa: B023
+        assert seen == [{0}, {1}, {2}]
+
+
+def test_a_question_counts_again_in_a_later_burst(spark):
+    from docloom.plans import stream_queries
+
+    rows = spark.createDataFrame([(i, "user", "What now?" if i < 6 else f"q {i}") for i in range(9)], "conv_id long, role string, text string")
+    got = {r.burst: r.questions for r in stream_queries.stream_queries(lambda name: rows).collect()}
+    assert got == {0: 2, 1: 2, 2: 2}
