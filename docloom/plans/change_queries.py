@@ -502,6 +502,8 @@ def landed_files(t):
     """Every document as a file of its own, listed and fingerprinted; ids differ by path."""
     docs = t("documents").where("text is not null").select("text")
     spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "files")
-    docs.write.option("maxRecordsPerFile", 1).text(path)
-    found = files.listing(spark, path, ["txt"]).join(files.fingerprints(spark, path), "path")
+    # tasks move their files into place themselves: the other way the driver moves them one by one
+    docs.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+    # a partition of a scan holds few small files, so many of them are one task
+    found = files.listing(spark, path, ["txt"], fingerprint=True).coalesce(4 * spark.sparkContext.defaultParallelism)
     return found.groupBy("content_hash", "length").agg(F.count("*").alias("n"), F.countDistinct("drive_id", "item_id").alias("ids"))

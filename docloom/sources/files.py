@@ -15,12 +15,14 @@ FEED_SCHEMA = """value array<struct<id:string,name:string,webUrl:string,cTag:str
   `@odata.nextLink` string, `@odata.deltaLink` string"""
 
 
-def listing(spark: SparkSession, folder: str, extensions: list[str] = EXTENSIONS, glob: str = "*") -> DataFrame:
+def listing(spark: SparkSession, folder: str, extensions: list[str] = EXTENSIONS, glob: str = "*", fingerprint: bool = False) -> DataFrame:
     """(path, name, length, modified_at, drive_id, item_id) of all supported files below a
-    folder.  Contents are not read; the ids come from the path, so a new run finds the same."""
+    folder.  Contents are not read; the ids come from the path, so a new run finds the same.
+
+    With ``fingerprint`` they are read, once, for ``content_hash`` as of ``fingerprints``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     name = F.substring_index("path", "/", -1)
-    out = files.select("path", name.alias("name"), "length", F.col("modificationTime").alias("modified_at"), *path_ids(F.col("path")))
+    out = files.select("path", name.alias("name"), "length", F.col("modificationTime").alias("modified_at"), *path_ids(F.col("path")), *([F.sha2("content", 256).alias("content_hash")] if fingerprint else []))
     return out.where(file_extension(F.col("name")).isin(extensions))
 
 
