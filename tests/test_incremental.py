@@ -48,6 +48,26 @@ def test_shared_with_some_documents(spark):
     assert _rows(graph.shared_with(wanted, rows, 2)) == want
 
 
+@pytest.mark.parametrize("least", [1, 2])
+def test_shared_with_in_small_chunks(spark, least):
+    sets = _sets(11)
+    rows = spark.createDataFrame([(d, x) for d, s in sets.items() for x in s], "document_id long, item string")
+    want = sorted(r for a, b, n, names in _pairs(sets, least) for r in ((a, b, n, names), (b, a, n, names)) if r[0] % 10 == 4)
+    assert _rows(graph.shared_with(rows.where("document_id % 10 = 4"), rows, least, chunk=3)) == want
+    single = {d: {f"t{d % 2}"} for d in range(50)}
+    rows = spark.createDataFrame([(d, x) for d, s in single.items() for x in s], "document_id long, item string")
+    want = sorted(r for a, b, n, names in _pairs(single, 1) for r in ((a, b, n, names), (b, a, n, names)) if r[0] % 10 == 4)
+    assert _rows(graph.shared_with(rows.where("document_id % 10 = 4"), rows, 1, chunk=3)) == want
+
+
+def test_pairs_of_one_item_are_many_tasks(spark):
+    """Small inputs that make many pairs are not merged into a few tasks."""
+    rows = spark.range(2000).select(F.col("id").alias("document_id"), F.lit("all").alias("item"))
+    most = lambda df: max(df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first())
+    assert most(graph.shared_with(rows.where("document_id % 10 = 0"), rows, 1, chunk=50)) < 200 * 2000 / 8
+    assert most(graph.shared(rows, "item", 1, chunk=100)) < 2000 * 2000 / 2 / 8
+
+
 def test_a_version_holds_what_was_touched(spark, tmp_path):
     base = str(tmp_path / "t")
     rows = spark.range(100).select("id", F.lit("old").alias("v"))
