@@ -1,19 +1,26 @@
 """Documents to chunks, as column expressions: a document never leaves its task.
 
 The sequential packers are folds over an array of paragraphs with a struct as state,
-so no Python runs and no shuffle happens; ``posexplode`` ends each of them.  Limits are
+so no Python runs there and no shuffle happens; ``posexplode`` ends each of them.  Limits are
 in tokens, by ``functions.text.token_count``.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from docloom.functions.hooks import hashed_vector
 from docloom.functions.text import token_count
-from docloom.functions.vectors import cosine
 
+#: Documents whose words a task holds at once, and words whose hashes it keeps.
+DOCUMENTS, HELD_WORDS = 512, 1 << 18
 # Limits of chunks and slides, in tokens.
 TARGET, MOST, OVERLAP, SLIDE_LEAST = 450, 600, 60, 20
 
@@ -375,13 +382,54 @@ def slide_text(slides: DataFrame) -> DataFrame:
     return slides.groupBy("document_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(block)), lambda b: b["t"])).alias("text"))
 
 
+def _neighbours(texts: pa.Array, dim: int, place: Callable[[bytes], int]) -> pa.Array:
+    """Cosine of each sentence and the next one, by counts of words in ``dim`` places, for
+    documents given as lists of lower-cased sentences; ``place`` is that of a word."""
+    ends = texts.offsets.to_numpy() - texts.offsets[0].as_py()
+    said = texts.flatten().cast(pa.large_binary())
+    n = len(said)
+    bounds = np.frombuffer(said.buffers()[1], np.int64)[said.offset : said.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(said.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    # words are runs of a to z inside a sentence: where they start, in all bytes and in the letters
+    letter = (data >= 97) & (data <= 122)
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    inner = bounds[:-1][bounds[:-1] < len(data)]
+    first[inner] = letter[inner]
+    starts = np.flatnonzero(first)
+    letters = data[letter]
+    cuts = np.append(np.flatnonzero(first[letter]), len(letters)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(letters)]).dictionary_encode()
+    # each distinct word is hashed once
+    places = np.array([place(w) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
+    sentence = np.searchsorted(bounds, starts, "right") - 1
+    counts = np.bincount(sentence * dim + places, minlength=n * dim).reshape(-1, dim).astype(float)
+    norms = np.sqrt((counts * counts).sum(1))
+    dots, bottom = (counts[:-1] * counts[1:]).sum(1), norms[:-1] * norms[1:]
+    near, known = np.zeros(n), np.zeros(n, bool)
+    known[:-1] = bottom > 0
+    near[:-1][known[:-1]] = dots[known[:-1]] / bottom[known[:-1]]
+    known[ends[1:][ends[1:] > ends[:-1]] - 1] = False
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(near, mask=~known))
+
+
 def sentence_pairs(docs: DataFrame, dim: int = 32) -> DataFrame:
     """(document_id, sentence, similarity): each sentence and how like the next one it is,
-    by default embeddings; the last has none.  A document stays in its row."""
-    v = F.transform(sentences(F.col("text")), lambda t: hashed_vector(t, dim))
-    rows = docs.select("document_id", v.alias("_v"))
-    near = F.transform("_v", lambda x, i: F.round(cosine(x, F.get(F.col("_v"), i + 1)), 6))
-    return rows.select("document_id", F.posexplode(near).alias("sentence", "similarity")).withColumn("sentence", F.col("sentence").cast("long"))
+    by default embeddings (``hooks.hashed_vector``); the last has none.  A document stays in
+    its row, and words are counted by Arrow and numpy, a few documents at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = lru_cache(HELD_WORDS)(lambda w: int(hashlib.md5(w).hexdigest()[:4], 16) % dim)
+        for batch in batches:
+            for k in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(k, DOCUMENTS)
+                yield pa.RecordBatch.from_arrays([part.column(0), _neighbours(part.column(1), dim, place)], names=["document_id", "near"])
+
+    rows = docs.where("text is not null").select("document_id", F.transform(sentences(F.col("text")), F.lower).alias("_s"))
+    kind = StructType([rows.schema["document_id"], StructField("near", ArrayType(DoubleType()))])
+    out = rows.mapInArrow(run, kind).select("document_id", F.posexplode("near").alias("sentence", "similarity"))
+    return out.select("document_id", F.col("sentence").cast("long").alias("sentence"), F.round("similarity", 6).alias("similarity"))
 
 
 def topic_boundaries(pairs: DataFrame, threshold: float = 0.75, least: int = 3) -> DataFrame:

@@ -1,9 +1,13 @@
 """Properties of the packers and small cases of the other chunkers."""
 
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docloom.functions import hooks, vectors
 from docloom.operators import chunking
 
 
@@ -105,3 +109,19 @@ def test_sections_of_a_long_text_take_linear_time(spark):
     assert time.time() - start < 30
     assert [r.c.heading for r in rows] == [f"Part {i}" for i in range(0, 1500, 10)]
     assert "\n".join(r.c.content for r in rows) == text
+
+
+def test_sentence_pairs_equal_the_default_embeddings(spark):
+    """Against the vectors of ``hooks.hashed_vector``, one sentence at a time; the words are
+    not counted place by place."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(["a", "Bc", "\u00e9t\u00e9", "K\u212a", "x1y", "\u0130z", "9", "\U0001f600", "the"])
+    texts = [" ".join(word() + rng.choice(["", ".", "! X", "?\u00a0Y", ".\nZ"]) for _ in range(rng.randrange(30))) for _ in range(700)]
+    docs = spark.createDataFrame([*enumerate([*texts, "", None, "no end", "A. B. 9. C", "a"])], "document_id long, text string").repartition(3)
+    v = docs.select("document_id", F.posexplode(chunking.sentences(F.col("text"))).alias("s", "t")).select("document_id", "s", hooks.hashed_vector(F.col("t"), 32).alias("v"))
+    near = F.round(vectors.cosine("v", F.lead("v").over(Window.partitionBy("document_id").orderBy("s"))), 6)
+    want = sorted(map(repr, (tuple(r) for r in v.select("document_id", "s", near).collect())))
+    out = chunking.sentence_pairs(docs)
+    assert sorted(map(repr, (tuple(r) for r in out.collect()))) == want
+    assert chunking.sentence_pairs(docs.limit(0)).count() == 0
+    assert "md5" not in out._jdf.queryExecution().executedPlan().toString()
