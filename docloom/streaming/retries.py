@@ -4,26 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Seconds before the first retry, doubled each time, and how many there are.
 BASE_SECONDS, MOST = 60, 3
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Kind ``retry`` is due at ``at``; kind ``given_up`` tells of the failure after the last one.
-SCHEMA = "document_id string, kind string, attempt long, at timestamp"
+SCHEMA = "document_id string, kind string, attempt long, ms long"
 
 
-def advanced(sent: pd.DataFrame, failures: int, due: int, base: int, most: int) -> tuple[int, int, list[tuple[str, int, int]]]:
+def advanced(sent: list[tuple[int, str]], failures: int, due: int, base: int, most: int) -> tuple[int, int, list[tuple[str, int, int]]]:
     """A document's outcomes (at, status) in order of time on its state: failures so far
     and when its waiting retry is due (0: none), both as after them, and what came due.
 
     A failure starts a wait; one that comes while a retry is waiting is the same failure."""
     out: list[tuple[str, int, int]] = []
-    sent = sent.assign(at=sent["at"].astype("datetime64[ms]").astype("int64")).sort_values(["at", "status"])
-    for at, status in zip(sent["at"].tolist(), sent["status"].tolist(), strict=True):
+    for at, status in sorted(sent):
         if due and due <= at:
             out.append(("retry", failures, due))
             due = 0
@@ -37,49 +37,42 @@ def advanced(sent: pd.DataFrame, failures: int, due: int, base: int, most: int)
     return failures, due, out
 
 
-def _rows(key: str, out: list[tuple[str, int, int]]) -> pd.DataFrame:
-    words = lambda x: pd.Series(x, dtype=object)
-    return pd.DataFrame({"document_id": words([str(key)] * len(out)), "kind": words([o[0] for o in out]), "attempt": pd.Series([o[1] for o in out], dtype="int64"), "at": pd.to_datetime(pd.Series([o[2] for o in out], dtype="int64"), unit="ms")})
+def _pairs(sent: pd.DataFrame) -> list[tuple[int, str]]:
+    return list(zip(sent["ms"].tolist(), sent["status"].tolist(), strict=True))
 
 
-class Retries(StatefulProcessor):
-    """``advanced`` on state and timers that Spark keeps; a completed document, and one
-    that has been given up, has no state."""
+def _rows(key: str, out: list[tuple[str, int, int]]) -> pd.DataFrame:
+    kinds, attempts, at = zip(*out, strict=True) if out else ((), (), ())
+    return pd.DataFrame({"document_id": [key] * len(out), "kind": list(kinds), "attempt": np.array(attempts, np.int64), "ms": np.array(at, np.int64)})
 
-    def __init__(self, base_seconds: int, most: int):
-        self.base, self.most = base_seconds * 1000, most
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("wait", "failures long, due long")
+def _step(base: int, most: int):
+    """``advanced`` on state that Spark sends and takes back with a task's rows, and a timeout
+    when the retry is due; a completed document, and one that has been given up, has no
+    state."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        failures, timer = self.state.get() if self.state.exists() else (0, 0)
-        failures, due, out = advanced(pd.concat(list(rows)), failures, timer, self.base, self.most)
-        if timer != due:
-            if timer:
-                self.handle.deleteTimer(timer)
-            if due:
-                self.handle.registerTimer(due)
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures, due = state.getOption or (0, 0)
+        sent = [] if state.hasTimedOut else [p for part in rows for p in _pairs(part)]
+        failures, due, out = advanced(sent, failures, due, base, most)
+        # what is due by now does not wait: outcomes that come later are later than it
+        if due and due <= state.getCurrentWatermarkMs():
+            out.append(("retry", failures, due))
+            due = 0
         if failures:
-            self.state.update((failures, due))
-        else:
-            self.state.clear()
-        yield _rows(key[0], out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        failures, due = self.state.get() if self.state.exists() else (0, 0)
-        fired = due == expiredTimerInfo.getExpiryTimeInMs()
-        if fired:
-            self.state.update((failures, 0))
-        yield _rows(key[0], [("retry", failures, due)] if fired else [])
+            state.update((failures, due))
+            if due:
+                state.setTimeoutTimestamp(due)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield _rows(key[0], out)
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def use_timers(spark: SparkSession) -> None:
-    """Timers need the state store that keeps them sorted."""
+    """Waiting documents are kept on disk, not in the executors' memory."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
@@ -88,6 +81,15 @@ def _outcomes(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("document_id").cast("string").alias("document_id"), "status", F.date_trunc("millisecond", F.col("at").cast("timestamp")).alias("at"))
 
 
+def _sent(rows: DataFrame):
+    """By document, with the time in milliseconds beside the event time."""
+    return rows.withColumn("ms", F.unix_millis("at")).groupBy("document_id")
+
+
+def _due(told: DataFrame) -> DataFrame:
+    return told.withColumn("ms", F.timestamp_millis("ms")).withColumnRenamed("ms", "at")
+
+
 def retry_stream(outcomes: DataFrame, late: str = "1 minute", base_seconds: int = BASE_SECONDS, most: int = MOST) -> DataFrame:
     """Retries that are due, from a stream (document_id, status, at) of failed and completed
     attempts: failure number n is retried ``base_seconds * 2 ** (n - 1)`` later, once the
@@ -96,14 +98,14 @@ def retry_stream(outcomes: DataFrame, late: str = "1 minute", base_seconds: int
     State and timers are in Spark's checkpoint, so a batch that is lost is run again with
     the state from before it; outcomes that are later than the watermark are dropped."""
     rows = _outcomes(outcomes).withWatermark("at", late)
-    return rows.groupBy("document_id").transformWithStateInPandas(Retries(base_seconds, most), SCHEMA, "Append", "EventTime")
+    return _due(_sent(rows).applyInPandasWithState(_step(base_seconds * 1000, most), SCHEMA, "failures long, due long", "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def retries(outcomes: DataFrame, base_seconds: int = BASE_SECONDS, most: int = MOST) -> DataFrame:
     """The same of a table that is complete, one document's outcomes at a time."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        failures, due, out = advanced(rows, 0, 0, base_seconds * 1000, most)
+        failures, due, out = advanced(_pairs(rows), 0, 0, base_seconds * 1000, most)
         return _rows(rows["document_id"].iloc[0], [*out, *([("retry", failures, due)] if due else [])])
 
-    return _outcomes(outcomes).groupBy("document_id").applyInPandas(run, SCHEMA)
+    return _due(_sent(_outcomes(outcomes)).applyInPandas(run, SCHEMA))

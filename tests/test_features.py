@@ -85,6 +85,21 @@ def test_retry_stream_survives_a_lost_batch(spark, tmp_path):
     assert _told(spark.read.schema("document_id string, kind string, attempt long, at timestamp").parquet(out)) == _expected(rows)
 
 
+def test_retries_that_are_due_before_the_watermark(spark, tmp_path):
+    """A batch's outcomes may be older than what the batch before has moved the watermark
+    to; state goes with the rows of a task, not in calls for each document."""
+    retries.use_timers(spark)
+    at = lambda s: START + datetime.timedelta(seconds=s)
+    sent = [[("d1", "failed", at(10))], [("d3", "failed", at(90)), ("clock", "completed", at(10_000))], [("d2", "failed", at(500)), ("d1", "failed", at(600)), ("d1", "completed", at(20_000))], [("clock", "completed", at(90_000))]]
+    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for part in sent:
+        spark.createDataFrame(part, OUTCOME).coalesce(1).write.mode("append").parquet(folder)
+    found = retries.retry_stream(spark.readStream.schema(OUTCOME).option("maxFilesPerTrigger", 1).parquet(folder), late="1 second")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    assert _told(spark.read.schema(found.schema).parquet(out)) == _expected([r for part in sent for r in part if r[0] != "clock"])
+    assert "TransformWithState" not in found._jdf.queryExecution().toString()
+
+
 def test_chunk_table_function(spark):
     rng = random.Random(3)
     texts = ["\n\n".join("| a | b |" if rng.random() < 0.1 else " ".join(rng.choice(["word", "x1", "né", "(a)", "\t"]) for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(12))) for _ in range(40)]
