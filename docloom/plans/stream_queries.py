@@ -34,7 +34,7 @@ def _stream(rows: DataFrame, name: str, slice_of: Column, slices: int) -> DataFr
     files = max(FILES, -(-rows.count() // (slices * FILE_ROWS)))
     none = rows.sparkSession.createDataFrame([], rows.schema)
     for k in range(slices):
-        rows.where(slice_of == k).repartition(files).write.mode("append").parquet(path)
+        rows.where(slice_of == k).repartition(files).write.mode("append").option("compression", "zstd").parquet(path)
         for _ in range(files * (k + 1) - _landed(rows.sparkSession, path)):
             none.write.mode("append").parquet(path)
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
@@ -78,7 +78,8 @@ def stream_index(t):
     """Chunks kept in step with documents that come, come again and are deleted."""
     docs = t("documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 3).alias("k"), "text", F.lit("completed").alias("status"))
     again = docs.where("document_id % 6 = 0").withColumns({"k": F.lit(2).cast("long"), "text": F.concat(F.lit("again "), F.col("document_id").cast("string"))})
-    gone = docs.where("document_id % 9 = 4").withColumns({"k": F.lit(3).cast("long"), "status": F.lit("deleted")})
+    # that a document is gone is said without its text
+    gone = docs.where("document_id % 9 = 4").withColumns({"k": F.lit(3).cast("long"), "text": F.lit(None).cast("string"), "status": F.lit("deleted")})
     spark = docs.sparkSession
     base = scratch_path(spark, "chunks")
     build = lambda rows: rows.select("document_id", F.col("text").alias("content"))

@@ -72,7 +72,8 @@ def save(rows: DataFrame, base: str, version: int, which: list[int], key: list[s
     held: set[int] = set()
     if which:
         path = f"{base}/data/v={version}"
-        rows.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        # a large bucket is several tasks, which sort its rows without a spill
+        rows.withColumn("bucket", bucket_of(key, buckets)).hint("rebalance", "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
         held = {int(n.split("=")[1]) for n in _names(spark, path) if n.startswith("bucket=")}
     state |= {b: version if b in held else None for b in which}
     fs, temporary = _fs(spark, f"{base}/state/{version}.unfinished")

@@ -50,6 +50,16 @@ def last_versions(batch: DataFrame, order: str) -> DataFrame:
     return batch.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
+def _ranked_only(batch: DataFrame, order: str, repeated: DataFrame) -> DataFrame:
+    """``last_versions`` where only the documents ``repeated`` have more than one row: the
+    texts of the others are not shuffled for it."""
+    if repeated.isEmpty():
+        return batch
+    ids = repeated.select(F.col("document_id").alias("_d"))
+    same = F.col("document_id").eqNullSafe(F.col("_d"))
+    return batch.join(ids, same, "left_anti").unionByName(last_versions(batch.join(ids, same, "left_semi"), order))
+
+
 def index_stream(documents: DataFrame, base: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], order: str, size: int = buckets.BUCKETS, keep: int = 2) -> StreamingQuery:
     """Keep a derived table (chunks, mentions) in step with a stream of documents.
 
@@ -58,12 +68,19 @@ def index_stream(documents: DataFrame, base: str, checkpoint: str, build: Callab
     which a batch rewrites the buckets of its documents."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark, batch = batch.sparkSession, last_versions(batch, order)
-        which = buckets.touched(batch, DOCUMENT, size)
+        spark = batch.sparkSession
+        ids = kept(batch.groupBy(*DOCUMENT).agg(F.count("*").alias("n")), "ids")
+        repeated = kept(ids.where("n > 1").select(*DOCUMENT), "repeated")
+        which = buckets.touched(ids, DOCUMENT, size)
         old = buckets.load(spark, base, which, number)
-        new = build(batch.where("status <> 'deleted'"))
-        buckets.save(changes.delete_documents(old, batch).unionByName(new), base, number + 1, which, DOCUMENT, size)
+        # ids go first: stored texts are shuffled for it only if many of them are replaced
+        replaced = kept(old.select(*DOCUMENT).distinct().join(ids, "document_id", "left_semi"), "replaced")
+        stay = old if replaced.isEmpty() else changes.delete_documents(old, replaced)
+        new = build(_ranked_only(batch, order, repeated).where("status <> 'deleted'"))
+        buckets.save(stay.unionByName(new), base, number + 1, which, DOCUMENT, size)
         buckets.expire(spark, base, keep)
+        for done in (ids, repeated, replaced):
+            dropped(done)
 
     return documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

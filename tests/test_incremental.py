@@ -145,6 +145,28 @@ def test_streamed_edges_equal_the_batch_result(spark, tmp_path, monkeypatch):
         assert _rows(feeds.shared_edges(spark, base)) == _pairs(sets, 2)
 
 
+def test_an_index_shuffles_no_text_to_find_what_is_replaced(spark, tmp_path, monkeypatch):
+    """Documents that come, come twice in a batch, come again and go, against a dict; a batch
+    of new documents is neither ranked nor held against the stored texts."""
+    folder, base, mark = (str(tmp_path / n) for n in ("in", "t", "m"))
+    schema = "document_id long, k long, text string, status string"
+    build = lambda rows: rows.select("document_id", F.col("text").alias("content"))
+    buckets.create(build(spark.createDataFrame([], schema)), base, feeds.DOCUMENT, 4)
+    plans, real = [], buckets.save
+    monkeypatch.setattr(buckets, "save", lambda rows, *args: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), real(rows, *args)))
+    batches = [[(d, 0, f"a{d}", "completed") for d in range(20)], [(d, 1, f"b{d}", "completed") for d in range(20, 40)]]
+    batches.append([(3, 2, "c", "completed"), (3, 3, "d", "completed"), (4, 2, "e", "completed"), (4, 3, None, "deleted"), (50, 2, "f", "completed"), (7, 2, None, "deleted")])
+    want = {}
+    for sent in batches:
+        spark.createDataFrame(sent, schema).coalesce(1).write.mode("append").parquet(folder)
+        for d, _, text, status in sent:
+            want[d] = text if status == "completed" else None
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        feeds.index_stream(stream, base, mark, build, "k", 4).awaitTermination()
+        assert sorted((r.document_id, r.content) for r in buckets.load(spark, base).collect()) == sorted((d, t) for d, t in want.items() if t)
+    assert ["Join" in p or "Window" in p for p in plans] == [False, False, True]
+
+
 def test_a_batch_of_a_landed_stream_is_one_slice(spark):
     from docloom.plans import stream_queries
 
