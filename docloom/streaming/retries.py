@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Seconds before the first retry, doubled each time, and how many there are.
 BASE_SECONDS, MOST = 60, 3
+#: What the watermark counts as a millisecond: pandas has nanoseconds, which end in 2262.
+TICK = 1000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Kind ``retry`` is due at ``at``; kind ``given_up`` tells of the failure after the last one.
 SCHEMA = "document_id string, kind string, attempt long, ms long"
@@ -38,7 +40,7 @@ def advanced(sent: list[tuple[int, str]], failures: int, due: int, base: int, mo
 
 
 def _pairs(sent: pd.DataFrame) -> list[tuple[int, str]]:
-    return list(zip(sent["ms"].tolist(), sent["status"].tolist(), strict=True))
+    return [(v >> 1, "failed" if v & 1 else "completed") for v in sent["sent"].tolist()]
 
 
 def _rows(key: str, out: list[tuple[str, int, int]]) -> pd.DataFrame:
@@ -56,13 +58,13 @@ def _step(base: int, most: int):
         sent = [] if state.hasTimedOut else [p for part in rows for p in _pairs(part)]
         failures, due, out = advanced(sent, failures, due, base, most)
         # what is due by now does not wait: outcomes that come later are later than it
-        if due and due <= state.getCurrentWatermarkMs():
+        if due and due <= state.getCurrentWatermarkMs() * TICK:
             out.append(("retry", failures, due))
             due = 0
         if failures:
             state.update((failures, due))
             if due:
-                state.setTimeoutTimestamp(due)
+                state.setTimeoutTimestamp(-(-due // TICK))
         elif state.exists:
             state.remove()
         if out:
@@ -77,13 +79,17 @@ def use_timers(spark: SparkSession) -> None:
 
 
 def _outcomes(rows: DataFrame) -> DataFrame:
-    rows = rows.where("document_id is not null and at is not null and status in ('failed', 'completed')")
-    return rows.select(F.col("document_id").cast("string").alias("document_id"), "status", F.date_trunc("millisecond", F.col("at").cast("timestamp")).alias("at"))
+    """Times go to Python as milliseconds, with the status as their last bit: a timestamp
+    would there be one of nanoseconds, and each column costs time for each document."""
+    rows = rows.where("document_id is not null and at is not null and status in ('failed', 'completed')").withColumn("at", F.col("at").cast("timestamp"))
+    sent = F.unix_millis("at") * 2 + (F.col("status") == "failed").cast("long")
+    return rows.select(F.col("document_id").cast("string").alias("document_id"), sent.alias("sent"), F.timestamp_millis(F.unix_seconds("at")).alias("clock"))
 
 
-def _sent(rows: DataFrame):
-    """By document, with the time in milliseconds beside the event time."""
-    return rows.withColumn("ms", F.unix_millis("at")).groupBy("document_id")
+def _ticks(spark: SparkSession, late: str) -> str:
+    """``late`` on the clock, and a tick more: what it lets through is let through there."""
+    ms = spark.sql("select unix_millis(timestamp_millis(0) + cast(:late as interval)) as ms", args={"late": late}).first().ms
+    return f"{-(-ms // TICK) + 1} milliseconds"
 
 
 def _due(told: DataFrame) -> DataFrame:
@@ -93,12 +99,13 @@ def _due(told: DataFrame) -> DataFrame:
 def retry_stream(outcomes: DataFrame, late: str = "1 minute", base_seconds: int = BASE_SECONDS, most: int = MOST) -> DataFrame:
     """Retries that are due, from a stream (document_id, status, at) of failed and completed
     attempts: failure number n is retried ``base_seconds * 2 ** (n - 1)`` later, once the
-    watermark has passed that time, and ``most`` times at most.
+    watermark has passed that time, and ``most`` times at most.  The watermark counts whole
+    seconds and is behind by ``late`` and up to two of them.
 
     State and timers are in Spark's checkpoint, so a batch that is lost is run again with
     the state from before it; outcomes that are later than the watermark are dropped."""
-    rows = _outcomes(outcomes).withWatermark("at", late)
-    return _due(_sent(rows).applyInPandasWithState(_step(base_seconds * 1000, most), SCHEMA, "failures long, due long", "append", GroupStateTimeout.EventTimeTimeout))
+    rows = _outcomes(outcomes).withWatermark("clock", _ticks(outcomes.sparkSession, late))
+    return _due(rows.groupBy("document_id").applyInPandasWithState(_step(base_seconds * 1000, most), SCHEMA, "failures long, due long", "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def retries(outcomes: DataFrame, base_seconds: int = BASE_SECONDS, most: int = MOST) -> DataFrame:
@@ -108,4 +115,4 @@ def retries(outcomes: DataFrame, base_seconds: int = BASE_SECONDS, most: int = M
         failures, due, out = advanced(_pairs(rows), 0, 0, base_seconds * 1000, most)
         return _rows(rows["document_id"].iloc[0], [*out, *([("retry", failures, due)] if due else [])])
 
-    return _due(_sent(_outcomes(outcomes)).applyInPandas(run, SCHEMA))
+    return _due(_outcomes(outcomes).drop("clock").groupBy("document_id").applyInPandas(run, SCHEMA))

@@ -100,6 +100,19 @@ def test_retries_that_are_due_before_the_watermark(spark, tmp_path):
     assert "TransformWithState" not in found._jdf.queryExecution().toString()
 
 
+def test_retries_beyond_nanoseconds(spark, tmp_path):
+    """Times after 2262 have no nanoseconds in pandas; fractions of a second stay."""
+    retries.use_timers(spark)
+    rows = [(d, status, at.replace(year=at.year + years) + datetime.timedelta(milliseconds=7)) for years in (0, 300, 3000) for d, status, at in _outcomes(4, 5, 30)]
+    clock = [("clock", "completed", rows[-1][2] + datetime.timedelta(days=days)) for days in (1, 2)]
+    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for part in (rows[:30], rows[30:60], rows[60:], clock[:1], clock[1:]):
+        spark.createDataFrame(part, OUTCOME).coalesce(1).write.mode("append").parquet(folder)
+    found = retries.retry_stream(spark.readStream.schema(OUTCOME).option("maxFilesPerTrigger", 1).parquet(folder), late="1 second")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    assert _told(spark.read.schema(found.schema).parquet(out)) == _expected(rows) == _told(retries.retries(spark.createDataFrame(rows, OUTCOME)))
+
+
 def test_chunk_table_function(spark):
     rng = random.Random(3)
     texts = ["\n\n".join("| a | b |" if rng.random() < 0.1 else " ".join(rng.choice(["word", "x1", "né", "(a)", "\t"]) for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(12))) for _ in range(40)]
