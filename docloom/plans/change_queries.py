@@ -480,10 +480,9 @@ def landed_pages(t):
     )
     rows = t("feed")
     pages = rows.groupBy("drive_id", F.floor(F.col("position") / 200).alias("page")).agg(F.collect_list(item).alias("value"))
-    path = scratch_path(rows.sparkSession, "pages")
-    pages.select(F.to_json(F.struct("value")).alias("text")).write.option("maxRecordsPerFile", 1).text(path)
+    landed = files.land(pages.select(F.to_json(F.struct("value")).alias("text")), scratch_path(rows.sparkSession, "pages"))
     columns = ["drive_id", "item_id", "name", "ctag", "etag", "parent_path", "size", "url", "mime_type", "created_by", "modified_by", "is_deleted", "is_folder"]
-    return files.feed(rows.sparkSession, path).select(*columns, F.col("modified_at").cast("timestamp_ntz").alias("modified_at"))
+    return files.feed(rows.sparkSession, landed).select(*columns, F.col("modified_at").cast("timestamp_ntz").alias("modified_at"))
 
 
 @query("chunk_sink", "select chunk_id, c.document_id, title, department, kb from (select chunk_id, document_id from {chunks}) c join (select document_id, min(title) as title, min(department) as department, case when document_id % 2 = 0 then 'main' else 'care' end as kb from {chunks} group by document_id) d on d.document_id = c.document_id")
@@ -501,9 +500,6 @@ def chunk_sink(t):
 def landed_files(t):
     """Every document as a file of its own, listed and fingerprinted; ids differ by path."""
     docs = t("documents").where("text is not null").select("text")
-    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "files")
-    # tasks move their files into place themselves: the other way the driver moves them one by one
-    docs.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
-    # a partition of a scan holds few small files, so many of them are one task
-    found = files.listing(spark, path, ["txt"], fingerprint=True).coalesce(4 * spark.sparkContext.defaultParallelism)
+    spark = docs.sparkSession
+    found = files.listed(spark, files.land(docs, scratch_path(spark, "files")), ["txt"])
     return found.groupBy("content_hash", "length").agg(F.count("*").alias("n"), F.countDistinct("drive_id", "item_id").alias("ids"))

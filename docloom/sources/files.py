@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import file_extension, path_ids
+from docloom.sources.scratch import scratch_path
 
+#: Files of one folder that rows are landed in, and folders whose files are listed at once.
+FOLDER_FILES, FOLDERS = 1000, 100
 EXTENSIONS = ["pptx", "docx", "pdf", "xlsx", "xlsb"]
 FEED_SCHEMA = """value array<struct<id:string,name:string,webUrl:string,cTag:string,eTag:string,size:bigint,lastModifiedDateTime:string,
   parentReference:struct<siteId:string,driveId:string,path:string>,
@@ -15,9 +23,57 @@ FEED_SCHEMA = """value array<struct<id:string,name:string,webUrl:string,cTag:str
   `@odata.nextLink` string, `@odata.deltaLink` string"""
 
 
-def listing(spark: SparkSession, folder: str, extensions: list[str] = EXTENSIONS, glob: str = "*", fingerprint: bool = False) -> DataFrame:
+def _landing(path: str, most: int):
+    """Task that writes each value to a file of its own and tells of its folders.  They have
+    the attempt's number, so only those of attempts that have ended well are told of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, made = TaskContext.get(), 0, []
+        for batch in batches:
+            for text in batch.column(0):
+                if n % most == 0:
+                    made.append(f"{path}/{task.partitionId():05d}-{task.taskAttemptId()}-{n // most:05d}")
+                    os.makedirs(made[-1], exist_ok=True)
+                with open(f"{made[-1]}/{n % most:05d}.txt", "wb") as file:
+                    file.write(text.as_buffer())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"folder": pa.array(made, pa.string())})
+
+    return run
+
+
+def land(rows: DataFrame, path: str, most: int = FOLDER_FILES) -> list[str]:
+    """Write each row's ``text`` and a line end as a file of its own, at most ``most`` in a
+    folder; the folders.
+
+    On a local or mounted file system tasks write them by themselves: Hadoop's starts two
+    processes a file for its rights.  Any other is written by Spark, into one folder."""
+    spark = rows.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file":
+        # tasks move their files into place themselves: the other way the driver moves them one by one
+        rows.select("text").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+        return [path]
+    fs.mkdirs(p)
+    lines = rows.select(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary").alias("line"))
+    return [f"file:{r.folder}" for r in lines.mapInArrow(_landing(p.toUri().getPath(), most), "folder string").collect()] or [path]
+
+
+def listed(spark: SparkSession, folders: list[str], extensions: list[str] = EXTENSIONS, most: int = FOLDERS) -> DataFrame:
+    """``listing`` of many folders with fingerprints, written: the driver, which plans a scan
+    by the names of its files, holds those of ``most`` folders at once."""
+    path = scratch_path(spark, "listed")
+    for k in range(0, len(folders), most):
+        # a partition of a scan holds few small files, so many of them are one task
+        found = listing(spark, folders[k : k + most], extensions, fingerprint=True).coalesce(4 * spark.sparkContext.defaultParallelism)
+        found.write.mode("append").parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def listing(spark: SparkSession, folder: str | list[str], extensions: list[str] = EXTENSIONS, glob: str = "*", fingerprint: bool = False) -> DataFrame:
     """(path, name, length, modified_at, drive_id, item_id) of all supported files below a
-    folder.  Contents are not read; the ids come from the path, so a new run finds the same.
+    folder, or several.  Contents are not read; the ids come from the path, so a new run finds the same.
 
     With ``fingerprint`` they are read, once, for ``content_hash`` as of ``fingerprints``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
@@ -63,7 +119,7 @@ def drive_items(rows: DataFrame, extensions: list[str] = EXTENSIONS) -> DataFram
     return files.select("drive_id", "item_id").distinct()
 
 
-def feed(spark: SparkSession, folder: str) -> DataFrame:
+def feed(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     return items(spark.read.schema(FEED_SCHEMA).option("multiLine", True).json(folder))
 
 

@@ -1,9 +1,15 @@
 """Ranking operators against plain loops."""
 
+import hashlib
+import os
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.operators import graph, lexical, search, vector_index
+from docloom.plans import change_queries  # noqa: F401
+from docloom.plans.registry import QUERIES
 from docloom.sources import files
 
 
@@ -184,3 +190,32 @@ def test_hybrid_fusion_has_the_lexical_ranking_of_tasks(spark):
 
     df = QUERIES["hybrid_fusion"](spark, "/root/testdata/sf0.001")
     assert "explode" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_landed_rows(spark, tmp_path):
+    """Each row is a file, few files are in a folder, and what a lost attempt has left is not
+    listed; on another file system than the local one Spark writes the files."""
+    rows = spark.createDataFrame([(f"{i % 40} \u00e9\n",) for i in range(57)] + [("",)], "text string").coalesce(2)
+    want = Counter(hashlib.sha256((r.text + "\n").encode()).hexdigest() for r in rows.collect())
+    path = f"file://{tmp_path}/landed"
+    folders = files.land(rows, path, 10)
+    names = [os.listdir(f.removeprefix("file:")) for f in folders]
+    assert sum(map(len, names)) == 58 and max(map(len, names)) == 10 and not any(n.endswith(".crc") for f in names for n in f)
+    os.mkdir(tmp_path / "landed" / "lost")
+    (tmp_path / "landed" / "lost" / "00000.txt").write_text("lost")
+    found = files.listed(spark, folders, ["txt"], most=2).collect()
+    assert Counter(r.content_hash for r in found) == want and len({(r.drive_id, r.item_id) for r in found}) == 58
+    assert files.listed(spark, files.land(rows.limit(0), f"file://{tmp_path}/none"), ["txt"]).count() == 0
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.landed.link./to", f"file://{tmp_path}")
+    assert Counter(r.content_hash for r in files.listed(spark, files.land(rows, "viewfs://landed/to/remote", 10), ["txt"]).collect()) == want
+
+
+def test_documents_land_in_folders(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    known = set(os.listdir(base))
+    assert QUERIES["landed_files"](spark, "/root/testdata/sf0.01").agg(F.sum("n")).first()[0] == 1000
+    assert QUERIES["landed_pages"](spark, "/root/testdata/sf0.01").count() > 0
+    for name in ("files", "pages"):
+        new = [n for n in os.listdir(base) if n not in known and n.startswith(f"docloom-{name}-")]
+        inside = [len(os.listdir(f"{base}/{new[0]}/{n}")) for n in os.listdir(f"{base}/{new[0]}")]
+        assert len(new) == 1 and 0 < max(inside) <= 1000
