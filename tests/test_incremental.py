@@ -68,6 +68,20 @@ def test_pairs_of_one_item_are_many_tasks(spark):
     assert most(graph.shared(rows, "item", 1, chunk=100)) < 2000 * 2000 / 2 / 8
 
 
+def test_documents_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """What is sent grows with the documents of an item, not with their square."""
+    monkeypatch.setattr(graph, "MOST_TASKS", 16)
+    real, met = graph._cells, []
+    monkeypatch.setattr(graph, "_cells", lambda a, b, *rest: met.extend([a, b]) or real(a, b, *rest))
+    sent = lambda df: df.agg(F.sum(F.size([c for c in df.columns if c.startswith("docs")][0]) if "docs_0" in df.columns or "docs_1" in df.columns else F.lit(1))).first()[0]
+    rows = spark.range(600).select(F.col("id").alias("document_id"), F.lit("all").alias("item"))
+    assert graph.shared(rows, "item", 1, chunk=4).where("a < b").distinct().count() == 600 * 599 / 2
+    assert sum(map(sent, met)) == 600 * 65
+    met.clear()
+    assert graph.shared_with(rows.where("document_id % 2 = 0"), rows, 1, chunk=2).where("a <> b").distinct().count() == 300 * 599
+    assert sum(map(sent, met)) == 900 * 64
+
+
 def test_a_version_holds_what_was_touched(spark, tmp_path):
     base = str(tmp_path / "t")
     rows = spark.range(100).select("id", F.lit("old").alias("v"))
